@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import packing
+from textloom.llm import packing, simhash
 from textloom.llm.common import table
 
 
@@ -20,8 +20,13 @@ def op7_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sum_of_squares_packing": op7_sum_of_squares_packing,
+    "op8_pivot_simhash": op8_pivot_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
