@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import packing, simhash
+from textloom.llm import mixing, packing, sharding, simhash
 from textloom.llm.common import table
 
 
@@ -16,6 +16,14 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op3_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op6_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op7_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -25,6 +33,8 @@ def op8_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_cube_mixing": op3_cube_mixing,
+    "op6_histogram_sort": op6_histogram_sort,
     "op7_sum_of_squares_packing": op7_sum_of_squares_packing,
     "op8_pivot_simhash": op8_pivot_simhash,
 }
