@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import mixing, packing, sharding, simhash
+from textloom.llm import lmscore, mixing, packing, sharding, simhash
 from textloom.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op3_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(table(spark, sf_dir, "documents"))
+
+
 def op6_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ def op8_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_cube_mixing": op3_cube_mixing,
+    "op4_bloom_lm": op4_bloom_lm,
     "op6_histogram_sort": op6_histogram_sort,
     "op7_sum_of_squares_packing": op7_sum_of_squares_packing,
     "op8_pivot_simhash": op8_pivot_simhash,
