@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import lmscore, mixing, packing, sharding, simhash
+from textloom.llm import classifier, lmscore, mixing, packing, rules, sharding, simhash
 from textloom.llm.common import table
 
 
@@ -16,6 +16,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_site_bayes_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -36,12 +40,18 @@ def op8_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_site_bayes_classifier": op1_site_bayes_classifier,
     "op3_cube_mixing": op3_cube_mixing,
     "op4_bloom_lm": op4_bloom_lm,
     "op6_histogram_sort": op6_histogram_sort,
     "op7_sum_of_squares_packing": op7_sum_of_squares_packing,
     "op8_pivot_simhash": op8_pivot_simhash,
+    "op9_ngram_quality_rules": op9_ngram_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
