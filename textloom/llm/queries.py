@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import classifier, lmscore, mixing, packing, rules, sharding, simhash
+from textloom.llm import classifier, lmscore, mixing, packing, pii, rules, sharding, simhash
 from textloom.llm.common import table
 
 
@@ -44,6 +44,10 @@ def op9_ngram_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_bayes_classifier": op1_site_bayes_classifier,
     "op3_cube_mixing": op3_cube_mixing,
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sum_of_squares_packing": op7_sum_of_squares_packing,
     "op8_pivot_simhash": op8_pivot_simhash,
     "op9_ngram_quality_rules": op9_ngram_quality_rules,
+    "op10_feistel_pseudonyms": op10_feistel_pseudonyms,
 }
 
 ORACLE_SQL: dict[str, str] = {}
