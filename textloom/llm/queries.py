@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import classifier, lmscore, mixing, packing, pii, rules, sharding, simhash
+from textloom.llm import ann, classifier, lmscore, mixing, packing, pii, rules, sharding, simhash
 from textloom.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op1_site_bayes_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_projected_kd_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_bayes_classifier": op1_site_bayes_classifier,
+    "op2_projected_kd_tree": op2_projected_kd_tree,
     "op3_cube_mixing": op3_cube_mixing,
     "op4_bloom_lm": op4_bloom_lm,
     "op6_histogram_sort": op6_histogram_sort,
