@@ -10,6 +10,7 @@ pieces of the emptiest of them, so that one padded window remains for a split.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,8 +23,6 @@ from pyspark.sql import functions as F
 
 WINDOW = 1024
 END = 0
-#: Chunks whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
 COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 SCHEMA = ", ".join(f"{c} long" for c in COLUMNS)
 
@@ -35,41 +34,51 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: How a byte-level vocabulary splits a text before it merges (fixed value).
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: visible ones themselves, others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """Ids of whole texts, equal to those of the tokenizer, with remembered chunks.
+    """Ids of whole texts, equal to those of the tokenizer file.
 
-    Byte-level BPE splits a text before it merges, and no part of that split
-    reaches from a visible character over a space, so a text with single spaces
-    between visible characters is the concatenation of its chunks. Other texts
-    (runs of white space beside a space, and special tokens) are encoded whole.
+    A byte-level BPE file whose merges rank as its ids do is merged by a faster
+    library from the same vocabulary. Texts with one of the file's special
+    tokens, and files of another kind, go through the tokenizer itself.
     """
 
     def __init__(self, path: str):
         self.model = tokenizer(path)
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.fast = self._fast(json.loads(self.model.to_str()))
 
-    def chunks(self, text: str) -> list[str] | None:
-        if any(s in text for s in self.special):
+    def _fast(self, spec: dict):
+        model, before = spec["model"], spec.get("pre_tokenizer") or {}
+        plain = model.get("type") == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        if not plain or spec.get("normalizer") or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            return None
+        to, vocab = byte_of(), model["vocab"]
+        merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        if merged != sorted(merged):
             return None
-        first, *rest = text.split(" ")
-        out = [first, *[f" {x}" for x in rest]]
-        return None if any(x.isspace() or x[-1:].isspace() or x[1:2].isspace() or not x for x in out) else out
+        ranks = {bytes(to[c] for c in token): i for token, i in vocab.items() if token not in self.special}
+        import tiktoken
+
+        return tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.chunks(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list({x for c in split if c for x in c if x not in self.known})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            self.known.update(zip(part, (tuple(e.ids) for e in self.model.encode_batch_fast(part, add_special_tokens=False))))
-        known, out = self.known, []
-        for text, c in zip(texts, split):
-            if c is None:
-                ids = self.model.encode(text, add_special_tokens=False).ids if text else []
+        out = []
+        for text in texts:
+            if self.fast is None or any(s in text for s in self.special):
+                ids = self.model.encode(text, add_special_tokens=False).ids
             else:
-                ids = [i for x in c for i in known[x]]
+                ids = self.fast.encode_ordinary(text)
             ids.append(END)
             out.append(np.array(ids, dtype="<u4"))
         return out
