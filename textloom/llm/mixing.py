@@ -18,7 +18,7 @@ from random import Random
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import TMP, global_rank, store, words
@@ -38,11 +38,16 @@ EPS = 1e-9
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, source, size): size is the number of words, 0 for null."""
 
-    @F.pandas_udf("long")
-    def count(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: len(words(t))).astype("int64")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), _count(F.col(text_col)).alias("size"))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), count(F.col(text_col)).alias("size"))
+
+def _count(text: Column) -> Column:
+    """The number of words, 0 for null."""
+
+    def count(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda t: len(words(t))).astype("int64")
+
+    return F.pandas_udf(count, "long")(text)
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, most: float = MOST) -> DataFrame:
@@ -180,12 +185,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def apply_mix(docs: DataFrame, **how) -> DataFrame:
-    """The rows of `docs` as often as the mix takes them; ids must tell rows apart.
+    """The rows of `docs` as often as the mix takes them.
 
-    Rows with a null id stay once, for no draw can be told to them.
+    Rows with a null id stay once, for no draw can be told to them. Where ids
+    repeat, draws and rows of an id are matched in the order of their sizes.
     """
-    id_col = how.get("id_col", "doc_id")
-    drawn = mix(docs.where(F.col(id_col).isNotNull()), **how).select(F.col("doc_id").alias(f"{TMP}id"), F.col("copies").alias(f"{TMP}copies"))
-    kept = docs.join(drawn.where(f"{TMP}copies > 0"), F.col(id_col) == F.col(f"{TMP}id"))
+    id_col, text_col = how.get("id_col", "doc_id"), how.get("text_col", "text")
+    own, nth = f"{TMP}id", f"{TMP}nth"
+    drawn = store(mix(docs.where(F.col(id_col).isNotNull()), **how).select(F.col("doc_id").alias(own), "size", F.col("copies").alias(f"{TMP}copies")), "drawn")
+    rows, on = docs, F.col(id_col).cast("long") == F.col(own)
+    if drawn.groupBy(own).count().where("count > 1").limit(1).count():
+        drawn = drawn.withColumn(nth, F.row_number().over(Window.partitionBy(own).orderBy("size")))
+        rows = docs.withColumn(f"{TMP}row", F.row_number().over(Window.partitionBy(F.col(id_col)).orderBy(_count(F.col(text_col)), text_col)))
+        on = on & (F.col(f"{TMP}row") == F.col(nth))
+    kept = rows.join(drawn.where(f"{TMP}copies > 0").drop("size"), on)
     again = kept.withColumn(f"{TMP}again", F.explode(F.sequence(F.lit(1), F.col(f"{TMP}copies"))))
-    return again.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return again.select(*names).unionByName(docs.where(F.col(id_col).isNull()))

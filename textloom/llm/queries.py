@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import ann, classifier, lmscore, mixing, packing, pii, rules, sharding, simhash
+from textloom.llm import ann, classifier, lmscore, mixing, packing, pii, quotes, rules, sharding, simhash
 from textloom.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op4_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(table(spark, sf_dir, "documents"))
 
 
+def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link(table(spark, sf_dir, "conversations"))
+
+
 def op6_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_projected_kd_tree": op2_projected_kd_tree,
     "op3_cube_mixing": op3_cube_mixing,
     "op4_bloom_lm": op4_bloom_lm,
+    "op5_quotation_linking": op5_quotation_linking,
     "op6_histogram_sort": op6_histogram_sort,
     "op7_sum_of_squares_packing": op7_sum_of_squares_packing,
     "op8_pivot_simhash": op8_pivot_simhash,
