@@ -44,52 +44,57 @@ def mecab_tokens(text: Column) -> Column:
     return F.udf(run, TOKENS, useArrow=True)(text)
 
 
-def base_features(text: Column, ends: str = ENDS, comma: str = "、") -> dict[str, Column]:
-    """What needs no tagger; null for a text without characters."""
-    p = plain(text)
-    n = F.nullif(F.length(p), F.lit(0)).cast("double")
-    lens = F.transform(sentences(text, ends), lambda s: F.length(s).cast("double"))
-    lens = F.when(F.size(lens) == 0, F.array(F.lit(0.0))).otherwise(lens)
-    total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda a, x: a + f(x))
-    mean = total(lens, lambda x: x) / F.size(lens)
-    count = lambda pattern: F.regexp_count(p, F.lit(pattern)).cast("double")
-    stops, commas = count(f"[{ends}]"), count(f"[{comma}]")
-    return {
-        "n_chars": n,
-        "sent_len_mean": mean,
-        "sent_len_var": F.greatest(total(lens, lambda x: x * x) / F.size(lens) - mean * mean, F.lit(0.0)),
-        "kanji_ratio": count("[一-鿿々]") / n,
-        "hiragana_ratio": count("[ぁ-ゖゝゞ]") / n,
-        "katakana_ratio": count("[ァ-ヴーヽヾ]") / n,
-        "kuten_per_1000": stops / n * 1000,
-        "touten_per_1000": commas / n * 1000,
-        "punct_per_1000": (stops + commas) / n * 1000,
-        "speech_ratio": speech_chars(text) / n,
-    }
-
-
-def word_features(text: Column, tokens: Column) -> dict[str, Column]:
-    """Shares of parts of speech and function words, first persons per 1000 characters, and sentence endings.
-
-    `tokens` are those of the folded plain text; words and endings are matched folded as well.
-    """
-    p = plain(text)
-    n, size = F.nullif(F.length(p), F.lit(0)), F.greatest(F.size(tokens), F.lit(1))
-    folded, ss = fold(p), sentences(text)
-    share = lambda cond: F.size(F.filter(tokens, cond)) / size
-    out = {f"pos_{k}": share(lambda t, k=k: t["pos1"] == k) for k in POS}
-    out |= {f"func_{k}": share(lambda t, k=k: t["pos1"].isin(*FUNCTION_POS) & (t["surface"] == k)) for k in FUNCTION_WORDS}
-    out |= {f"fp_{w}": (F.length(folded) - F.length(F.replace(folded, fold(F.lit(w)), F.lit("")))) / F.length(fold(F.lit(w))) / n * 1000 for w in FIRST_PERSON}
-    for e in ENDINGS:
-        ends = lambda s, e=e: F.endswith(F.regexp_replace(fold(s), f"[{ENDS}]+$", ""), fold(F.lit(e)))
-        out[f"end_{e}"] = F.size(F.filter(ss, ends)) / F.greatest(F.size(ss), F.lit(1))
+BASE = (
+    "n_chars", "sent_len_mean", "sent_len_var", "kanji_ratio", "hiragana_ratio", "katakana_ratio",
+    "kuten_per_1000", "touten_per_1000", "punct_per_1000", "speech_ratio",
+)
+
+
+def prepared(rows: DataFrame, text_col: str, tagger=None, ends: str = ENDS) -> DataFrame:
+    """The columns that features are worked out from, each made once: _p, _ss, _lens, and with a tagger _f and _tokens."""
+    out = rows.withColumn("_p", plain(F.col(text_col))).withColumn("_ss", sentences(F.col(text_col), ends)).withColumn("_speech", speech_chars(F.col(text_col)))
+    lens = F.transform("_ss", lambda s: F.length(s).cast("double"))
+    out = out.withColumn("_lens", F.when(F.size("_ss") == 0, F.array(F.lit(0.0))).otherwise(lens))
+    if tagger:
+        out = out.withColumn("_f", fold(F.col("_p")))
+        tail = lambda s: F.regexp_replace(fold(s), f"[{ENDS}]+$", "")
+        out = out.withColumn("_tokens", tagger(F.col("_f"))).withColumn("_ends", F.transform("_ss", tail))
+        counted = lambda xs: F.array_sort(xs)
+        words = F.transform(F.filter("_tokens", lambda t: t["pos1"].isin(*FUNCTION_POS)), lambda t: t["surface"])
+        out = out.withColumn("_pos", counted(F.transform("_tokens", lambda t: t["pos1"]))).withColumn("_words", counted(words))
     return out
 
 
-def style_map(text: Column, tokens: Column | None = None, ends: str = ENDS, comma: str = "、") -> Column:
-    """All features as a map; absent ones count as 0."""
-    named = base_features(text, ends, comma) | (word_features(text, tokens) if tokens is not None else {})
-    return F.map_from_arrays(F.array(*map(F.lit, named)), F.array(*[c.cast("double") for c in named.values()]))
+def base_features(ends: str = ENDS, comma: str = "、") -> dict[str, Column]:
+    """What needs no tagger, over prepared columns; null for a text without characters."""
+    n = F.nullif(F.length("_p"), F.lit(0)).cast("double")
+    total = lambda f: F.aggregate("_lens", F.lit(0.0), lambda a, x: a + f(x))
+    mean = total(lambda x: x) / F.size("_lens")
+    count = lambda pattern: F.regexp_count("_p", F.lit(pattern)).cast("double")
+    stops, commas = count(f"[{ends}]"), count(f"[{comma}]")
+    values = (
+        n, mean, F.greatest(total(lambda x: x * x) / F.size("_lens") - mean * mean, F.lit(0.0)),
+        count("[一-鿿々]") / n, count("[ぁ-ゖゝゞ]") / n, count("[ァ-ヴーヽヾ]") / n,
+        stops / n * 1000, commas / n * 1000, (stops + commas) / n * 1000, F.col("_speech") / n,
+    )
+    return dict(zip(BASE, values))
+
+
+def word_features() -> dict[str, Column]:
+    """Shares of parts of speech and function words, first persons per 1000 characters, and sentence endings, over prepared columns."""
+    n, size = F.nullif(F.length("_p"), F.lit(0)), F.greatest(F.size("_tokens"), F.lit(1))
+    equal = lambda col, k: F.size(F.filter(col, lambda x: x == k)) / size
+    ended = lambda w: F.size(F.filter("_ends", lambda s: F.endswith(s, w))) / F.greatest(F.size("_ss"), F.lit(1))
+    out = {f"pos_{k}": equal("_pos", k) for k in POS} | {f"func_{k}": equal("_words", k) for k in FUNCTION_WORDS}
+    for w in FIRST_PERSON:
+        f = fold(F.lit(w))
+        out[f"fp_{w}"] = (F.length("_f") - F.length(F.replace("_f", f, F.lit("")))) / F.length(f) / n * 1000
+    return out | {f"end_{e}": ended(fold(F.lit(e))) for e in ENDINGS}
+
+
+def feature_names(tagged: bool) -> list[str]:
+    words = [f"pos_{k}" for k in POS] + [f"func_{k}" for k in FUNCTION_WORDS] + [f"fp_{w}" for w in FIRST_PERSON] + [f"end_{e}" for e in ENDINGS]
+    return [*BASE, *(words if tagged else ())]
 
 
 def windows(text: Column, size: int = WINDOW) -> Column:
@@ -121,14 +126,12 @@ def windows(text: Column, size: int = WINDOW) -> Column:
 
 def work_features(works: DataFrame, id_col: str, text_col: str, size: int = WINDOW, tagger=None, ends: str = ENDS, comma: str = "、") -> DataFrame:
     """(id, features): unweighted means over a work's windows; n_chars is the whole work's, n_chunks only a long work's."""
-    named = list(base_features(F.col("w"), ends, comma)) + (list(word_features(F.col("w"), F.array().cast(TOKENS))) if tagger else [])
+    named = feature_names(tagger is not None)
     cut = works.select(F.col(id_col).alias("id"), F.length(plain(F.col(text_col))).alias("chars"), F.explode(windows(F.col(text_col), size)).alias("w"))
-    tokens = tagger(fold(plain(F.col("w")))) if tagger else None
-    each = cut.select("id", "chars", style_map(F.col("w"), tokens, ends, comma).alias("f")).where(F.element_at("f", "n_chars").isNotNull())
-    means = each.groupBy("id").agg(F.max("chars").cast("double").alias("chars"), F.count(F.lit(1)).cast("double").alias("n"), *[F.avg(F.element_at("f", k)).alias(k) for k in named])
-    values = [F.col("chars") if k == "n_chars" else F.col(k) for k in named]
-    features = F.map_from_arrays(F.array(*map(F.lit, named)), F.array(*values))
+    values = base_features(ends, comma) | (word_features() if tagger else {})
+    each = prepared(cut, "w", tagger, ends).where("_p != ''").select("id", "chars", *[values[k].cast("double").alias(k) for k in named])
+    means = each.groupBy("id").agg(F.max("chars").cast("double").alias("chars"), F.count(F.lit(1)).cast("double").alias("n"), *[F.avg(k).alias(k) for k in named])
+    whole = [F.col("chars") if k == "n_chars" else F.col(k) for k in named]
+    features = F.map_from_arrays(F.array(*map(F.lit, named)), F.array(*whole))
     count = F.map_from_arrays(F.array(F.lit("n_chunks")), F.array(F.col("n")))
     return means.select("id", F.when(F.col("chars") > size, F.map_concat(features, count)).otherwise(features).alias("features"))
-
-

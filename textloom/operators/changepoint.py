@@ -48,7 +48,7 @@ def change_points(series: DataFrame, group: str, t: str, cols: list[str], multip
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("t", ignore_index=True)
         at = segment(g[cols].to_numpy(dtype=float), penalty(len(g), len(cols), multiple))
-        return pd.DataFrame({"grp": [g["grp"][0]] * len(at), "index": at, "t": [g["t"][i] for i in at]})
+        return g.iloc[at][["grp", "t"]].assign(index=np.array(at, dtype=np.int32))[["grp", "index", "t"]].reset_index(drop=True)
 
     rows = series.select(F.col(group).alias("grp"), F.col(t).alias("t"), *[F.col(c).cast("double").alias(c) for c in cols])
     kind = dict(rows.dtypes)

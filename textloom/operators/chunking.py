@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators.ranking import dense_ordinal
+
 # The least, the most, and the size below which a chunk joins its neighbour.
 MIN_CHARS, MAX_CHARS, FLOOR = 300, 500, 120
 CHUNK = "array<struct<k:int,para_start:int,para_end:int,text:string>>"
@@ -113,11 +115,10 @@ def chunks(paras: Column, least: int = MIN_CHARS, most: int = MAX_CHARS, floor:
 def corpus_chunks(docs: DataFrame, id_col: str, paras: Column, **how) -> DataFrame:
     """(i, <id>, k, para_start, para_end, text): i numbers all chunks in document order.
 
-    The ordinal is an offset per document plus the place in it; the running sum
-    goes over one row per document.
+    The ordinal comes from a range sort, so no task holds all chunks.
     """
     made = docs.select(F.col(id_col), chunks(paras, **how).alias("c"))
     rows = made.select(id_col, F.explode("c").alias("c")).select(id_col, "c.*")
-    return rows.withColumn("i", F.row_number().over(Window.orderBy(id_col, "k")) - 1).select("i", *rows.columns)
+    return dense_ordinal(rows, [F.col(id_col), F.col("k")], "i").select("i", *rows.columns)
 
 

@@ -73,9 +73,9 @@ def norm(vec: Column) -> Column:
 
 
 def unit(vec: Column) -> Column:
-    """Of unit length; a zero stays zero."""
-    n = norm(vec)
-    return F.transform(vec, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))
+    """Of unit length; a zero stays zero. The norm is worked out once for a vector."""
+    scaled = lambda s: F.transform(s["v"], lambda x: x.cast("double") / F.when(s["n"] == 0, 1.0).otherwise(s["n"]))
+    return F.element_at(F.transform(F.array(F.struct(vec.alias("v"), norm(vec).alias("n"))), scaled), 1)
 
 
 def row_scale(vec: Column) -> Column:

@@ -78,7 +78,8 @@ def parallel_arrays(chunks: DataFrame, works: str = "work", order: str = "i", co
     item = F.struct(order, "w", *cols)
     lists = rows.agg(F.sort_array(F.collect_list(item)).alias("x"))
     names = numbered.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", works))), lambda s: s[works]).alias("works"))
-    return lists.crossJoin(names).select("works", *[F.transform("x", lambda s, c=c: s[c]).alias(c) for c in ("w", *cols)])
+    column = lambda c: F.transform("x", lambda s: s[c]).alias(c)
+    return lists.crossJoin(names).select("works", *[column(c) for c in ("w", *cols)])
 
 
 def write_shards(rows: DataFrame, path: str, by: str) -> None:
