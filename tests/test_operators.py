@@ -166,3 +166,12 @@ def test_index_is_written(spark, tmp_path):
 def test_pairs_map(spark):
     got = spark.createDataFrame([("a=1 b=x=y c a=2",), ("",)], "s string").select(text.parse_pairs(F.col("s"))).collect()
     assert got[0][0] == {"a": "2", "b": "x=y"} and got[1][0] == {}
+
+
+def test_registry_needs_no_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1]).returncode == 0

@@ -13,7 +13,7 @@ from textloom.plans.registry import query, sql_values, table, values
 from textloom.sources import sinks
 
 GRAM = 8
-TERMS = F.lit("[a-z]{3,}")
+TERMS = "[a-z]{3,}"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.term_frequencies(_docs(spark, sf_dir), "doc_id", F.regexp_extract_all(F.lower("text"), TERMS, F.lit(0)))
+    return search.term_frequencies(_docs(spark, sf_dir), "doc_id", F.regexp_extract_all(F.lower("text"), F.lit(TERMS), F.lit(0)))
 
 
 _TF = "(SELECT doc_id AS doc, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term FROM documents) GROUP BY ALL)"
@@ -158,7 +158,7 @@ _SCORE = f"tf AS {_TF}, l AS (SELECT d.doc_id AS doc, coalesce(sum(tf), 0) AS dl
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     tf = _tf(spark, sf_dir)
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), F.explode(F.regexp_extract_all(F.lower("text"), TERMS, F.lit(0))).alias("term"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERMS), F.lit(0))).alias("term"))
     return search.score(tf, search.doc_lengths(tf, _docs(spark, sf_dir), "doc_id"), q).withColumn("score", F.round("score", 6))
 
 
