@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,8 +72,7 @@ def diversify(rows: DataFrame, works: DataFrame, k: int = TOP, per_work: int = P
     named = rows.join(works, "doc")
     if skipped is not None:
         named = named.join(skipped, "work", "left_anti")
-    own = Window.partitionBy("q", "work").orderBy(F.desc("score"), "doc")
-    return top(named.withColumn("nth", F.row_number().over(own)).where(F.col("nth") <= per_work), k)
+    return _diverse(named, k, per_work)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -90,6 +93,64 @@ def similarities(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: s
     return vectors.join(q, cond).select("q", F.col(id_col).alias("doc"), dot(F.col(vec_col), F.col("qv")).alias("score"))
 
 
+#: Vectors and queries of one block.
+BLOCK, QUERY_BLOCK = 8192, 512
+
+
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """(ids, works, v, n): up to `size` rows of (id, work, v) each, packed as they are read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, size):
+                part = batch.slice(low, size)
+                v = part.column(2).flatten().to_numpy(zero_copy_only=False).astype("<f8")
+                ids = part.column(0).to_numpy(zero_copy_only=False).astype("<i8")
+                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([part.column(1).to_pylist()], pa.list_(pa.string())), pa.array([v.tobytes()], pa.binary()), pa.array([len(ids)])], names=["ids", "works", "v", "n"])
+
+    return rows.mapInArrow(run, "ids binary, works array<string>, v binary, n long")
+
+
+def best_in_blocks(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, work: str, per_work: int = PER_WORK, digits: int = 9) -> DataFrame:
+    """(q, doc, work, score): every query's `per_work` best rows of each work within each block, as one matrix product for two blocks.
+
+    Queries and rows meet as blocks, so the stated query set is what is
+    multiplied, never rows by rows in the engine. No row that a diversified
+    ranking can show is lost: it is among the best of its work in its block.
+    Scores are rounded, so that ties are ties.
+    """
+    rows = lambda df: df.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(work).cast("string").alias("work"), F.col(vec_col).cast("array<double>").alias("v"))
+    q = _blocks(rows(queries), QUERY_BLOCK).select(F.col("ids").alias("qids"), F.col("v").alias("qv"), F.col("n").alias("qn"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids, qids = np.frombuffer(r["ids"], dtype="<i8"), np.frombuffer(r["qids"], dtype="<i8")
+                v, qv = np.frombuffer(r["v"], dtype="<f8").reshape(r["n"], -1), np.frombuffer(r["qv"], dtype="<f8").reshape(r["qn"], -1)
+                names, of = np.unique([w or "" for w in r["works"]], return_inverse=True)
+                score = np.round(qv @ v.T, digits)
+                for i, one in enumerate(qids):
+                    keep = ids != one
+                    at = np.flatnonzero(keep)
+                    order = at[np.lexsort((ids[at], -score[i, at], of[at]))]
+                    group = of[order]
+                    nth = np.arange(len(order)) - np.searchsorted(group, group)
+                    best = order[nth < per_work]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), one)), pa.array(ids[best]), pa.array(names[of[best]].tolist(), pa.string()), pa.array(score[i, best])], names=["q", "doc", "work", "score"])
+
+    return _blocks(rows(vectors), BLOCK).crossJoin(q).mapInArrow(meet, "q long, doc long, work string, score double")
+
+
+def passage_search(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, work: str, k: int = TOP, per_work: int = PER_WORK) -> DataFrame:
+    """(q, doc, work, score, rank): passages like each query's, at most `per_work` of a work."""
+    return _diverse(best_in_blocks(vectors, queries, id_col, vec_col, work, per_work), k, per_work)
+
+
+def _diverse(found: DataFrame, k: int, per_work: int) -> DataFrame:
+    own = Window.partitionBy("q", "work").orderBy(F.desc("score"), "doc")
+    return top(found.withColumn("nth", F.row_number().over(own)).where(F.col("nth") <= per_work), k)
+
+
 def longest_match(query: Column, vocabulary: Column) -> Column:
     """The query cut into vocabulary terms, the longest first at each place; a character that starts none is passed over.
 

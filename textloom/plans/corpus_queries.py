@@ -157,7 +157,7 @@ _SCORE = f"tf AS {_TF}, l AS (SELECT d.doc_id AS doc, coalesce(sum(tf), 0) AS dl
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tf = _tf(spark, sf_dir)
+    tf = scratch(_tf(spark, sf_dir), "tf")
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERMS), F.lit(0))).alias("term"))
     return search.score(tf, search.doc_lengths(tf, _docs(spark, sf_dir), "doc_id"), q).withColumn("score", F.round("score", 6))
 
@@ -212,8 +212,8 @@ _DIVERSE = f"SELECT q, doc, CAST(r AS INT) AS rank, round(score, 6) AS score FRO
 @query("vec_passage_search", _DIVERSE)
 def vec_passage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: passages like a passage, at most two of a work."""
-    works = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), F.col("label").alias("work"))
-    return search.diversify(_sims(spark, sf_dir), works).select("q", "doc", "rank", F.round("score", 6).alias("score"))
+    e = table(spark, sf_dir, "embeddings")
+    return search.passage_search(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding", "label").select("q", "doc", "rank", F.round("score", 6).alias("score"))
 
 
 @query("jon_other_works", f"SELECT q, doc, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc) AS r FROM {_SIMS} WHERE work <> own) WHERE r <= 6")
@@ -221,6 +221,14 @@ def jon_other_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top(_sims(spark, sf_dir, "label"), 6).select("q", "doc", "rank")
 
 
+@query("win_diversify", f"SELECT q, doc, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc) AS r FROM (SELECT *, row_number() OVER (PARTITION BY q, work ORDER BY score DESC, doc) AS nth FROM {_SIMS} WHERE work <> 3) WHERE nth <= 2) WHERE r <= 12")
+def win_diversify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over a scored table, with a skipped work."""
+    e = table(spark, sf_dir, "embeddings")
+    works = e.select(F.col("vec_id").alias("doc"), F.col("label").alias("work"))
+    return search.diversify(_sims(spark, sf_dir), works, skipped=values(spark, [(3,)], "work int")).select("q", "doc", "rank")
+
+
 @query("vec_unit", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 6) AS n2, round(list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))), 6) AS scale FROM embeddings")
 def vec_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
