@@ -82,11 +82,11 @@ def jon_pair_both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "jon_align_passages",
-    "WITH d AS (SELECT doc_id, text, doc_id % 2 AS side, source AS pair FROM documents WHERE length(text) >= 4), g AS (SELECT DISTINCT doc_id, side, pair, substr(text, i, 4) AS g FROM d, range(1, length(text) - 2) AS r(i)), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1), s AS (SELECT x.doc_id AS q, y.doc_id AS gold, count(*) AS s FROM g x JOIN g y ON x.pair = y.pair AND x.g = y.g AND x.side = 0 AND y.side = 1 GROUP BY ALL), j AS (SELECT q, gold, s / (a.n + b.n - s) AS score FROM s JOIN n a ON a.doc_id = q JOIN n b ON b.doc_id = gold) SELECT q, gold, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, gold) AS r FROM j) WHERE r = 1 AND score >= 0.35",
+    "WITH d AS (SELECT doc_id, text, doc_id % 2 AS side, doc_id // 40 AS pair FROM documents WHERE length(text) >= 4), g AS (SELECT DISTINCT doc_id, side, pair, substr(text, i, 4) AS g FROM d, range(1, length(text) - 2) AS r(i)), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1), s AS (SELECT x.doc_id AS q, y.doc_id AS gold, count(*) AS s FROM g x JOIN g y ON x.pair = y.pair AND x.g = y.g AND x.side = 0 AND y.side = 1 GROUP BY ALL), j AS (SELECT q, gold, s / (a.n + b.n - s) AS score FROM s JOIN n a ON a.doc_id = q JOIN n b ON b.doc_id = gold) SELECT q, gold, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, gold) AS r FROM j) WHERE r = 1 AND score >= 0.35",
 )
 def jon_align_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Even documents against odd ones of their source."""
-    d = _docs(spark, sf_dir).where("length(text) >= 4").select("doc_id", F.col("source").alias("pair"), text.grams(F.col("text"), 4).alias("grams"))
+    """Even documents against odd ones of the same forty."""
+    d = _docs(spark, sf_dir).where("length(text) >= 4").select("doc_id", F.floor(F.col("doc_id") / 40).alias("pair"), text.grams(F.col("text"), 4).alias("grams"))
     old, new = d.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "q"), d.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "gold")
     return pairs.align(old, new).withColumn("score", F.round("score", 4))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import hygiene, kana, markup, metadata, style, text
-from textloom.operators import chunking
+from textloom.operators import chunking, reading
 from textloom.plans.registry import query, sql_values, table, values
 from textloom.sources import readers
 
@@ -308,6 +308,24 @@ def agg_notation_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes.groupBy(text.note_shape(F.col("note")).alias("shape")).agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
+_SEGMENTS = [(0, 0, "t", "　彼は", None), (0, 1, "r", "噛", "かじ"), (0, 2, "t", "る。三", None), (0, 3, "r", "米", "メートル"), (0, 4, "a", "［＃「米」に傍点］", None), (1, 0, "r", "顳※", "こめかみ"), (1, 1, "t", "とて", None), (1, 2, "r", "※", "そ")]
+
+
+@query("snk_text_segments", f"SELECT para, seq, kind, text, ruby FROM {sql_values(_SEGMENTS, 'para, seq, kind, text, ruby')}")
+def snk_text_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader's shard of a work holds."""
+    doc = values(spark, [(1, _SOURCE)], "id int, src string").select("id", markup.parse(F.col("src")).alias("d"))
+    return reading.segments(doc, "id", F.col("d.body")).select("para", "seq", "kind", "text", "ruby")
+
+
+@query("vec_passages", "SELECT doc_id, source || '／' || lang || '／' || CAST(1900 + doc_id % 50 AS VARCHAR) || '年' || chr(10) || text AS passage FROM documents WHERE lang <> 'en'")
+def vec_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, DOCS)
+    works = docs.select("doc_id", "source", "lang", (1900 + F.col("doc_id") % 50).alias("year"))
+    got = reading.passages(docs.select("doc_id", "text"), works, "doc_id", "text", "source", "lang", "year", subset=docs.where("lang != 'en'"))
+    return got.select("doc_id", "passage")
+
+
 # --- metadata -----------------------------------------------------------------------------
 
 _ERAS = [("昭和三十", None, 1955), ("1982（昭和17）", 1982, 1942), ("昭和二十三年", None, 1948), ("大正５年", None, 1916), ("昭和二四", None, None), ("なし", None, None), (None, None, None)]
