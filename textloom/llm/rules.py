@@ -41,7 +41,7 @@ def repeated(h: np.ndarray, window: int = WINDOW) -> int:
     step, p, x = 1, ODD, h
     while step < window:
         x = x[:-step] * p + x[step:]
-        p, step = p * p, step * 2
+        p, step = U(int(p) ** 2 & (1 << 64) - 1), step * 2
     s = np.sort(x)
     twice = s[1:][s[1:] == s[:-1]]
     if not len(twice):
@@ -63,8 +63,9 @@ def facts(text: str | None, w: list[bytes], h: np.ndarray) -> tuple[int, int, in
 
 
 def features(raw: bytes, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of every word and pair, and of every byte 4-gram."""
-    own = np.concatenate([h >> U(48), (h[:-1] * ODD + h[1:]) >> U(48)]).astype(np.int64) if len(h) else np.zeros(0, dtype=np.int64)
+    """Hashed features of every word and pair, and of every byte 4-gram; pairs of equal words are one feature."""
+    pairs = np.where(h[1:] == h[:-1], ODD, h[:-1] * ODD + h[1:]) >> U(48)
+    own = np.concatenate([h >> U(48), pairs]).astype(np.int64) if len(h) else np.zeros(0, dtype=np.int64)
     a = np.frombuffer(raw, dtype=np.uint8).astype(np.uint32)
     if len(a) < 4:
         return own, np.zeros(0, dtype=np.int64)
