@@ -42,8 +42,8 @@ KINDS = {
 #: Where a value may begin and end: not inside a longer number, word, or dotted number.
 _BEFORE, _AFTER = r"(?<![A-Za-z0-9])(?<![0-9][.-])", r"(?![A-Za-z0-9])(?![.-][0-9])"
 PATTERN = "|".join([rf"(?<![A-Za-z0-9._%+-]){KINDS['email']}", KINDS["assigned"], *(f"{_BEFORE}(?:{KINDS[k]}){_AFTER}" for k in ("access", "ip", "date", "ssn", "phone", "card"))])
-#: Every value has one of these.
-HINT = "[0-9@=:]"
+#: Every value has one of these; a text without any is not searched.
+HINT = "[0-9@=:]|AKIA"
 
 _LOWER, _UPPER, _DIGITS, _HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
 
