@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.ranking import running_total
+
 #: A hit beyond this rank does not count. (The first rank past 100 still does: fixed value.)
 LAST_RANK = 101
 
@@ -43,6 +45,8 @@ def index_quantile(values: Column, q: float) -> Column:
 
 def ranked_quantiles(rows: DataFrame, value: str, qs: dict[str, float]) -> DataFrame:
     """The same of a whole table, by rank instead of a collected list: one row."""
+    counts = rows.groupBy(value).agg(F.count(F.lit(1)).alias("c"))  # equal values are one row before anything is sorted
     n = rows.agg(F.count(F.lit(1)).alias("n"))
-    at = rows.select(value, (F.row_number().over(Window.orderBy(value)) - 1).alias("i")).crossJoin(F.broadcast(n))
-    return at.agg(*[F.max(F.when(F.col("i") == F.floor(F.col("n") * q), F.col(value))).alias(name) for name, q in qs.items()])
+    at = running_total(counts, [F.col(value)], F.col("c"), "i").crossJoin(F.broadcast(n))
+    hit = lambda q: (F.col("i") <= F.floor(F.col("n") * q)) & (F.floor(F.col("n") * q) < F.col("i") + F.col("c"))
+    return at.agg(*[F.max(F.when(hit(q), F.col(value))).alias(name) for name, q in qs.items()])

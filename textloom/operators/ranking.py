@@ -1,11 +1,11 @@
-"""Dense ordinals without a single-task sort."""
+"""Ordinals and running totals of whole tables without a single-task sort."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -21,16 +21,21 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dense_ordinal(df: DataFrame, order: list, name: str) -> DataFrame:
-    """Add `name`, each row's place from 0 in the order given.
+def running_total(df: DataFrame, order: list, value: Column, name: str) -> DataFrame:
+    """Add `name`, the sum of `value` over the rows before each in the order given, which must tell rows apart.
 
-    Rows are range-partitioned and numbered in each partition; partitions before
-    add their counts, one small row for each. The ranges are fixed by writing.
+    Rows are range-partitioned and summed in each partition; partitions before
+    add their totals, one small row for each. The ranges are fixed by writing.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = scratch(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ordinal")
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    ranged = scratch(df.withColumn("_x", value.cast("long")).repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "running")
+    totals = ranged.groupBy("_part").agg(F.sum("_x").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    start = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return ranged.withColumn("_i", local).join(F.broadcast(start), "_part").withColumn(name, F.col("_i") + F.col("_start") - 1).drop("_part", "_i", "_start")
+    start = totals.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    local = F.coalesce(F.sum("_x").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn("_i", local).join(F.broadcast(start), "_part").withColumn(name, F.col("_i") + F.col("_start")).drop("_part", "_x", "_i", "_start")
+
+
+def dense_ordinal(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Add `name`, each row's place from 0 in the order given."""
+    return running_total(df, order, F.lit(1), name)

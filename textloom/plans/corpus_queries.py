@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import kana, text
 from textloom.operators import changepoint, clusters, mentions, metrics, pairs, search, topics, vectors
-from textloom.operators.ranking import scratch
+from textloom.operators.ranking import running_total, scratch
 from textloom.plans.registry import query, sql_values, table, values
 from textloom.sources import sinks
 
@@ -149,8 +149,7 @@ def snk_varint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snk_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each term's place in the file of all postings, in entries; sinks.with_offsets gives it in bytes."""
     df = search.document_frequencies(_tf(spark, sf_dir))
-    before = F.sum("df").over(Window.orderBy("term").rowsBetween(Window.unboundedPreceding, -1))
-    return df.select("term", F.coalesce(before, F.lit(0)).alias("before"))
+    return running_total(df, [F.col("term")], F.col("df"), "before").select("term", "before")
 
 
 _SCORE = f"tf AS {_TF}, l AS (SELECT d.doc_id AS doc, coalesce(sum(tf), 0) AS dl FROM documents d LEFT JOIN tf ON tf.doc = d.doc_id GROUP BY 1), st AS (SELECT count(*) AS n, round(avg(dl), 3) AS avgdl FROM l), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), q AS (SELECT item_id AS q, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) AS term FROM benchmark) GROUP BY ALL), sc AS (SELECT q.q, tf.doc, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * CASE WHEN dl = 0 THEN 1 ELSE dl END / avgdl))), 6) AS score FROM q JOIN df USING (term) JOIN tf USING (term) JOIN l ON l.doc = tf.doc, st GROUP BY ALL)".replace("{{", "{").replace("}}", "}")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.operators import eventlog
+from textloom.operators.ranking import dense_ordinal
 from textloom.plans.registry import query, sql_values, table, values
 
 
@@ -259,8 +260,9 @@ def top_most_common(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("top_nulls_last", "SELECT c_custkey, CAST(row_number() OVER (ORDER BY k DESC NULLS LAST, c_custkey) AS INT) AS down, CAST(row_number() OVER (ORDER BY k ASC NULLS LAST, c_custkey) AS INT) AS up FROM (SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer)")
 def top_nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = table(spark, sf_dir, "customer").select("c_custkey", F.nullif("c_nationkey", F.lit(3)).alias("k"))
-    rank = lambda o: F.row_number().over(Window.orderBy(o, "c_custkey"))
-    return k.select("c_custkey", rank(F.col("k").desc_nulls_last()).alias("down"), rank(F.col("k").asc_nulls_last()).alias("up"))
+    down = dense_ordinal(k, [F.col("k").desc_nulls_last(), F.col("c_custkey")], "down")
+    both = dense_ordinal(down, [F.col("k").asc_nulls_last(), F.col("c_custkey")], "up")
+    return both.select("c_custkey", (F.col("down") + 1).cast("int").alias("down"), (F.col("up") + 1).cast("int").alias("up"))
 
 
 @query("top_unknown_year", "SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 5 > 0 THEN CAST(1900 + o_orderkey % 50 AS INT) END, 9999) AS y FROM orders ORDER BY y, o_orderkey LIMIT 20")

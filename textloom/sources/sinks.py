@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.ranking import running_total
+
 MOST_TF = 65535
 
 
@@ -55,13 +57,9 @@ def decode_postings(encoded: DataFrame) -> DataFrame:
 
 
 def with_offsets(encoded: DataFrame) -> DataFrame:
-    """Encoded postings with each term's byte offset in the file of all terms in order.
-
-    The running sum is over terms, whose number the vocabulary bounds.
-    """
+    """Encoded postings with each term's byte offset in the file of all terms in order."""
     size = F.octet_length("bytes").cast("long")
-    end = F.sum(size).over(Window.orderBy("term"))
-    return encoded.withColumn("start", end - size).withColumn("end", end)
+    return running_total(encoded, [F.col("term")], size, "start").withColumn("end", F.col("start") + size)
 
 
 def write_index(postings: DataFrame, lengths: DataFrame, path: str) -> None:
