@@ -12,7 +12,8 @@ d * sqrt(chi2(CONFIDENCE)) in the projection is no nearer but with chance
 
 A query searches its own cell first, which gives a first d, and then all other
 cells that its stopping radius reaches, each with its own test. The cells'
-boxes are the only thing broadcast; a cell larger than BLOCK rows is split.
+boxes and sizes are all that is broadcast, MOST_CELLS rows at most; a cell larger
+than BLOCK rows is split.
 """
 
 from __future__ import annotations
@@ -187,6 +188,7 @@ def _visit(rows: DataFrame, asked: DataFrame, most: float, k: int, stop: float)
     """(query_id, vec_id, score): every asked query against the blocks of its cell, in bounded groups."""
     sizes = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("parts"))
     blocks = rows.groupBy("cell").agg((F.max("block") + 1).alias("blocks"))
+    sizes, blocks = F.broadcast(sizes), F.broadcast(blocks)  # a row for each cell, MOST_CELLS at most
     copies = rows.join(sizes, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     asked = asked.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("query_id", F.lit(1)), F.col("parts")).cast("int")).drop("parts")
     asked = asked.join(blocks, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
@@ -241,7 +243,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     index = rows.select("vec_id", "v").mapInArrow(placed(False), schema)
     index = store(index, "indexed")
     sizes = index.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    index = index.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col("blocks")).cast("int")).drop("blocks")
+    index = index.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col("blocks")).cast("int")).drop("blocks")
     queries = store(rows.where(F.col("vec_id") % every == 0).select("vec_id", "v").mapInArrow(placed(True), schema).withColumnRenamed("vec_id", "query_id"), "queries")
 
     first = store(_visit(index, queries.withColumn("worst", F.lit(float("-inf"))), most, k, stop), "first")
