@@ -322,12 +322,60 @@ def test_filter_never_forgets():
     assert (lmscore.probed(packed, others, segments, bits) > 0).mean() < 0.05
 
 
+def slow_scores(texts, held, least):
+    """The scores of a model whose filter never errs."""
+    middle = lambda n, least: 0.0 if n < least else 1.0 if n == 1 else least * 2 ** (int(np.log2(n / least)) + 0.5)
+    runs = [["<", "<", *t] for _, t in texts]
+    train = [r for (i, _), r in zip(texts, runs) if not held(i)]
+    c1 = Counter(w for r in train for w in r[2:])
+    c2 = Counter((r[k - 1], r[k]) for r in train for k in range(2, len(r)))
+    c3 = Counter((r[k - 2], r[k - 1], r[k]) for r in train for k in range(2, len(r)))
+    n, v, out = sum(c1.values()), len(c1), []
+    for r in runs:
+        total, before = 0.0, 0.0
+        for k in range(2, len(r)):
+            one, ctx = middle(c1[r[k]], 1), middle(c1[r[k - 1]], 1) if r[k - 1] != "<" else 0.0
+            two = middle(c2[r[k - 1], r[k]], least)
+            three = middle(c3[r[k - 2], r[k - 1], r[k]], least) if two else 0.0
+            w3 = 0.5 if before else 0.0
+            w2 = 0.3 + 0.5 - w3 if ctx else 0.0
+            p = w3 * min(1, three / (before or 1)) + w2 * min(1, two / (ctx or 1)) + (1 - w3 - w2) * (one + 0.1) / (n + 0.1 * (v + 1))
+            total += np.log10(p)
+            before = two
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_no_size_of_table_puts_ngrams_out(docs, monkeypatch, least):
+    """However little may be held in one place, n-grams of `least` copies on are in the model."""
+    monkeypatch.setattr(lmscore, "MAX_FILTER", 1, raising=False)
+    texts = [(i, WORD.findall((t or "").translate(LOWER)) + [" "]) for i, t, *_ in corpus()]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    want = slow_scores(texts, held, least)
+    args = () if least == lmscore.MIN_COUNT else (least,)
+    rows = lmscore.score(docs, "doc_id", "text", *args).collect()
+    key = lambda i, n, s: (i is None, i or 0, n, s)
+    got = sorted(key(r.doc_id, r.n_tokens, r.score) for r in rows)
+    want = sorted(key(i, len(t), s) for (i, t), s in zip(texts, want))
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    off = np.array([(g[3] - w[3]) / g[2] for g, w in zip(got, want)])  # the filter errs in a few of a hundred levels, never by forgetting
+    assert np.abs(off[[g[2] >= 20 for g in got]]).max() < 0.3 and abs(sum(g[3] - w[3] for g, w in zip(got, want))) < 0.02 * abs(sum(w[3] for w in want))
+
+
 def test_packed_integers():
     for x in ([], [5], [1, 2, 1 << 40], [7, 8, 9], list(range(0, 1 << 20, 997))):
         a = np.array(x, dtype=np.uint64)
         assert np.array_equal(lmscore.unpack_sorted(lmscore.pack_sorted(a), len(a)), a)
 
 
+def test_packed_steps():
+    rng = np.random.default_rng(4)
+    for x in ([], [0], [5], [1, 2, 1 << 63], list(range(0, 1 << 20, 997)), np.sort(rng.integers(0, 1 << 48, 5000)).tolist()):
+        a = np.array(x, dtype=np.uint64)
+        assert np.array_equal(lmscore.unpack_steps(lmscore.pack_steps(a), len(a)), a)
+
+
 # --- quality ------------------------------------------------------------------------------
 
 

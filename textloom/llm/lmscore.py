@@ -1,18 +1,19 @@
 """LM scoring with a log-frequency Bloom filter.
 
-A first pass counts the training tokens and their bigrams and trigrams. Tasks
-sum up what they read, so that a frequent n-gram is one entry for each task,
-and send the entries to segments of the hash range, packed as arrays. A segment
-sums its entries exactly, and builds its piece of the filter: an n-gram of
-count c is entered at the levels 1 to 1 + log2(c / least), so a count is read
-back by probing level after level until a probe fails. The pieces are broadcast
-as one filter of at most MAX_FILTER bytes: n-grams of fewer than `least` copies
-stay out, and `least` is the smallest threshold from MIN_COUNT on that fits.
-
-A second pass scores whole texts with interpolated trigram, bigram and token
-probabilities from such probes. It also adds up the base score, whose counts
-are exact: tokens that make up at least 1/HOT of all, of which there can be HOT
-at most, are broadcast with their counts; rarer ones meet theirs in their segment.
+A first pass reads texts in runs of about FLUSH_TOKENS tokens. A run sums up
+its tokens, bigrams and trigrams, so that a frequent n-gram is one entry for
+each run, and asks for them in the segments of the hash range, packed as arrays
+that also carry how often the training texts of the run hold them. A segment sums
+its entries exactly and builds its piece of the filter: an n-gram of count c is
+entered at the levels 1 to 1 + log2(c / least), so a count is read back by
+probing level after level until a probe fails. It probes all it was asked for
+and answers each run with levels, and with the exact counts of its tokens.
+
+The vocabulary is counted before, as probabilities need the number of all tokens
+and of distinct ones. The answers meet their runs again, where whole texts are scored with interpolated
+trigram, bigram and token probabilities from the levels, and the base score is
+added up from the exact counts. The filter is never in one place: it grows with
+its entries, a piece for each segment, and `least` is the same at every size.
 
 Tokens are told apart by 64-bit hashes: of ten million, two collide with a
 chance of three in a million.
@@ -29,18 +30,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import low_words, mix64, partitions, store
+from textloom.llm.common import low_words, mix64, partitions
 
 #: The end token, and the mark before a text; no word holds a space.
 END, START = b" ", b"  "
 #: One document in HOLD_OUT is not trained on.
 HOLD_OUT = 10
+#: Bigrams and trigrams of fewer copies stay out: at 1, what a training text alone holds would speak for that text itself.
 MIN_COUNT = 2
-MAX_FILTER = 128 << 20
 BITS_PER_ENTRY, PROBES = 10, 6
-HOT = 1 << 20
-#: Rows of the input for each segment, tokens that a task sums up at a time, documents scored at a time.
-SEGMENT_ROWS, FLUSH_TOKENS, FLUSH_DOCS = 1000, 1_000_000, 1000
+#: Rows of the input for each segment, tokens that a task sums up at a time.
+SEGMENT_ROWS, FLUSH_TOKENS = 1000, 2_000_000
 #: Tokens that a worker remembers; beyond it the memory starts anew.
 REMEMBERED = 250_000
 #: Interpolation weights of trigram, bigram and token; an unseen context's weight goes to the next.
@@ -75,13 +75,6 @@ def segment_of(h48: np.ndarray, segments: int) -> np.ndarray:
     return ((h48 >> U(16)) * U(segments)) >> U(32)
 
 
-def summed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values, sorted, and how often each occurs."""
-    x = np.sort(x)
-    at = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, dtype=np.int64)
-    return x[at], np.diff(np.r_[at, len(x)])
-
-
 def pack_sorted(x: np.ndarray) -> bytes:
     """Sorted integers as the first and 32-bit steps, or whole where a step is wider."""
     steps = np.diff(x)
@@ -96,6 +89,22 @@ def unpack_sorted(b: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.r_[np.frombuffer(b[:8], dtype="<u8"), np.frombuffer(b[8:], dtype="<u4").astype(np.uint64)], dtype=np.uint64)
 
 
+def pack_steps(x: np.ndarray) -> bytes:
+    """Sorted integers as steps, byte by byte: the low bytes, which look random, as they are and the high ones compressed."""
+    steps = np.diff(x, prepend=U(0)) if len(x) else x
+    low = min(7, (int(x[-1] // U(len(x))).bit_length() - 1) // 8) if len(x) and x[-1] else 0
+    planes = np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return bytes([low]) + planes[:low].tobytes() + pa.compress(planes[low:].tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack_steps(b: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, dtype=np.uint64)
+    low, high = b[0], pa.decompress(b[1 + b[0] * n :], decompressed_size=(8 - b[0]) * n, codec="zstd", asbytes=True)
+    planes = np.frombuffer(b[1 : 1 + low * n] + high, dtype=np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.uint64), dtype=np.uint64)
+
+
 def level(count: np.ndarray, least: int) -> np.ndarray:
     """The quantised count, from 1."""
     return np.floor(np.log2(np.maximum(count, least) / least)).astype(np.int64) + 1
@@ -132,262 +141,237 @@ def _batches(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.
             yield batch.slice(low, rows)
 
 
-def counted(texts: DataFrame, segments: int) -> DataFrame:
-    """A row for each segment: its tokens with their counts, and its bigrams and trigrams of MIN_COUNT on."""
+def pack_counts(n: np.ndarray) -> bytes:
+    """Counts in a byte each, or in four where one is larger, after the width."""
+    width = 1 if not len(n) or n.max() < 256 else 4
+    return bytes([width]) + n.astype(f"<u{width}").tobytes()
+
+
+def unpack_counts(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, dtype=f"<u{b[0]}", offset=1).astype(np.int64)
+
+
+def marked(h: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stream of token hashes with two marks before each text, and where in it the tokens are."""
+    real = np.arange(len(h)) + 2 * np.repeat(np.arange(1, len(lengths) + 1), lengths)
+    x = np.full(len(h) + 2 * len(lengths), xxhash.xxh64_intdigest(START), dtype=np.uint64)
+    x[real] = h
+    return x, real
+
+
+def grams(x: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bigrams and the trigrams that end at each token, as 48 bits."""
+    two = bigram(x[real - 1], x[real])
+    return cut(two), cut(bigram(mix64(x[real - 2]), two))
+
+
+def vocabulary(texts: DataFrame, segments: int) -> tuple[int, int]:
+    """The training tokens, all and distinct."""
     gap = -(-(1 << 48) // segments)
+    inner = np.arange(1, segments, dtype=np.uint64) * U(gap)
+    low_ = np.r_[U(0), inner] << U(16)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
-        start, end = known[START], known[END]
-        held: list[np.ndarray] = []
-        size = 0
+        met: set[int] = set()
+        n = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            x = np.concatenate(held)
-            real = np.flatnonzero(x != U(start))
-            two = bigram(x[real - 1], x[real])
-            three = bigram(mix64(x[real - 2]), two)
-            rows: list[tuple] = []
-            tokens, n = summed(x[real])
-            edges = np.searchsorted(cut(tokens), np.arange(1, segments, dtype=np.uint64) * U(gap))
-            for s, (a, b) in enumerate(zip(np.r_[0, edges], np.r_[edges, len(tokens)])):
-                if a < b:
-                    rows.append((s, 1, tokens[a:b].tobytes(), n[a:b].astype("<u4").tobytes()))
-            grams, n = summed(np.concatenate([cut(two), cut(three)]))
-            edges = np.searchsorted(grams, np.arange(1, segments, dtype=np.uint64) * U(gap))
-            for s, (a, b) in enumerate(zip(np.r_[0, edges], np.r_[edges, len(grams)])):
-                if a < b:
-                    rows.append((s, 2, pack_sorted(grams[a:b]), n[a:b].astype("<u4").tobytes()))
-            for low in range(0, len(rows), 64):
-                seg, kind, h, c = zip(*rows[low : low + 64])
-                yield pa.RecordBatch.from_arrays([pa.array(seg, pa.int32()), pa.array(kind, pa.int32()), pa.array(h, pa.binary()), pa.array(c, pa.binary())], names=["seg", "kind", "h", "c"])
+            tokens = np.sort(np.fromiter(met, dtype=np.uint64, count=len(met)))
+            edges = np.searchsorted(cut(tokens), inner)
+            rows = [(s, pack_steps(tokens[a:b] - low_[s]), int(b - a), 0) for s, (a, b) in enumerate(zip(np.r_[0, edges], np.r_[edges, len(tokens)])) if a < b]
+            rows[0] = (*rows[0][:3], n)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.int64(), pa.int64()))], names=["seg", "h", "size", "n"])
 
         for batch in _batches(batches):
             for text in batch.column(2).to_pylist():
-                w = known.of(low_words(text))
-                held.append(np.r_[U(start), U(start), w, U(end)])
-                size += len(w) + 3
-            if size > FLUSH_TOKENS:
-                yield from flush()
-                held, size = [], 0
-        if size:
+                w = low_words(text)
+                n += len(w) + 1
+                met.update(map(known.__getitem__, w))
+                met.add(known[END])
+                if len(met) > REMEMBERED * 2:
+                    yield from flush()
+                    met, n = set(), 0
+        if met:
             yield from flush()
 
     def reduce(key: tuple, t: pa.Table) -> pa.Table:
-        kind, h, c = (t.column(i).to_pylist() for i in (1, 2, 3))
-        of = {1: [], 2: []}
-        for k, a, b in zip(kind, h, c):
-            n = np.frombuffer(b, dtype="<u4")
-            of[k].append((np.frombuffer(a, dtype="<u8") if k == 1 else unpack_sorted(a, len(n)), n))
-        sums = {}
-        for k, parts in of.items():
-            x = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, dtype=np.uint64)
-            n = np.concatenate([p[1] for p in parts]).astype(np.int64) if parts else np.zeros(0, dtype=np.int64)
-            order = np.argsort(x, kind="stable")
-            x, n = x[order], n[order]
-            at = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, dtype=np.int64)
-            sums[k] = (x[at], np.add.reduceat(n, at) if len(at) else n)
-        (tokens, tc), (grams, gc) = sums[1], sums[2]
-        grams, gc = grams[gc >= MIN_COUNT], gc[gc >= MIN_COUNT]
-        entries = [int(level(gc[gc >= m], m).sum()) for m in thresholds()]
-        row = [[key[0].as_py()], [tokens.tobytes()], [tc.tobytes()], [grams.tobytes()], [gc.tobytes()], [int(tc.sum())], [len(tokens)], [int(level(tc, 1).sum())], [entries]]
-        return pa.table(row, names=["seg", "th", "tc", "gh", "gc", "n", "v", "te", "ge"], schema=None).cast(SEGMENT_ARROW)
-
-    rows = texts.where("not held_out").mapInArrow(read, "seg int, kind int, h binary, c binary")
-    spread = max(partitions(texts.sparkSession), segments // 8)
-    return rows.repartition(spread, "seg").groupBy("seg").applyInArrow(reduce, SEGMENT_SCHEMA)
-
-
-SEGMENT_SCHEMA = "seg int, th binary, tc binary, gh binary, gc binary, n long, v long, te long, ge array<long>"
-SEGMENT_ARROW = pa.schema([("seg", pa.int32()), *[(c, pa.binary()) for c in ("th", "tc", "gh", "gc")], *[(c, pa.int64()) for c in ("n", "v", "te")], ("ge", pa.list_(pa.int64()))])
-
-
-def thresholds() -> list[int]:
-    """The least counts that may be chosen."""
-    return [MIN_COUNT << i for i in range(32)]
-
-
-class Model:
-    """The broadcast part: the filter, the hot tokens with their counts, and the totals."""
-
-    def __init__(self, filter_: np.ndarray, segments: int, bits: int, least: int, hot: np.ndarray, hot_count: np.ndarray, n: int, v: int):
-        self.filter, self.segments, self.bits, self.least = filter_, segments, bits, least
-        self.hot, self.hot_count, self.n, self.v = hot, hot_count, n, v
-
-    def estimate(self, h48: np.ndarray, least: int) -> np.ndarray:
-        """Counts as the filter has them: the middle of the level's stretch, 0 for none."""
-        lv = probed(self.filter, h48, self.segments, self.bits)
-        return np.where(lv > 0, least * np.exp2(lv - 0.5), 0.0) if least > 1 else np.where(lv > 1, np.exp2(lv - 0.5), lv)
-
-    def exact_hot(self, h: np.ndarray) -> np.ndarray:
-        """Counts of hot tokens, -1 for the others."""
-        if not len(self.hot):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.hot, h), len(self.hot) - 1)
-        return np.where(self.hot[at] == h, self.hot_count[at], -1)
-
-    def log_probabilities(self, x: np.ndarray, real: np.ndarray, token_count: np.ndarray) -> np.ndarray:
-        """log10 p of the tokens at `real` in the marked stream x, given the two before each."""
-        two = bigram(x[real - 1], x[real])
-        base = (token_count[real] + 0.1) / (self.n + 0.1 * (self.v + 1))
-        c2 = self.estimate(cut(two), self.least)
-        c3 = np.zeros(len(real))
-        seen = np.flatnonzero(c2)
-        c3[seen] = self.estimate(cut(bigram(mix64(x[real[seen] - 2]), two[seen])), self.least)
-        c1 = token_count[real - 1]
-        c2_before = np.r_[0.0, c2[:-1]] * np.r_[False, np.diff(real) == 1]
-        w3 = np.where(c2_before > 0, WEIGHTS[0], 0.0)
-        w2 = np.where(c1 > 0, WEIGHTS[1] + (WEIGHTS[0] - w3), 0.0)
-        p3 = np.minimum(1.0, c3 / np.where(c2_before > 0, c2_before, 1.0))
-        p2 = np.minimum(1.0, c2 / np.where(c1 > 0, c1, 1.0))
-        return np.log10(w3 * p3 + w2 * p2 + (1 - w3 - w2) * base)
-
-
-def train(texts: DataFrame, segments: int) -> tuple[DataFrame, Model]:
-    """The segments' table and the model."""
-    table = store(counted(texts, segments), "segments")
-    sums = table.agg(F.sum("n"), F.sum("v"), F.max("te"), *[F.max(F.element_at("ge", i + 1)) for i in range(len(thresholds()))]).first()
-    n, v, te = (x or 0 for x in sums[:3])
-    for least, entries in zip(thresholds(), sums[3:]):
-        bits = max(64, -(-(te + (entries or 0)) * BITS_PER_ENTRY // 64) * 64)
-        if bits // 8 * segments <= MAX_FILTER:
-            break
+        parts = [unpack_steps(h, n) for h, n in zip(t.column("h").to_pylist(), t.column("size").to_pylist())]
+        return pa.table([pa.array([sum(t.column("n").to_pylist())]), pa.array([len(np.unique(np.concatenate(parts)))])], names=["n", "v"])
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                tokens, tc, grams, gc = (np.frombuffer(row[c], dtype="<u8" if c[1] == "h" else "<i8") for c in ("th", "tc", "gh", "gc"))
-                own = np.zeros(bits, dtype=bool)
-                base = U(row["seg"] * bits)
-                keep = gc >= least
-                for h48, lv in ((cut(tokens), level(tc, 1)), (grams[keep], level(gc[keep], least))):
-                    for at in range(1, int(lv.max()) + 1 if len(lv) else 1):
-                        for probe in range(PROBES):
-                            own[positions(h48[lv >= at], at, probe, segments, bits) - base] = True
-                hot = tc * HOT >= n
-                yield pa.RecordBatch.from_arrays([pa.array([row["seg"]], pa.int32()), pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary()), pa.array([tokens[hot].tobytes()], pa.binary()), pa.array([tc[hot].tobytes()], pa.binary())], names=["seg", "bits", "hot", "count"])
-
-    filter_ = np.zeros(segments * bits // 8, dtype=np.uint8)
-    hot, count = [], []
-    for row in table.mapInArrow(build, "seg int, bits binary, hot binary, count binary").toLocalIterator():
-        filter_[row[0] * bits // 8 : (row[0] + 1) * bits // 8] = np.frombuffer(row[1], dtype=np.uint8)
-        hot.append(np.frombuffer(row[2], dtype="<u8"))
-        count.append(np.frombuffer(row[3], dtype="<i8"))
-    hot_, count_ = (np.concatenate(x) if x else np.zeros(0, dtype=t) for x, t in ((hot, np.uint64), (count, np.int64)))
-    order = np.argsort(hot_)
-    return table, Model(filter_, segments, bits, least, hot_[order], count_[order], int(n), int(v))
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
+    rows = texts.where("not held_out").mapInArrow(read, "seg long, h binary, size long, n long")
+    sums = rows.groupBy("seg").applyInArrow(reduce, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
+    return int(sums[0] or 0), int(sums[1] or 0)
 
-    A null or empty text is the end token alone. A null id counts as the empty
-    string and so as held out. Repeated rows are trained on and scored each time.
-    Other columns are not read. Without training rows all counts are 0. An empty
-    table gives no rows.
+
+def asked(texts: DataFrame, segments: int) -> DataFrame:
+    """Runs of texts: a row of its own for each (seg < 0), and one for each segment that it asks.
+
+    A run's row has its texts in a, its distinct token hashes in b, its tokens as
+    places among those in c. A question has tokens and their training counts in a
+    and b, n-grams and theirs in c and d.
     """
-    spark = docs.sparkSession
-    texts = _texts(docs, id_col, text_col)
-    segments = max(16, min(1 << 16, -(-docs.count() // SEGMENT_ROWS)))
     gap = -(-(1 << 48) // segments)
-    table, model = train(texts, segments)
-    shared = spark.sparkContext.broadcast(model)
+    inner = np.arange(1, segments, dtype=np.uint64) * U(gap)
+    low_ = np.r_[U(0), inner] << U(16)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        task = TaskContext.get()
-        uid = task.partitionId() << 32
-        known: dict[bytes, int] = {START: 0}
-        hashes = np.zeros(1 << 16, dtype=np.uint64)
-        guess, exact = np.zeros(1 << 16), np.zeros(1 << 16, dtype=np.int64)
-        hashes[0], guess[0], exact[0] = xxhash.xxh64_intdigest(START), 0.0, -1
-
-        for batch in _batches(batches, FLUSH_DOCS):
-            if len(known) > REMEMBERED:
-                known = {START: 0}
-            docs_ = [[*low_words(t), END] for t in batch.column(2).to_pylist()]
-            new = list({w for d in docs_ for w in d if w not in known})
-            if new:
-                first = len(known)
-                known.update(zip(new, range(first, first + len(new))))
-                while len(known) > len(hashes):
-                    hashes, guess, exact = (np.r_[a, np.zeros_like(a)] for a in (hashes, guess, exact))
-                h = np.fromiter(map(xxhash.xxh64_intdigest, new), dtype=np.uint64, count=len(new))
-                hashes[first : len(known)] = h
-                guess[first : len(known)] = model.estimate(cut(h), 1)
-                exact[first : len(known)] = model.exact_hot(h)
-            n_tokens = np.array([len(d) for d in docs_])
-            known_hot, base, total = np.zeros(len(docs_), dtype=np.int64), np.zeros(len(docs_)), np.zeros(len(docs_))
-            cold_hash, cold_doc, cold_n = [], [], []
-            low = 0
-            while low < len(docs_):  # a bounded stretch of tokens at a time
-                high = low + max(1, int(np.searchsorted(np.cumsum(n_tokens[low:]), 500_000)))
-                part = docs_[low:high]
-                ids = np.concatenate([np.fromiter(map(known.__getitem__, (START, START, *d)), dtype=np.int64, count=len(d) + 2) for d in part])
-                real = np.flatnonzero(ids)
-                at = np.repeat(np.arange(low, low + len(part)), n_tokens[low:high])
-                total += np.bincount(at, model.log_probabilities(hashes[ids], real, guess[ids]), minlength=len(docs_))
-                own = ids[real]
-                c = exact[own]
-                hot = c >= 0
-                known_hot += np.bincount(at[hot], minlength=len(docs_))
-                base += np.bincount(at[hot], np.log10(c[hot] + 0.1), minlength=len(docs_))
-                pair, n = summed((at[~hot].astype(np.uint64) << U(32)) | own[~hot].astype(np.uint64))
-                cold_hash.append(hashes[(pair & U(0xFFFFFFFF)).astype(np.int64)])
-                cold_doc.append((pair >> U(32)).astype(np.int64))
-                cold_n.append(n)
-                low = high
-            main = pa.table([batch.column(0), batch.column(1), pa.array(n_tokens), pa.array(known_hot), pa.array(base), pa.array(total)], names=list("dhtkbs"))
+        known = Hashes()
+        uid = TaskContext.get().partitionId() << 32
+        held: list[np.ndarray] = []
+        names: list[tuple] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            lengths = np.array([len(w) for w in held])
+            x, real = marked(np.concatenate(held), lengths)
+            trains = np.repeat(np.array([not n[1] for n in names]), lengths)
+            tokens, place = np.unique(x[real], return_inverse=True)
+            n_tokens = np.bincount(place[trains], minlength=len(tokens))
+            two = np.sort((np.concatenate(grams(x, real)) << U(1)) | np.r_[trains, trains].astype(np.uint64))
+            at = np.flatnonzero(np.r_[True, two[1:] >> U(1) != two[:-1] >> U(1)])
+            own, n_own = two[at] >> U(1), np.add.reduceat((two & U(1)).astype(np.int64), at)
+            main = pa.table([pa.array([n[0] for n in names], pa.int64()), pa.array([n[1] for n in names], pa.bool_()), pa.array(lengths)], names=list("dht"))
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, main.schema) as w:
                 w.write_table(main)
-            rows = [(-1, uid, sink.getvalue().to_pybytes(), b"", b"")]
-            h, d, n = (np.concatenate(x) for x in (cold_hash, cold_doc, cold_n))
-            order = np.argsort(h, kind="stable")
-            h, d, n = h[order], d[order], n[order]
-            edges = np.searchsorted(cut(h), np.arange(1, segments, dtype=np.uint64) * U(gap))
-            for s, (a, b) in enumerate(zip(np.r_[0, edges], np.r_[edges, len(h)])):
-                if a < b:
-                    rows.append((s, uid, h[a:b].tobytes(), d[a:b].astype("<u2").tobytes(), n[a:b].astype("<u4").tobytes()))
-            seg, u, x, y, z = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(seg, pa.int32()), pa.array(u, pa.int64()), *[pa.array(k, pa.binary()) for k in (x, y, z)]], names=["seg", "uid", "x", "y", "z"])
-            uid += 1
-
-    passed = store(texts.mapInArrow(read, "seg int, uid long, x binary, y binary, z binary"), "scored")
-
-    def meet(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        th = np.frombuffer(left.column("th")[0].as_py(), dtype="<u8") if left.num_rows else np.zeros(0, dtype=np.uint64)
-        tc = np.frombuffer(left.column("tc")[0].as_py(), dtype="<i8") if left.num_rows else np.zeros(0, dtype=np.int64)
+            rank = np.argsort(-np.bincount(place), kind="stable")  # frequent tokens get small numbers, which pack well
+            number = np.empty(len(rank), dtype="<u4")
+            number[rank] = np.arange(len(rank))
+            planes = np.ascontiguousarray(number[place].view(np.uint8).reshape(-1, 4).T)
+            rows = [(-1 - uid, uid, sink.getvalue().to_pybytes(), tokens[rank].tobytes(), pa.compress(planes.tobytes(), codec="zstd", asbytes=True), b"")]
+            e, f = np.searchsorted(cut(tokens), inner), np.searchsorted(own, inner)
+            for s, (a, b, c, d) in enumerate(zip(np.r_[0, e], np.r_[e, len(tokens)], np.r_[0, f], np.r_[f, len(own)])):
+                if a < b or c < d:
+                    rows.append((s, uid, pack_steps(tokens[a:b] - low_[s]), pack_counts(n_tokens[a:b]), pack_steps(own[c:d] - (low_[s] >> U(16))), pack_counts(n_own[c:d])))
+            for low in range(0, len(rows), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[low : low + 64]), ASKED_ARROW.types)], schema=ASKED_ARROW)
+
+        for batch in _batches(batches):
+            for name, out, text in zip(*(c.to_pylist() for c in batch.columns)):
+                held.append(known.of([*low_words(text), END]))
+                names.append((name, out))
+                size += len(held[-1])
+                if size > FLUSH_TOKENS:
+                    yield from flush()
+                    held, names, size = [], [], 0
+                    uid += 1
+        if size:
+            yield from flush()
+
+    return texts.mapInArrow(read, ASKED_SCHEMA)
+
+
+ASKED_SCHEMA = "seg long, uid long, a binary, b binary, c binary, d binary"
+ASKED_ARROW = pa.schema([("seg", pa.int64()), ("uid", pa.int64()), *[(c, pa.binary()) for c in "abcd"]])
+
+
+def added(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, sorted, their summed counts, and the place of each x among them."""
+    values, place = np.unique(x, return_inverse=True)
+    return values, np.bincount(place, n, minlength=len(values)).astype(np.int64), place
+
+
+def filter_piece(tokens: np.ndarray, tc: np.ndarray, own: np.ndarray, gc: np.ndarray, least: int) -> tuple[np.ndarray, int]:
+    """The filter of a segment's tokens (cut) and n-grams, and its bits."""
+    tokens, tc, own, gc = tokens[tc > 0], tc[tc > 0], own[gc >= least], gc[gc >= least]
+    kinds = ((tokens, level(tc, 1)), (own, level(gc, least)))
+    bits = max(64, -(-sum(int(lv.sum()) for _, lv in kinds) * BITS_PER_ENTRY // 64) * 64)
+    set_ = np.zeros(bits, dtype=bool)
+    for h48, lv in kinds:
+        for at in range(1, int(lv.max()) + 1 if len(lv) else 1):
+            for probe in range(PROBES):
+                set_[positions(h48[lv >= at], at, probe, 1, bits)] = True
+    return np.packbits(set_, bitorder="little"), bits
+
+
+def answered(rows: DataFrame, segments: int, least: int) -> DataFrame:
+    """Runs as they are, and for each question the levels of its tokens and n-grams and its tokens' counts (a, b, c)."""
+    gap = -(-(1 << 48) // segments)
+
+    def reduce(key: tuple, t: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:
+            return t
+        parts: list[tuple] = []
+        for th, tc, gh, gc in zip(*(t.column(c).to_pylist() for c in "abcd")):
+            m, n = unpack_counts(tc), unpack_counts(gc)
+            parts.append((unpack_steps(th, len(m)), m, unpack_steps(gh, len(n)), n))  # less the segment's first, which tells none apart
+        first = U(key[0].as_py()) * U(gap)
+        tokens, tc, t_at = added(*(np.concatenate([p[i] for p in parts]) for i in (0, 1)))
+        own, gc, g_at = added(*(np.concatenate([p[i] for p in parts]) for i in (2, 3)))
+        tokens, own = cut(tokens) + first, own + first
+        piece, bits = filter_piece(tokens, tc, own, gc, least)
+        t_level, g_level = (probed(piece, h48, 1, bits).astype("u1") for h48 in (tokens, own))
         out: list[tuple] = []
-        for uid, x, y, z in zip(*(right.column(c).to_pylist() for c in ("uid", "x", "y", "z"))):
-            h, d, n = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u2"), np.frombuffer(z, dtype="<u4")
-            c = np.zeros(len(h), dtype=np.int64)
-            if len(th):
-                at = np.minimum(np.searchsorted(th, h), len(th) - 1)
-                c = np.where(th[at] == h, tc[at], 0)
-            base, seen = np.bincount(d, n * np.log10(c + 0.1)), np.bincount(d, n * (c > 0))
-            where = np.flatnonzero(np.bincount(d))
-            out.append((key[0].as_py(), uid, where.astype("<u2").tobytes(), base[where].astype("<f8").tobytes(), seen[where].astype("<u4").tobytes()))
-        cols = list(zip(*out)) if out else [[]] * 5
-        return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[2:]]], names=["seg", "uid", "x", "y", "z"])
-
-    schema = "seg int, uid long, x binary, y binary, z binary"
-    spread = max(partitions(spark), segments // 8)
-    cold = passed.where("seg >= 0").repartition(spread, "seg").groupBy("seg")
-    met = table.select("seg", "th", "tc").groupBy("seg").cogroup(cold).applyInArrow(meet, schema)
-    n, v = model.n, model.v
+        i = j = 0
+        for uid, (h, _, g, _) in zip(t.column("uid").to_pylist(), parts):
+            a, b = t_at[i : i + len(h)], g_at[j : j + len(g)]
+            out.append((key[0].as_py(), uid, t_level[a].tobytes(), g_level[b].tobytes(), tc[a].astype("<i8").tobytes(), b""))
+            i, j = i + len(h), j + len(g)
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), ASKED_ARROW.types)], schema=ASKED_ARROW)
+
+    spread = max(partitions(rows.sparkSession), segments // 8)
+    return rows.repartition(spread, "seg").groupBy("seg").applyInArrow(reduce, ASKED_SCHEMA)
+
+
+def estimate(lv: np.ndarray, least: int) -> np.ndarray:
+    """Counts as the filter has them: the middle of the level's stretch, 0 for none."""
+    lv = lv.astype(np.float64)
+    return np.where(lv > 0, least * np.exp2(lv - 0.5), 0.0) if least > 1 else np.where(lv > 1, np.exp2(lv - 0.5), lv)
+
+
+def log_probabilities(real: np.ndarray, c: np.ndarray, c2: np.ndarray, c3: np.ndarray, n: int, v: int) -> np.ndarray:
+    """log10 p of the tokens at `real` in the marked stream, of whose counts c has 0 for marks; c2, c3 are those of the n-grams that end there."""
+    base = (c[real] + 0.1) / (n + 0.1 * (v + 1))
+    c3 = np.where(c2 > 0, c3, 0.0)
+    c1 = c[real - 1]
+    c2_before = np.r_[0.0, c2[:-1]] * np.r_[False, np.diff(real) == 1]
+    w3 = np.where(c2_before > 0, WEIGHTS[0], 0.0)
+    w2 = np.where(c1 > 0, WEIGHTS[1] + (WEIGHTS[0] - w3), 0.0)
+    p3 = np.minimum(1.0, c3 / np.where(c2_before > 0, c2_before, 1.0))
+    p2 = np.minimum(1.0, c2 / np.where(c1 > 0, c1, 1.0))
+    return np.log10(w3 * p3 + w2 * p2 + (1 - w3 - w2) * base)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_COUNT) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
+
+    Bigrams and trigrams of `least` copies or more are in the model, at any size
+    of the table. A null or empty text is the end token alone. A null id counts
+    as the empty string and so as held out. Repeated rows are trained on and
+    scored each time. Other columns are not read. Without training rows all counts
+    are 0. An empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    segments = max(16, min(1 << 16, -(-docs.count() // SEGMENT_ROWS)))
+    texts = _texts(docs, id_col, text_col)
+    n, v = vocabulary(texts, segments)
     floor = float(np.log10(n + 0.1 * (v + 1))) if n else 0.0
 
     def gather(key: tuple, t: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(t.column(c).to_pylist() for c in ("seg", "x", "y", "z"))), key=lambda r: r[0])
+        rows = sorted(zip(*(t.column(c).to_pylist() for c in ("seg", "a", "b", "c"))), key=lambda r: r[0])
         main = pa.ipc.open_stream(rows[0][1]).read_all()
-        base, seen = main.column("b").to_numpy().copy(), main.column("k").to_numpy().copy()
-        for _, x, y, z in rows[1:]:
-            at = np.frombuffer(x, dtype="<u2")
-            base[at] += np.frombuffer(y, dtype="<f8")
-            seen[at] += np.frombuffer(z, dtype="<u4")
-        tokens = main.column("t").to_numpy()
-        return pa.table([main.column("d"), main.column("h"), main.column("t"), pa.array(seen), pa.array(np.full(len(tokens), n)), pa.array(base - tokens * floor), main.column("s")], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    both = passed.where("seg < 0").unionByName(met).repartition(partitions(spark), "uid")
-    return both.groupBy("uid").applyInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        lengths = main.column("t").to_numpy()
+        numbered = np.frombuffer(rows[0][2], dtype="<u8")
+        size = int(lengths.sum())
+        planes = np.frombuffer(pa.decompress(rows[0][3], decompressed_size=4 * size, codec="zstd", asbytes=True), dtype=np.uint8)
+        ids = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+        order = np.argsort(numbered)
+        t_level, count = np.zeros(len(order), dtype=np.uint8), np.zeros(len(order), dtype=np.int64)
+        t_level[order], count[order] = (np.frombuffer(b"".join(r[i] for r in rows[1:]), dtype=k) for i, k in ((1, "u1"), (3, "<i8")))
+        g_level = np.frombuffer(b"".join(r[2] for r in rows[1:]), dtype="u1")
+        x, real = marked(numbered[ids], lengths)
+        values, place = np.unique(np.concatenate(grams(x, real)), return_inverse=True)
+        if len(values) != len(g_level):
+            raise RuntimeError(f"{len(g_level)} answers for {len(values)} n-grams")
+        c2, c3 = np.split(estimate(g_level, least)[place], 2)
+        c = np.zeros(len(x))
+        c[real] = estimate(t_level, 1)[ids]
+        at = np.repeat(np.arange(len(lengths)), lengths)
+        total = np.bincount(at, log_probabilities(real, c, c2, c3, n, v))
+        base, seen = np.bincount(at, np.log10(count + 0.1)[ids]), np.bincount(at, (count > 0)[ids]).astype(np.int64)
+        return pa.table([main.column("d"), main.column("h"), main.column("t"), pa.array(seen), pa.array(np.full(len(lengths), n)), pa.array(base - lengths * floor), pa.array(total)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    spread = max(partitions(spark), segments // 8)
+    both = answered(asked(texts, segments), segments, least).drop("d").repartition(spread, "uid").groupBy("uid")
+    return both.applyInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
