@@ -475,6 +475,31 @@ def test_pseudonyms(spark):
     assert got[100].text is None and got[101].text == "" and len(got[102].text) == len(rows[-1][1])
 
 
+def test_values_in_a_longer_run_of_digits(spark):
+    one, amex, long = "4111 1111 1111 1111", "3782 822463 10005", card("503612345678901234")
+    hidden = [
+        (f"{one} 12/25", [one]), (f"{one} 123", [one]), (f"room 5 {one.replace(' ', '')}", [one.replace(" ", "")]), (f"12345 {one}", [one]),
+        (f"{amex} 99 {one}", [amex, one]), ("12 34 555-123-4567", ["555-123-4567"]), (f"7 {one} 8 743-555-3824 9", [one, "743-555-3824"]),
+        (" ".join(map(str, range(2000))) + f" {one}", [one]), (f"9 9 123-45-6789 {long}", ["123-45-6789", long]), (f"1  {one}  2", [one]),
+    ]
+    rows = [(i, t) for i, (t, _) in enumerate(hidden)] + [(50, "1 2 3 4 5 6 7 8 9 10 11 12 13"), (51, "1 2 3 4 5 6 7 8 9@host.org x")]
+    got = {r.doc_id: r for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (t, values) in enumerate(hidden):
+        assert all(v not in got[i].text for v in values), t[-60:]
+        assert len(got[i].text) == len(t) and re.sub("[0-9]", "9", got[i].text) == re.sub("[0-9]", "9", t)
+        if i != 7:
+            assert got[i].n_private == len(values), t
+    assert got[50].n_private == 0 and got[50].text == rows[-2][1]
+    assert got[51].n_private == 1 and got[51].text.startswith("1 2 3 4 5 6 7 8 ") and "9@" not in got[51].text
+
+
+def test_a_name_of_one_character(spark):
+    rows = [(i, f"{c}@host.org") for i, c in enumerate("abcXYZ019")]
+    got = {r.doc_id: r.text for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    shape = lambda t: re.sub("[0-9]", "9", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", t)))
+    assert all(shape(got[i]) == shape(t) and got[i] != t for i, t in rows) and len(set(got.values())) == len(rows)
+
+
 def test_punctuation_does_not_part_a_number(spark):
     rows = [(1, "743-555-3824"), (2, "+1 (743) 555-3824"), (3, "743 555 3824")]
     got = [re.sub(r"^\+1|\D", "", r.text) for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()]

@@ -6,7 +6,9 @@ pseudonyms in any document and, for numbers, in any punctuation; different
 values of a kind get different ones.
 
 kind        valid if                                permuted
-card        13 to 19 digits, check digit right      all digits but the last, which is set anew
+card        13 to 19 digits, check digit right,     all digits but the last, which is set anew
+            alone or as groups of three and more
+            digits among other numbers
 phone       3-3-4 digits, maybe after +1            the ten digits
 ssn         3-2-4 digits, none of the parts void    the nine digits
 ip          four numbers up to 255                  the 32 bits
@@ -38,12 +40,16 @@ KINDS = {
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "phone": r"(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}",
     "card": r"[0-9](?:[ -]?[0-9]){12,18}",
+    "run": r"[0-9][0-9 -]{11,}[0-9](?!@)",
 }
 #: Where a value may begin and end: not inside a longer number, word, or dotted number.
 _BEFORE, _AFTER = r"(?<![A-Za-z0-9])(?<![0-9][.-])", r"(?![A-Za-z0-9])(?![.-][0-9])"
-PATTERN = "|".join([rf"(?<![A-Za-z0-9._%+-]){KINDS['email']}", KINDS["assigned"], *(f"{_BEFORE}(?:{KINDS[k]}){_AFTER}" for k in ("access", "ip", "date", "ssn", "phone", "card"))])
+PATTERN = "|".join([rf"(?<![A-Za-z0-9._%+-]){KINDS['email']}", KINDS["assigned"], *(f"{_BEFORE}(?:{KINDS[k]}){_AFTER}" for k in ("access", "ip", "date", "ssn", "phone", "run"))])
 #: Every value has one of these; a text without any is not searched.
 HINT = "[0-9@=:]|AKIA"
+#: What marks a value within a run of digits, and what else a run may hold than cards.
+_OPEN, _SHUT = "\u0001", "\u0002"
+IN_RUN = "|".join(f"{_BEFORE}(?:{KINDS[k]}){_AFTER}" for k in ("date", "ssn", "phone"))
 
 _LOWER, _UPPER, _DIGITS, _HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
 
@@ -66,7 +72,7 @@ def _shift(c: Column, by: Column, alphabets: tuple[str, ...]) -> Column:
     out = c
     for a in reversed(alphabets):
         at = F.instr(F.lit(a), c)
-        out = F.when(at > 0, F.substr(F.lit(a), ((at - 1 + by) % len(a) + 1).cast("int"), F.lit(1))).otherwise(out)
+        out = F.when((at > 0) & (c != ""), F.substr(F.lit(a), ((at - 1 + by) % len(a) + 1).cast("int"), F.lit(1))).otherwise(out)
     return out
 
 
@@ -83,7 +89,8 @@ def feistel_text(s: Column, key: str, kind: str, alphabets: tuple[str, ...]) ->
         return F.struct(acc["b"].alias("a"), let(_digest(key, kind, r, acc["b"]), moved).alias("b"))
 
     rounds = F.sequence(F.lit(1), F.lit(ROUNDS))
-    return F.aggregate(rounds, start, turn, lambda acc: F.concat(acc["a"], acc["b"]))
+    alone = 1 + _number(_digest(key, kind, F.lit(0), F.lit(""))) % (min(map(len, alphabets)) - 1)  # one character has no other half
+    return F.when(F.length(s) == 1, _shift(s, alone, alphabets)).otherwise(F.aggregate(rounds, start, turn, lambda acc: F.concat(acc["a"], acc["b"])))
 
 
 def feistel_number(x: Column, key: str, kind: str, p: int, q: int) -> Column:
@@ -125,10 +132,59 @@ def check_digit(digits: Column) -> Column:
     return ((10 - total % 10) % 10).cast("string")
 
 
+def _is_card(d: Column) -> Column:
+    return (check_digit(F.substr(d, F.lit(1), F.length(d) - 1)) == F.substr(d, F.length(d), F.lit(1))) & ~d.rlike("^0+$")
+
+
+def values_in_run(run: Column) -> Column:
+    """The run's values between what is around them: an odd number of strings, every second one a value.
+
+    From left to right, the longest stretch of whole groups that is a card is one;
+    among other numbers its groups have three digits at least, as lists of small
+    numbers hold a right check digit by chance. In what is left, dates, social
+    security numbers and phones are values.
+    """
+    groups = F.split(run, "[ -]", -1)
+
+    def search(g: Column) -> Column:
+        def stretch(i: Column, k: Column) -> Column:
+            return F.array_join(F.slice(g, i, k), "")
+
+        def longest(i: Column) -> Column:
+            def fits(k: Column) -> Column:
+                whole = (i + k - 1 <= F.size(g)) & ~F.array_contains(F.slice(g, i, k), "")
+                edge = lambda j: F.coalesce(F.try_element_at(g, j.cast("int")), F.lit("")) == ""
+                alone = F.when(i == 1, True).otherwise(edge(F.greatest(i - 1, F.lit(1)))) & edge(i + k)
+                wide = ~F.exists(F.slice(g, i, k), lambda x: F.length(x) < 3)
+                return F.when(whole & F.length(stretch(i, k)).between(13, 19) & (alone | wide), _is_card(stretch(i, k))).otherwise(False)
+
+            return F.coalesce(F.try_element_at(F.filter(F.sequence(F.lit(19), F.lit(1), F.lit(-1)), fits), F.lit(1)), F.lit(0))
+
+        def step(acc: Column, i: Column) -> Column:
+            start = acc["at"] + 1
+            sep = F.when(i > 1, F.substr(run, acc["at"], F.lit(1))).otherwise("")
+
+            def put(k: Column) -> Column:
+                size = F.length(stretch(i, k)) + k - 1
+                card = F.concat(acc["s"], sep, F.lit(_OPEN), F.substr(run, start, size), F.lit(_SHUT))
+                word = F.concat(acc["s"], sep, F.element_at(g, i))
+                own = F.length(F.element_at(g, i))
+                return F.struct(F.when(k > 0, card).otherwise(word).alias("s"), (acc["at"] + F.when(k > 0, size).otherwise(own) + 1).cast("int").alias("at"), F.when(k > 0, i + k).otherwise(i + 1).cast("int").alias("free"))
+
+            return F.when(i < acc["free"], acc).otherwise(let(longest(i), put))
+
+        start = F.struct(F.lit("").alias("s"), F.lit(0).alias("at"), F.lit(1).alias("free"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(g)), start, step, lambda acc: acc["s"])
+
+    marked = F.when(F.length(_digits(run)) >= 13, let(groups, search)).otherwise(run)
+    marked = F.regexp_replace(marked, f"(?:{IN_RUN})(?![^{_OPEN}{_SHUT}]*{_SHUT})", f"{_OPEN}$0{_SHUT}")
+    return F.split(marked, f"[{_OPEN}{_SHUT}]", -1)
+
+
 def _card(m: Column, key: str) -> Column:
     def judge(d: Column) -> Column:
         body = F.substr(d, F.lit(1), F.length(d) - 1)
-        valid = (check_digit(body) == F.substr(d, F.length(d), F.lit(1))) & ~d.rlike("^0+$")
+        valid = _is_card(d)
         new = let(feistel_text(body, key, "card", (_DIGITS,)), lambda x: F.concat(x, check_digit(x)))
         return F.when(valid, let(new, lambda x: _refill(m, x))).otherwise(m)
 
@@ -188,7 +244,8 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
     """The pseudonym of one value that PATTERN found; one that is not valid stays."""
     whole = lambda k: m.rlike(f"^(?:{KINDS[k]})$")
     return (
-        F.when(m.contains("@"), _email(m, key))
+        F.when(m == "", m)
+        .when(m.contains("@"), _email(m, key))
         .when(whole("assigned"), _secret(m, key))
         .when(whole("access"), F.concat(F.lit("AKIA"), feistel_text(F.substr(m, F.lit(5), F.lit(16)), key, "access", (_UPPER + _DIGITS,))))
         .when(whole("ip"), _ip(m, key))
@@ -207,13 +264,29 @@ def pseudonymise(text: Column, key: str = KEY) -> Column:
     found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
     gaps = F.split(text, PATTERN, -1)
 
+    def pieces(m: Column) -> Column:
+        """(what is before, value) of every value, and of what follows a run's values or the last one with an empty value."""
+        run = lambda x: x.rlike(f"^(?:{KINDS['run']})$") & ~x.rlike(f"^(?:{'|'.join(KINDS[k] for k in ('date', 'ssn', 'phone'))})$")
+        pair = lambda g, x: F.struct(g.alias("g"), x.alias("x"))
+
+        def split(g: Column, x: Column) -> Column:
+            def pairs(v: Column) -> Column:
+                def at(j: Column) -> Column:
+                    before = F.element_at(v, (2 * j + 1).cast("int"))
+                    return pair(F.when(j == 0, F.concat(g, before)).otherwise(before), F.coalesce(F.try_element_at(v, (2 * j + 2).cast("int")), F.lit("")))
+
+                return F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / 2).cast("int")), at)
+
+            return F.when(run(x), let(values_in_run(x), pairs)).otherwise(F.array(pair(g, x)))
+
+        return F.flatten(F.zip_with(gaps, F.concat(m, F.array(F.lit(""))), split))
+
     def rebuilt(m: Column) -> Column:
-        new = F.transform(m, lambda x: pseudonym(x, key))
+        new = F.transform(pieces(m), lambda p: F.struct(p["g"].alias("g"), p["x"].alias("x"), pseudonym(p["x"], key).alias("y")))
 
         def join(n: Column) -> Column:
-            parts = F.zip_with(gaps, F.concat(n, F.array(F.lit(""))), lambda g, x: F.concat(g, x))
-            changed = F.size(F.filter(F.zip_with(m, n, lambda a, b: a != b), lambda x: x))
-            return F.struct(F.array_join(parts, "").alias("text"), changed.cast("long").alias("n_private"))
+            changed = F.size(F.filter(n, lambda p: p["x"] != p["y"]))
+            return F.struct(F.array_join(F.transform(n, lambda p: F.concat(p["g"], p["y"])), "").alias("text"), changed.cast("long").alias("n_private"))
 
         return let(new, join)
 
