@@ -588,6 +588,13 @@ def test_long_reply_chains(spark):
     assert all(r.thread_turn == 0 and r.position == r.turn for r in rows)
 
 
+def test_chains_of_a_null_conversation(spark):
+    talk = [(None, 0, "u", "m0"), (None, 1, "u", "> m0\nm1"), (None, 2, "u", "> m1\nm2"), (None, 3, "u", "> m2\nm3"), (1, 0, "u", "> m0\nx")]
+    rows = quotes.link(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r.turn, r.thread_turn, r.position) for r in rows if r.conv_id is None) == [(k, 0, k) for k in range(4)]
+    assert [(r.thread_turn, r.reply_to) for r in rows if r.conv_id == 1] == [(0, None)]
+
+
 # --- pipeline -----------------------------------------------------------------------------
 
 

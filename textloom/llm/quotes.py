@@ -104,7 +104,7 @@ def roots(replies: DataFrame) -> DataFrame:
     up = store(replies.select("conv_id", "turn", F.col("reply_to").alias("root")), "replies")
     while True:
         a, b = up.alias("a"), up.alias("b")
-        joined = a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.root") == F.col("b.turn")), "left")
+        joined = a.join(b, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.root") == F.col("b.turn")), "left")
         new = store(joined.select("a.conv_id", "a.turn", F.coalesce("b.root", "a.root").alias("root"), F.col("b.root").isNotNull().alias("moved")), "replies")
         up = new.drop("moved")
         if not new.where("moved").limit(1).count():
