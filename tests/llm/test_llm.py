@@ -277,14 +277,51 @@ def test_flight_keeps_sums_and_means():
     assert np.abs(mean / 2000 - 0.3).max() < 0.06
 
 
+def test_landing_keeps_means_of_a_small_source():
+    """Five documents, of sizes far apart: 2,000 seeds draw each as often as its probability says."""
+    p, size, runs = np.array([0.2, 0.5, 0.7, 0.35, 0.6]), np.array([1.0, 10.0, 30.0, 300.0, 0.0]), 2000
+    total = np.zeros(5)
+    for k in range(runs):
+        q = p.copy()
+        mixing.land(q, size, random.Random(k))
+        assert set(q.tolist()) <= {0.0, 1.0}
+        total += q
+    assert (np.abs(total / runs - p) <= 3 * np.sqrt(p * (1 - p) / runs)).all()
+
+
+@pytest.mark.parametrize("n", [1, 2, 40, 1500])
+def test_landing_balances_tokens(n):
+    rnd = random.Random(n)
+    size = np.array([rnd.choice([0, 5, 60, 100, 130]) if k else 20_000 for k in range(n)], dtype=float)
+    for p0 in (0.1, 0.5, 0.93):
+        p = np.full(n, p0)
+        mixing.land(p, size, random.Random(7))
+        assert set(p.tolist()) <= {0.0, 1.0}
+        if n == 1500:  # the others can give way to the one long document
+            assert abs(p @ size - p0 * size.sum()) <= 130 and abs(p.sum() - p0 * n) <= 130
+
+
+def test_mix_keeps_ids_exact_and_spreads_null_ids(spark):
+    big = 2**53 + 1
+    rows = [(big + k, "a b c " * (k + 1), "en", "s", 0) for k in range(20)] + [(None, "x y", "en", "s", 0)] * 2
+    got = mixing.mix(spark.createDataFrame(rows, DOC)).collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == [big + k for k in range(20)] and len(got) == 22
+    null = spark.range(18_000).selectExpr("if(id % 2 = 0, null, id) as doc_id", "'one two three' as text", "'s' as source").unionAll(spark.range(500).selectExpr("5L", "'a b'", "'t'"))
+    blocks = mixing._draw(mixing.numbered(null.select(*mixing.sized(null)), "t"), (1, 2, 3), 1.0, 3, 1000, 1)
+    out = blocks.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) <= 3 for r in out) and sum(r.n for r in out) == 18_500
+
+
 def test_mix_takes_effect(docs, none):
+    """Every row, with a null or a repeated id also, comes back as often as it is drawn."""
     want = Counter()
-    for r in mixing.mix(docs.where("doc_id is not null")).collect():
+    for r in mixing.mix(docs).collect():
         want[r.doc_id] += r.copies
     out = mixing.apply_mix(docs)
     got = Counter(r.doc_id for r in out.collect())
-    assert out.columns == docs.columns and got.pop(None) == 1
+    assert out.columns == docs.columns
     assert got == Counter({k: v for k, v in want.items() if v})
+    assert mixing.apply_mix(clashing(docs)).columns == clashing(docs).columns
     assert mixing.apply_mix(none).count() == 0
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,13 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="textloom-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share; one of its own only where none is set and the session is local (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="textloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (at or _own_dir()).rstrip("/")
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
@@ -41,6 +46,15 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+#: Number of a row, fixed by writing it: ids may be null or repeat, so no decision on a row is told by its id.
+ROW = f"{TMP}row"
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """The rows stored once with a number each (`ROW`) that no other has, whatever their ids."""
+    return store(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
 def words(text: str | None) -> list[bytes]:
     """The words of a text, none for null."""
     return text.encode().split() if text else []
