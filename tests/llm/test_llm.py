@@ -227,6 +227,24 @@ def test_shards(spark, docs, none):
     assert sharding.shard(df.limit(2), 40).count() == 2
 
 
+def test_rows_alike_are_parted(spark, monkeypatch):
+    """400 rows that repeat a null id and a text are spread over shards, in runs of bounded size."""
+    monkeypatch.setattr(sharding, "RUN", 40)
+    monkeypatch.setattr(sharding, "ALIKE", 64)
+    rows = [(None, "ab")] * 400 + [(k, f"text {k} " * (k % 5 + 1)) for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shard(df, 40).collect()
+    sizes, slots = Counter(), {}
+    for r in got:
+        sizes[r["shard"]] += r.size
+        slots.setdefault(r["shard"], []).append(r.slot)
+    assert len(got) == 500 and len(sizes) == 40
+    assert max(abs(sizes[s] - sum(sizes.values()) / 40) for s in range(40)) <= 2 * max(r.size for r in got)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    again = sharding.shard(df.repartition(7), 40).collect()
+    assert Counter((r.doc_id, r["shard"]) for r in again) == Counter((r.doc_id, r["shard"]) for r in got)
+
+
 # --- mixing -------------------------------------------------------------------------------
 
 
