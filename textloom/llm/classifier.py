@@ -5,7 +5,8 @@ grouped sums of that evidence give each host, and each path on a host, a
 Beta-binomial posterior: a host is drawn to the global mean, a path to its
 host's, the more so the fewer documents it has. How strongly is fitted to the
 spread between sites by moments. A document's log-odds then move from the
-global prior to its site's posterior, by a bounded step.
+global prior to its site's posterior, from which its own evidence is left out,
+so that it counts once.
 """
 
 from __future__ import annotations
@@ -27,8 +28,6 @@ SAMPLE = 3000
 RIDGE = 1.0
 #: A document is kept from this posterior probability on.
 THRESHOLD = 0.5
-#: The most that a site moves a document's log-odds.
-SITE_STEP = 1.5
 #: Bounds of a prior's strength in documents.
 STRENGTH = (1.0, 1e4)
 
@@ -66,18 +65,17 @@ def style(text: str | None) -> list[float]:
     ]
 
 
-def evidence(rows: DataFrame, weights: np.ndarray, a: float, b: float) -> DataFrame:
-    """(doc_id, host, path, z): the classifier's calibrated log-odds."""
+def evidence(text: Column, weights: np.ndarray, a: float, b: float) -> Column:
+    """The classifier's calibrated log-odds of each text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
-                x = np.array([style(t) for t in part.column(3).to_pylist()])
-                z = a * (x @ weights[:-1] + weights[-1]) + b
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(np.clip(z, -30, 30))], names=["doc_id", "host", "path", "z"])
+    def judge(texts: pa.Array) -> pa.Array:
+        out = np.empty(len(texts))
+        for low in range(0, len(texts), 500):
+            x = np.array([style(t) for t in texts.slice(low, 500).to_pylist()])
+            out[low : low + 500] = a * (x @ weights[:-1] + weights[-1]) + b
+        return pa.array(np.clip(out, -30, 30))
 
-    return rows.mapInArrow(run, "doc_id long, host string, path string, z double")
+    return F.arrow_udf(judge, "double")(text)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, per_class: int = SAMPLE) -> tuple[np.ndarray, float, float]:
@@ -124,40 +122,55 @@ def _strength(sites: DataFrame, n: str, s: str, mean: Column) -> float:
     return min(max((row[3] or 0.0) / between - 1, STRENGTH[0]), STRENGTH[1])
 
 
+def _judged(rows: DataFrame) -> DataFrame:
+    """`rows` (stored; helper columns host, path and z) with host_posterior, path_posterior and posterior of each, by helper names.
+
+    The sums of a row's host and path come to it from the small table of sites, and its own evidence is taken off there.
+    """
+    host, path, z, p = (F.col(f"{TMP}{c}") for c in ("host", "path", "z", "p"))
+    rows = rows.withColumn(f"{TMP}p", 1 / (1 + F.exp(-z)))
+    paths = store(rows.groupBy(host.alias("h"), path.alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum(p).alias("s")), "paths")
+    hosts = store(paths.groupBy("h").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs")), "hosts")
+    n, s = hosts.agg(F.sum("hn"), F.sum("hs")).first()
+    prior = min(max((s or 0.0) / n if n else 0.5, 1e-6), 1 - 1e-6)
+    kh = _strength(hosts, "hn", "hs", F.lit(prior))
+    hosts = hosts.withColumn("mean", (F.col("hs") + kh * prior) / (F.col("hn") + kh)).withColumnRenamed("h", "own")
+    sites = store(paths.join(hosts, F.col("h").eqNullSafe(F.col("own"))).drop("own"), "sites")
+    kp = _strength(sites, "n", "s", F.col("mean"))
+    sites = sites.select(*[F.col(c).alias(f"{TMP}{t}") for c, t in (("h", "h"), ("p", "q"), ("n", "n"), ("s", "s"), ("hn", "hn"), ("hs", "hs"))])
+    others = lambda total, own: F.greatest(F.col(f"{TMP}{total}") - own, F.lit(0.0))
+    of_host = (others("hs", p) + kh * prior) / (F.col(f"{TMP}hn") - 1 + kh)
+    of_path = (others("s", p) + kp * of_host) / (F.col(f"{TMP}n") - 1 + kp)
+    joined = rows.join(sites, host.eqNullSafe(F.col(f"{TMP}h")) & path.eqNullSafe(F.col(f"{TMP}q")))
+    joined = joined.withColumn(f"{TMP}host_posterior", of_host).withColumn(f"{TMP}path_posterior", of_path)
+    step = _logit(F.least(F.greatest(F.col(f"{TMP}path_posterior"), F.lit(1e-6)), F.lit(1 - 1e-6))) - float(math.log(prior / (1 - prior)))
+    return joined.withColumn(f"{TMP}posterior", 1 / (1 + F.exp(-(z + step))))
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | str = "source", path: Column | str = "lang", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, host, path, evidence, host_posterior, path_posterior, posterior and kept of every row.
 
-    Null and empty texts are judged like any other, by features of a text
-    without words. Null hosts and paths are sites of their own. Repeated rows
-    count and come back as often; null ids stay null. Without labels of both
-    classes the evidence is even and every row is kept. Other columns are not
-    read. An empty table gives no rows.
+    The posteriors of host and path are those of a site's other documents, so a
+    site of one document has its prior. Null and empty texts are judged like any
+    other, by features of a text without words; long ones whole. Null hosts and
+    paths are sites of their own. Repeated rows count and come back as often;
+    null ids stay null. Without labels of both classes the evidence is even and
+    every row is kept. Other columns are not read. An empty table gives no rows.
     """
     col = lambda c: F.col(c) if isinstance(c, str) else c
-    weights, a, b = fit(docs, labels, id_col, text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), col(host).cast("string").alias("host"), col(path).cast("string").alias("path"), F.col(text_col).alias("text"))
-    scored = store(evidence(rows, weights, a, b), "evidence").withColumn("p", 1 / (1 + F.exp(-F.col("z"))))
+    z = evidence(F.col(text_col), *fit(docs, labels, id_col, text_col))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), col(host).cast("string").alias(f"{TMP}host"), col(path).cast("string").alias(f"{TMP}path"), z.alias(f"{TMP}z"))
+    out = {"host": "host", "path": "path", "evidence": "p", "host_posterior": "host_posterior", "path_posterior": "path_posterior", "posterior": "posterior"}
+    return _judged(store(rows, "evidence")).select("doc_id", *[F.col(TMP + c).alias(name) for name, c in out.items()], (F.col(f"{TMP}posterior") >= threshold).alias("kept"))
 
-    paths = store(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s")), "paths")
-    hosts = store(paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs")), "hosts")
-    n, s = hosts.agg(F.sum("hn"), F.sum("hs")).first()
-    prior = min(max((s or 0.0) / n if n else 0.5, 1e-6), 1 - 1e-6)
-    k = _strength(hosts, "hn", "hs", F.lit(prior))
-    hosts = hosts.select(F.col("host").alias(f"{TMP}host"), ((F.col("hs") + k * prior) / (F.col("hn") + k)).alias("host_posterior"))
-    sites = store(paths.join(hosts, F.col("host").eqNullSafe(F.col(f"{TMP}host"))).drop(f"{TMP}host"), "sites")
-    k = _strength(sites, "n", "s", F.col("host_posterior"))
-    sites = sites.select(
-        F.col("host").alias(f"{TMP}host"), F.col("path").alias(f"{TMP}path"), "host_posterior", ((F.col("s") + k * F.col("host_posterior")) / (F.col("n") + k)).alias("path_posterior")
-    )
-    joined = scored.join(sites, F.col("host").eqNullSafe(F.col(f"{TMP}host")) & F.col("path").eqNullSafe(F.col(f"{TMP}path")))
-    step = _logit(F.least(F.greatest("path_posterior", F.lit(1e-6)), F.lit(1 - 1e-6))) - float(math.log(prior / (1 - prior)))
-    odds = F.col("z") + F.least(F.greatest(step, F.lit(-SITE_STEP)), F.lit(SITE_STEP))
-    posterior = 1 / (1 + F.exp(-odds))
-    return joined.select("doc_id", "host", "path", F.col("p").alias("evidence"), "host_posterior", "path_posterior", posterior.alias("posterior"), (posterior >= threshold).alias("kept"))
-
-
-def keep(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """`docs` without the rows that are rejected. Rows with a null id stay; all rows of an id go if one is rejected."""
-    id_col = how.get("id_col", "doc_id")
-    gone = classify(docs, labels, **how).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(f"{TMP}gone"))
-    return docs.join(gone, F.col(id_col) == F.col(f"{TMP}gone"), "left_anti")
+
+def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | str = "source", path: Column | str = "lang", threshold: float = THRESHOLD) -> DataFrame:
+    """`docs` without the rows that are rejected, each judged by itself, whatever its id; columns may have any names.
+
+    Nulls, long texts, missing labels and empty tables are as in `classify`. The
+    rows are stored once with their evidence, and their texts do not move.
+    """
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    z = evidence(F.col(text_col), *fit(docs, labels, id_col, text_col))
+    rows = docs.select("*", col(host).cast("string").alias(f"{TMP}host"), col(path).cast("string").alias(f"{TMP}path"), z.alias(f"{TMP}z"))
+    return _judged(store(rows, "evidence")).where(F.col(f"{TMP}posterior") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

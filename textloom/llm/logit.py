@@ -10,14 +10,16 @@ from textloom.llm.common import TMP
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text, label int) of at most `per_class` labelled rows of each class 0 and 1, those of the least id hashes.
+    """(doc_id, text, label int) of at most `per_class` labelled ids of each class 0 and 1, those of the least id hashes.
 
-    Rows whose id or label is null are no sample. The sample is broadcast: its size is bounded by the parameter.
+    Rows whose id or label is null are no sample; of rows that repeat an id, the
+    least text stands for it. The sample is broadcast: its size is bounded by the parameter.
     """
     named = labels.select(F.col("doc_id").cast("long").alias(f"{TMP}id"), F.col(label).cast("int").alias("label")).where(f"{TMP}id is not null")
     chosen = [named.where(F.col("label") == c).orderBy(F.xxhash64(f"{TMP}id"), f"{TMP}id").limit(per_class) for c in (0, 1)]
     sample = chosen[0].unionByName(chosen[1])
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col(f"{TMP}id")).select("doc_id", "text", "label")
+    met = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col(f"{TMP}id"))
+    return met.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

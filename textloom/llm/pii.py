@@ -19,6 +19,12 @@ secret      an access key id; a long value given    the value's letters and digi
 
 A round adds a keyed digest (SHA-256) of one half to the other half, digit by
 digit, so any number of rounds can be undone by whoever holds the key.
+
+Phones are known by their form alone. Numbers without any punctuation are cards
+or nothing: ten bare digits, phones of other countries and bank account numbers
+stay. No pattern repeats a group without a bound, so the matcher's stack does not
+grow with the text, and a run of digits is searched piece by piece, so the work
+on a text grows with its length.
 """
 
 from __future__ import annotations
@@ -27,12 +33,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 6
-#: For tests and examples; a production job passes its own.
-KEY = "textloom-example-key"
+#: Groups of a run of digits that are put together at a time.
+GROUPS = 256
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 KINDS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}",
     "assigned": r"(?i:api[_-]?key|access[_-]?key|secret|token|passwd|password)[ ]?[=:][ ]?[\"']?[A-Za-z0-9_/+-]{16,}",
     "access": r"AKIA[0-9A-Z]{16}",
     "ip": rf"{_OCTET}(?:\.{_OCTET}){{3}}",
@@ -142,14 +148,20 @@ def values_in_run(run: Column) -> Column:
     From left to right, the longest stretch of whole groups that is a card is one;
     among other numbers its groups have three digits at least, as lists of small
     numbers hold a right check digit by chance. In what is left, dates, social
-    security numbers and phones are values.
+    security numbers and phones are values. Groups are gone through in pieces of
+    GROUPS, so that what is put together stays short.
     """
-    groups = F.split(run, "[ -]", -1)
 
-    def search(g: Column) -> Column:
+    def search(x: Column) -> Column:
+        g, seps = x["g"], x["seps"]
+
         def stretch(i: Column, k: Column) -> Column:
             return F.array_join(F.slice(g, i, k), "")
 
+        def written(i: Column, k: Column) -> Column:
+            """The groups i .. i + k - 1 with what stands between them."""
+            return F.array_join(F.transform(F.sequence(i, i + k - 1), lambda j: F.concat(F.when(j > i, F.element_at(seps, (j - 1).cast("int"))).otherwise(""), F.element_at(g, j.cast("int")))), "")
+
         def longest(i: Column) -> Column:
             def fits(k: Column) -> Column:
                 whole = (i + k - 1 <= F.size(g)) & ~F.array_contains(F.slice(g, i, k), "")
@@ -161,23 +173,28 @@ def values_in_run(run: Column) -> Column:
             return F.coalesce(F.try_element_at(F.filter(F.sequence(F.lit(19), F.lit(1), F.lit(-1)), fits), F.lit(1)), F.lit(0))
 
         def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + 1
-            sep = F.when(i > 1, F.substr(run, acc["at"], F.lit(1))).otherwise("")
+            sep = F.when(i > 1, F.element_at(seps, F.greatest(i - 1, F.lit(1)))).otherwise("")
 
             def put(k: Column) -> Column:
-                size = F.length(stretch(i, k)) + k - 1
-                card = F.concat(acc["s"], sep, F.lit(_OPEN), F.substr(run, start, size), F.lit(_SHUT))
+                card = F.concat(acc["s"], sep, F.lit(_OPEN), written(i, k), F.lit(_SHUT))
                 word = F.concat(acc["s"], sep, F.element_at(g, i))
-                own = F.length(F.element_at(g, i))
-                return F.struct(F.when(k > 0, card).otherwise(word).alias("s"), (acc["at"] + F.when(k > 0, size).otherwise(own) + 1).cast("int").alias("at"), F.when(k > 0, i + k).otherwise(i + 1).cast("int").alias("free"))
+                return F.struct(F.when(k > 0, card).otherwise(word).alias("s"), F.when(k > 0, i + k).otherwise(i + 1).cast("int").alias("free"))
 
             return F.when(i < acc["free"], acc).otherwise(let(longest(i), put))
 
-        start = F.struct(F.lit("").alias("s"), F.lit(0).alias("at"), F.lit(1).alias("free"))
-        return F.aggregate(F.sequence(F.lit(1), F.size(g)), start, step, lambda acc: acc["s"])
+        def piece(acc: Column, at: Column) -> Column:
+            start = F.struct(F.lit("").alias("s"), acc["free"].alias("free"))
+            here = F.sequence(at, F.least(at + GROUPS - 1, F.size(g)))
+            done = F.aggregate(here, start, step)
+            return let(done, lambda d: F.struct(F.concat(acc["parts"], F.array(d["s"])).alias("parts"), d["free"].alias("free")))
 
-    marked = F.when(F.length(_digits(run)) >= 13, let(groups, search)).otherwise(run)
-    marked = F.regexp_replace(marked, f"(?:{IN_RUN})(?![^{_OPEN}{_SHUT}]*{_SHUT})", f"{_OPEN}$0{_SHUT}")
+        start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(1).alias("free"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(g), F.lit(GROUPS)), start, piece, lambda acc: F.array_join(acc["parts"], ""))
+
+    split = F.struct(F.split(run, "[ -]", -1).alias("g"), F.regexp_extract_all(run, F.lit("[ -]"), F.lit(0)).alias("seps"))
+    marked = F.when(F.length(_digits(run)) >= 13, let(split, search)).otherwise(run)
+    rest = lambda x, i: F.when(i % 2 == 0, F.regexp_replace(x, f"(?:{IN_RUN})", f"{_OPEN}$0{_SHUT}")).otherwise(F.concat(F.lit(_OPEN), x, F.lit(_SHUT)))
+    marked = F.array_join(F.transform(F.split(marked, f"[{_OPEN}{_SHUT}]", -1), rest), "")
     return F.split(marked, f"[{_OPEN}{_SHUT}]", -1)
 
 
@@ -240,7 +257,7 @@ def _secret(m: Column, key: str) -> Column:
     return F.when(value.rlike("[0-9]"), F.concat(F.substr(m, F.lit(1), F.length(m) - F.length(value)), new)).otherwise(m)
 
 
-def pseudonym(m: Column, key: str = KEY) -> Column:
+def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one value that PATTERN found; one that is not valid stays."""
     whole = lambda k: m.rlike(f"^(?:{KINDS[k]})$")
     return (
@@ -256,7 +273,7 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
     )
 
 
-def pseudonymise(text: Column, key: str = KEY) -> Column:
+def pseudonymise(text: Column, key: str) -> Column:
     """The text with all private values replaced; null for null.
 
     Two columns' worth: struct(text, n_private), where n_private counts the values replaced.
@@ -294,15 +311,20 @@ def pseudonymise(text: Column, key: str = KEY) -> Column:
     return F.when(text.rlike(HINT), let(found, lambda m: F.when(F.size(m) > 0, rebuilt(m)).otherwise(as_is))).otherwise(as_is)
 
 
-def hide(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
+def hide(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """`docs` with `text_col` pseudonymised; all other columns and all rows stay as they are.
 
-    Null texts stay null, empty ones empty. Columns may have any names.
+    Null texts stay null, empty ones empty; repeated rows and null ids are no
+    matter, an empty table stays empty, and texts of any length are searched whole.
+    Columns may have any names.
     """
     return docs.withColumn(text_col, pseudonymise(F.col(text_col), key)["text"])
 
 
-def report(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text and n_private (values replaced; 0 for null) of every row."""
+def report(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text and n_private (values replaced; 0 for null) of every row.
+
+    Repeated rows come back as often, null ids as null. Other columns are not read.
+    """
     both = docs.select(F.col(id_col).cast("long").alias("doc_id"), pseudonymise(F.col(text_col), key).alias("new"))
     return both.select("doc_id", F.col("new.text").alias("text"), F.coalesce("new.n_private", F.lit(0)).alias("n_private"))

@@ -10,6 +10,10 @@ from textloom.llm import ann, classifier, lmscore, mixing, packing, pii, quotes,
 from textloom.llm.common import table
 
 
+#: No secret: a production job passes a key of its own.
+EXAMPLE_KEY = "textloom-example-key"
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -53,7 +57,7 @@ def op9_ngram_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(table(spark, sf_dir, "documents"))
+    return pii.report(table(spark, sf_dir, "documents"), EXAMPLE_KEY)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,7 +1,7 @@
 """Quality rules: hard limits, then a hashed n-gram logistic model.
 
-The model sees hashed words, word pairs and byte 4-grams, each as shares of the
-text. It is trained on the driver from at most SAMPLE labelled rows per class,
+The model sees hashed words, word pairs and 4-grams of code points, each as shares
+of the text. It is trained on the driver from at most SAMPLE labelled rows per class,
 calibrated on the half that the weights were not fitted on, and then scores all
 texts in Arrow batches against a fixed threshold.
 """
@@ -19,8 +19,10 @@ from textloom.llm.common import words
 from textloom.llm.lmscore import Hashes
 from textloom.llm.logit import labelled, platt, sigmoid, sparse
 
-#: Labelled rows of each class that the model is fitted on, at most.
-SAMPLE = 500
+#: Labelled rows of each class that the model is fitted on, at most, and the bytes that such a text may have.
+SAMPLE, FIT_BYTES = 500, 1 << 16
+#: Rows of each class if a class has no text as short as that.
+LONG_SAMPLE = 50
 DIM = 1 << 16
 SCALE = 30.0
 #: A text is kept from this probability of good quality on.
@@ -29,7 +31,7 @@ MIN_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\x0b\x0c\r"
 U = np.uint64
-ODD = U(0x9E3779B97F4A7C15)
+ODD, MIX = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 
 COLUMNS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"
 
@@ -62,20 +64,20 @@ def facts(text: str | None, w: list[bytes], h: np.ndarray) -> tuple[int, int, in
     return len(w), chars, len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated(h)
 
 
-def features(raw: bytes, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of every word and pair, and of every byte 4-gram; pairs of equal words are one feature."""
+def features(text: str, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of every word and pair, and of every 4 characters; pairs of equal words are one feature."""
     pairs = np.where(h[1:] == h[:-1], ODD, h[:-1] * ODD + h[1:]) >> U(48)
     own = np.concatenate([h >> U(48), pairs]).astype(np.int64) if len(h) else np.zeros(0, dtype=np.int64)
-    a = np.frombuffer(raw, dtype=np.uint8).astype(np.uint32)
+    a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     if len(a) < 4:
         return own, np.zeros(0, dtype=np.int64)
-    x = a[:-3] | (a[1:-2] << np.uint32(8)) | (a[2:-1] << np.uint32(16)) | (a[3:] << np.uint32(24))
-    return own, ((x * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64)
+    two = a[:-1] * MIX + a[1:]
+    return own, (((two[:-2] * MIX + a[2:-1]) * MIX + two[2:]) * ODD >> U(48)).astype(np.int64)
 
 
 def row(text: str | None, known: Hashes) -> tuple[np.ndarray, np.ndarray]:
     """A training row: the features' indices and their scaled shares; grams follow words."""
-    own, grams = features((text or "").encode(), known.of(words(text)))
+    own, grams = features(text or "", known.of(words(text)))
     at, v = [], []
     for shift, part in ((0, own), (DIM, grams)):
         idx, n = np.unique(part, return_counts=True)
@@ -88,14 +90,18 @@ class Model:
     def __init__(self, w: np.ndarray, a: float, b: float):
         self.words, self.grams, self.shift, self.a, self.b = w[:DIM], w[DIM : 2 * DIM], w[2 * DIM], a, b
 
-    def probability(self, raw: bytes, h: np.ndarray) -> float:
-        own, grams = features(raw, h)
+    def probability(self, text: str, h: np.ndarray) -> float:
+        own, grams = features(text, h)
         z = self.shift + SCALE * sum(float(w[at].mean()) for w, at in ((self.words, own), (self.grams, grams)) if len(at))
         return float(sigmoid(np.array([self.a * z + self.b]))[0])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = SAMPLE) -> Model | None:
-    """The calibrated model, or none if the labels lack one of the classes."""
+    """The calibrated model, or none if the labels lack one of the classes.
+
+    The sample is of texts of up to FIT_BYTES, so what the driver gets is bounded;
+    where a class has none, LONG_SAMPLE rows of any length stand in.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
@@ -108,9 +114,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     names=["doc_id", "label", "at", "v"],
                 )
 
-    got = labelled(docs, labels, "quality", per_class, id_col, text_col).mapInArrow(run, "doc_id long, label int, at binary, v binary").collect()
-    got.sort(key=lambda r: (r[0], r[1]))
-    y = np.array([r[1] for r in got], dtype=np.float64)
+    short = F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) <= FIT_BYTES
+    for rows, most in ((docs.where(short), per_class), (docs, min(per_class, LONG_SAMPLE))):
+        got = labelled(rows, labels, "quality", most, id_col, text_col).mapInArrow(run, "doc_id long, label int, at binary, v binary").collect()
+        got.sort(key=lambda r: (r[0], r[1]))
+        y = np.array([r[1] for r in got], dtype=np.float64)
+        if 0 < y.sum() < len(y):
+            break
     if not 0 < y.sum() < len(y):
         return None
     rows = [(np.frombuffer(r[2], dtype="<i4"), np.frombuffer(r[3], dtype="<f4").astype(np.float64)) for r in got]
@@ -131,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The facts of every row, whether it fails the hard limits, and whether it is kept.
 
-    A null or empty text has no words and fails. Repeated rows come back as
+    A null or empty text has no words and fails; texts of any length are read whole. Repeated rows come back as
     often, null ids as null. If the labels lack a class there is no model, the
     score is null, and the limits alone decide. Other columns are not read. An
     empty table gives no rows.
@@ -150,7 +160,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     h = known.of(w)
                     n = facts(text, w, h)
                     failed = n[0] < MIN_WORDS or 100 * n[4] > MOST_REPEATED * n[0]
-                    p = model.probability((text or "").encode(), h) if model else None
+                    p = model.probability(text or "", h) if model else None
                     out.append((*n, failed, not failed and (p is None or p >= threshold), p))
                 cols = list(zip(*out))
                 kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()]
