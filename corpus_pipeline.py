@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import classifier, mixing, packing, pii, simhash
 from textloom.llm.common import store, table
-from textloom.llm.queries import tokenizer_path
+from textloom.llm.queries import EXAMPLE_KEY, tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their private values replaced; n_chars is that of the new text."""
-    hidden = pii.hide(docs)
+    hidden = pii.hide(docs, EXAMPLE_KEY)
     return hidden.selectExpr(*[f"cast(length(text) as bigint) as {c}" if c == "n_chars" else f"`{c}`" for c in hidden.columns])
 
 
