@@ -366,63 +366,84 @@ def test_filter_never_forgets():
     rng = np.random.default_rng(3)
     h = np.unique(rng.integers(0, 1 << 48, 5000, dtype=np.uint64))
     lv = rng.integers(1, 6, len(h))
-    segments, bits = 4, 64 * 1000
-    f = np.zeros(segments * bits, dtype=bool)
-    for at in range(1, 6):
-        for probe in range(lmscore.PROBES):
-            f[lmscore.positions(h[lv >= at], at, probe, segments, bits)] = True
-    packed = np.packbits(f, bitorder="little")
-    got = lmscore.probed(packed, h, segments, bits)
-    assert (got >= lv).all() and (got > lv).mean() < 0.05
-    others = rng.integers(0, 1 << 48, 5000, dtype=np.uint64)
-    assert (lmscore.probed(packed, others, segments, bits) > 0).mean() < 0.05
-
-
-def slow_scores(texts, held, least):
-    """The scores of a model whose filter never errs."""
-    middle = lambda n, least: 0.0 if n < least else 1.0 if n == 1 else least * 2 ** (int(np.log2(n / least)) + 0.5)
-    runs = [["<", "<", *t] for _, t in texts]
-    train = [r for (i, _), r in zip(texts, runs) if not held(i)]
-    c1 = Counter(w for r in train for w in r[2:])
-    c2 = Counter((r[k - 1], r[k]) for r in train for k in range(2, len(r)))
-    c3 = Counter((r[k - 2], r[k - 1], r[k]) for r in train for k in range(2, len(r)))
-    n, v, out = sum(c1.values()), len(c1), []
-    for r in runs:
-        total, before = 0.0, 0.0
-        for k in range(2, len(r)):
-            one, ctx = middle(c1[r[k]], 1), middle(c1[r[k - 1]], 1) if r[k - 1] != "<" else 0.0
-            two = middle(c2[r[k - 1], r[k]], least)
-            three = middle(c3[r[k - 2], r[k - 1], r[k]], least) if two else 0.0
-            w3 = 0.5 if before else 0.0
-            w2 = 0.3 + 0.5 - w3 if ctx else 0.0
-            p = w3 * min(1, three / (before or 1)) + w2 * min(1, two / (ctx or 1)) + (1 - w3 - w2) * (one + 0.1) / (n + 0.1 * (v + 1))
-            total += np.log10(p)
-            before = two
-        out.append(total)
-    return out
-
-
-@pytest.mark.parametrize("least", [1, 2, 3])
-def test_no_size_of_table_puts_ngrams_out(docs, monkeypatch, least):
-    """However little may be held in one place, n-grams of `least` copies on are in the model."""
-    monkeypatch.setattr(lmscore, "MAX_FILTER", 1, raising=False)
+    count = np.array([0, 1, 2, 16, 17, 40])[lv]
+    f, bits = lmscore.filter_piece(h, count)
+    got = lmscore.probed(f, h, bits)
+    assert (got >= lmscore.level(count) * (count > 0)).all() and (got != lmscore.level(count) * (count > 0)).mean() < 0.01
+    others = rng.integers(0, 1 << 48, 50000, dtype=np.uint64)
+    assert (lmscore.probed(f, others, bits) > 0).mean() < 0.001
+    n = np.arange(1, 10**6, 7)
+    assert (np.abs(lmscore.estimate(lmscore.level(n)) / n - 1) < 0.06).all() and (lmscore.estimate(lmscore.level(np.arange(1, 17))) == np.arange(1, 17)).all()
+
+
+def slow_model(train):
+    """p(token | the two before) of a model without a filter, and its vocabulary with one token that it lacks."""
+    runs = [["<", "<", *t] for t in train]
+    c1 = Counter(w for r in runs for w in r[2:])
+    c2 = Counter((r[k - 1], r[k]) for r in runs for k in range(2, len(r)))
+    c3 = Counter((r[k - 2], r[k - 1], r[k]) for r in runs for k in range(3, len(r)))
+    n, v = sum(c1.values()), len(c1)
+
+    def p(a, b, w):
+        lower = (c1[w] + 0.1) / (n + 0.1 * (v + 1))
+        for own, context in ((c2[b, w], c1[b] if b != "<" else len(runs)), (c3[a, b, w], c2[a, b] if b != "<" else 0)):
+            lower = (own + lower) / (context + 1) if context else lower
+        return lower
+
+    return p, [*c1, "never seen"]
+
+
+def slow_scores(train, texts):
+    p, _ = slow_model(train)
+    return [sum(np.log10(p(r[k - 2], r[k - 1], r[k])) for k in range(2, len(r))) for r in (["<", "<", *t] for t in texts)]
+
+
+def test_scores_are_those_of_a_model_whose_probabilities_add_up(spark):
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    rnd = random.Random(8)
+    said = ["x y a", "x y b", "x y c", "q", "", "x y a", *(" ".join(rnd.choice("abcdexy") for _ in range(rnd.randint(1, 12))) for _ in range(60))]
+    rows = list(enumerate(said))
+    train = [t.split() + [" "] for i, t in rows if not held(i)]
+    assert len(train) < len(said)
+    p, vocabulary = slow_model(train)
+    for a, b in [("<", "<"), ("<", "x"), ("x", "y"), ("a", "b"), ("never seen", "x"), ("x", "never seen"), ("y", "a")]:
+        assert abs(sum(p(a, b, w) for w in vocabulary) - 1) < 1e-9
+    got = {r.doc_id: r.score for r in lmscore.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = slow_scores(train, [t.split() + [" "] for t in said])
+    counts = Counter(g for t in train for k in range(len(t)) for g in (tuple(t[max(0, k - 1) : k + 1]),))
+    assert max(v for g, v in counts.items() if len(g) == 2) <= 16  # so no count is quantised
+    assert np.allclose([got[i] for i, _ in rows], want, atol=1e-9)
+
+
+def test_twice_seen_texts_score_apart(docs, spark):
+    """A text that is held twice is likelier than one held once, by the whole corpus's counts."""
+    rnd = random.Random(3)
+    rows = [(i, " ".join(f"w{rnd.randrange(10**6)}" for _ in range(60))) for i in range(1, 200)]
+    rows += [(1000 + i, t) for i, t in rows[:60]]
+    got = lmscore.score(spark.createDataFrame(rows, "doc_id long, text string")).where("not held_out").collect()
+    twice = {t for i, t in rows if i > 1000}
+    texts = dict(rows)
+    trained = Counter(texts[r.doc_id] for r in got)
+    per = [(r.score / r.n_tokens, trained[texts[r.doc_id]] == 2) for r in got if (texts[r.doc_id] in twice) == (trained[texts[r.doc_id]] == 2)]
+    assert min(s for s, two in per if two) > max(s for s, two in per if not two)
+
+
+def test_scores_of_a_corpus(docs):
+    """Runs of a few hundred tokens and many segments change nothing."""
     texts = [(i, WORD.findall((t or "").translate(LOWER)) + [" "]) for i, t, *_ in corpus()]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
-    want = slow_scores(texts, held, least)
-    args = () if least == lmscore.MIN_COUNT else (least,)
-    rows = lmscore.score(docs, "doc_id", "text", *args).collect()
+    want = slow_scores([t for i, t in texts if not held(i)], [t for _, t in texts])
     key = lambda i, n, s: (i is None, i or 0, n, s)
-    got = sorted(key(r.doc_id, r.n_tokens, r.score) for r in rows)
+    got = sorted(key(r.doc_id, r.n_tokens, r.score) for r in lmscore.score(docs).collect())
     want = sorted(key(i, len(t), s) for (i, t), s in zip(texts, want))
     assert [g[:3] for g in got] == [w[:3] for w in want]
-    off = np.array([(g[3] - w[3]) / g[2] for g, w in zip(got, want)])  # the filter errs in a few of a hundred levels, never by forgetting
-    assert np.abs(off[[g[2] >= 20 for g in got]]).max() < 0.3 and abs(sum(g[3] - w[3] for g, w in zip(got, want))) < 0.02 * abs(sum(w[3] for w in want))
+    off = np.array([(g[3] - w[3]) / g[2] for g, w in zip(got, want)])  # counts beyond 16 are quantised
+    assert np.abs(off).max() < 0.06 and np.abs(off).mean() < 0.02
 
 
-def test_packed_integers():
-    for x in ([], [5], [1, 2, 1 << 40], [7, 8, 9], list(range(0, 1 << 20, 997))):
-        a = np.array(x, dtype=np.uint64)
-        assert np.array_equal(lmscore.unpack_sorted(lmscore.pack_sorted(a), len(a)), a)
+def test_packed_counts():
+    for x in ([], [0], [1, 2, 255], [256, 3], [1 << 40, 0]):
+        assert lmscore.unpack_counts(lmscore.pack_counts(np.array(x, dtype=np.int64))).tolist() == x
 
 
 def test_packed_steps():

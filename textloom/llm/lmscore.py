@@ -4,16 +4,24 @@ A first pass reads texts in runs of about FLUSH_TOKENS tokens. A run sums up
 its tokens, bigrams and trigrams, so that a frequent n-gram is one entry for
 each run, and asks for them in the segments of the hash range, packed as arrays
 that also carry how often the training texts of the run hold them. A segment sums
-its entries exactly and builds its piece of the filter: an n-gram of count c is
-entered at the levels 1 to 1 + log2(c / least), so a count is read back by
-probing level after level until a probe fails. It probes all it was asked for
-and answers each run with levels, and with the exact counts of its tokens.
+its entries exactly and builds its piece of the filter: an n-gram is entered at
+the levels 1 to that of its count, so the quantised count is read back by
+probing level after level until a probe fails. Levels are the counts themselves up
+to EXACT and logarithmic beyond, FINE to a doubling. It probes all n-grams it was
+asked for and answers each run with levels, and with the exact counts of its tokens.
 
 The vocabulary is counted before, as probabilities need the number of all tokens
-and of distinct ones. The answers meet their runs again, where whole texts are scored with interpolated
-trigram, bigram and token probabilities from the levels, and the base score is
-added up from the exact counts. The filter is never in one place: it grows with
-its entries, a piece for each segment, and `least` is the same at every size.
+and of distinct ones. The answers meet their runs again, where whole texts are
+scored and the base score is added up from the exact counts. The filter is never
+in one place and not broadcast: it grows with its entries, a piece for each
+segment, and every n-gram of the training texts is in it at any size of the table.
+
+A token's probability after a context of count C, which the token follows q times,
+is (q + PULL * lower) / (C + PULL), where lower is its probability after the
+context less its first token, and that of the base score after none. So the
+probabilities of all tokens and one unknown add up to 1 after any context whose
+counts are EXACT at most; beyond, quantised counts may miss their sum by 6 %, and
+a false yes of the filter (one in about 16,000 at a level) adds what it says.
 
 Tokens are told apart by 64-bit hashes: of ten million, two collide with a
 chance of three in a million.
@@ -36,16 +44,16 @@ from textloom.llm.common import low_words, mix64, partitions
 END, START = b" ", b"  "
 #: One document in HOLD_OUT is not trained on.
 HOLD_OUT = 10
-#: Bigrams and trigrams of fewer copies stay out: at 1, what a training text alone holds would speak for that text itself.
-MIN_COUNT = 2
-BITS_PER_ENTRY, PROBES = 10, 6
+#: Bits of an entry (a level of an n-gram) and probes for it: one in 2 ** PROBES others is found by mistake.
+BITS_PER_ENTRY, PROBES = 20, 14
+#: Counts up to EXACT are levels of their own; from there on a doubling has FINE levels. The last level fits a byte.
+EXACT, FINE, LEVELS = 16, 6, 255
 #: Rows of the input for each segment, tokens that a task sums up at a time.
 SEGMENT_ROWS, FLUSH_TOKENS = 1000, 2_000_000
 #: Tokens that a worker remembers; beyond it the memory starts anew.
 REMEMBERED = 250_000
-#: Interpolation weights of trigram, bigram and token; an unseen context's weight goes to the next.
-WEIGHTS = (0.5, 0.3)
-LEVELS = 40
+#: The copies that the shorter context counts as.
+PULL = 1.0
 U = np.uint64
 
 
@@ -75,20 +83,6 @@ def segment_of(h48: np.ndarray, segments: int) -> np.ndarray:
     return ((h48 >> U(16)) * U(segments)) >> U(32)
 
 
-def pack_sorted(x: np.ndarray) -> bytes:
-    """Sorted integers as the first and 32-bit steps, or whole where a step is wider."""
-    steps = np.diff(x)
-    if len(steps) and steps.max() < U(1 << 32):
-        return x[:1].tobytes() + steps.astype("<u4").tobytes()
-    return x.tobytes()
-
-
-def unpack_sorted(b: bytes, n: int) -> np.ndarray:
-    if len(b) == 8 * n:
-        return np.frombuffer(b, dtype="<u8")
-    return np.cumsum(np.r_[np.frombuffer(b[:8], dtype="<u8"), np.frombuffer(b[8:], dtype="<u4").astype(np.uint64)], dtype=np.uint64)
-
-
 def pack_steps(x: np.ndarray) -> bytes:
     """Sorted integers as steps, byte by byte: the low bytes, which look random, as they are and the high ones compressed."""
     steps = np.diff(x, prepend=U(0)) if len(x) else x
@@ -105,24 +99,39 @@ def unpack_steps(b: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.uint64), dtype=np.uint64)
 
 
-def level(count: np.ndarray, least: int) -> np.ndarray:
+def level(count: np.ndarray) -> np.ndarray:
     """The quantised count, from 1."""
-    return np.floor(np.log2(np.maximum(count, least) / least)).astype(np.int64) + 1
+    n = np.maximum(count, 1)
+    return np.minimum(np.where(n <= EXACT, n, EXACT + np.rint(FINE * np.log2(n / EXACT)).astype(np.int64)), LEVELS)
+
+
+def estimate(lv: np.ndarray) -> np.ndarray:
+    """Counts as the filter has them: the middle of the level's stretch, 0 for none."""
+    lv = lv.astype(np.float64)
+    return np.where(lv <= EXACT, lv, EXACT * np.exp2((lv - EXACT) / FINE))
+
 
+def hashed(h48: np.ndarray, level_: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves from which the places of an n-gram at a level are made."""
+    x = mix64(h48 * U(2654435761) + U(level_ * 0x9E3779B97F4A7C15 % (1 << 64)))
+    return x >> U(32), x & U(0xFFFFFFFF) | U(1)
 
-def positions(h48: np.ndarray, level_: int, probe: int, segments: int, bits: int) -> np.ndarray:
-    x = mix64(h48 * U(2654435761) + U((level_ * PROBES + probe + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
-    return segment_of(h48, segments) * U(bits) + (((x >> U(32)) * U(bits)) >> U(32))
 
+def positions(halves: tuple[np.ndarray, np.ndarray], probe: int, bits: int) -> np.ndarray:
+    return ((halves[0] + U(probe) * halves[1] & U(0xFFFFFFFF)) * U(bits)) >> U(32)
 
-def probed(filter_: np.ndarray, h48: np.ndarray, segments: int, bits: int) -> np.ndarray:
+
+def probed(filter_: np.ndarray, h48: np.ndarray, bits: int) -> np.ndarray:
     """The level of each n-gram, 0 if none: probing goes on while the filter says yes."""
     out = np.zeros(len(h48), dtype=np.int64)
     alive = np.arange(len(h48))
     for lv in range(1, LEVELS + 1):
+        a, b = hashed(h48[alive], lv)
         for probe in range(PROBES):
-            pos = positions(h48[alive], lv, probe, segments, bits)
-            alive = alive[(filter_[pos >> U(3)] >> (pos & U(7)).astype(np.uint8)) & 1 == 1]
+            pos = positions((a, b), probe, bits)
+            yes = (filter_[pos >> U(3)] >> (pos & U(7)).astype(np.uint8)) & 1 == 1
+            if not yes.all():
+                alive, a, b = alive[yes], a[yes], b[yes]
         if not len(alive):
             break
         out[alive] = lv
@@ -135,20 +144,22 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"))
 
 
-def _batches(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+def _batches(batches: Iterator[pa.RecordBatch], rows: int = 100) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for low in range(0, batch.num_rows, rows):
             yield batch.slice(low, rows)
 
 
 def pack_counts(n: np.ndarray) -> bytes:
-    """Counts in a byte each, or in four where one is larger, after the width."""
-    width = 1 if not len(n) or n.max() < 256 else 4
-    return bytes([width]) + n.astype(f"<u{width}").tobytes()
+    """Counts in one, four or eight bytes each, compressed, after their number and width."""
+    most = int(n.max()) if len(n) else 0
+    width = 1 if most < 256 else 4 if most < 1 << 32 else 8
+    return len(n).to_bytes(8, "little") + bytes([width]) + pa.compress(n.astype(f"<u{width}").tobytes(), codec="zstd", asbytes=True)
 
 
 def unpack_counts(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, dtype=f"<u{b[0]}", offset=1).astype(np.int64)
+    n, width = int.from_bytes(b[:8], "little"), b[8]
+    return np.frombuffer(pa.decompress(b[9:], decompressed_size=n * width, codec="zstd", asbytes=True), dtype=f"<u{width}").astype(np.int64)
 
 
 def marked(h: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -272,21 +283,21 @@ def added(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return values, np.bincount(place, n, minlength=len(values)).astype(np.int64), place
 
 
-def filter_piece(tokens: np.ndarray, tc: np.ndarray, own: np.ndarray, gc: np.ndarray, least: int) -> tuple[np.ndarray, int]:
-    """The filter of a segment's tokens (cut) and n-grams, and its bits."""
-    tokens, tc, own, gc = tokens[tc > 0], tc[tc > 0], own[gc >= least], gc[gc >= least]
-    kinds = ((tokens, level(tc, 1)), (own, level(gc, least)))
-    bits = max(64, -(-sum(int(lv.sum()) for _, lv in kinds) * BITS_PER_ENTRY // 64) * 64)
+def filter_piece(own: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, int]:
+    """The filter of a segment's n-grams that training texts hold, and its bits."""
+    own, lv = own[count > 0], level(count[count > 0])
+    bits = max(64, -(-int(lv.sum()) * BITS_PER_ENTRY // 64) * 64)
     set_ = np.zeros(bits, dtype=bool)
-    for h48, lv in kinds:
-        for at in range(1, int(lv.max()) + 1 if len(lv) else 1):
-            for probe in range(PROBES):
-                set_[positions(h48[lv >= at], at, probe, 1, bits)] = True
+    for at in range(1, int(lv.max()) + 1 if len(lv) else 1):
+        own, lv = own[lv >= at], lv[lv >= at]
+        halves = hashed(own, at)
+        for probe in range(PROBES):
+            set_[positions(halves, probe, bits)] = True
     return np.packbits(set_, bitorder="little"), bits
 
 
-def answered(rows: DataFrame, segments: int, least: int) -> DataFrame:
-    """Runs as they are, and for each question the levels of its tokens and n-grams and its tokens' counts (a, b, c)."""
+def answered(rows: DataFrame, segments: int) -> DataFrame:
+    """Runs as they are, and for each question the levels of its n-grams and its tokens' counts (a, b)."""
     gap = -(-(1 << 48) // segments)
 
     def reduce(key: tuple, t: pa.Table) -> pa.Table:
@@ -297,16 +308,16 @@ def answered(rows: DataFrame, segments: int, least: int) -> DataFrame:
             m, n = unpack_counts(tc), unpack_counts(gc)
             parts.append((unpack_steps(th, len(m)), m, unpack_steps(gh, len(n)), n))  # less the segment's first, which tells none apart
         first = U(key[0].as_py()) * U(gap)
-        tokens, tc, t_at = added(*(np.concatenate([p[i] for p in parts]) for i in (0, 1)))
+        _, tc, t_at = added(*(np.concatenate([p[i] for p in parts]) for i in (0, 1)))
         own, gc, g_at = added(*(np.concatenate([p[i] for p in parts]) for i in (2, 3)))
-        tokens, own = cut(tokens) + first, own + first
-        piece, bits = filter_piece(tokens, tc, own, gc, least)
-        t_level, g_level = (probed(piece, h48, 1, bits).astype("u1") for h48 in (tokens, own))
+        own += first
+        piece, bits = filter_piece(own, gc)
+        g_level = probed(piece, own, bits)
         out: list[tuple] = []
         i = j = 0
         for uid, (h, _, g, _) in zip(t.column("uid").to_pylist(), parts):
             a, b = t_at[i : i + len(h)], g_at[j : j + len(g)]
-            out.append((key[0].as_py(), uid, t_level[a].tobytes(), g_level[b].tobytes(), tc[a].astype("<i8").tobytes(), b""))
+            out.append((key[0].as_py(), uid, pack_counts(g_level[b]), pack_counts(tc[a]), b"", b""))
             i, j = i + len(h), j + len(g)
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out), ASKED_ARROW.types)], schema=ASKED_ARROW)
 
@@ -314,39 +325,38 @@ def answered(rows: DataFrame, segments: int, least: int) -> DataFrame:
     return rows.repartition(spread, "seg").groupBy("seg").applyInArrow(reduce, ASKED_SCHEMA)
 
 
-def estimate(lv: np.ndarray, least: int) -> np.ndarray:
-    """Counts as the filter has them: the middle of the level's stretch, 0 for none."""
-    lv = lv.astype(np.float64)
-    return np.where(lv > 0, least * np.exp2(lv - 0.5), 0.0) if least > 1 else np.where(lv > 1, np.exp2(lv - 0.5), lv)
-
-
 def log_probabilities(real: np.ndarray, c: np.ndarray, c2: np.ndarray, c3: np.ndarray, n: int, v: int) -> np.ndarray:
-    """log10 p of the tokens at `real` in the marked stream, of whose counts c has 0 for marks; c2, c3 are those of the n-grams that end there."""
+    """log10 p of the tokens at `real` in the marked stream.
+
+    `c` are the stream's counts as contexts, with that of texts for a mark; c2 and
+    c3 are those of the n-grams that end at the tokens. A trigram counts only if
+    its bigram does, and none more often than its context.
+    """
     base = (c[real] + 0.1) / (n + 0.1 * (v + 1))
-    c3 = np.where(c2 > 0, c3, 0.0)
     c1 = c[real - 1]
-    c2_before = np.r_[0.0, c2[:-1]] * np.r_[False, np.diff(real) == 1]
-    w3 = np.where(c2_before > 0, WEIGHTS[0], 0.0)
-    w2 = np.where(c1 > 0, WEIGHTS[1] + (WEIGHTS[0] - w3), 0.0)
-    p3 = np.minimum(1.0, c3 / np.where(c2_before > 0, c2_before, 1.0))
-    p2 = np.minimum(1.0, c2 / np.where(c1 > 0, c1, 1.0))
-    return np.log10(w3 * p3 + w2 * p2 + (1 - w3 - w2) * base)
+    c2 = np.minimum(c2, c1)
+    before = np.r_[0.0, c2[:-1]] * np.r_[False, np.diff(real) == 1]
+    c3 = np.where(c2 > 0, np.minimum(c3, before), 0.0)
+    p2 = np.where(c1 > 0, (c2 + PULL * base) / (c1 + PULL), base)
+    return np.log10(np.where(before > 0, (c3 + PULL * p2) / (before + PULL), p2))
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_COUNT) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
-    Bigrams and trigrams of `least` copies or more are in the model, at any size
-    of the table. A null or empty text is the end token alone. A null id counts
-    as the empty string and so as held out. Repeated rows are trained on and
-    scored each time. Other columns are not read. Without training rows all counts
-    are 0. An empty table gives no rows.
+    All tokens, bigrams and trigrams of the training texts are in the model, at any
+    size of the table. A null or empty text is the end token alone. A null id
+    counts as the empty string and so as held out. Repeated rows are trained on
+    and scored each time. A text longer than a run is a run of its own. Other
+    columns are not read. Without training rows all counts are 0 and `score` and
+    `base_score` take a vocabulary of none. An empty table gives no rows.
     """
     spark = docs.sparkSession
     segments = max(16, min(1 << 16, -(-docs.count() // SEGMENT_ROWS)))
     texts = _texts(docs, id_col, text_col)
     n, v = vocabulary(texts, segments)
-    floor = float(np.log10(n + 0.1 * (v + 1))) if n else 0.0
+    floor = float(np.log10(n + 0.1 * (v + 1)))
+    end = xxhash.xxh64_intdigest(END)
 
     def gather(key: tuple, t: pa.Table) -> pa.Table:
         rows = sorted(zip(*(t.column(c).to_pylist() for c in ("seg", "a", "b", "c"))), key=lambda r: r[0])
@@ -357,21 +367,21 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
         planes = np.frombuffer(pa.decompress(rows[0][3], decompressed_size=4 * size, codec="zstd", asbytes=True), dtype=np.uint8)
         ids = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
         order = np.argsort(numbered)
-        t_level, count = np.zeros(len(order), dtype=np.uint8), np.zeros(len(order), dtype=np.int64)
-        t_level[order], count[order] = (np.frombuffer(b"".join(r[i] for r in rows[1:]), dtype=k) for i, k in ((1, "u1"), (3, "<i8")))
-        g_level = np.frombuffer(b"".join(r[2] for r in rows[1:]), dtype="u1")
+        count = np.zeros(len(order), dtype=np.int64)
+        count[order] = np.concatenate([unpack_counts(r[2]) for r in rows[1:]])
+        g_level = np.concatenate([unpack_counts(r[1]) for r in rows[1:]])
         x, real = marked(numbered[ids], lengths)
         values, place = np.unique(np.concatenate(grams(x, real)), return_inverse=True)
         if len(values) != len(g_level):
             raise RuntimeError(f"{len(g_level)} answers for {len(values)} n-grams")
-        c2, c3 = np.split(estimate(g_level, least)[place], 2)
-        c = np.zeros(len(x))
-        c[real] = estimate(t_level, 1)[ids]
+        c2, c3 = np.split(estimate(g_level)[place], 2)
+        c = np.full(len(x), float(count[numbered == U(end)][0]))  # every text has one end, so a mark counts as often
+        c[real] = count[ids]
         at = np.repeat(np.arange(len(lengths)), lengths)
         total = np.bincount(at, log_probabilities(real, c, c2, c3, n, v))
         base, seen = np.bincount(at, np.log10(count + 0.1)[ids]), np.bincount(at, (count > 0)[ids]).astype(np.int64)
         return pa.table([main.column("d"), main.column("h"), main.column("t"), pa.array(seen), pa.array(np.full(len(lengths), n)), pa.array(base - lengths * floor), pa.array(total)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     spread = max(partitions(spark), segments // 8)
-    both = answered(asked(texts, segments), segments, least).drop("d").repartition(spread, "uid").groupBy("uid")
+    both = answered(asked(texts, segments), segments).drop("d").repartition(spread, "uid").groupBy("uid")
     return both.applyInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
