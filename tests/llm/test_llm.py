@@ -191,11 +191,23 @@ def test_keys_meet_every_near_pair(spark):
     assert all(frozenset(p) in met for p in zip(a, b))
 
 
-def test_one_of_each_group_stays(docs, none):
-    kept = simhash.deduplicate(docs)
-    ids = [r.doc_id for r in kept.select("doc_id").collect() if r.doc_id is not None]
-    assert len(ids) == len(set(ids)) and set(ids) == {r.component_id for r in simhash.near_duplicates(docs).collect()} - {None}
-    assert kept.columns == docs.columns and simhash.deduplicate(none).count() == 0
+def test_one_row_of_each_group_stays(docs, none):
+    kept = [(r.doc_id, r.text) for r in simhash.deduplicate(docs).collect()]
+    prints = [slow_fingerprint(t) for _, t, *_ in corpus()]
+    comp = slow_components(prints)
+    label = {}
+    for (i, t, *_), c in zip(corpus(), comp):
+        label.setdefault(c, []).append((i is None, i, t))
+    want = Counter(min(x[:2] for x in g) for g in label.values())
+    assert Counter((i is None, i) for i, _ in kept) == want
+    assert simhash.deduplicate(clashing(docs)).columns == clashing(docs).columns and simhash.deduplicate(none).count() == 0
+
+
+def test_a_repeated_or_null_id_costs_no_text(spark):
+    rnd = random.Random(12)
+    a, b, c = (prose(rnd, 50) for _ in range(3))
+    df = spark.createDataFrame([(1, a), (1, b), (None, c), (None, c), (5, a)], "doc_id long, text string")
+    assert Counter((r.doc_id, r.text) for r in simhash.deduplicate(df).collect()) == Counter([(1, a), (1, b), (None, c)])
 
 
 def test_components_of_a_long_chain_and_a_star(spark):

@@ -1,14 +1,14 @@
 """SimHash near-duplicates by pivot distance tables.
 
-Each text gets a 64-bit fingerprint. The table of distances to reference
-fingerprints has two parts. References that are compared within one block of
-bits give block coordinates: fingerprints at most `RADIUS` bits apart differ in
-at most RADIUS of the blocks, so all coordinates of the other blocks are equal,
-and an equi-join on the coordinates of each such set of blocks meets every pair.
-The references in a block are in general position, so equal coordinates are no
-weaker than equal bits. References compared over all 64 bits give the pivot
-coordinates: a pair is discarded if any differs by more than RADIUS (triangle
-inequality), and the survivors are verified bit by bit.
+Each text gets a 64-bit fingerprint. Fingerprints at most RADIUS bits apart
+differ in at most RADIUS of their blocks of bits, so an equi-join on the bits of
+each set of the other blocks meets every pair: pivot distances alone (16 distances
+of a few bits' width around 32) would meet most pairs of a large table, so the blocks
+bring pairs together, and the pivot table judges them. It holds the distances to
+PIVOTS reference fingerprints: where a bucket is large, its rows stand in the order
+of their distance to the first and are compared only within RADIUS of it; a pair
+is discarded if any of its coordinates differ by more than RADIUS (triangle
+inequality); and the survivors are verified bit by bit.
 
 Work is done on distinct fingerprints, so a group of copies is a single row,
 and buckets give spanning edges, never all of their pairs.
@@ -22,10 +22,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import TMP, low_words, mix64, partitions, store
+from textloom.llm.common import ROW, TMP, low_words, mix64, numbered, partitions, store
 from textloom.llm.components import components
 
 RADIUS = 4
@@ -52,44 +52,30 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long) of every row; fp is the fingerprint as a signed integer."""
+def fingerprints(text: Column) -> Column:
+    """The fingerprint of each text as a signed integer."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
-                fp = np.array([fingerprint(t) for t in part.column(1).to_pylist()], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+    def run(texts: pa.Array) -> pa.Array:
+        out = np.zeros(len(texts), dtype=np.uint64)
+        for low in range(0, len(texts), 512):
+            out[low : low + 512] = [fingerprint(t) for t in texts.slice(low, 512).to_pylist()]
+        return pa.array(out.view(np.int64))
+
+    return F.arrow_udf(run, "long")(text)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
+PIVOT = mix64(np.arange(1, PIVOTS + 1, dtype=np.uint64))
 
-def references(blocks: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.uint64]]]:
-    """The reference fingerprints: PIVOTS over all bits, and for each block (its own, its mask)."""
-    pivots = mix64(np.arange(1, PIVOTS + 1, dtype=np.uint64))
+
+def block_bits(fp: np.ndarray, blocks: int) -> list[np.ndarray]:
+    """For each block, its bits of every fingerprint."""
     edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
-    own = []
-    for low, high in zip(edges, edges[1:]):
-        mask = np.uint64(((1 << (high - low)) - 1) << low)
-        own.append((np.array([0, *(1 << i for i in range(low, high - 1))], dtype=np.uint64), mask))
-    return pivots, own
-
-
-def block_coordinates(fp: np.ndarray, blocks: int) -> list[np.ndarray]:
-    """For each block, its distances to the block's references as one mixed-radix number."""
-    out = []
-    for refs, mask in references(blocks)[1]:
-        key = np.zeros(len(fp), dtype=np.uint64)
-        for r in refs:
-            key = key * np.uint64(17) + np.bitwise_count((fp ^ r) & mask).astype(np.uint64)
-        out.append(key)
-    return out
+    return [fp >> np.uint64(low) & np.uint64((1 << (high - low)) - 1) for low, high in zip(edges, edges[1:])]
 
 
 def pivot_table(fp: np.ndarray) -> np.ndarray:
     """Distances to the pivots, a column for each."""
-    return np.bitwise_count(fp[:, None] ^ references(BLOCKS[0][0])[0][None, :]).astype(np.int8)
+    return np.bitwise_count(fp[:, None] ^ PIVOT[None, :]).astype(np.int8)
 
 
 def linked(fp: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -183,11 +169,11 @@ def links(distinct: DataFrame) -> DataFrame:
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            coordinates = [mix64(c + np.uint64(b)) for b, c in enumerate(block_coordinates(fp, blocks))]
+            parts = [mix64(c + np.uint64(b << 32)) for b, c in enumerate(block_bits(fp, blocks))]
             for which, chosen in enumerate(agree):
                 key = np.full(len(fp), which, dtype=np.uint64)
                 for b in chosen:
-                    key = mix64(key * np.uint64(31) + coordinates[b])
+                    key = mix64(key * np.uint64(31) + parts[b])
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0)], names=["key", "fp"])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,35 +186,38 @@ def links(distinct: DataFrame) -> DataFrame:
     return distinct.select("fp").mapInArrow(keyed, "key long, fp long").repartition(spread, "key").mapInArrow(met, "a long, b long")
 
 
+def _rooted(least: DataFrame) -> DataFrame:
+    """`least` (fp, least; stored) with the root of each fingerprint's component and the least of all of it as `first`."""
+    roots = components(links(least.select("fp")))
+    joined = store(least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root")), "joined")
+    firsts = store(joined.groupBy("root").agg(F.min("least").alias("first")), "firsts")  # stored, so that a hot root can be split in the join
+    return joined.join(firsts, "root").select("fp", "first")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of `docs`.
 
-    Null and empty texts have fingerprint zero and link like any other. A
-    component's id is the least id of its rows; null ids are passed over, and a
-    component of null ids alone has a null id. Repeated rows come back as often.
-    Other columns are not read. An empty table gives no rows.
+    Null and empty texts have fingerprint zero and link like any other; long ones
+    are read whole. A component's id is the least id of its rows; null ids are
+    passed over, and a component of null ids alone has a null id. Repeated rows
+    come back as often. Other columns are not read. An empty table gives no rows.
     """
-    prints = store(fingerprints(docs, id_col, text_col), "prints")
+    prints = store(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(F.col(text_col)).alias("fp")), "prints")
     least = store(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(least.select("fp")))
-    joined = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    joined = store(joined, "joined")
-    ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = joined.join(ids, "root").select(F.col("fp").alias(f"{TMP}fp"), "component_id")
-    return prints.join(named, F.col("fp") == F.col(f"{TMP}fp")).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    named = store(_rooted(least).select(F.col("fp").alias(f"{TMP}fp"), F.col("first").alias("component_id")), "named")
+    return prints.join(named, F.col("fp") == F.col(f"{TMP}fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one row of each component, that of the least id; rows with null ids stay.
+    """`docs` with one row of each component: that of the least id, a null id coming last, any one of those that repeat it.
 
-    Of rows that repeat an id, one stays.
+    Rows are told apart by a number of their own, so a text stays even if its id
+    repeats, and rows with null ids are compared like any others. Null, empty and
+    long texts and empty tables are as in `near_duplicates`; columns may have any names.
     """
-    found = store(near_duplicates(docs, id_col, text_col), "components").where("doc_id is not null")
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias(f"{TMP}gone"))
-    kept = docs.join(gone, docs[id_col] == F.col(f"{TMP}gone"), "left_anti")
-    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        null = kept.where(F.col(id_col).isNull())
-        kept = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(null)
-    return kept
+    fp = f"{TMP}fp"
+    rows = numbered(docs.withColumn(fp, fingerprints(F.col(text_col))), "documents")
+    own = F.struct(F.col(id_col).isNull().alias("void"), F.col(id_col).cast("long").alias("id"), F.col(ROW).alias("row"))
+    least = store(rows.select(F.col(fp).alias("fp"), own.alias("own")).groupBy("fp").agg(F.min("own").alias("least")), "distinct")
+    stays = store(_rooted(least).select(F.col("first.row").alias(f"{TMP}stays")).distinct(), "stays")
+    return rows.join(stays, F.col(ROW) == F.col(f"{TMP}stays"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
