@@ -766,6 +766,48 @@ def test_chains_of_a_null_conversation(spark):
     assert [(r.thread_turn, r.reply_to) for r in rows if r.conv_id == 1] == [(0, None)]
 
 
+def slow_positions(parent):
+    """Preorder by turn of a forest {turn: parent or None}."""
+    order = []
+
+    def walk(t):
+        order.append(t)
+        for k in sorted(c for c, p in parent.items() if p == t):
+            walk(k)
+
+    for t in sorted(t for t, p in parent.items() if p is None):
+        walk(t)
+    return {t: k for k, t in enumerate(order)}
+
+
+def test_replies_follow_what_they_answer(spark):
+    """Random threads, in two conversations and a null one, against a walk of the trees."""
+    rnd = random.Random(5)
+    talk, want = [], {}
+    for conv in (1, 2, None):
+        parent = {}
+        for t in range(40):
+            parent[t] = rnd.choice([None, *range(t)]) if t and rnd.random() < 0.8 else None
+            talk.append((conv, t, "u", (f"> c{conv}m{parent[t]}\n" if parent[t] is not None else "") + f"c{conv}m{t}"))
+        want |= {(conv, t): (k, parent[t]) for t, k in slow_positions(parent).items()}
+    rnd.shuffle(talk)
+    rows = quotes.link(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string"))
+    assert {(r.conv_id, r.turn): (r.position, r.reply_to) for r in rows.collect()} == want
+    built = quotes.conversations(rows, 16).collect()
+    assert all(r.n_messages == len(r.messages) <= 16 for r in built)
+    for conv in (1, 2, None):
+        said = [m.text for r in sorted((r for r in built if r.conv_id == conv), key=lambda r: r.part) for m in r.messages]
+        assert said == [f"c{conv}m{t}" for t in sorted(range(40), key=lambda t: want[conv, t][0])]
+
+
+def test_the_query_builds_conversations(spark):
+    from textloom.llm.queries import op5_quotation_linking
+
+    got = op5_quotation_linking(spark, "/root/testdata/sf0.001")
+    talk = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    assert got.selectExpr("sum(n_messages)").first()[0] == talk.count()
+
+
 # --- pipeline -----------------------------------------------------------------------------
 
 
