@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -719,6 +720,37 @@ def test_neighbours(spark):
     assert ann.nearest(few.limit(0)).count() == 0
 
 
+def test_vectors_of_another_width_take_no_part(spark):
+    rows = [(k, [1.0, float(k)]) for k in range(40)] + [(100, [1.0, 2.0, 3.0]), (120, [9.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r.query_id for r in got} == {0, 20} and all(r.vec_id < 40 for r in got) and len(got) == 40
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    rows = [(k, [1.0, 0.5, 0.25, 3.0]) for k in range(100)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    for q in range(0, 100, 20):
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == [k for k in range(21) if k != q][:20]
+
+
+def test_recall_of_fifty_thousand(spark):
+    """In clusters and without: of the 20 nearest by brute force, at least nine in ten are found."""
+    rng = np.random.default_rng(2)
+    n, width = 50_000, 24
+    v = rng.normal(size=(n, width))
+    v[: n // 2] = rng.normal(size=(50, width))[rng.integers(0, 50, n // 2)] * 2 + rng.normal(size=(n // 2, width)) * 0.4
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(v.ravel(), width).cast(pa.list_(pa.float64()))}))
+    got = {}
+    for r in ann.nearest(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in range(0, n, 20):
+        s = v @ v[q]
+        s[q] = -np.inf
+        hit += len(got[q] & set(np.argpartition(-s, 20)[:20].tolist()))
+    assert hit >= 0.9 * 20 * len(got) and len(got) == n // 20
+
+
 def test_chi_square():
     assert abs(ann.chi2_quantile(0.95, 8) - 15.507) < 1e-3 and abs(ann.chi2_quantile(0.5, 2) - 1.3863) < 1e-3
 

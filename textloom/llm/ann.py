@@ -13,7 +13,8 @@ d * sqrt(chi2(CONFIDENCE)) in the projection is no nearer but with chance
 A query searches its own cell first, which gives a first d, and then all other
 cells that its stopping radius reaches, each with its own test. The cells'
 boxes and sizes are all that is broadcast, MOST_CELLS rows at most; a cell larger
-than BLOCK rows is split.
+than BLOCK rows is split. An index row moves once for each QUERIES queries that
+reach its cell, and only what may be among a query's k nearest comes back.
 """
 
 from __future__ import annotations
@@ -31,11 +32,14 @@ K = 20
 DIMS = 8
 #: Quantile of the chi-square law at which a query stops.
 CONFIDENCE = 0.97
-#: Rows that the upper tree is cut from; rows of a cell aimed at; rows and queries of a task; rows of a leaf.
-SAMPLE, CELL, BLOCK, QUERIES, LEAF = 20_000, 4096, 8192, 1024, 256
+#: Rows of a cell aimed at; rows and queries of a task; rows of a leaf.
+CELL, BLOCK, QUERIES, LEAF = 4096, 8192, 8192, 256
 MOST_CELLS = 1 << 16
+#: Rows whose projections the upper tree is cut from: about so many in all, or so many for each cell.
+SAMPLE, PER_CELL = 20_000, 8
 SEED = 20240607
 EVERY = 20
+NONE = np.iinfo(np.int64).max
 
 
 def chi2_quantile(p: float, dims: int) -> float:
@@ -160,9 +164,9 @@ def search(ids: np.ndarray, v: np.ndarray, p: np.ndarray, qid: np.ndarray, q: np
     bound = (gap**2).sum(axis=2)
     order = np.argsort(bound, axis=1, kind="stable")
     n = np.linalg.norm(q, axis=1)
-    worst = worst.copy()
+    asked, worst = worst, worst.copy()
     best_s = np.full((len(q), k), -np.inf)
-    best_i = np.full((len(q), k), np.iinfo(np.int64).max)
+    best_i = np.full((len(q), k), NONE)
     alive = np.arange(len(q))
     for turn in range(len(leaves)):
         leaf = order[alive, turn]
@@ -173,14 +177,19 @@ def search(ids: np.ndarray, v: np.ndarray, p: np.ndarray, qid: np.ndarray, q: np
             break
         for which in np.unique(leaf):
             mine, at = alive[leaf == which], leaves[which]
-            s = np.einsum("ij,kj->ik", q[mine], v[at])
-            s[qid[mine][:, None] == ids[at][None, :]] = -np.inf
-            all_s = np.c_[best_s[mine], s]
-            all_i = np.c_[best_i[mine], np.where(np.isneginf(s), np.iinfo(np.int64).max, ids[at][None, :])]
-            top = np.lexsort((all_i, -all_s), axis=1)[:, :k]
-            best_s[mine], best_i[mine] = np.take_along_axis(all_s, top, 1), np.take_along_axis(all_i, top, 1)
-            worst[mine] = np.maximum(worst[mine], best_s[mine, -1])
-    at, rank = np.nonzero(best_i < np.iinfo(np.int64).max)
+            rough = q[mine] @ v[at].T
+            i, j = np.nonzero((rough >= (worst[mine] - 1e-9 * most * n[mine])[:, None]) & (qid[mine][:, None] != ids[at][None, :]))
+            i, j = mine[i], at[j]
+            s = np.einsum("ij,ij->i", q[i], v[j])
+            rows = np.unique(i)  # whose best may change
+            of, s, found = np.r_[np.repeat(rows, k), i], np.r_[best_s[rows].ravel(), s], np.r_[best_i[rows].ravel(), ids[j]]
+            by = np.lexsort((found, -s, of))
+            of, s, found = of[by], s[by], found[by]
+            place = np.arange(len(of)) - np.searchsorted(of, of)
+            top = place < k
+            best_s[of[top], place[top]], best_i[of[top], place[top]] = s[top], found[top]
+            worst[rows] = np.maximum(worst[rows], best_s[rows, -1])
+    at, rank = np.nonzero((best_i < NONE) & (best_s >= asked[:, None]))
     return at, best_i[at, rank], best_s[at, rank]
 
 
@@ -210,20 +219,32 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     """query_id, rank, vec_id, score: the k nearest found of each query, a row whose id is divisible by `every`.
 
     Vectors that are null, zero, or hold null or non-finite components take no
-    part, nor do rows without an id; all others must be of one width. Ties go to
+    part, nor do rows without an id, nor vectors of another width than most are of
+    (the greater width, if two are as common). Ties go to
     the smaller id. A query that meets fewer than k others returns those. Rows
     that repeat an id and vector count once for each vector. Other columns are
     not read. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = store(clean(vectors, id_col, vec_col).dropDuplicates(["vec_id", "v"]), "vectors")
-    n, most, width = rows.agg(F.count(F.lit(1)), F.max("norm"), F.max(F.size("v"))).first()
-    out = "query_id long, rank int, vec_id long, score double"
-    if not n:
-        return spark.createDataFrame([], out)
+    widths = rows.groupBy(F.size("v").alias("width")).agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("most"))
+    widest = widths.orderBy(F.desc("n"), F.desc("width")).first()
+    if not widest:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    width, n, most = widest
+    rows = rows.where(F.size("v") == width)
     project = Projection(width, most)
-    sample = rows.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(SAMPLE).select("v").toArrow()
-    cells = Cells(project.rows(_matrix(sample["v"])), max(1, min(MOST_CELLS, -(-n // CELL), sample.num_rows // 8)))
+    wanted = min(MOST_CELLS, -(-n // CELL))
+    chance = max(SAMPLE, PER_CELL * wanted) / n  # by a hash of the id; what the driver gets is bounded by MOST_CELLS
+
+    def projections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(list(project.rows(_matrix(batch.column(0)))), pa.list_(pa.float64()))], names=["p"])
+
+    drawn = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(1 << 40)) < int(min(1.0, chance) * (1 << 40)))
+    sample = _matrix(drawn.select("v").mapInArrow(projections, "p array<double>").toArrow()["p"])
+    sample = sample[np.lexsort(sample.T)] if len(sample) else np.zeros((1, DIMS))
+    cells = Cells(sample, max(1, min(wanted, len(sample) // PER_CELL)))
     shared = spark.sparkContext.broadcast((project, cells))
     stop = chi2_quantile(confidence, DIMS)
 
