@@ -122,14 +122,17 @@ def _strength(sites: DataFrame, n: str, s: str, mean: Column) -> float:
     return min(max((row[3] or 0.0) / between - 1, STRENGTH[0]), STRENGTH[1])
 
 
-def _judged(rows: DataFrame) -> DataFrame:
-    """`rows` (stored; helper columns host, path and z) with host_posterior, path_posterior and posterior of each, by helper names.
+def _judged(rows: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """`rows` (helper columns host, path and z) with host_posterior, path_posterior and posterior of each, by helper names.
 
-    The sums of a row's host and path come to it from the small table of sites, and its own evidence is taken off there.
+    The sums of a row's host and path, over `seen` (the same rows, if `rows` are not
+    to be read for them), come to it from the small table of sites, and its own
+    evidence is taken off there.
     """
     host, path, z, p = (F.col(f"{TMP}{c}") for c in ("host", "path", "z", "p"))
-    rows = rows.withColumn(f"{TMP}p", 1 / (1 + F.exp(-z)))
-    paths = store(rows.groupBy(host.alias("h"), path.alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum(p).alias("s")), "paths")
+    own = 1 / (1 + F.exp(-z))
+    rows = rows.withColumn(f"{TMP}p", own)
+    paths = store((seen or rows).groupBy(host.alias("h"), path.alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum(own).alias("s")), "paths")
     hosts = store(paths.groupBy("h").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs")), "hosts")
     n, s = hosts.agg(F.sum("hn"), F.sum("hs")).first()
     prior = min(max((s or 0.0) / n if n else 0.5, 1e-6), 1 - 1e-6)
@@ -168,9 +171,10 @@ def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     """`docs` without the rows that are rejected, each judged by itself, whatever its id; columns may have any names.
 
     Nulls, long texts, missing labels and empty tables are as in `classify`. The
-    rows are stored once with their evidence, and their texts do not move.
+    evidence is worked out twice, for the sites and for the verdicts, so texts are
+    neither stored nor moved.
     """
     col = lambda c: F.col(c) if isinstance(c, str) else c
     z = evidence(F.col(text_col), *fit(docs, labels, id_col, text_col))
     rows = docs.select("*", col(host).cast("string").alias(f"{TMP}host"), col(path).cast("string").alias(f"{TMP}path"), z.alias(f"{TMP}z"))
-    return _judged(store(rows, "evidence")).where(F.col(f"{TMP}posterior") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _judged(rows, rows.select(f"{TMP}host", f"{TMP}path", f"{TMP}z")).where(F.col(f"{TMP}posterior") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

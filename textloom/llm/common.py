@@ -11,7 +11,7 @@ import uuid
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Reserved prefix of helper columns, so that a caller's own columns never clash.
@@ -55,6 +55,16 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return store(df.withColumn(ROW, F.monotonically_increasing_id()), name)
 
 
+def place_in_file() -> Column:
+    """What tells the rows of a table of Parquet files apart each time they are read: their file and place in it."""
+    return F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+
+
+def told_apart(df: DataFrame, row: Column | None, name: str) -> DataFrame:
+    """The rows with what tells them apart as `ROW`: `row`, or if there is none, a number with which they are stored."""
+    return numbered(df, name) if row is None else df.withColumn(ROW, row)
+
+
 def words(text: str | None) -> list[bytes]:
     """The words of a text, none for null."""
     return text.encode().split() if text else []

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import ROW, TMP, global_rank, numbered, store
+from textloom.llm.common import ROW, TMP, global_rank, numbered, store, told_apart
 
 #: Documents of one flight; a source has as many blocks as it needs.
 BLOCK = 4096
@@ -213,16 +213,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return _draw(rows, weights, share, most, block, seed).drop(ROW).withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, most: float = MOST, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, most: float = MOST, block: int = BLOCK, seed: int = SEED, row: Column | None = None) -> DataFrame:
     """The rows of `docs` as often as the mix takes them, each row by itself, whatever its id; columns may have any names.
 
-    Nulls, empty tables and repeated rows are as in `mix`. The rows are stored with
-    numbers first, by which the draws come back to them.
+    Nulls, empty tables and repeated rows are as in `mix`. The draws come back to
+    the rows by `row` (see `told_apart`).
     """
-    rows = numbered(docs, "documents")
+    rows = told_apart(docs, row, "documents")
     drawn = _draw(store(rows.select(ROW, *sized(rows, id_col, text_col, source_col)), "sizes"), weights, share, most, block, seed)
     own, copies = f"{TMP}own", f"{TMP}copies"
     drawn = drawn.where("copies > 0").select(F.col(ROW).alias(own), F.col("copies").alias(copies))
-    kept = rows.join(drawn, F.col(ROW) == F.col(own))
+    kept = rows.join(drawn.hint("merge"), F.col(ROW) == F.col(own))  # a row for each text taken: never to be broadcast
     again = kept.withColumn(f"{TMP}again", F.explode(F.sequence(F.lit(1), F.col(copies))))
     return again.select(*[F.col(f"`{c}`") for c in docs.columns])

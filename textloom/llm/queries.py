@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from textloom.llm import ann, classifier, lmscore, mixing, packing, pii, quotes, rules, sharding, simhash
-from textloom.llm.common import table
+from textloom.llm.common import place_in_file, table
 
 
 #: No secret: a production job passes a key of its own.
@@ -38,8 +37,7 @@ def op4_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = F.struct(F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index"))
-    return quotes.conversations(quotes.link(table(spark, sf_dir, "conversations"), row=row))
+    return quotes.conversations(quotes.link(table(spark, sf_dir, "conversations"), row=place_in_file()))
 
 
 def op6_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:

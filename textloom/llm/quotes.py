@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import ROW, TMP, global_rank, numbered, store
+from textloom.llm.common import ROW, TMP, global_rank, store, told_apart
 from textloom.operators.ranking import running_total
 
 #: Messages of a part of a conversation, at most.
@@ -160,7 +160,7 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
     name and place in it do; without it they are stored with numbers first.
     """
     cols = [F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).alias("text")]
-    base = numbered(messages.select(*cols), "messages") if row is None else messages.select(*cols, row.alias(ROW))
+    base = told_apart(messages, row, "messages").select(*cols, ROW)
     rows = store(read(base), "keys")
     first = rows.where("turn is not null").select("conv_id", "turn", F.explode("said").alias("key")).groupBy("conv_id", "key").agg(F.min("turn").alias("source"))
     asked = rows.where("turn is not null and size(quoted) > 0").select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", "q.level", "q.run", "q.key").distinct()

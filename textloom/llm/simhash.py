@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import ROW, TMP, low_words, mix64, numbered, partitions, store
+from textloom.llm.common import ROW, TMP, low_words, mix64, partitions, store, told_apart
 from textloom.llm.components import components
 
 RADIUS = 4
@@ -208,16 +208,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, F.col("fp") == F.col(f"{TMP}fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: Column | None = None) -> DataFrame:
     """`docs` with one row of each component: that of the least id, a null id coming last, any one of those that repeat it.
 
-    Rows are told apart by a number of their own, so a text stays even if its id
+    Rows are told apart by `row` (see `told_apart`), so a text stays even if its id
     repeats, and rows with null ids are compared like any others. Null, empty and
     long texts and empty tables are as in `near_duplicates`; columns may have any names.
     """
-    fp = f"{TMP}fp"
-    rows = numbered(docs.withColumn(fp, fingerprints(F.col(text_col))), "documents")
+    rows = told_apart(docs, row, "documents")
     own = F.struct(F.col(id_col).isNull().alias("void"), F.col(id_col).cast("long").alias("id"), F.col(ROW).alias("row"))
-    least = store(rows.select(F.col(fp).alias("fp"), own.alias("own")).groupBy("fp").agg(F.min("own").alias("least")), "distinct")
+    prints = store(rows.select(fingerprints(F.col(text_col)).alias("fp"), own.alias("own")), "prints")
+    least = store(prints.groupBy("fp").agg(F.min("own").alias("least")), "distinct")
     stays = store(_rooted(least).select(F.col("first.row").alias(f"{TMP}stays")).distinct(), "stays")
-    return rows.join(stays, F.col(ROW) == F.col(f"{TMP}stays"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # As many rows as texts that stay: never to be broadcast, at any size.
+    return rows.join(stays.hint("merge"), F.col(ROW) == F.col(f"{TMP}stays"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
