@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table, which is written as
 Parquet and read again as the next stage's docs. All but the last return the
-columns of `documents`.
+columns of `documents`. Rows are told apart by their file and place in it, as ids
+may be null or repeat; so `docs` must be a table of Parquet files as it is read.
+Null and empty texts, long ones, repeated rows and empty tables are as the
+operators say.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import classifier, mixing, packing, pii, simhash
-from textloom.llm.common import store, table
+from textloom.llm.common import place_in_file, store, table
 from textloom.llm.queries import EXAMPLE_KEY, tokenizer_path
 
 
@@ -23,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that of the least id."""
-    return simhash.deduplicate(docs)
+    return simhash.deduplicate(docs, row=place_in_file())
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +37,7 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mixture takes them."""
-    return mixing.apply_mix(docs)
+    return mixing.apply_mix(docs, row=place_in_file())
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
