@@ -75,7 +75,7 @@ def evidence(text: Column, weights: np.ndarray, a: float, b: float) -> Column:
             out[low : low + 500] = a * (x @ weights[:-1] + weights[-1]) + b
         return pa.array(np.clip(out, -30, 30))
 
-    return F.arrow_udf(judge, "double")(text)
+    return F.arrow_udf(judge, "double").asNondeterministic()(text)  # so that a plan works it out once, not for each mention
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, per_class: int = SAMPLE) -> tuple[np.ndarray, float, float]:

@@ -61,7 +61,7 @@ def fingerprints(text: Column) -> Column:
             out[low : low + 512] = [fingerprint(t) for t in texts.slice(low, 512).to_pylist()]
         return pa.array(out.view(np.int64))
 
-    return F.arrow_udf(run, "long")(text)
+    return F.arrow_udf(run, "long").asNondeterministic()(text)  # so that a plan works it out once, not for each mention
 
 
 PIVOT = mix64(np.arange(1, PIVOTS + 1, dtype=np.uint64))
