@@ -4,18 +4,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    """A folder for sessions of one machine that name none."""
+    return "file://" + tempfile.mkdtemp(prefix="textloom-")
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """The rows written once to the folder that all executors share, and read back."""
     spark: SparkSession = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="textloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    at = at or _own_dir()
     path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

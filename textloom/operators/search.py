@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -80,21 +80,10 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def similarities(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, exclude_work: str | None = None) -> DataFrame:
-    """(q, doc, score): the stated queries against every other row.
+#: Vectors and queries of one block, queries whose pairs are handed on at a time, and rows that are looked at first for a diversified list.
+BLOCK, QUERY_BLOCK, HANDED, FIRST = 8192, 512, 64, 256
 
-    The query set is small and is what gets replicated. With `exclude_work`,
-    rows of the query's own work are left out too.
-    """
-    q = queries.select(F.col(id_col).alias("q"), F.col(vec_col).alias("qv"), *([F.col(exclude_work).alias("qw")] if exclude_work else []))
-    cond = F.col(id_col) != F.col("q")
-    if exclude_work:
-        cond = cond & (F.col(exclude_work) != F.col("qw"))
-    return vectors.join(q, cond).select("q", F.col(id_col).alias("doc"), dot(F.col(vec_col), F.col("qv")).alias("score"))
-
-
-#: Vectors and queries of one block.
-BLOCK, QUERY_BLOCK = 8192, 512
+Pick = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
@@ -111,39 +100,94 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, "ids binary, works array<string>, v binary, n long")
 
 
-def best_in_blocks(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, work: str, per_work: int = PER_WORK, digits: int = 9) -> DataFrame:
-    """(q, doc, work, score): every query's `per_work` best rows of each work within each block, as one matrix product for two blocks.
+def in_blocks(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, pick: Pick, work: str | None = None, other_works: bool = False, digits: int | None = 9) -> DataFrame:
+    """(q, doc, work, score): what `pick` takes of each block of rows for each block of queries, as one matrix product for the two.
 
-    Queries and rows meet as blocks, so the stated query set is what is
-    multiplied, never rows by rows in the engine. No row that a diversified
-    ranking can show is lost: it is among the best of its work in its block.
-    Scores are rounded, so that ties are ties.
+    `pick` gets the scores (queries by rows, minus infinity for what may not be
+    found), the rows' ids, and their works as numbers; it gives the places it
+    takes. A query's own row is not found, nor with `other_works` one of its work.
+    Scores are rounded, so that ties are ties. Only what is picked leaves the task.
     """
-    rows = lambda df: df.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(work).cast("string").alias("work"), F.col(vec_col).cast("array<double>").alias("v"))
-    q = _blocks(rows(queries), QUERY_BLOCK).select(F.col("ids").alias("qids"), F.col("v").alias("qv"), F.col("n").alias("qn"))
+    named = F.col(work).cast("string") if work else F.lit(None).cast("string")
+    rows = lambda df: df.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), named.alias("work"), F.col(vec_col).cast("array<double>").alias("v"))
+    asked = _blocks(rows(queries), QUERY_BLOCK).select(*[F.col(c).alias(f"q{c}") for c in ("ids", "works", "v", "n")])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                ids, qids = np.frombuffer(r["ids"], dtype="<i8"), np.frombuffer(r["qids"], dtype="<i8")
-                v, qv = np.frombuffer(r["v"], dtype="<f8").reshape(r["n"], -1), np.frombuffer(r["qv"], dtype="<f8").reshape(r["qn"], -1)
-                names, of = np.unique([w or "" for w in r["works"]], return_inverse=True)
-                score = np.round(qv @ v.T, digits)
-                for i, one in enumerate(qids):
-                    keep = ids != one
-                    at = np.flatnonzero(keep)
-                    order = at[np.lexsort((ids[at], -score[i, at], of[at]))]
-                    group = of[order]
-                    nth = np.arange(len(order)) - np.searchsorted(group, group)
-                    best = order[nth < per_work]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), one)), pa.array(ids[best]), pa.array(names[of[best]].tolist(), pa.string()), pa.array(score[i, best])], names=["q", "doc", "work", "score"])
-
-    return _blocks(rows(vectors), BLOCK).crossJoin(q).mapInArrow(meet, "q long, doc long, work string, score double")
+            for at in range(batch.num_rows):
+                r = {name: batch.column(i)[at] for i, name in enumerate(batch.schema.names)}
+                whole = lambda c, kind: np.frombuffer(r[c].as_buffer(), dtype=kind)
+                ids, qids = whole("ids", "<i8"), whole("qids", "<i8")
+                v, qv = whole("v", "<f8").reshape(len(ids), -1), whole("qv", "<f8").reshape(len(qids), -1)
+                names, of = np.unique([w or "" for w in r["works"].as_py()], return_inverse=True)
+                own = np.array([w or "" for w in r["qworks"].as_py()])
+                for low in range(0, len(qids), HANDED):
+                    some = slice(low, low + HANDED)
+                    score = qv[some] @ v.T
+                    score = score if digits is None else np.round(score, digits)
+                    score[qids[some][:, None] == ids[None, :]] = -np.inf
+                    if other_works:
+                        score[own[some][:, None] == names[of][None, :]] = -np.inf
+                    i, j = pick(score, ids, of)
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[some][i]), pa.array(ids[j]), pa.array(names[of[j]].tolist(), pa.string()), pa.array(score[i, j])], names=["q", "doc", "work", "score"])
+
+    return _blocks(rows(vectors), BLOCK).crossJoin(asked).mapInArrow(meet, "q long, doc long, work string, score double")
+
+
+def _every(score: np.ndarray, ids: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.nonzero(score > -np.inf)
+
+
+def _first(k: int) -> Pick:
+    """The k best of a block, and all that tie with the last of them."""
+
+    def pick(score: np.ndarray, ids: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if score.shape[1] <= k:
+            return _every(score, ids, of)
+        least = -np.partition(-score, k - 1, axis=1)[:, k - 1]
+        return np.nonzero((score >= least[:, None]) & (score > -np.inf))
+
+    return pick
+
+
+def _first_diverse(k: int, per_work: int) -> Pick:
+    """The first k of a block's rows in order, at most `per_work` of a work; a whole ranking's first k are among those of its blocks."""
+
+    def listed(score: np.ndarray, at: np.ndarray, ids: np.ndarray, of: np.ndarray) -> np.ndarray:
+        at = at[np.lexsort((ids[at], -score[at]))]
+        by = np.argsort(of[at], kind="stable")
+        group = of[at][by]
+        nth = np.empty(len(at), dtype=np.int64)
+        nth[by] = np.arange(len(at)) - np.searchsorted(group, group)
+        return at[nth < per_work][:k]
+
+    def pick(score: np.ndarray, ids: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        i, j = _first(FIRST)(score, ids, of)
+        edges = np.searchsorted(i, np.arange(len(score) + 1))
+        found = []
+        for one, (a, b) in enumerate(zip(edges, edges[1:])):
+            best = listed(score[one], j[a:b], ids, of)
+            if len(best) < k and b - a < len(ids):
+                best = listed(score[one], np.flatnonzero(score[one] > -np.inf), ids, of)
+            found.append(best)
+        return np.repeat(np.arange(len(score)), list(map(len, found))), np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
+
+    return pick
+
+
+def similarities(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, digits: int | None = 9) -> DataFrame:
+    """(q, doc, score): the stated queries against every other row, all pairs, for ranks among all; `nearest` is the one for a few."""
+    return in_blocks(vectors, queries, id_col, vec_col, _every, digits=digits).select("q", "doc", "score")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int, exclude_work: str | None = None, digits: int | None = 9) -> DataFrame:
+    """(q, doc, score, rank): the k best other rows of each query, the smaller id on a tie; with `exclude_work` of other works only."""
+    return top(in_blocks(vectors, queries, id_col, vec_col, _first(k), exclude_work, bool(exclude_work), digits).select("q", "doc", "score"), k)
 
 
 def passage_search(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, work: str, k: int = TOP, per_work: int = PER_WORK) -> DataFrame:
     """(q, doc, work, score, rank): passages like each query's, at most `per_work` of a work."""
-    return _diverse(best_in_blocks(vectors, queries, id_col, vec_col, work, per_work), k, per_work)
+    return _diverse(in_blocks(vectors, queries, id_col, vec_col, _first_diverse(k, per_work), work), k, per_work)
 
 
 def _diverse(found: DataFrame, k: int, per_work: int) -> DataFrame:

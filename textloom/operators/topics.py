@@ -22,7 +22,7 @@ def class_tfidf(tf: DataFrame, labels: DataFrame, k: int, topn: int = TOP_TERMS,
     n = f.groupBy("label").agg(F.sum("f").alias("n"))
     total = f.groupBy("term").agg(F.sum("f").alias("total"))
     a = n.agg((F.sum("n") / max(k, 1)).alias("a"))
-    rows = f.join(total.where(F.col("total") >= min_total), "term").join(F.broadcast(n), "label").crossJoin(F.broadcast(a))
+    rows = f.join(total.where(F.col("total") >= min_total), "term").join(n, "label").crossJoin(F.broadcast(a))
     scored = rows.withColumn("score", F.col("f") / F.col("n") * F.log(1 + F.col("a") / F.col("total")))
     order = Window.partitionBy("label").orderBy(F.desc("score"), "term")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= topn).select("label", "term", "score", "rank")
@@ -46,7 +46,7 @@ def centroids(vectors: DataFrame, vec_col: str) -> DataFrame:
 
 def representatives(vectors: DataFrame, vec_col: str, top: int = 3) -> DataFrame:
     """(label, doc, rank, score): the passages with the largest product with their topic's mean."""
-    rows = vectors.join(F.broadcast(centroids(vectors, vec_col)), "label").select("label", "doc", dot(F.col(vec_col), F.col("c")).alias("score"))
+    rows = vectors.join(centroids(vectors, vec_col), "label").select("label", "doc", dot(F.col(vec_col), F.col("c")).alias("score"))
     order = Window.partitionBy("label").orderBy(F.desc(F.round("score", 9)), "doc")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 

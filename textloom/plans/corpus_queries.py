@@ -194,15 +194,28 @@ _DOT = "list_sum(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS D
 _SIMS = f"(SELECT a.vec_id AS q, b.vec_id AS doc, b.label AS work, a.label AS own, round({_DOT}, 9) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)"
 
 
-def _sims(spark: SparkSession, sf_dir: str, exclude: str | None = None) -> DataFrame:
+_ALL_SIMS = _SIMS.replace(" WHERE a.vec_id % 20 = 0", "")
+
+
+def _sims(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    rows = search.similarities(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding", exclude)
-    return rows.withColumn("score", F.round("score", 9))
+    return search.similarities(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding")
+
+
+def _near(spark: SparkSession, sf_dir: str, k: int, exclude: str | None = None) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return search.nearest(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding", k, exclude)
+
+
+def _near_all(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """Every row's k nearest."""
+    e = table(spark, sf_dir, "embeddings")
+    return search.nearest(e, e, "vec_id", "embedding", k)
 
 
 @query("jon_nearest", f"SELECT q, doc, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc) AS r FROM {_SIMS}) WHERE r <= 10")
 def jon_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.top(_sims(spark, sf_dir), 10).select("q", "doc", "rank")
+    return _near(spark, sf_dir, 10).select("q", "doc", "rank")
 
 
 _DIVERSE = f"SELECT q, doc, CAST(r AS INT) AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc) AS r FROM (SELECT *, row_number() OVER (PARTITION BY q, work ORDER BY score DESC, doc) AS nth FROM {_SIMS}) WHERE nth <= 2) WHERE r <= 12"
@@ -217,7 +230,7 @@ def vec_passage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("jon_other_works", f"SELECT q, doc, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc) AS r FROM {_SIMS} WHERE work <> own) WHERE r <= 6")
 def jon_other_works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.top(_sims(spark, sf_dir, "label"), 6).select("q", "doc", "rank")
+    return _near(spark, sf_dir, 6, "label").select("q", "doc", "rank")
 
 
 @query("win_diversify", f"SELECT q, doc, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc) AS r FROM (SELECT *, row_number() OVER (PARTITION BY q, work ORDER BY score DESC, doc) AS nth FROM {_SIMS} WHERE work <> 3) WHERE nth <= 2) WHERE r <= 12")
@@ -240,7 +253,7 @@ def vec_quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", F.posexplode(vectors.quantize(F.col("embedding"), F.col("s"))).alias("i", "code")).withColumn("i", (F.col("i") + 1).cast("long"))
 
 
-@query("snk_f16_round_trip")
+@query("snk_f16_round_trip", "SELECT vec_id, TRUE AS near FROM embeddings")
 def snk_f16_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     back = vectors.from_f16(vectors.to_f16(F.col("embedding")))
@@ -262,15 +275,14 @@ def vec_lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     mean, basis, _ = vectors.components(e, "embedding", 64)
     z = e.select("vec_id", vectors.project(F.col("embedding"), mean, basis, unit=False).alias("z"))
-    rows = search.similarities(z, z.where("vec_id % 20 = 0"), "vec_id", "z")
-    return search.top(rows.withColumn("score", F.round("score", 6)), 10).select("q", "doc", "rank")
+    return search.nearest(z, z.where("vec_id % 20 = 0"), "vec_id", "z", 10, digits=6).select("q", "doc", "rank")
 
 
 @query("agg_compression_loss")
 def agg_compression_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What 8-bit and half-precision codes of 32 and 64 dimensions keep of the neighbours."""
     e = table(spark, sf_dir, "embeddings")
-    base = scratch(search.top(_sims(spark, sf_dir), 50), "base")
+    base = scratch(_near(spark, sf_dir, 50), "base")
     out = None
     for dims in (32, 64):
         mean, basis, _ = vectors.components(e, "embedding", dims)
@@ -279,7 +291,7 @@ def agg_compression_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
         z = z.withColumn("codes", vectors.quantize(F.col("v"), F.col("s"))).withColumn("back", F.transform("codes", lambda q: q.cast("double")))
         for name, v in (("float16", vectors.unit(F.col("h"))), ("int8_row", vectors.unit(F.col("back")))):
             coded = scratch(z.select("vec_id", v.alias("v")), "coded")
-            other = scratch(search.top(search.similarities(coded, coded.where("vec_id % 20 = 0"), "vec_id", "v"), 50), "other")
+            other = scratch(search.nearest(coded, coded.where("vec_id % 20 = 0"), "vec_id", "v", 50), "other")
             row = vectors.loss(base, other).select(F.lit(dims).alias("dims"), F.lit(name).alias("dtype"), F.lit(dims * (2 if name == "float16" else 1)).alias("bytes"), *[F.round(c, 4).alias(c) for c in ("recall10", "top1", "tau")])
             out = row if out is None else out.unionByName(row)
     return out
@@ -337,7 +349,10 @@ def vec_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("vec_ward")
 def vec_ward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ward clusters of each label's vectors in blocks of a few hundred."""
+    """Ward clusters of each label's vectors in blocks of a thousand ids: each block has a tree of its own, and labels of two blocks are not comparable.
+
+    A tree takes the square of its rows, so one over a whole large table is not for it; `clusters.kmeans` is.
+    """
     e = table(spark, sf_dir, "embeddings").withColumn("block", F.concat_ws("-", "label", F.floor(F.col("vec_id") / 1000).cast("string")))
     return clusters.grouped_labels(e, "block", "vec_id", "embedding", 4)
 
@@ -355,12 +370,11 @@ def win_partner_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sims(spark, sf_dir).withColumn("rank", F.row_number().over(by)).where(F.col("doc") == F.col("q") + 1).select("q", "rank")
 
 
-@query("win_genre_mismatch", f"WITH t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc) AS r FROM {_SIMS}) WHERE r <= 6), g AS (SELECT q, work % 3 AS g, count(*) AS n, min(r) AS f FROM t GROUP BY ALL), b AS (SELECT q, g, n FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY n DESC, f) AS k FROM g) WHERE k = 1) SELECT q, CAST(g AS INT) AS neighbour_genre, g <> label % 3 AND n >= 4 AS mismatch FROM b JOIN embeddings ON vec_id = q")
+@query("win_genre_mismatch", f"WITH t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc) AS r FROM {_ALL_SIMS}) WHERE r <= 6), g AS (SELECT q, work % 3 AS g, count(*) AS n, min(r) AS f FROM t GROUP BY ALL), b AS (SELECT q, g, n FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY n DESC, f) AS k FROM g) WHERE k = 1) SELECT q, CAST(g AS INT) AS neighbour_genre, g <> label % 3 AND n >= 4 AS mismatch FROM b JOIN embeddings ON vec_id = q")
 def win_genre_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     works = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 3).alias("genre"))
-    near = search.top(_sims(spark, sf_dir), 6)
-    m = clusters.mismatches(near, works, "vec_id", "genre")
-    return m.where("q % 20 = 0").select("q", F.col("neighbour_genre").cast("int").alias("neighbour_genre"), "mismatch")
+    near = _near_all(spark, sf_dir, 6)
+    return clusters.mismatches(near, works, "vec_id", "genre").select("q", F.col("neighbour_genre").cast("int").alias("neighbour_genre"), "mismatch")
 
 
 @query("agg_cluster_calibration")
@@ -384,7 +398,7 @@ def met_works_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     mean, basis, _ = vectors.components(e, "embedding", 2, center=True)
     xy = e.select(F.col("vec_id").alias("q"), vectors.project(F.col("embedding"), mean, basis, unit=False).alias("z"), text.period(F.lit(1930) + F.col("label") * 3).alias("pd"))
     labels = clusters.kmeans(e, "vec_id", "embedding", 8).select(F.col("id").alias("q"), F.col("label").alias("cl"))
-    near = search.top(_sims(spark, sf_dir), 6)
+    near = scratch(_near_all(spark, sf_dir, 6), "near")
     nb = near.groupBy("q").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc"))), lambda s: s["doc"]).alias("nb"))
     mm = clusters.mismatches(near, e, "vec_id", "label").select("q", "mismatch")
     return xy.join(labels, "q").join(nb, "q").join(mm, "q").select("q", F.round(F.get("z", F.lit(0)), 3).alias("x"), F.round(F.get("z", F.lit(1)), 3).alias("y"), "cl", "nb", "mismatch", "pd")
@@ -502,14 +516,12 @@ def agg_community_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("vec_mention_graph")
 def vec_mention_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The driver: communities of the works of each language, by names they share."""
-    docs = _docs(spark, sf_dir)
-    w = mentions.weights(_names(spark, sf_dir))
-    lang = docs.select(F.col("doc_id").alias("doc"), "lang")
-    edge = mentions.edges(w).join(lang.withColumnRenamed("doc", "a"), "a").join(lang.select(F.col("doc").alias("b"), F.col("lang").alias("lb")), "b").where("lang = lb")
-    got = mentions.communities(edge.select("lang", "a", "b", "w"), lang.select("lang", F.col("doc").alias("node")), "lang")
-    sizes = got.groupBy("grp", "community").agg(F.count(F.lit(1)).alias("size"))
-    return got.join(sizes, ["grp", "community"]).where("size >= 3").select(F.col("node").alias("doc"), F.col("grp").alias("lang"), "community", "size")
+    """The driver: communities of all works by names they share, of three works at least."""
+    edge = mentions.edges(mentions.weights(_names(spark, sf_dir)))
+    nodes = _docs(spark, sf_dir).select(F.col("doc_id").alias("node"))
+    got = scratch(mentions.communities_in_rounds(edge, nodes), "communities")
+    sizes = got.groupBy("community").agg(F.count(F.lit(1)).alias("size"))
+    return got.join(sizes, "community").where("size >= 3").select(F.col("node").alias("doc"), "community", "size")
 
 
 # --- time ---------------------------------------------------------------------------------
@@ -551,14 +563,14 @@ def jon_near_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changepoint.near(points, values(spark, [(1931,), (1938,), (1946,), (1950,)], "y int"), "t", "y").select("o_orderkey", "y")
 
 
-@query("vec_change_driver")
+@query("vec_change_driver", f"SELECT grp, CAST(i AS INT) AS \"index\", CAST(t AS INT) AS t FROM {sql_values([('all', 30, 30), ('all', 70, 70)], 'grp, i, t')}")
 def vec_change_driver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily means of event types, standardised, on their principal components, with change points."""
-    wide = _days(spark, sf_dir).groupBy("t").pivot("grp").agg(F.first("x"))
+    """Series side by side, standardised, on their principal components, with change points of all of them together; two are planted."""
+    wide = values(spark, _steps(), "grp string, t int, x double").groupBy("t").pivot("grp", ["step", "noise"]).agg(F.first("x"))
+    wide = wide.withColumn("echo", F.col("step") * 0.5 + F.col("noise") * 0.1)
     cols = [c for c in wide.columns if c != "t"]
-    z = changepoint.principal_series(clusters.standardize(wide.na.fill(0.0), cols), "t", cols)
-    pcs = [c for c in z.columns if c != "t"]
-    return changepoint.change_points(z.withColumn("grp", F.lit("all")), "grp", "t", pcs)
+    z = changepoint.principal_series(clusters.standardize(wide, cols), "t", cols)
+    return changepoint.change_points(z.withColumn("grp", F.lit("all")), "grp", "t", [c for c in z.columns if c != "t"])
 
 
 # --- retrieval metrics --------------------------------------------------------------------
@@ -597,10 +609,14 @@ def agg_index_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.ranked_quantiles(_docs(spark, sf_dir), "n_chars", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
 
 
-@query("agg_anti_leak", "SELECT item_id, CAST(count(*) AS BIGINT) AS n FROM benchmark JOIN documents ON contains(documents.text, substr(benchmark.text, 1, 60)) GROUP BY 1")
+_WORDS = "regexp_extract_all(text, '[^ \\t\\n\\r]+')"
+
+
+@query(
+    "agg_anti_leak",
+    f"WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark), i AS (SELECT DISTINCT item_id, w[k:k + least(len(w), 8) - 1] AS g FROM b, range(1, 100000) AS r(k) WHERE len(w) > 0 AND k <= greatest(len(w) - 7, 1)), d AS (SELECT doc_id, {_WORDS} AS w FROM documents), n AS (SELECT DISTINCT len(g) AS n FROM i), s AS (SELECT DISTINCT doc_id, w[k:k + n - 1] AS g FROM d, n, LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS k)) SELECT item_id, CAST(count(DISTINCT doc_id) AS BIGINT) AS n FROM i JOIN s USING (g) GROUP BY 1",
+)
 def agg_anti_leak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold the opening of an evaluation item, by an equi-join on 20-character shingles before the exact test."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("head"), F.substring("text", 1, 20).alias("g"))
-    grams = _docs(spark, sf_dir).select("doc_id", "text", F.explode(text.grams(F.col("text"), 20)).alias("g"))
-    short = grams.join(F.broadcast(items), "g").where(F.contains("text", "head"))
-    return short.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n"))
+    """Documents that share any run of 8 words with an evaluation item; the whole of an item of fewer."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    return mentions.shared_runs(table(spark, sf_dir, "benchmark"), docs, 8).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n"))

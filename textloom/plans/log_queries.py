@@ -221,11 +221,12 @@ def jon_semi_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(keys, "doc_id", "left_semi").withColumn("labelled", F.lit(True)).union(d.join(keys, "doc_id", "left_anti").withColumn("labelled", F.lit(False)))
 
 
-@query("jon_paragraph_passage", "SELECT conv_id, p, max(k) AS passage FROM (SELECT conv_id, turn AS k, unnest(range(turn, turn + 3)) AS p FROM conversations) WHERE p < 6 GROUP BY ALL")
+@query("jon_paragraph_passage", "SELECT conv_id, p, max(k) AS passage FROM (SELECT conv_id, turn AS k, unnest(range(turn, turn + 3)) AS p FROM conversations) JOIN (SELECT conv_id, max(turn) AS final FROM conversations GROUP BY 1) USING (conv_id) WHERE p <= final GROUP BY ALL")
 def jon_paragraph_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs to passages whose spans hold them; the later passage wins."""
     spans = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("k"), F.explode(F.sequence(F.col("turn"), F.col("turn") + 2)).alias("p"))
-    return spans.where("p < 6").groupBy("conv_id", "p").agg(F.max("k").alias("passage"))
+    final = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("final"))
+    return spans.join(final, "conv_id").where("p <= final").groupBy("conv_id", "p").agg(F.max("k").alias("passage"))
 
 
 @query("win_time_order", "SELECT CAST(count(*) FILTER (ts < before) AS BIGINT) AS back, bool_and(first_id = event_id OR n > 1) AS starts FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS before, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, first_value(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS first_id FROM events)")
@@ -241,7 +242,7 @@ def win_repair_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     budget = e.groupBy("event_type").agg((F.count(F.lit(1)) % 7).cast("int").alias("budget"))
     nth = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("event_id"))
-    return e.withColumn("nth", nth).join(F.broadcast(budget), "event_type").where("nth <= budget").select("event_id")
+    return e.withColumn("nth", nth).join(budget, "event_type").where("nth <= budget").select("event_id")
 
 
 @query("win_prefix_sums", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS s FROM events")
@@ -281,9 +282,9 @@ def set_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.join(nxt, "doc_id").select("doc_id", F.round(jaccard(F.col("w"), F.col("v")), 6).alias("j"))
 
 
-@query("set_union_ids", "SELECT doc_id FROM documents WHERE doc_id % 3 = 0 UNION SELECT doc_id FROM labels")
+@query("set_union_ids", "SELECT doc_id FROM documents UNION SELECT doc_id FROM labels")
 def set_union_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select("doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id")
     return d.union(table(spark, sf_dir, "labels").select("doc_id")).distinct()
 
 

@@ -93,15 +93,19 @@ def txt_parse_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINES = "(SELECT doc_id, i AS n, string_split(text, chr(10))[i] AS line FROM documents, range(1, len(string_split(text, chr(10))) + 1) AS r(i))"
 
 
+_SCRIPTS = [(-1, "plain\nПривет"), (-2, "한국어 and Ж"), (-3, "a bell \x07 here\nnone"), (-4, "Ж text-hygiene:allow"), (-5, "é ß 日本")]
+_HYGIENE_LINES = _LINES.replace("FROM documents,", f"FROM (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM {sql_values(_SCRIPTS, 'doc_id, text')}),")
+
+
 @query(
     "txt_hygiene",
-    f"SELECT doc_id, n, kind FROM (SELECT doc_id, n, unnest(list_filter([CASE WHEN regexp_matches(line, '[\\x{{0400}}-\\x{{052F}}]') THEN 'cyrillic' END, CASE WHEN regexp_matches(line, '[\\x{{AC00}}-\\x{{D7A3}}\\x{{1100}}-\\x{{11FF}}\\x{{3130}}-\\x{{318F}}]') THEN 'hangul' END, CASE WHEN regexp_matches(line, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]') THEN 'control' END, CASE WHEN regexp_matches(line, 'ß') THEN 'probe' END], lambda x: x IS NOT NULL)) AS kind FROM {_LINES} WHERE NOT contains(line, 'text-hygiene:allow'))",
+    f"SELECT doc_id, n, kind FROM (SELECT doc_id, n, unnest(list_filter([CASE WHEN regexp_matches(line, '[\\x{{0400}}-\\x{{052F}}]') THEN 'cyrillic' END, CASE WHEN regexp_matches(line, '[\\x{{AC00}}-\\x{{D7A3}}\\x{{1100}}-\\x{{11FF}}\\x{{3130}}-\\x{{318F}}]') THEN 'hangul' END, CASE WHEN regexp_matches(line, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]') THEN 'control' END], lambda x: x IS NOT NULL)) AS kind FROM {_HYGIENE_LINES} WHERE NOT contains(line, 'text-hygiene:allow'))",
 )
 def txt_hygiene(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flags of every line; the letter ß stands in as a probe, for the tables hold none of the scripts."""
-    rows = hygiene.numbered_lines(table(spark, sf_dir, DOCS), "text", "doc_id")
-    probe = F.array_compact(F.array(F.when(F.col("line").contains("ß") & ~F.col("line").contains(hygiene.ALLOW), F.lit("probe"))))
-    return rows.select("doc_id", F.col("n").cast("long").alias("n"), F.explode(F.concat(hygiene.line_flags(F.col("line")), probe)).alias("kind"))
+    """Flags of every line of all documents and of a few planted ones, for the tables hold none of the scripts."""
+    docs = table(spark, sf_dir, DOCS).select("doc_id", "text").unionByName(values(spark, _SCRIPTS, "doc_id long, text string"))
+    rows = hygiene.numbered_lines(docs, "text", "doc_id")
+    return rows.select("doc_id", F.col("n").cast("long").alias("n"), F.explode(hygiene.line_flags(F.col("line"))).alias("kind"))
 
 
 @query(
