@@ -192,18 +192,64 @@ def test_keys_meet_every_near_pair(spark):
     assert all(frozenset(p) in met for p in zip(a, b))
 
 
+def slow_shingles(text):
+    w = WORD.findall((text or "").translate(LOWER))
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def slow_near(texts):
+    """The component of each text, linked by fingerprints or by shared runs of five words."""
+    prints, sets = [slow_fingerprint(t) for t in texts], [slow_shingles(t) for t in texts]
+
+    def near(i, j):
+        both = len(sets[i] & sets[j])
+        return (prints[i] ^ prints[j]).bit_count() <= 4 or (both > 0 and 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both))
+
+    links = [[j for j in range(len(texts)) if near(i, j)] for i in range(len(texts))]
+    label = list(range(len(texts)))
+    while (new := [min(label[j] for j in row) for row in links]) != label:
+        label = new
+    return label
+
+
+def stay(rows):
+    """The (is null, id) that stay of rows (id, text)."""
+    groups = {}
+    for (i, _), c in zip(rows, slow_near([t for _, t in rows])):
+        groups.setdefault(c, []).append((i is None, i))
+    return Counter(min(g) for g in groups.values())
+
+
 def test_one_row_of_each_group_stays(docs, none):
     kept = [(r.doc_id, r.text) for r in simhash.deduplicate(docs).collect()]
-    prints = [slow_fingerprint(t) for _, t, *_ in corpus()]
-    comp = slow_components(prints)
-    label = {}
-    for (i, t, *_), c in zip(corpus(), comp):
-        label.setdefault(c, []).append((i is None, i, t))
-    want = Counter(min(x[:2] for x in g) for g in label.values())
-    assert Counter((i is None, i) for i, _ in kept) == want
+    assert Counter((i is None, i) for i, _ in kept) == stay([(i, t) for i, t, *_ in corpus()])
     assert simhash.deduplicate(clashing(docs)).columns == clashing(docs).columns and simhash.deduplicate(none).count() == 0
 
 
+def test_near_copies_of_all_degrees(spark):
+    """Edits of 1 to 12 words spread over texts, a chain of edits, a text within a longer one, short texts and a very long one."""
+    rnd = random.Random(31)
+    texts = [None, "", "one two", "One Two", "one two three", "a b c d e", "a b c d f"]
+    for k in range(1, 13):
+        w = prose(rnd, 150).split()
+        e = list(w)
+        for at in rnd.sample(range(len(w)), k):
+            e[at] = "edit%d" % at
+        texts += [" ".join(w), " ".join(e)]
+    w = prose(rnd, 200).split()
+    for step in range(15):  # each is near the one before, the ends are not
+        w[step * 12] = "x%d" % step
+        texts.append(" ".join(w))
+    w = prose(rnd, 400).split()
+    texts += [" ".join(w), " ".join(w[:330]), " ".join(w[:300]), " ".join(w + w[:40] * 20)]
+    w = prose(rnd, 60_000).split()
+    texts += [" ".join(w), " ".join(w[3000:]), " ".join(w[25_000:])]
+    rows = list(enumerate(texts))
+    rnd.shuffle(rows)
+    got = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((r.doc_id is None, r.doc_id) for r in got.collect()) == stay(rows)
+
+
 def test_a_repeated_or_null_id_costs_no_text(spark):
     rnd = random.Random(12)
     a, b, c = (prose(rnd, 50) for _ in range(3))
@@ -865,8 +911,7 @@ def test_pipeline_stages(spark, tmp_path):
             judged = classifier.classify(spark.createDataFrame(before, docs.schema), spark.read.parquet(f"{sf}/labels.parquet")).where("kept")
             assert Counter(r.doc_id for r in judged.collect()) == Counter(k for k, _ in after.elements()) and not after - had
         elif name == "near-duplicates":
-            prints = [slow_fingerprint(r.text) for r in before]
-            comp = slow_components(prints)
+            comp = slow_near([r.text for r in before])
             where = {key(r): c for r, c in zip(before, comp)}
             assert sorted(where[k] for k in after.elements()) == sorted(set(comp)) and not after - had
             ids = {}

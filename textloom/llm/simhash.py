@@ -32,6 +32,11 @@ RADIUS = 4
 SHINGLE = 4
 SEED = 42
 PIVOTS = 16
+#: Runs of words whose sets say which texts are near copies, and the least similarity, as a fraction.
+WORDS = 5
+SIMILARITY = (4, 5)
+#: Keys of a text and what each is made of: a pair of similarity 0.8 shares none with chance 0.0008.
+BANDS, ROWS = 18, 5
 #: Rows compared with rows at a time.
 BLOCK = 1024
 #: The most fingerprints for which so many blocks keep a bucket's chance share at a few dozen.
@@ -208,17 +213,124 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, F.col("fp") == F.col(f"{TMP}fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_hashes(text: str | None) -> np.ndarray:
+    """The distinct hashes of a text's lower-cased runs of WORDS words, or of all its words if fewer; none for a text without words."""
+    w = low_words(text)
+    if not w:
+        return np.zeros(0, dtype=np.uint64)
+    grams = map(b" ".join, zip(*(w[i:] for i in range(WORDS)))) if len(w) >= WORDS else [b" ".join(w)]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), dtype=np.uint64))
+
+
+_TURN = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) << np.uint64(20)) | np.uint64(1)
+
+
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set of hashes, each made of the least of ROWS scramblings; sets of similarity s share one with chance s ** ROWS."""
+    if not len(h):
+        return np.zeros(0, dtype=np.int64)
+    least = np.full(len(_TURN), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(h), 2048):
+        turned = h[at : at + 2048, None] * _TURN[None, :]
+        least = np.minimum(least, (turned ^ (turned >> np.uint64(31))).min(axis=0))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for r in range(ROWS):
+        key = mix64(key * np.uint64(31) + least[r::ROWS])
+    return key.view(np.int64)
+
+
+def _signatures(text: Column) -> Column:
+    """(fp, digest, keys) of each text: its fingerprint, what tells different word sequences apart, and its band keys."""
+    kind = pa.struct([("fp", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64()))])
+
+    def run(texts: pa.Array) -> pa.Array:
+        parts = []
+        for low in range(0, len(texts), 512):
+            some = texts.slice(low, 512).to_pylist()
+            fp = np.array([fingerprint(t) for t in some], dtype=np.uint64).view(np.int64)
+            digest = [xxhash.xxh3_128_digest(b" ".join(low_words(t))) for t in some]
+            keys = pa.array([band_keys(shingle_hashes(t)) for t in some], pa.list_(pa.int64()))
+            parts.append(pa.StructArray.from_arrays([pa.array(fp), pa.array(digest, pa.binary()), keys], fields=list(kind)))
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    return F.arrow_udf(run, "fp long, digest binary, keys array<long>").asNondeterministic()(text)
+
+
+def _hash_sets(text: Column) -> Column:
+    """The shingle hashes of each text, as an array."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_hashes(t.as_py()).view(np.int64) for t in texts], pa.list_(pa.int64()))
+
+    return F.arrow_udf(run, "array<long>").asNondeterministic()(text)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (a, b) of roots, for the pairs (row_a, row_b, a, b) of texts whose shingles are alike by SIMILARITY or more."""
+    x, y = sets.select(F.col(ROW).alias("row_a"), F.col("set").alias("set_a")), sets.select(F.col(ROW).alias("row_b"), F.col("set").alias("set_b"))
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    either = F.size("set_a") + F.size("set_b") - both
+    # In whole numbers, so that a similarity of exactly 4 / 5 is in.
+    return pairs.join(x, "row_a").join(y, "row_b").where(SIMILARITY[1] * both >= SIMILARITY[0] * either).select("a", "b").distinct()
+
+
+def _merged(named: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """`named`, whose `root` becomes the least root that `edges` connect it with."""
+    to = components(edges).select(F.col("node").alias("root"), "component")
+    return store(named.join(to, "root", "left").select(*[F.coalesce("component", "root").alias(c) if c == "root" else c for c in named.columns]), name)
+
+
+def _alike(rows: DataFrame, text: Column, posts: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect all roots with texts alike that share a band key; `posts` (stored) holds (key, root, row) of distinct texts.
+
+    A key whose texts all have one root is left alone. For each other key, a text of each
+    root is first compared with one of a single root, so that a large group in many parts
+    comes together; then every text outside the key's largest root is compared with
+    all texts of other roots, so no pair within the largest is made, and none that is not connected is passed over.
+    """
+    mixed = posts.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
+    posts = store(posts.join(store(mixed.select("key"), "mixed"), "key"), "posts")
+    needed = store(posts.select(F.col("row").alias(f"{TMP}asked")).distinct(), "needed")
+    kept = rows.join(needed.hint("merge"), F.col(ROW) == F.col(f"{TMP}asked"), "left_semi")
+    sets = store(kept.select(ROW, _hash_sets(text).alias("set")), "sets")
+
+    one = store(posts.groupBy("key", "root").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n")), "one")
+    centre = store(one.groupBy("key").agg(F.max_by(F.struct("root", "row"), F.struct("n", "root")).alias("c")), "centre")
+    star = one.join(centre, "key").where("root != c.root").select(F.col("row").alias("row_a"), F.col("c.row").alias("row_b"), F.col("root").alias("a"), F.col("c.root").alias("b"))
+    first = store(_verified(star.distinct(), sets), "first")
+
+    posts = _merged(posts, first, "posts")
+    counts = store(posts.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")), "counts")
+    top = store(counts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1"), "top")
+    headed = store(posts.join(top.select("key", "top"), "key"), "headed")
+    x, y = headed.where("root != top").alias("x"), headed.alias("y")
+    apart = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.top")) | (F.col("x.root") < F.col("y.root")))
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & apart)
+    rest = rest.select(F.col("x.row").alias("row_a"), F.col("y.row").alias("row_b"), F.col("x.root").alias("a"), F.col("y.root").alias("b"))
+    return first.unionByName(_verified(rest.distinct(), sets))
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: Column | None = None) -> DataFrame:
     """`docs` with one row of each component: that of the least id, a null id coming last, any one of those that repeat it.
 
+    Texts are linked if their fingerprints are at most RADIUS bits apart or if the
+    sets of their runs of WORDS words are alike by SIMILARITY or more. 64 bits do not tell
+    the latter from less, so band keys bring those pairs together that fingerprints
+    have not connected, and the sets decide. Texts of fewer words are one run.
+
     Rows are told apart by `row` (see `told_apart`), so a text stays even if its id
     repeats, and rows with null ids are compared like any others. Null, empty and
     long texts and empty tables are as in `near_duplicates`; columns may have any names.
     """
     rows = told_apart(docs, row, "documents")
     own = F.struct(F.col(id_col).isNull().alias("void"), F.col(id_col).cast("long").alias("id"), F.col(ROW).alias("row"))
-    prints = store(rows.select(fingerprints(F.col(text_col)).alias("fp"), own.alias("own")), "prints")
-    least = store(prints.groupBy("fp").agg(F.min("own").alias("least")), "distinct")
-    stays = store(_rooted(least).select(F.col("first.row").alias(f"{TMP}stays")).distinct(), "stays")
+    prints = store(rows.select(_signatures(F.col(text_col)).alias("s"), own.alias("own")).select("s.*", "own"), "prints")
+    texts = store(prints.groupBy("digest", "fp").agg(F.min_by("keys", "own").alias("keys"), F.min("own").alias("own")), "texts")
+    roots = components(links(texts.select("fp").distinct()))
+    named = texts.join(roots, texts["fp"] == roots["node"], "left").select("own", "keys", F.coalesce("component", "fp").alias("root"))
+    named = store(named, "named")
+    posts = store(named.select(F.explode("keys").alias("key"), "root", F.col("own.row").alias("row")), "posts")
+    named = _merged(named.select("own", "root"), _alike(rows, F.col(text_col), posts), "merged")
+    stays = store(named.groupBy("root").agg(F.min("own").alias("first")).select(F.col("first.row").alias(f"{TMP}stays")), "stays")
     # As many rows as texts that stay: never to be broadcast, at any size.
     return rows.join(stays.hint("merge"), F.col(ROW) == F.col(f"{TMP}stays"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
