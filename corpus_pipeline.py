@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the least id."""
+    """One document of each group of near-duplicates, by fingerprints or by runs of five words alike by 0.8, that of the least id."""
     return simhash.deduplicate(docs, row=place_in_file())
 
 
