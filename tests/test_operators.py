@@ -175,3 +175,19 @@ def test_registry_needs_no_session():
 
     code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
     assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1]).returncode == 0
+
+
+def test_ward_of_a_whole_table(spark):
+    """Planted clusters of unequal size, over rows and over centroids; a weighted row counts as its points."""
+    rng = np.random.default_rng(3)
+    truth = np.repeat(np.arange(4), (10, 20, 30, 60))
+    x = rng.normal(0, 0.2, (120, 5)) + 8 * np.eye(5)[truth]
+    rows = [(int(i) * 7, x[i].tolist()) for i in range(120)] + [(999, None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    for cells in (200, 12):
+        got = {r.id: r.label for r in clusters.ward(df, "id", "v", 4, cells).collect()}
+        assert got == {i * 7: int(truth[i]) for i in range(120)}
+    assert clusters.ward(df.limit(0), "id", "v", 4).count() == 0
+    y = np.array([[0.0], [1.0], [5.0]])
+    spread = np.repeat(y, (1, 3, 2), axis=0)
+    assert np.allclose([m[2] for m in clusters.ward_tree(spread)][-2:], [m[2] for m in clusters.ward_tree(y, np.array([1, 3, 2]))])

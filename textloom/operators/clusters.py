@@ -68,13 +68,14 @@ def lloyd(x: np.ndarray, k: int, seed: int = SEED, iters: int = 300) -> np.ndarr
     return labels
 
 
-def ward_tree(x: np.ndarray) -> list[tuple[int, int, float, int]]:
+def ward_tree(x: np.ndarray, weight: np.ndarray | None = None) -> list[tuple[int, int, float, int]]:
     """Merges (a, b, height, size) of Ward's method, by centroids: the cost of a merge is
     2 |A||B| / (|A| + |B|) times the squared distance of the centroids, and its root the height.
+    A row stands for `weight` points, by default one.
     """
     n = len(x)
-    at, size, name = x.astype(float).copy(), np.ones(n), np.arange(n)
-    cost = ((at[:, None] - at[None]) ** 2).sum(-1)
+    at, size, name = x.astype(float).copy(), np.ones(n) if weight is None else weight.astype(float).copy(), np.arange(n)
+    cost = 2 * np.outer(size, size) / np.maximum(size[:, None] + size[None], 1) * ((at[:, None] - at[None]) ** 2).sum(-1)
     np.fill_diagonal(cost, np.inf)
     merges = []
     for step in range(n - 1):
@@ -90,15 +91,43 @@ def ward_tree(x: np.ndarray) -> list[tuple[int, int, float, int]]:
     return merges
 
 
-def ward_labels(x: np.ndarray, k: int) -> np.ndarray:
+def ward_labels(x: np.ndarray, k: int, weight: np.ndarray | None = None) -> np.ndarray:
     """The tree cut into k clusters, numbered in the order in which their nodes were made."""
     n = len(x)
     root = np.arange(n)
-    for step, (a, b, _, _) in enumerate(ward_tree(x)[: max(0, n - k)]):
+    for step, (a, b, _, _) in enumerate(ward_tree(x, weight)[: max(0, n - k)]):
         root[(root == a) | (root == b)] = n + step
     return np.unique(root, return_inverse=True)[1]
 
 
+def ward(points: DataFrame, id_col: str, vec_col: str, k: int, cells: int = 256, seed: int = SEED) -> DataFrame:
+    """(id, label): Ward's clusters of a whole table, labels numbered by the least id in each.
+
+    `kmeans` first sums the table up in at most `cells` centroids with their sizes; one tree over
+    these, of bounded size, is cut into k clusters, and every row takes its centroid's.
+    A table of no more rows than `cells` has a tree over its rows. Rows without a vector take no part.
+    """
+    rows = points.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    schema = f"id {dict(rows.dtypes)['id']}, label int"
+    head = rows.limit(cells + 1).collect()
+    if len(head) <= cells:
+        if not head:
+            return rows.sparkSession.createDataFrame([], schema)
+        head.sort(key=lambda r: (r.id is None, r.id))
+        got = ward_labels(np.array([r.v for r in head], dtype=float), min(k, len(head))).tolist()
+        order = {c: i for i, c in enumerate(dict.fromkeys(got))}
+        return rows.sparkSession.createDataFrame([(r.id, order[c]) for r, c in zip(head, got)], schema)
+    cell = kmeans(rows, "id", "v", cells, seed, 20).withColumnRenamed("label", "cell")
+    at = cell.join(rows, "id").select("cell", F.posexplode("v")).groupBy("cell", "pos").agg(F.avg("col").alias("x"), F.count(F.lit(1)).alias("n"))
+    least = cell.groupBy("cell").agg(F.min("id").alias("first"))
+    sums = at.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("c"), F.first("n").alias("n")).join(least, "cell")
+    got = sums.orderBy("first").collect()  # `cells` rows at most
+    labels = ward_labels(np.array([[c.x for c in r.c] for r in got]), min(k, len(got)), np.array([r.n for r in got])).tolist()
+    order = {c: i for i, c in enumerate(dict.fromkeys(labels))}
+    named = rows.sparkSession.createDataFrame([(r.cell, order[c]) for r, c in zip(got, labels)], "cell int, label int")
+    return cell.join(F.broadcast(named), "cell").select("id", "label")
+
+
 def grouped_labels(points: DataFrame, group: str, id_col: str, vec_col: str, k: int, method: str = "ward") -> DataFrame:
     """(group, id, label): an exact clustering of every group by itself, one task per group.
 

@@ -349,12 +349,8 @@ def vec_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("vec_ward")
 def vec_ward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ward clusters of each label's vectors in blocks of a thousand ids: each block has a tree of its own, and labels of two blocks are not comparable.
-
-    A tree takes the square of its rows, so one over a whole large table is not for it; `clusters.kmeans` is.
-    """
-    e = table(spark, sf_dir, "embeddings").withColumn("block", F.concat_ws("-", "label", F.floor(F.col("vec_id") / 1000).cast("string")))
-    return clusters.grouped_labels(e, "block", "vec_id", "embedding", 4)
+    """Ward clusters of all vectors: one tree over centroids that sum up the whole table."""
+    return clusters.ward(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 4)
 
 
 @query("agg_adjusted_rand", "WITH c AS (SELECT lang AS a, quality AS b, CAST(count(*) AS DOUBLE) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL), s AS (SELECT sum(n * (n - 1) / 2) AS sij, sum(n) AS t FROM c), i AS (SELECT sum(n * (n - 1) / 2) AS si FROM (SELECT sum(n) AS n FROM c GROUP BY a)), j AS (SELECT sum(n * (n - 1) / 2) AS sj FROM (SELECT sum(n) AS n FROM c GROUP BY b)) SELECT round((sij - si * sj / (t * (t - 1) / 2)) / ((si + sj) / 2 - si * sj / (t * (t - 1) / 2)), 9) AS ari FROM s, i, j")
