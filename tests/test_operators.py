@@ -191,3 +191,70 @@ def test_ward_of_a_whole_table(spark):
     y = np.array([[0.0], [1.0], [5.0]])
     spread = np.repeat(y, (1, 3, 2), axis=0)
     assert np.allclose([m[2] for m in clusters.ward_tree(spread)][-2:], [m[2] for m in clusters.ward_tree(y, np.array([1, 3, 2]))])
+
+
+def test_postings_in_blocks(spark):
+    """A term of many documents is many rows, whose bytes in order are one list."""
+    from textloom.operators import search
+
+    rows = [("hot", d, d % 3 + 1) for d in range(0, 100, 3)] + [("rare", 7, 70000), ("even", 5, 1), ("even", 9, 2), ("even", 12, 1)]
+    tf = spark.createDataFrame(rows, "term string, doc long, tf long")
+    blocks = search.postings(tf, 3)
+    encoded = sinks.encode_postings(blocks).cache()
+    got = {(r.term, r.block): (r.df, r.base, [p.doc for p in r.postings]) for r in blocks.collect()}
+    assert got["hot", 0] == (34, 0, [0, 3, 6]) and got["hot", 11] == (34, 96, [99]) and ("hot", 12) not in got
+    assert got["even", 0] == (3, 0, [5, 9, 12]) and ("even", 1) not in got
+    assert sorted(map(tuple, sinks.decode_postings(encoded).collect())) == sorted((t, d, min(n, 65535)) for t, d, n in rows)
+    whole = b"".join(bytes(r.bytes) for r in encoded.where("term = 'hot'").orderBy("block").collect())
+    assert sinks.decode_varints(whole) == [34] + [x for d in range(0, 100, 3) for x in (3 if d else 0, d % 3 + 1)]
+    offsets = sinks.with_offsets(encoded).orderBy("term", "block").collect()
+    assert offsets[0].start == 0 and all(a.end == b.start for a, b in zip(offsets, offsets[1:]))
+
+
+def test_parallel_arrays_in_blocks(spark):
+    rows = [(i, None if i % 5 == 4 else f"w{i * i % 7}", i % 4) for i in range(23)]
+    got = sinks.parallel_arrays(spark.createDataFrame(rows, "i long, work string, p long"), "work", "i", ("p",), 6).orderBy("block").collect()
+    works, w, p = ([x for r in got for x in r[c]] for c in ("works", "w", "p"))
+    assert [r.block for r in got] == [0, 1, 2, 3] and max(len(r.w) for r in got) == 6
+    assert works == list(dict.fromkeys(r[1] for r in rows))
+    assert [works[k] for k in w] == [r[1] for r in rows] and p == [r[2] for r in rows]
+    assert sinks.parallel_arrays(spark.createDataFrame([], "i long, work string, p long"), "work", "i", ("p",)).count() == 0
+
+
+def test_gap_report_is_brute_force(spark):
+    from textloom.operators import pairs
+
+    rnd = random.Random(5)
+    for size, letters in ((25, "ab"), (25, "abcdefgh"), (1, "ab"), (0, "ab")):
+        rows = []
+        for i in rnd.sample(range(1000), size):
+            word = "".join(rnd.choice(letters) for _ in range(rnd.randint(3, 40)))
+            rows.append((i, 1, len(word), sorted({word[k : k + 4] for k in range(len(word) - 3)})))
+        both = [(x, y) for x in rows for y in rows if x[0] < y[0] and 0.6 < y[2] / x[2] < 1.7]
+        scores = [len(set(x[3]) & set(y[3])) / max(len(set(x[3]) | set(y[3])), 1) for x, y in both]
+        hit, miss = [s for s in scores if s >= 0.2], [s for s in scores if s < 0.2]
+        got = pairs.gap_report(spark.createDataFrame(rows, "a long, members long, len int, grams array<string>"), 0.2).collect()
+        assert [tuple(r) for r in got] == [(min(hit, default=None), max(miss, default=None), len(hit), len(both))]
+
+
+def test_compared_counts_every_pair(spark, monkeypatch):
+    from textloom.operators import pairs
+
+    monkeypatch.setattr(pairs, "BLOCK", 3)
+    rnd = random.Random(6)
+    for ratio in ((0.6, 1.7), (0.4, 1.2), (0.5, 2.0)):
+        rows = [(i, rnd.choice([1, 3, 5, 6, 10, 17, 20, 34, 59, 60, 100, 101, 168])) for i in rnd.sample(range(1000), 120)]
+        want = sum(ratio[0] < q / p < ratio[1] for a, p in rows for b, q in rows if a < b)
+        assert pairs.compared(spark.createDataFrame(rows, "a long, len int"), ratio).first()[0] == want
+
+
+def test_edges_are_all_cosines(spark):
+    rnd = random.Random(7)
+    raw = {d: {f"t{min(rnd.randint(0, 40), rnd.randint(0, 40))}": rnd.random() + 0.01 for _ in range(rnd.randint(1, 9))} for d in range(60)}
+    unit = {d: {t: x / sum(y * y for y in v.values()) ** 0.5 for t, x in v.items()} for d, v in raw.items()}
+    w = spark.createDataFrame([(d, t, x) for d, v in unit.items() for t, x in v.items()], "doc long, term string, w double")
+    cosine = {(a, b): sum(x * unit[b].get(t, 0) for t, x in unit[a].items()) for a in unit for b in unit if a < b}
+    for least in (0.08, 0.5, 0.9):
+        got = {(r.a, r.b): r.w for r in mentions.edges(w, least).collect()}
+        want = {k: x for k, x in cosine.items() if x >= least}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)

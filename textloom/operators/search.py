@@ -9,9 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.ranking import dense_ordinal, scratch
+
 # BM25 parameters, results of one work, results shown.
 K1, B = 1.2, 0.75
 PER_WORK, TOP = 2, 12
+#: Postings of one row.
+POSTINGS = 4096
 
 
 def term_frequencies(docs: DataFrame, id_col: str, terms: Column) -> DataFrame:
@@ -34,9 +38,18 @@ def document_frequencies(tf: DataFrame) -> DataFrame:
     return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def postings(tf: DataFrame) -> DataFrame:
-    """(term, df, postings): postings are (doc, tf) in order of doc."""
-    return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sort_array(F.collect_list(F.struct("doc", "tf"))).alias("postings"))
+def postings(tf: DataFrame, block: int = POSTINGS) -> DataFrame:
+    """(term, block, df, base, postings): postings are (doc, tf) in order of doc, in blocks of at most `block` from 0 on.
+
+    df is that of the whole term, and base the document before the block, 0 for the first.
+    A term of any length so is many rows; blocks in order are the whole list.
+    """
+    placed = scratch(dense_ordinal(tf.select("term", "doc", "tf"), [F.col("term"), F.col("doc")], "at"), "placed")
+    terms = scratch(placed.groupBy("term").agg(F.min("at").alias("start"), F.count(F.lit(1)).alias("df")), "terms")
+    rows = placed.join(terms, "term").withColumn("at", F.col("at") - F.col("start")).withColumn("block", F.floor(F.col("at") / block))
+    lists = rows.groupBy("term", "block").agg(F.first("df").alias("df"), F.sort_array(F.collect_list(F.struct("doc", "tf"))).alias("postings"))
+    last = rows.where(F.col("at") % block == block - 1).select("term", (F.col("block") + 1).alias("block"), F.col("doc").alias("base"))
+    return lists.join(last, ["term", "block"], "left").select("term", "block", "df", F.coalesce("base", F.lit(0)).alias("base"), "postings")
 
 
 def gaps(tf: DataFrame) -> DataFrame:

@@ -115,10 +115,10 @@ def agg_term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tf(spark, sf_dir)
 
 
-@query("agg_inverted_index", f"SELECT term, CAST(count(*) AS BIGINT) AS df, string_agg(doc || ':' || tf, ' ' ORDER BY doc) AS postings FROM {_TF} GROUP BY term")
+@query("agg_inverted_index", f"SELECT term, CAST(nth // 4096 AS BIGINT) AS block, any_value(df) AS df, string_agg(doc || ':' || tf, ' ' ORDER BY doc) AS postings FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY doc) - 1 AS nth, CAST(count(*) OVER (PARTITION BY term) AS BIGINT) AS df FROM {_TF}) GROUP BY ALL")
 def agg_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = search.postings(_tf(spark, sf_dir))
-    return p.select("term", "df", F.array_join(F.transform("postings", lambda s: F.concat_ws(":", s["doc"].cast("string"), s["tf"].cast("string"))), " ").alias("postings"))
+    return p.select("term", "block", "df", F.array_join(F.transform("postings", lambda s: F.concat_ws(":", s["doc"].cast("string"), s["tf"].cast("string"))), " ").alias("postings"))
 
 
 @query("win_posting_gaps", f"SELECT term, doc, doc - lag(doc, 1, 0) OVER (PARTITION BY term ORDER BY doc) AS gap FROM {_TF}")
@@ -304,12 +304,15 @@ def agg_kendall_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.kendall(a, b).withColumn("tau", F.round("tau", 6))
 
 
-@query("snk_parallel_arrays", "WITH w AS (SELECT label, row_number() OVER (ORDER BY min(vec_id)) - 1 AS w FROM embeddings GROUP BY 1) SELECT (SELECT string_agg(label, ',' ORDER BY w) FROM w) AS works, string_agg(w, ',' ORDER BY vec_id) AS w, string_agg(vec_id % 9, ',' ORDER BY vec_id) AS p FROM embeddings JOIN w USING (label)")
+@query(
+    "snk_parallel_arrays",
+    "WITH p AS (SELECT *, CAST((row_number() OVER (ORDER BY vec_id) - 1) // 65536 AS BIGINT) AS block FROM embeddings), w AS (SELECT label, min(block) AS block, row_number() OVER (ORDER BY min(vec_id)) - 1 AS w FROM p GROUP BY 1), n AS (SELECT block, string_agg(label, ',' ORDER BY w) AS works FROM w GROUP BY 1) SELECT p.block, coalesce(any_value(works), '') AS works, string_agg(w.w, ',' ORDER BY vec_id) AS w, string_agg(vec_id % 9, ',' ORDER BY vec_id) AS p FROM p JOIN w ON w.label = p.label LEFT JOIN n ON n.block = p.block GROUP BY 1",
+)
 def snk_parallel_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", (F.col("vec_id") % 9).alias("p"))
     row = sinks.parallel_arrays(e, "label", "vec_id", ("p",))
     join = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
-    return row.select(join("works"), join("w"), join("p"))
+    return row.select("block", join("works"), join("w"), join("p"))
 
 
 # --- clusters -----------------------------------------------------------------------------

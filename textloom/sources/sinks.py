@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.operators.ranking import running_total
+from textloom.operators.ranking import dense_ordinal, running_total, scratch
 
 MOST_TF = 65535
+#: Chunks of one row of parallel arrays.
+ARRAYS = 65536
 
 
 def encode_varint(n: int) -> bytes:
@@ -40,26 +42,32 @@ def unpack_varints(raw: Column) -> Column:
 
 
 def encode_postings(postings: DataFrame) -> DataFrame:
-    """(term, df, bytes): df, then each document as its gap and its capped frequency."""
+    """(term, block, df, base, bytes): df before the first block, then each document as its gap and its capped frequency.
+
+    The bytes of a term's blocks in order are its whole list.
+    """
     p = F.col("postings")
-    gap = lambda i: F.element_at(p, i)["doc"] - F.when(i > 1, F.get(p, i - 2)["doc"]).otherwise(0)
+    gap = lambda i: F.element_at(p, i)["doc"] - F.when(i > 1, F.get(p, i - 2)["doc"]).otherwise(F.col("base"))
     flat = F.flatten(F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.array(gap(i).cast("long"), F.least(F.element_at(p, i)["tf"], F.lit(MOST_TF)).cast("long"))))
-    return postings.select("term", "df", varints(F.concat(F.array(F.col("df").cast("long")), flat)).alias("bytes"))
+    head = F.when(F.col("block") == 0, F.array(F.col("df").cast("long"))).otherwise(F.array().cast("array<long>"))
+    return postings.select("term", "block", "df", "base", varints(F.concat(head, flat)).alias("bytes"))
 
 
 def decode_postings(encoded: DataFrame) -> DataFrame:
-    """(term, doc, tf) from the bytes alone."""
-    rows = encoded.select("term", unpack_varints(F.col("bytes")).alias("v"))
-    pairs = F.transform(F.sequence(F.lit(0), F.get("v", F.lit(0)).cast("int") - 1), lambda i: F.struct(F.get("v", 1 + 2 * i).alias("gap"), F.get("v", 2 + 2 * i).alias("tf")))
-    each = rows.select("term", F.posexplode(pairs).alias("i", "p"))
-    doc = F.sum("p.gap").over(Window.partitionBy("term").orderBy("i"))
+    """(term, doc, tf) from the bytes of each block and the document before it."""
+    rows = encoded.select("term", "block", "base", unpack_varints(F.col("bytes")).alias("v"), F.when(F.col("block") == 0, 1).otherwise(0).alias("skip"))
+    at = lambda i: F.col("skip") + 2 * i
+    many = F.floor((F.size("v") - F.col("skip")) / 2).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.struct(F.get("v", at(i)).alias("gap"), F.get("v", at(i) + 1).alias("tf")))
+    each = rows.select("term", "block", "base", F.posexplode(pairs).alias("i", "p"))
+    doc = F.col("base") + F.sum("p.gap").over(Window.partitionBy("term", "block").orderBy("i"))
     return each.select("term", doc.alias("doc"), F.col("p.tf").alias("tf"))
 
 
 def with_offsets(encoded: DataFrame) -> DataFrame:
-    """Encoded postings with each term's byte offset in the file of all terms in order."""
+    """Encoded postings with each block's byte offset in the file of all terms in order; a term starts where its first block does."""
     size = F.octet_length("bytes").cast("long")
-    return running_total(encoded, [F.col("term")], size, "start").withColumn("end", F.col("start") + size)
+    return running_total(encoded, [F.col("term"), F.col("block")], size, "start").withColumn("end", F.col("start") + size)
 
 
 def write_index(postings: DataFrame, lengths: DataFrame, path: str) -> None:
@@ -68,16 +76,22 @@ def write_index(postings: DataFrame, lengths: DataFrame, path: str) -> None:
     lengths.select("doc", F.least("dl", F.lit(MOST_TF)).alias("dl")).write.mode("overwrite").parquet(f"{path}/lengths")
 
 
-def parallel_arrays(chunks: DataFrame, works: str = "work", order: str = "i", cols: tuple[str, ...] = ("para_start", "para_end", "len")) -> DataFrame:
-    """One row of parallel arrays in order of `order`, works as numbers in order of first use: the compact client index."""
-    first = chunks.groupBy(works).agg(F.min(order).alias("first"))
-    numbered = first.withColumn("w", (F.row_number().over(Window.orderBy("first")) - 1).cast("int"))
-    rows = chunks.join(F.broadcast(numbered.select(works, "w")), works)
-    item = F.struct(order, "w", *cols)
-    lists = rows.agg(F.sort_array(F.collect_list(item)).alias("x"))
-    names = numbered.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", works))), lambda s: s[works]).alias("works"))
+def parallel_arrays(chunks: DataFrame, works: str = "work", order: str = "i", cols: tuple[str, ...] = ("para_start", "para_end", "len"), block: int = ARRAYS) -> DataFrame:
+    """(block, works, w, *cols): parallel arrays in order of `order`, which tells rows apart: the compact client index.
+
+    Works are numbers in order of first use. A row holds at most `block` chunks, and the names
+    of works that are first used there; the arrays of the blocks in order, put together, are the whole.
+    """
+    placed = scratch(dense_ordinal(chunks.select(works, order, *cols), [F.col(order)], "_at"), "placed")
+    nth = lambda c: F.floor(F.col(c) / block).alias("block")
+    first = placed.groupBy(works).agg(F.min("_at").alias("_first"))
+    numbered = scratch(dense_ordinal(first, [F.col("_first")], "w").select(F.col(works).alias("_work"), "_first", F.col("w").cast("int").alias("w")), "numbered")
+    rows = placed.join(numbered, F.col(works).eqNullSafe(F.col("_work")))
+    lists = rows.groupBy(nth("_at")).agg(F.sort_array(F.collect_list(F.struct("_at", "w", *cols))).alias("x"))
+    names = numbered.groupBy(nth("_first")).agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "_work"))), lambda s: s["_work"]).alias("works"))
     column = lambda c: F.transform("x", lambda s: s[c]).alias(c)
-    return lists.crossJoin(names).select("works", *[column(c) for c in ("w", *cols)])
+    none = F.array().cast(names.schema["works"].dataType)
+    return lists.join(names, "block", "left").select("block", F.coalesce("works", none).alias("works"), *[column(c) for c in ("w", *cols)])
 
 
 def write_shards(rows: DataFrame, path: str, by: str) -> None:
