@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import ann, classifier, lmscore, mixing, packing, pii, quotes, rules, sharding, simhash
+from textloom.llm import ann, classifier, divergence, lexical, lmscore, mixing, packing, pii, quotes, rules, sharding, simhash
 from textloom.llm.common import place_in_file, table
 
 
@@ -60,6 +60,14 @@ def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"), EXAMPLE_KEY)
 
 
+def op11_byte_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_threshold_seeded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_bayes_classifier": op1_site_bayes_classifier,
     "op2_projected_kd_tree": op2_projected_kd_tree,
@@ -71,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pivot_simhash": op8_pivot_simhash,
     "op9_ngram_quality_rules": op9_ngram_quality_rules,
     "op10_feistel_pseudonyms": op10_feistel_pseudonyms,
+    "op11_byte_divergence_audit": op11_byte_divergence_audit,
+    "op13_threshold_seeded_search": op13_threshold_seeded_search,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_byte_divergence_audit": divergence.SQL, "op13_threshold_seeded_search": lexical.SQL}
