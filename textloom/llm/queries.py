@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import ann, classifier, divergence, lexical, lmscore, mixing, packing, pii, quotes, rules, sharding, simhash
+from textloom.llm import ann, classifier, divergence, htmltext, lexical, lmscore, mixing, packing, pii, quotes, rules, sharding, simhash
 from textloom.llm.common import place_in_file, table
 
 
@@ -64,6 +64,10 @@ def op11_byte_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op13_threshold_seeded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_quality_rules": op9_ngram_quality_rules,
     "op10_feistel_pseudonyms": op10_feistel_pseudonyms,
     "op11_byte_divergence_audit": op11_byte_divergence_audit,
+    "op12_wrapper_induction": op12_wrapper_induction,
     "op13_threshold_seeded_search": op13_threshold_seeded_search,
 }
 
