@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from textloom.llm import ann, classifier, lmscore, mixing, packing, pii, quotes, rules, sharding, simhash
+from textloom.llm.common import place_in_file
 from textloom.llm.components import components
 from textloom.llm.queries import EXAMPLE_KEY, tokenizer_path
 
@@ -930,3 +931,32 @@ def test_pipeline_stages(spark, tmp_path):
             assert got == Counter({k: n for k, n in want.items() if n}) and set(after) <= set(had)
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert Counter(r.doc_id for r in docs.collect()) == Counter(r.doc_id for r in pieces.where("start = 0").select("doc_id").collect())
+
+
+# --- hostile texts and names --------------------------------------------------------------
+
+
+def test_long_runs_are_packed(spark):
+    """Two million of one character of each kind, and white space within a text: ids are the tokenizer's."""
+    texts = [c * 2_000_000 for c in " \na."] + ["b" + " \t" * 600_000 + "b", "ab" * 1_000_000]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokenizer_path()).collect()
+    model = packing.tokenizer(tokenizer_path())
+    for i, t in enumerate(texts):
+        ids = np.array([*model.encode(t, add_special_tokens=False).ids, 0], dtype="<u4")
+        pieces = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start)
+        assert [r.start for r in pieces] == np.cumsum([0, *[r.length for r in pieces]])[:-1].tolist() and {r.doc_tokens for r in pieces} == {len(ids)}
+        assert all(zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in pieces) and sum(r.length for r in pieces) == len(ids)
+
+
+def test_very_small_vectors_take_part(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1e-200, 0.0]), (2, [0.0, 0.0]), (3, [0.5, 0.5])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(0, 1, 3, 0.5), (0, 2, 1, 1e-200)]
+
+
+def test_a_column_named_as_the_hidden_one(spark, tmp_path):
+    rows = [(1, 0, "user", "hello there"), (1, 1, "assistant", "> hello there\nhi")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("_metadata", F.lit("x"))
+    df.write.parquet(str(tmp_path / "c"))
+    turns = spark.read.parquet(str(tmp_path / "c"))
+    assert quotes.conversations(quotes.link(turns, row=place_in_file(turns))).count() == 1

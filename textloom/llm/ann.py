@@ -58,10 +58,11 @@ def chi2_quantile(p: float, dims: int) -> float:
 def clean(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(vec_id, v array<double>, norm) of the vectors that take part."""
     v = F.col(vec_col).cast("array<double>")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    most = F.array_max(F.transform("v", F.abs))  # scaled by it, squares of very small or large components are numbers too
+    norm = most * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / most) * (x / most)))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null")
-    rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))).withColumn("norm", norm)
-    return rows.where("norm > 0")
+    rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))))
+    return rows.where(F.exists("v", lambda x: x != 0)).withColumn("norm", norm)
 
 
 def grow(x: np.ndarray, most: int) -> list:

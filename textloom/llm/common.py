@@ -55,9 +55,13 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return store(df.withColumn(ROW, F.monotonically_increasing_id()), name)
 
 
-def place_in_file() -> Column:
-    """What tells the rows of a table of Parquet files apart each time they are read: their file and place in it."""
-    return F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+def place_in_file(df: DataFrame) -> Column:
+    """What tells the rows of a table of Parquet files apart each time they are read: their file and place in it.
+
+    The table may have a column named `_metadata` of its own.
+    """
+    place = df.metadataColumn("_metadata")
+    return F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at"))
 
 
 def told_apart(df: DataFrame, row: Column | None, name: str) -> DataFrame:

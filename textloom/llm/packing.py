@@ -11,6 +11,7 @@ pieces of the emptiest of them, so that one padded window remains for a split.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,6 +38,10 @@ def tokenizer(path: str):
 #: How a byte-level vocabulary splits a text before it merges (fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: White space in a row from which the faster library is not asked: its matcher runs out of stack between 900,000 and 1,000,000.
+LONG_RUN = 1 << 16
+BLANK = re.compile(rf"\s{{{LONG_RUN}}}")
+
 
 def byte_of() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: visible ones themselves, others from U+0100 on."""
@@ -50,7 +55,8 @@ class Encoder:
 
     A byte-level BPE file whose merges rank as its ids do is merged by a faster
     library from the same vocabulary. Texts with one of the file's special
-    tokens, and files of another kind, go through the tokenizer itself.
+    tokens or a run of white space at which that library breaks off, and files
+    of another kind, go through the tokenizer itself.
     """
 
     def __init__(self, path: str):
@@ -75,7 +81,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out = []
         for text in texts:
-            if self.fast is None or any(s in text for s in self.special):
+            if self.fast is None or any(s in text for s in self.special) or len(text) >= LONG_RUN and BLANK.search(text):
                 ids = self.model.encode(text, add_special_tokens=False).ids
             else:
                 ids = self.fast.encode_ordinary(text)

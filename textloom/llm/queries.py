@@ -37,7 +37,8 @@ def op4_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.conversations(quotes.link(table(spark, sf_dir, "conversations"), row=place_in_file()))
+    turns = table(spark, sf_dir, "conversations")
+    return quotes.conversations(quotes.link(turns, row=place_in_file(turns)))
 
 
 def op6_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
