@@ -26,18 +26,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, by fingerprints or by runs of five words alike by 0.8, that of the least id."""
-    return simhash.deduplicate(docs, row=place_in_file())
+    return simhash.deduplicate(docs, row=place_in_file(docs))
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their private values replaced; n_chars is that of the new text."""
-    hidden = pii.hide(docs, EXAMPLE_KEY)
+    """All documents, their private values replaced; n_chars is that of the new text.
+
+    The key is the session's `spark.textloom.key`. Without one the published example is
+    taken, with which anyone can undo the pseudonyms: for tests only.
+    """
+    hidden = pii.hide(docs, spark.conf.get("spark.textloom.key", EXAMPLE_KEY))
     return hidden.selectExpr(*[f"cast(length(text) as bigint) as {c}" if c == "n_chars" else f"`{c}`" for c in hidden.columns])
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mixture takes them."""
-    return mixing.apply_mix(docs, row=place_in_file())
+    return mixing.apply_mix(docs, row=place_in_file(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
