@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import kana, markup, style, text
-from textloom.operators import changepoint, chunking, clusters, mentions, vectors
+from textloom.operators import changepoint, chunking, clusters, mentions, vectors, ward
 from textloom.sources import readers, sinks
 
 
@@ -184,15 +184,59 @@ def test_ward_of_a_whole_table(spark):
     x = rng.normal(0, 0.2, (120, 5)) + 8 * np.eye(5)[truth]
     rows = [(int(i) * 7, x[i].tolist()) for i in range(120)] + [(999, None)]
     df = spark.createDataFrame(rows, "id long, v array<double>")
-    for cells in (200, 12):
-        got = {r.id: r.label for r in clusters.ward(df, "id", "v", 4, cells).collect()}
-        assert got == {i * 7: int(truth[i]) for i in range(120)}
-    assert clusters.ward(df.limit(0), "id", "v", 4).count() == 0
+    for got in (ward.ward(df, "id", "v", 4), ward.ward(df, "id", "v", 4, few=30), clusters.ward_of_centroids(df, "id", "v", 4, 12)):
+        assert {r.id: r.label for r in got.collect()} == {i * 7: int(truth[i]) for i in range(120)}
+    assert ward.ward(df.limit(0), "id", "v", 4).count() == clusters.ward_of_centroids(df.limit(0), "id", "v", 4).count() == 0
     y = np.array([[0.0], [1.0], [5.0]])
     spread = np.repeat(y, (1, 3, 2), axis=0)
     assert np.allclose([m[2] for m in clusters.ward_tree(spread)][-2:], [m[2] for m in clusters.ward_tree(y, np.array([1, 3, 2]))])
 
 
+def chain(x):
+    """Heights of Ward's tree by the chain of nearest neighbours: a second way, of quadratic work."""
+    at, size, live, heights, path = x.astype(float).copy(), np.ones(len(x)), np.ones(len(x), dtype=bool), [], []
+    while live.sum() > 1:
+        if not path:
+            path.append(int(np.flatnonzero(live)[0]))
+        i = path[-1]
+        d = np.where(live, 2 * size * size[i] / np.maximum(size + size[i], 1) * ((at - at[i]) ** 2).sum(axis=1), np.inf)
+        d[i] = np.inf
+        j = int(d.argmin())
+        if len(path) > 1 and d[path[-2]] <= d[j]:
+            j = path[-2]
+            path = path[:-2]
+            heights.append(float(np.sqrt(d[j])))
+            at[j] = (size[i] * at[i] + size[j] * at[j]) / (size[i] + size[j])
+            size[j], live[i] = size[i] + size[j], False
+        else:
+            path.append(j)
+    return np.sort(heights)
+
+
+@pytest.mark.parametrize(("n", "few"), [(513, 40), (513, 1024), (2500, 400)])
+def test_ward_is_exact(spark, n, few):
+    """Heights of rounds of mutual nearest neighbours are those of one merge at a time, and so are the clusters."""
+    x = np.random.default_rng(n).normal(size=(n, 6)) * [3, 1, 1, 1, 1, 1]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "c long, v array<double>")
+    tree = ward.merges(df, few).collect()
+    assert len(tree) == n - 1 and len({r.b for r in tree}) == n - 1 and all(r.a < r.b for r in tree) and max(r.size for r in tree) == n
+    want = np.sort([m[2] for m in clusters.ward_tree(x)]) if n < 1000 else chain(x)
+    assert np.allclose(np.sort([r.height for r in tree]), want, rtol=1e-9)
+    if n < 1000:
+        got = {r.id: r.label for r in ward.ward(df, "c", "v", 7, few).collect()}
+        first = {c: i for i, c in enumerate(dict.fromkeys(clusters.ward_labels(x, 7).tolist()))}
+        assert [got[i] for i in range(n)] == [first[c] for c in clusters.ward_labels(x, 7).tolist()]
+
+
+def test_ward_of_copies_and_odd_rows(spark):
+    rows = [(i, [1.0, 1.0]) for i in range(40)] + [(100, [5.0, 5.0]), (101, [5.0, 5.0]), (102, [9.0, 1.0]), (None, [9.0, 1.1]), (200, None), (201, [float("nan"), 1.0]), (202, [None, 1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    for few in (2, 1024):
+        got = {r.id: r.label for r in ward.ward(df, "id", "v", 3, few).collect()}
+        assert len(got) == 44 and len({got[i] for i in range(40)}) == 1 and got[100] == got[101] and got[102] == got[None] and len(set(got.values())) == 3
+    assert ward.ward(df, "id", "v", 100).select("label").distinct().count() == 44
+
+
 def test_postings_in_blocks(spark):
     """A term of many documents is many rows, whose bytes in order are one list."""
     from textloom.operators import search

@@ -100,23 +100,16 @@ def ward_labels(x: np.ndarray, k: int, weight: np.ndarray | None = None) -> np.n
     return np.unique(root, return_inverse=True)[1]
 
 
-def ward(points: DataFrame, id_col: str, vec_col: str, k: int, cells: int = 256, seed: int = SEED) -> DataFrame:
-    """(id, label): Ward's clusters of a whole table, labels numbered by the least id in each.
+def ward_of_centroids(points: DataFrame, id_col: str, vec_col: str, k: int, cells: int = 256, seed: int = SEED) -> DataFrame:
+    """(id, label): an approximation of Ward's clusters for tables whose square is too much for `ward.ward`.
 
     `kmeans` first sums the table up in at most `cells` centroids with their sizes; one tree over
-    these, of bounded size, is cut into k clusters, and every row takes its centroid's.
-    A table of no more rows than `cells` has a tree over its rows. Rows without a vector take no part.
+    these, of bounded size, is cut into k clusters, and every row takes its centroid's. Labels are
+    numbered by the least id in each. Rows without a vector take no part.
     """
     rows = points.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    schema = f"id {dict(rows.dtypes)['id']}, label int"
-    head = rows.limit(cells + 1).collect()
-    if len(head) <= cells:
-        if not head:
-            return rows.sparkSession.createDataFrame([], schema)
-        head.sort(key=lambda r: (r.id is None, r.id))
-        got = ward_labels(np.array([r.v for r in head], dtype=float), min(k, len(head))).tolist()
-        order = {c: i for i, c in enumerate(dict.fromkeys(got))}
-        return rows.sparkSession.createDataFrame([(r.id, order[c]) for r, c in zip(head, got)], schema)
+    if not rows.limit(1).count():
+        return rows.sparkSession.createDataFrame([], f"id {dict(rows.dtypes)['id']}, label int")
     cell = kmeans(rows, "id", "v", cells, seed, 20).withColumnRenamed("label", "cell")
     at = cell.join(rows, "id").select("cell", F.posexplode("v")).groupBy("cell", "pos").agg(F.avg("col").alias("x"), F.count(F.lit(1)).alias("n"))
     least = cell.groupBy("cell").agg(F.min("id").alias("first"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import kana, text
-from textloom.operators import changepoint, clusters, mentions, metrics, pairs, search, topics, vectors
+from textloom.operators import changepoint, clusters, mentions, metrics, pairs, search, topics, vectors, ward
 from textloom.operators.ranking import running_total, scratch
 from textloom.plans.registry import query, sql_values, table, values
 from textloom.sources import sinks
@@ -352,8 +352,8 @@ def vec_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("vec_ward")
 def vec_ward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ward clusters of all vectors: one tree over centroids that sum up the whole table."""
-    return clusters.ward(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 4)
+    """Ward clusters of all vectors, from one exact tree over all rows."""
+    return ward.ward(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 4)
 
 
 @query("agg_adjusted_rand", "WITH c AS (SELECT lang AS a, quality AS b, CAST(count(*) AS DOUBLE) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL), s AS (SELECT sum(n * (n - 1) / 2) AS sij, sum(n) AS t FROM c), i AS (SELECT sum(n * (n - 1) / 2) AS si FROM (SELECT sum(n) AS n FROM c GROUP BY a)), j AS (SELECT sum(n * (n - 1) / 2) AS sj FROM (SELECT sum(n) AS n FROM c GROUP BY b)) SELECT round((sij - si * sj / (t * (t - 1) / 2)) / ((si + sj) / 2 - si * sj / (t * (t - 1) / 2)), 9) AS ari FROM s, i, j")
