@@ -192,6 +192,62 @@ def test_ward_of_a_whole_table(spark):
     assert np.allclose([m[2] for m in clusters.ward_tree(spread)][-2:], [m[2] for m in clusters.ward_tree(y, np.array([1, 3, 2]))])
 
 
+def test_neighbours_in_balls(spark):
+    """Clustered vectors: rows as by brute force, most balls never met; copies and ties too."""
+    from textloom.operators import search
+
+    rng = np.random.default_rng(8)
+    x = 5 * rng.normal(size=(12, 8))[rng.integers(0, 12, 1500)] + 0.05 * rng.normal(size=(1500, 8))
+    x[700:720] = x[700]
+    rows = [(i, v.tolist(), f"w{i % 40}") for i, v in enumerate(x)] + [(9999, None, "w1")]
+    df = spark.createDataFrame(rows, "id long, v array<double>, work string")
+    asked = df.where("id % 30 = 0 or id = 700")
+    score = np.round(x @ x.T, 9)
+    np.fill_diagonal(score, -np.inf)
+    for balls in (1, 60):
+        got = {}
+        for r in search.nearest(df, asked, "id", "v", 7, balls=balls).collect():
+            got.setdefault(r.q, {})[r.rank] = r.doc
+        assert len(got) == 51 and all([d[i] for i in range(1, 8)] == np.lexsort((np.arange(1500), -score[q]))[:7].tolist() for q, d in got.items())
+        wide = {}
+        for r in search.passage_search(df, asked, "id", "v", "work", 6, 1, balls=balls).collect():
+            wide.setdefault(r.q, {})[r.rank] = r.doc
+        for q, d in wide.items():
+            order, seen = np.lexsort((np.arange(1500), -score[q])), set()
+            want = [j for j in order.tolist() if j != q and not (j % 40 in seen or seen.add(j % 40))][:6]
+            assert [d[i] for i in range(1, 7)] == want
+    met = []
+    real = search.blocks.meet
+    search.blocks.meet = lambda a, b, n=None, pairs=None: (met.append(pairs.count()), real(a, b, n, pairs))[1]
+    try:
+        search.nearest(df, asked, "id", "v", 7, balls=60)
+    finally:
+        search.blocks.meet = real
+    assert sum(met) < 0.25 * asked.count() * 60, met
+
+
+def test_ranks_by_counting(spark):
+    from textloom.operators import metrics, search
+
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(300, 4)), 1)  # ties
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    gold = [(q, d) for q in range(0, 300, 9) for d in (q + 1, q + 2, 777, q)]
+    drop = [(q, d) for q in range(0, 300, 9) for d in range(q % 7, 300, 7)]
+    frame = lambda rows: spark.createDataFrame(rows, "q long, doc long")
+    score = np.round(x @ x.T, 9)
+    for gone in (None, drop):
+        got = {(r.q, r.doc): r.rank for r in search.ranks(df, df, frame(gold), "id", "v", None if gone is None else frame(gone)).collect()}
+        out = set(gone or ())
+        want = {}
+        for q, d in gold:
+            if d < 300 and d != q and (q, d) not in out:
+                want[q, d] = 1 + sum(j != q and (q, j) not in out and (-score[q, j], j) < (-score[q, d], d) for j in range(300))
+        assert got == want
+    best = metrics.gold_ranks(search.ranks(df, df, frame(gold), "id", "v"), frame(gold), 50).collect()
+    assert len(best) == 34 and all(r.rank is None or r.rank <= 50 for r in best)
+
+
 def chain(x):
     """Heights of Ward's tree by the chain of nearest neighbours: a second way, of quadratic work."""
     at, size, live, heights, path = x.astype(float).copy(), np.ones(len(x)), np.ones(len(x), dtype=bool), [], []

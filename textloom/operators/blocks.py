@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from textloom.operators.ranking import scratch
 
-SCHEMA = "block long, part long, rows long, ids binary, sizes binary, v binary"
-#: Rows of one packed part; a block of more has several.
-PART = 8192
+SCHEMA = "block long, part long, rows long, ids binary, sizes binary, v binary, works array<string>"
+#: Rows of one packed part, of which a block of more has several, and tasks over which a block is dealt.
+PART, DEALT = 8192, 4
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -33,17 +33,19 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ids, sizes = (some.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
                 v = some.column(3).flatten().to_numpy(zero_copy_only=False).astype("<f8")
                 part += 1
-                yield pa.RecordBatch.from_arrays([pa.array([int(block[a])]), pa.array([part]), pa.array([len(ids)]), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([sizes.astype("<f8").tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], names=["block", "part", "rows", "ids", "sizes", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(block[a])]), pa.array([part]), pa.array([len(ids)]), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([sizes.astype("<f8").tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary()), pa.array([some.column(4).to_pylist()], pa.list_(pa.string()))], names=["block", "part", "rows", "ids", "sizes", "v", "works"])
 
 
 def pack(rows: DataFrame, block: Column, blocks: int, name: str) -> DataFrame:
-    """Blocks of rows (id long, size double, v array<double>), written to the shared folder.
+    """Blocks of rows (id long, size double, v array<double>, and work string where there is one), written to the shared folder.
 
-    `block` numbers the block of each row from 0 to `blocks`. Rows of a block are
-    packed by the task that gets them, in parts of bounded size.
+    `block` numbers the block of each row from 0 to `blocks`. Rows of a block are dealt
+    over several tasks, and packed by the task that gets them, in parts of bounded size.
     """
-    n = max(1, min(blocks, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = rows.select(block.cast("long").alias("block"), "id", "size", "v").repartition(n, "block").sortWithinPartitions("block", "id")
+    n = max(1, min(blocks * DEALT, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    work = F.col("work") if "work" in rows.columns else F.lit(None).cast("string")
+    dealt = rows.select(block.cast("long").alias("block"), "id", "size", "v", work.alias("work"))
+    dealt = dealt.repartition(n, "block", F.pmod(F.xxhash64("id"), F.lit(DEALT))).sortWithinPartitions("block", "id")
     return scratch(dealt.mapInArrow(_packed, SCHEMA), name)
 
 
@@ -65,3 +67,4 @@ class Rows:
         get = lambda c, kind: np.frombuffer(batch.column(prefix + c)[at].as_buffer(), dtype=kind)
         self.ids, self.sizes = get("ids", "<i8"), get("sizes", "<f8")
         self.v = get("v", "<f8").reshape(len(self.ids), -1)
+        self.works = [w or "" for w in batch.column(prefix + "works")[at].as_py()]

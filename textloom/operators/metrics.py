@@ -11,15 +11,13 @@ from textloom.operators.ranking import running_total
 LAST_RANK = 101
 
 
-def gold_ranks(rows: DataFrame, gold: DataFrame, drop: DataFrame | None = None, last: int = LAST_RANK) -> DataFrame:
-    """(q, rank): the best rank of a gold row in order of score, null if none comes up to `last`.
+def gold_ranks(placed: DataFrame, queries: DataFrame, last: int = LAST_RANK) -> DataFrame:
+    """(q, rank): the best rank of a gold row of each of `queries` (q), null if none comes up to `last`.
 
-    `rows` is (q, doc, score), `gold` (q, doc); rows of `drop` (q, doc) are not counted.
+    `placed` is (q, doc, rank) of the gold rows alone, as `search.ranks` counts them.
     """
-    left = rows.join(drop, ["q", "doc"], "left_anti") if drop is not None else rows
-    ranked = left.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "doc"))).where(F.col("rank") <= last)
-    hit = ranked.join(gold.select("q", "doc").distinct(), ["q", "doc"]).groupBy("q").agg(F.min("rank").alias("rank"))
-    return gold.select("q").distinct().join(hit, "q", "left")
+    hit = placed.where(F.col("rank") <= last).groupBy("q").agg(F.min("rank").alias("rank"))
+    return queries.select("q").distinct().join(hit, "q", "left")
 
 
 def summary(ranks: DataFrame) -> DataFrame:

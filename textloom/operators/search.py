@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators import blocks
 from textloom.operators.ranking import dense_ordinal, scratch
 
 # BM25 parameters, results of one work, results shown.
@@ -93,58 +94,130 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-#: Vectors and queries of one block, queries whose pairs are handed on at a time, and rows that are looked at first for a diversified list.
-BLOCK, QUERY_BLOCK, HANDED, FIRST = 8192, 512, 64, 256
+#: Vectors up to which all are one block, queries of one block, queries whose pairs are handed on at a time, rows that are
+#: looked at first for a diversified list, and balls of a large table.
+BLOCK, QUERY_BLOCK, HANDED, FIRST, BALLS = 8192, 512, 64, 256, 1024
 
 Pick = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+Best = Callable[[DataFrame], DataFrame]
+#: Blocks over which the queries of a small table are dealt.
+QUERY_BLOCKS = 8
 
 
-def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """(ids, works, v, n): up to `size` rows of (id, work, v) each, packed as they are read."""
+class Balls:
+    """Centres with the greatest distance of a row from each, and how many rows they hold: what a ball can hold at most is known from these."""
+
+    def __init__(self, centres: np.ndarray):
+        self.centres, self.radius = centres, np.zeros(len(centres))
+
+    def of(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest centre of each row, and its distance."""
+        far = np.maximum((v**2).sum(axis=1)[:, None] + (self.centres**2).sum(axis=1)[None] - 2 * v @ self.centres.T, 0)
+        at = far.argmin(axis=1)
+        return at, np.sqrt(((v - self.centres[at]) ** 2).sum(axis=1))
+
+    def most(self, v: np.ndarray) -> np.ndarray:
+        """The greatest inner product that each row can have with a row of each ball."""
+        return v @ self.centres.T + np.sqrt((v**2).sum(axis=1))[:, None] * self.radius[None]
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
+
+
+def _placed(rows: DataFrame, balls: Balls) -> DataFrame:
+    """Rows (id, work, v) with their ball and distance from its centre."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                at, far = balls.of(_matrix(batch.column(2)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int64)), pa.array(far)], names=["id", "work", "v", "ball", "far"])
+
+    return rows.mapInArrow(run, "id long, work string, v array<double>, ball long, far double")
+
+
+def _meeting(pick: Pick, other_works: bool, digits: int | None):
+    """The matrix product of two parts, of which only what is picked leaves the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, size):
-                part = batch.slice(low, size)
-                v = part.column(2).flatten().to_numpy(zero_copy_only=False).astype("<f8")
-                ids = part.column(0).to_numpy(zero_copy_only=False).astype("<i8")
-                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([part.column(1).to_pylist()], pa.list_(pa.string())), pa.array([v.tobytes()], pa.binary()), pa.array([len(ids)])], names=["ids", "works", "v", "n"])
+            for at in range(batch.num_rows):
+                asked, rows = blocks.Rows(batch, at), blocks.Rows(batch, at, "r_")
+                names, of = np.unique(rows.works, return_inverse=True)
+                own = np.array(asked.works)
+                for low in range(0, len(asked.ids), HANDED):
+                    some = slice(low, low + HANDED)
+                    score = asked.v[some] @ rows.v.T
+                    score = score if digits is None else np.round(score, digits)
+                    score[asked.ids[some][:, None] == rows.ids[None, :]] = -np.inf
+                    score[score < asked.sizes[some][:, None]] = -np.inf
+                    if other_works:
+                        score[own[some][:, None] == names[of][None, :]] = -np.inf
+                    i, j = pick(score, rows.ids, of)
+                    yield pa.RecordBatch.from_arrays([pa.array(asked.ids[some][i]), pa.array(rows.ids[j]), pa.array(names[of[j]].tolist(), pa.string()), pa.array(score[i, j])], names=["q", "doc", "work", "score"])
+
+    return run
+
 
-    return rows.mapInArrow(run, "ids binary, works array<string>, v binary, n long")
+FOUND = "q long, doc long, work string, score double"
 
 
-def in_blocks(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, pick: Pick, work: str | None = None, other_works: bool = False, digits: int | None = 9) -> DataFrame:
-    """(q, doc, work, score): what `pick` takes of each block of rows for each block of queries, as one matrix product for the two.
+def in_blocks(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, pick: Pick, best: Best, k: int, work: str | None = None, other_works: bool = False, digits: int | None = 9, balls: int | None = None) -> DataFrame:
+    """(q, doc, work, score): rows among which `best` finds the right k of each query, from matrix products of blocks (exact).
 
     `pick` gets the scores (queries by rows, minus infinity for what may not be
     found), the rows' ids, and their works as numbers; it gives the places it
     takes. A query's own row is not found, nor with `other_works` one of its work.
-    Scores are rounded, so that ties are ties. Only what is picked leaves the task.
+    Scores are rounded, so that ties are ties.
+
+    A table of more than a block is dealt into balls around some of its rows. Queries meet
+    the ball that they lie in first, which tells a score that their kth best has at least.
+    After that they meet those balls alone that can hold such a score, by the triangle
+    inequality; on vectors without clusters that is all of them.
     """
     named = F.col(work).cast("string") if work else F.lit(None).cast("string")
     rows = lambda df: df.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), named.alias("work"), F.col(vec_col).cast("array<double>").alias("v"))
-    asked = _blocks(rows(queries), QUERY_BLOCK).select(*[F.col(c).alias(f"q{c}") for c in ("ids", "works", "v", "n")])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = vectors.count()
+    if balls is None:
+        balls = 1 if n <= BLOCK else min(BALLS, -(-int(n**0.5) // 4))
+    meeting = _meeting(pick, other_works, digits)
+    never = F.lit(float("-inf")).alias("size")
+    if balls == 1:
+        right = blocks.pack(rows(vectors).withColumn("size", F.lit(0.0)), F.lit(0), 1, "rows")
+        left = blocks.pack(rows(queries).select("*", never), blocks.by_hash(QUERY_BLOCKS), QUERY_BLOCKS, "queries")
+        return blocks.meet(left, right, 1).mapInArrow(meeting, FOUND)
+
+    drawn = rows(vectors).orderBy(F.xxhash64("id"), "id").limit(balls).select("v").collect()  # BALLS rows at most
+    made = Balls(np.unique(np.array([r.v for r in drawn], dtype=float), axis=0))
+    held = scratch(_placed(rows(vectors), made), "placed")
+    for r in held.groupBy("ball").agg(F.max("far").alias("far")).collect():  # a row for each ball
+        made.radius[r.ball] = r.far * (1 + 1e-9) + 1e-12
+    right = blocks.pack(held.withColumn("size", F.lit(0.0)), F.col("ball"), balls, "rows")
+    spread = max(1, -(-queries.count() // (QUERY_BLOCK * len(made.centres))))
+    asked = _placed(rows(queries), made).withColumn("block", F.col("ball") * spread + F.pmod(F.xxhash64("id"), F.lit(spread)))
+    asked = scratch(asked, "asked")
+    left = blocks.pack(asked.select("*", never), F.col("block"), balls * spread, "queries")
+    own = asked.select("block", F.col("ball").alias("r_block")).distinct()
+    first = scratch(blocks.meet(left, right, pairs=own).mapInArrow(meeting, FOUND), "first")
+
+    least = best(first).where(F.col("rank") == k).select(F.col("q").alias("id"), F.col("score").alias("size"))
+    known = scratch(asked.join(least, "id", "left").select("id", "work", "v", "ball", "block", F.coalesce("size", F.lit(float("-inf"))).alias("size")), "known")
+    slack = 0.0 if digits is None else 10.0**-digits
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(batch.num_rows):
-                r = {name: batch.column(i)[at] for i, name in enumerate(batch.schema.names)}
-                whole = lambda c, kind: np.frombuffer(r[c].as_buffer(), dtype=kind)
-                ids, qids = whole("ids", "<i8"), whole("qids", "<i8")
-                v, qv = whole("v", "<f8").reshape(len(ids), -1), whole("qv", "<f8").reshape(len(qids), -1)
-                names, of = np.unique([w or "" for w in r["works"].as_py()], return_inverse=True)
-                own = np.array([w or "" for w in r["qworks"].as_py()])
-                for low in range(0, len(qids), HANDED):
-                    some = slice(low, low + HANDED)
-                    score = qv[some] @ v.T
-                    score = score if digits is None else np.round(score, digits)
-                    score[qids[some][:, None] == ids[None, :]] = -np.inf
-                    if other_works:
-                        score[own[some][:, None] == names[of][None, :]] = -np.inf
-                    i, j = pick(score, ids, of)
-                    yield pa.RecordBatch.from_arrays([pa.array(qids[some][i]), pa.array(ids[j]), pa.array(names[of[j]].tolist(), pa.string()), pa.array(score[i, j])], names=["q", "doc", "work", "score"])
+            if batch.num_rows:
+                can = made.most(_matrix(batch.column(0))) + slack >= batch.column(3).to_numpy()[:, None]
+                can[np.arange(len(can)), batch.column(1).to_numpy()] = False
+                i, ball = np.nonzero(can)
+                pairs = np.unique(np.stack([batch.column(2).to_numpy()[i], ball], axis=1), axis=0) if len(i) else np.zeros((0, 2), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["block", "r_block"])
 
-    return _blocks(rows(vectors), BLOCK).crossJoin(asked).mapInArrow(meet, "q long, doc long, work string, score double")
+    more = scratch(known.select("v", "ball", "block", "size").mapInArrow(reach, "block long, r_block long").distinct(), "reach")
+    again = blocks.pack(known, F.col("block"), balls * spread, "again")
+    return first.unionByName(blocks.meet(again, right, pairs=more).mapInArrow(meeting, FOUND))
 
 
 def _every(score: np.ndarray, ids: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,19 +261,58 @@ def _first_diverse(k: int, per_work: int) -> Pick:
     return pick
 
 
-def similarities(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, digits: int | None = 9) -> DataFrame:
-    """(q, doc, score): the stated queries against every other row, all pairs, for ranks among all; `nearest` is the one for a few."""
-    return in_blocks(vectors, queries, id_col, vec_col, _every, digits=digits).select("q", "doc", "score")
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int, exclude_work: str | None = None, digits: int | None = 9) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int, exclude_work: str | None = None, digits: int | None = 9, balls: int | None = None) -> DataFrame:
     """(q, doc, score, rank): the k best other rows of each query, the smaller id on a tie; with `exclude_work` of other works only."""
-    return top(in_blocks(vectors, queries, id_col, vec_col, _first(k), exclude_work, bool(exclude_work), digits).select("q", "doc", "score"), k)
+    best = lambda found: top(found.select("q", "doc", "score"), k)
+    return best(in_blocks(vectors, queries, id_col, vec_col, _first(k), best, k, exclude_work, bool(exclude_work), digits, balls))
 
 
-def passage_search(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, work: str, k: int = TOP, per_work: int = PER_WORK) -> DataFrame:
+def passage_search(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, work: str, k: int = TOP, per_work: int = PER_WORK, balls: int | None = None) -> DataFrame:
     """(q, doc, work, score, rank): passages like each query's, at most `per_work` of a work."""
-    return _diverse(in_blocks(vectors, queries, id_col, vec_col, _first_diverse(k, per_work), work), k, per_work)
+    best = lambda found: _diverse(found, k, per_work)
+    return best(in_blocks(vectors, queries, id_col, vec_col, _first_diverse(k, per_work), best, k, work, balls=balls))
+
+
+def ranks(vectors: DataFrame, queries: DataFrame, gold: DataFrame, id_col: str, vec_col: str, drop: DataFrame | None = None, digits: int = 9) -> DataFrame:
+    """(q, doc, rank): the place of each gold row among all rows in order of score, then id, by counting those before it.
+
+    `gold` and `drop` are (q, doc); rows of `drop` are not counted and have no place, nor has
+    a query's own row. Gold rows that the table lacks are left out. A block of queries counts
+    in each block of rows, so only a number for each gold row and block leaves a task.
+    """
+    own = lambda df, name, v: df.select(F.col(id_col).cast("long").alias(name), F.col(vec_col).cast("array<double>").alias(v)).where(F.col(v).isNotNull())
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        both = pairs.select(F.col("q").cast("long").alias("q"), F.col("doc").cast("long").alias("doc")).where("q <> doc").distinct()
+        return both.join(own(queries, "q", "v"), "q").join(own(vectors, "doc", "w"), "doc").select("q", "doc", "v", F.round(dot(F.col("v"), F.col("w")), digits).alias("score"))
+
+    asked = scored(gold if drop is None else gold.select("q", "doc").join(drop, ["q", "doc"], "left_anti"))
+    asked = scratch(asked.withColumn("id", F.monotonically_increasing_id()), "gold")
+    many = max(1, -(-vectors.count() // BLOCK))
+    right = blocks.pack(own(vectors, "id", "v").withColumn("size", F.lit(0.0)), blocks.by_hash(many), many, "rows")
+    some = max(QUERY_BLOCKS, -(-asked.count() // QUERY_BLOCK))
+    left = blocks.pack(asked.select("id", F.col("score").alias("size"), "v", F.concat_ws(" ", "q", "doc").alias("work")), blocks.by_hash(some), some, "asked")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                gold_, rows = blocks.Rows(batch, at), blocks.Rows(batch, at, "r_")
+                names = np.array([list(map(int, w.split())) for w in gold_.works], dtype=np.int64)
+                for low in range(0, len(gold_.ids), HANDED):
+                    some = slice(low, low + HANDED)
+                    score, least = np.round(gold_.v[some] @ rows.v.T, digits), gold_.sizes[some][:, None]
+                    before = (score > least) | ((score == least) & (rows.ids[None] < names[some, 1][:, None]))
+                    before &= (rows.ids[None] != names[some, 0][:, None]) & (rows.ids[None] != names[some, 1][:, None])
+                    yield pa.RecordBatch.from_arrays([pa.array(gold_.ids[some]), pa.array(before.sum(axis=1).astype(np.int64))], names=["id", "n"])
+
+    counts = blocks.meet(left, right, many).mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    placed = asked.select("id", "q", "doc", "score").join(counts, "id")
+    if drop is not None:  # of the rows before, those that are not to count
+        g, d = placed.alias("g"), scored(drop).select("q", F.col("doc").alias("x"), F.col("score").alias("s")).alias("d")
+        ahead = (F.col("d.s") > F.col("g.score")) | ((F.col("d.s") == F.col("g.score")) & (F.col("d.x") < F.col("g.doc")))
+        less = g.join(d, (F.col("g.q") == F.col("d.q")) & ahead).groupBy("g.id").agg(F.count(F.lit(1)).alias("less"))
+        placed = placed.join(less, "id", "left").withColumn("n", F.col("n") - F.coalesce("less", F.lit(0)))
+    return placed.select("q", "doc", (F.col("n") + 1).alias("rank"))
 
 
 def _diverse(found: DataFrame, k: int, per_work: int) -> DataFrame:

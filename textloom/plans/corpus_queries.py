@@ -197,14 +197,9 @@ _SIMS = f"(SELECT a.vec_id AS q, b.vec_id AS doc, b.label AS work, a.label AS ow
 _ALL_SIMS = _SIMS.replace(" WHERE a.vec_id % 20 = 0", "")
 
 
-def _sims(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _near(spark: SparkSession, sf_dir: str, k: int, exclude: str | None = None, digits: int = 9) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    return search.similarities(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding")
-
-
-def _near(spark: SparkSession, sf_dir: str, k: int, exclude: str | None = None) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    return search.nearest(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding", k, exclude)
+    return search.nearest(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding", k, exclude, digits)
 
 
 def _near_all(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
@@ -235,10 +230,10 @@ def jon_other_works(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("win_diversify", f"SELECT q, doc, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc) AS r FROM (SELECT *, row_number() OVER (PARTITION BY q, work ORDER BY score DESC, doc) AS nth FROM {_SIMS} WHERE work <> 3) WHERE nth <= 2) WHERE r <= 12")
 def win_diversify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over a scored table, with a skipped work."""
+    """The same with a skipped work."""
     e = table(spark, sf_dir, "embeddings")
-    works = e.select(F.col("vec_id").alias("doc"), F.col("label").alias("work"))
-    return search.diversify(_sims(spark, sf_dir), works, skipped=values(spark, [(3,)], "work int")).select("q", "doc", "rank")
+    skipped = values(spark, [(3,)], "label int")
+    return search.passage_search(e.join(skipped, "label", "left_anti"), e.where("vec_id % 20 = 0"), "vec_id", "embedding", "label").select("q", "doc", "rank")
 
 
 @query("vec_unit", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 6) AS n2, round(list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))), 6) AS scale FROM embeddings")
@@ -299,9 +294,7 @@ def agg_compression_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("agg_kendall_tau", f"WITH b AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc) AS ra, row_number() OVER (PARTITION BY q ORDER BY round(score, 1) DESC, doc) AS rb FROM {_SIMS}), k AS (SELECT q, doc, ra, rb FROM b WHERE ra <= 20 AND rb <= 20) SELECT q, round(coalesce(tau, 0), 6) AS tau FROM (SELECT DISTINCT q FROM b WHERE ra <= 20) LEFT JOIN (SELECT x.q, sum(sign(y.rb - x.rb)) / sum(abs(sign(y.rb - x.rb))) AS tau FROM k x JOIN k y ON x.q = y.q AND x.ra < y.ra GROUP BY 1) USING (q)")
 def agg_kendall_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _sims(spark, sf_dir)
-    a, b = search.top(s, 20), search.top(s.withColumn("score", F.round("score", 1)), 20)
-    return vectors.kendall(a, b).withColumn("tau", F.round("tau", 6))
+    return vectors.kendall(_near(spark, sf_dir, 20), _near(spark, sf_dir, 20, digits=1)).withColumn("tau", F.round("tau", 6))
 
 
 @query(
@@ -365,8 +358,10 @@ def agg_adjusted_rand(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("win_partner_rank", f"SELECT q, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc) AS r FROM {_SIMS}) WHERE doc = q + 1")
 def win_partner_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rank of each query's partner, the next vector, among all its neighbours."""
-    by = Window.partitionBy("q").orderBy(F.desc("score"), "doc")
-    return _sims(spark, sf_dir).withColumn("rank", F.row_number().over(by)).where(F.col("doc") == F.col("q") + 1).select("q", "rank")
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.where("vec_id % 20 = 0")
+    partner = asked.select(F.col("vec_id").alias("q"), (F.col("vec_id") + 1).alias("doc"))
+    return search.ranks(e, asked, partner, "vec_id", "embedding").select("q", F.col("rank").cast("int").alias("rank"))
 
 
 @query("win_genre_mismatch", f"WITH t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc) AS r FROM {_ALL_SIMS}) WHERE r <= 6), g AS (SELECT q, work % 3 AS g, count(*) AS n, min(r) AS f FROM t GROUP BY ALL), b AS (SELECT q, g, n FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY n DESC, f) AS k FROM g) WHERE k = 1) SELECT q, CAST(g AS INT) AS neighbour_genre, g <> label % 3 AND n >= 4 AS mismatch FROM b JOIN embeddings ON vec_id = q")
@@ -578,9 +573,12 @@ _GOLD = f"WITH s AS {_SIMS}, k AS (SELECT q, doc, row_number() OVER (PARTITION B
 
 
 def _gold_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _sims(spark, sf_dir)
-    gold = s.where((F.col("doc") == F.col("q") + 1) | (F.col("doc") == F.col("q") + 3)).select("q", "doc")
-    return metrics.gold_ranks(s, gold, s.where("doc % 10 = 5").select("q", "doc"))
+    """Of each query the rows 1 and 3 on are right; rows of skipped works (those that end in 5) are not counted."""
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.where("vec_id % 20 = 0")
+    gold = asked.select(F.col("vec_id").alias("q"), F.explode(F.array(F.col("vec_id") + 1, F.col("vec_id") + 3)).alias("doc"))
+    placed = search.ranks(e.where("vec_id % 10 <> 5"), asked, gold, "vec_id", "embedding")
+    return metrics.gold_ranks(placed, gold).select("q", F.col("rank").cast("int").alias("rank"))
 
 
 @query("win_gold_rank", f"{_GOLD} SELECT q, CAST(rank AS INT) AS rank FROM g")
