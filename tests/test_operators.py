@@ -248,6 +248,29 @@ def test_ranks_by_counting(spark):
     assert len(best) == 34 and all(r.rank is None or r.rank <= 50 for r in best)
 
 
+def test_kmeans_is_lloyd_from_the_same_centres(spark):
+    """An empty cluster keeps its centre; labels are those of the serial form; equal rows give fewer centres."""
+    x = np.random.default_rng(4).normal(size=(400, 3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None)], "id long, v array<double>").repartition(7)
+    c = np.vstack([x[:5], [[50.0, 50.0, 50.0]]])  # no row is nearest to the last
+    want = clusters.lloyd(x, 6, centres=c)
+    first = {p: i for i, p in enumerate(dict.fromkeys(want.tolist()))}
+    got = {r.id: r.label for r in clusters.kmeans(df, "id", "v", 6, centres=c).collect()}
+    assert got == {i: first[p] for i, p in enumerate(want.tolist())}
+    one, two = clusters.start(df.dropna(), 4), clusters.start(df.dropna().repartition(2), 4)
+    assert np.array_equal(one, two) and len(np.unique(one, axis=0)) == 4 and all((x == r).all(axis=1).any() for r in one)
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(9)], "id long, v array<double>")
+    assert len(clusters.start(same, 3)) == 1 and clusters.kmeans(same, "id", "v", 3).select("label").distinct().count() == 1
+    assert clusters.kmeans(same.limit(0), "id", "v", 3).count() == 0
+
+
+def test_starts_are_drawn_by_squared_distance(spark):
+    """Of two far groups of unequal size each gets a centre, and nearly always."""
+    rows = [(i, [float(i % 7) / 100]) for i in range(90)] + [(100 + i, [50.0 + i / 100]) for i in range(3)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    assert sum(len({int(c[0] > 25) for c in clusters.start(df, 2, seed)}) == 2 for seed in range(6)) == 6
+
+
 def chain(x):
     """Heights of Ward's tree by the chain of nearest neighbours: a second way, of quadratic work."""
     at, size, live, heights, path = x.astype(float).copy(), np.ones(len(x)), np.ones(len(x), dtype=bool), [], []

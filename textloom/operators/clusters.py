@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,24 +39,96 @@ def assign(points: DataFrame, centers: DataFrame, id_col: str, vec_col: str) ->
     return best.select("id", "m.label", "m.d2")
 
 
-def kmeans(points: DataFrame, id_col: str, vec_col: str, k: int, seed: int = SEED, iters: int = 300) -> DataFrame:
-    """(id, label): Lloyd's iterations in the cluster from a k-means|| start; labels are numbered by the least id in each."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def _distances(v: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.stack([((v - x) ** 2).sum(axis=1) for x in c], axis=1)
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
+
+
+def start(rows: DataFrame, k: int, seed: int = SEED) -> np.ndarray:
+    """k-means++ centres of rows (id, v): each is drawn with chances as the squared distance from those before it.
+
+    A draw is a race: a row's time is exponential at the rate of its weight, from a hash of
+    its id and vector, and the least time wins. So each task hands on one row, and what it
+    draws doesn't depend on how rows are dealt. Fewer come back if fewer rows differ.
+    """
+    centres = np.zeros((0, 0))
+    while len(centres) < k:
+        made = centres
+
+        def race(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    v, u = _vectors(batch.column(0)), (batch.column(1).to_numpy() + 0.5) / 2.0**53
+                    weight = _distances(v, made).min(axis=1) if len(made) else np.ones(len(v))
+                    with np.errstate(divide="ignore"):
+                        time = np.where(weight > 0, -np.log(u) / weight, np.inf)
+                    i = int(time.argmin())
+                    yield pa.RecordBatch.from_arrays([pa.array([time[i]]), pa.array([v[i].tolist()], pa.list_(pa.float64()))], names=["time", "v"])
+
+        draw = F.shiftrightunsigned(F.xxhash64("id", "v", F.lit(seed), F.lit(len(made))), 11)
+        first = rows.select("v", draw.alias("u")).mapInArrow(race, "time double, v array<double>").agg(F.min(F.struct("time", "v")).alias("m")).first().m
+        if first is None or first.time == float("inf"):
+            break
+        centres = np.array([*centres, first.v]) if len(centres) else np.array([first.v])
+    return centres
+
+
+def kmeans(points: DataFrame, id_col: str, vec_col: str, k: int, seed: int = SEED, iters: int = 300, centres: np.ndarray | None = None) -> DataFrame:
+    """(id, label): Lloyd's iterations over the table from a k-means++ start (or from `centres`); labels are numbered by the least id in each.
+
+    A pass sums the rows of each cluster in its tasks and hands on a number for each
+    cluster and place. A cluster without rows keeps its centre. It ends when no row's
+    label changes, or after `iters` passes. Rows without a vector take no part.
+    """
+    rows = points.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    c = start(rows, k, seed) if centres is None else np.asarray(centres, dtype=float)
+    schema = f"id {dict(rows.dtypes)['id']}, p int"
+    if not len(c):
+        return rows.sparkSession.createDataFrame([], schema.replace("p int", "label int"))
+    before = None
+    for _ in range(iters):
+        now, last = c, before
+
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                v = _vectors(batch.column(0))
+                label = _distances(v, now).argmin(axis=1)
+                moved = len(v) if last is None else int((label != _distances(v, last).argmin(axis=1)).sum())
+                sums = np.stack([np.bincount(label, v[:, j], minlength=len(now)) for j in range(v.shape[1])] + [np.bincount(label, minlength=len(now)).astype(float), np.full(len(now), float(moved))], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(now)), sums.shape[1]).astype(np.int32)), pa.array(np.tile(np.arange(sums.shape[1]), len(now)).astype(np.int32)), pa.array(sums.ravel())], names=["p", "at", "x"])
+
+        got = rows.select("v").mapInArrow(step, "p int, at int, x double").groupBy("p", "at").agg(F.sum("x").alias("x")).collect()  # k rows for each place
+        sums = np.zeros((len(c), c.shape[1] + 2))
+        for r in got:
+            sums[r.p, r.at] = r.x
+        if not sums[0, -1]:
+            break
+        before, size = c, sums[:, -2:-1]
+        c = np.where(size > 0, sums[:, :-2] / np.maximum(size, 1), c)
+    final = c
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_distances(_vectors(batch.column(1)), final).argmin(axis=1).astype(np.int32))], names=["id", "p"])
 
-    rows = points.select(F.col(id_col).alias("id"), array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"))
-    model = KMeans(k=k, seed=seed, maxIter=iters, tol=0.0).fit(rows)
-    got = model.transform(rows).select("id", F.col("prediction").alias("p"))
+    got = rows.mapInArrow(label, schema)
     order = got.groupBy("p").agg(F.min("id").alias("first"))
-    named = order.withColumn("label", F.row_number().over(Window.orderBy("first")) - 1)
-    return got.join(F.broadcast(named), "p").select("id", "label")
+    named = order.withColumn("label", F.row_number().over(Window.orderBy("first")) - 1)  # k rows
+    return got.join(named, "p").select("id", "label")
 
 
-def lloyd(x: np.ndarray, k: int, seed: int = SEED, iters: int = 300) -> np.ndarray:
+def lloyd(x: np.ndarray, k: int, seed: int = SEED, iters: int = 300, centres: np.ndarray | None = None) -> np.ndarray:
     """Exact mode for a small matrix: k-means++ start, an empty cluster keeps its center, ends when no label changes."""
     rng = np.random.default_rng(seed)
-    c = x[[rng.integers(len(x))]]
-    while len(c) < k:
+    c = x[[rng.integers(len(x))]] if centres is None else centres
+    while centres is None and len(c) < k:
         d = ((x[:, None] - c[None]) ** 2).sum(-1).min(axis=1)
         c = np.vstack([c, x[rng.choice(len(x), p=d / d.sum() if d.sum() > 0 else None)]])
     labels = np.zeros(len(x), dtype=int)
