@@ -20,7 +20,7 @@ from textloom.operators import blocks
 from textloom.operators.ranking import scratch
 
 #: Clusters that one block product takes of either side, and clusters from which the driver ends the tree, to the same result.
-BLOCK, QUERIES, FEW = 4096, 1024, 1024
+BLOCK, QUERIES, FEW = 4096, 1024, 2048
 MERGES = "a long, b long, height double, size long"
 
 
@@ -71,9 +71,12 @@ def _ended(rows: list) -> list[tuple[int, int, float, int]]:
     v, size, name = np.array([r.v for r in rows], dtype=float), np.array([r.size for r in rows], dtype=float), [r.c for r in rows]
     cost = np.array([2 * size * n / (size + n) * ((v - x) ** 2).sum(axis=1) for x, n in zip(v, size)])
     np.fill_diagonal(cost, np.inf)
+    near = cost.argmin(axis=1)  # rows are in order of name, so the first least of all rows is that of the order
+    least = cost[np.arange(len(rows)), near]
     out = []
     for _ in range(len(rows) - 1):
-        i, j = np.unravel_index(np.argmin(cost), cost.shape)  # rows are in order of name, so the first least is that of the order
+        i = int(least.argmin())
+        i, j = sorted((i, int(near[i])))
         both = size[i] + size[j]
         out.append((name[i], name[j], float(np.sqrt(cost[i, j])), int(both)))
         v[i], size[i], size[j] = (size[i] * v[i] + size[j] * v[j]) / both, both, 0
@@ -81,6 +84,11 @@ def _ended(rows: list) -> list[tuple[int, int, float, int]]:
         cost[i] = cost[:, i] = np.where(size > 0, d, np.inf)
         cost[i, i] = np.inf
         cost[j] = cost[:, j] = np.inf
+        stale = np.flatnonzero((near == i) | (near == j))  # a merge brings no third cluster nearer
+        stale = np.union1d(stale[size[stale] > 0], [i])
+        near[stale] = cost[stale].argmin(axis=1)
+        least[stale] = cost[stale, near[stale]]
+        least[j] = np.inf
     return out
 
 
