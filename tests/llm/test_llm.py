@@ -251,6 +251,32 @@ def test_near_copies_of_all_degrees(spark):
     assert Counter((r.doc_id is None, r.doc_id) for r in got.collect()) == stay(rows)
 
 
+def test_blocks_of_sets_meet_as_all_pairs_do(spark, monkeypatch):
+    """Groups of near copies of many degrees around one text, split into many blocks and dealt over many tasks."""
+    monkeypatch.setattr(simhash, "HASHES", 400)
+    rnd = random.Random(44)
+    base = prose(rnd, 120).split()
+    texts = []
+    for _ in range(90):
+        w = list(base) + prose(rnd, rnd.choice([0, 0, 5, 30])).split()
+        for at in rnd.sample(range(len(base)), rnd.choice([1, 2, 3, 5, 6, 8, 14])):
+            w[at] = f"e{rnd.randint(0, 10**9)}"
+        texts.append(" ".join(w))
+    rows = list(enumerate(texts))
+    got = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((r.doc_id is None, r.doc_id) for r in got.collect()) == stay(rows)
+
+
+def test_two_blocks_give_the_roots_that_are_alike():
+    rnd = random.Random(3)
+    draw = lambda: sorted(rnd.sample(range(12), rnd.randint(1, 9)))
+    kind = pa.struct([("root", pa.int64()), ("set", pa.list_(pa.int64()))])
+    for _ in range(50):
+        x, y = ([{"root": rnd.randint(0, 4), "set": draw()} for _ in range(12)] for _ in range(2))
+        alike = {(a["root"], b["root"]) for a in x for b in y if a["root"] != b["root"] and 5 * len({*a["set"]} & {*b["set"]}) >= 4 * len({*a["set"]} | {*b["set"]})}
+        assert simhash._alike_sets(pa.array(x, kind), pa.array(y, kind)) == alike
+
+
 def test_a_repeated_or_null_id_costs_no_text(spark):
     rnd = random.Random(12)
     a, b, c = (prose(rnd, 50) for _ in range(3))

@@ -21,6 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,8 @@ WORDS = 5
 SIMILARITY = (4, 5)
 #: Keys of a text and what each is made of: a pair of similarity 0.8 shares none with chance 0.0008.
 BANDS, ROWS = 18, 5
+#: Hashes of a block of sets, tasks over which a key's blocks are dealt at most, and the ratio of a step of length: over 5 / 4.
+HASHES, DEALT, STEP = 32768, 64, 1.26
 #: Rows compared with rows at a time.
 BLOCK = 1024
 #: The most fingerprints for which so many blocks keep a bucket's chance share at a few dozen.
@@ -280,13 +283,73 @@ def _merged(named: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     return store(named.join(to, "root", "left").select(*[F.coalesce("component", "root").alias(c) if c == "root" else c for c in named.columns]), name)
 
 
+def _blocks(headed: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, deal, cell, out, part, texts): the texts of `headed` (key, top, root, row) with their sets, in blocks of some HASHES hashes.
+
+    `cell` is a step of length: texts alike by SIMILARITY are at most one step apart, as a step is a
+    ratio of more than 5 / 4. `out` tells texts outside the key's largest root, `deal` how many tasks a key's
+    blocks are dealt over. A block exceeds its size by a single long text, and by chance.
+    """
+    size = F.size("set").cast("long")
+    member = headed.join(sets.withColumnRenamed(ROW, "row"), "row").select("key", "row", "root", "set", F.floor(F.log(size) / np.log(STEP)).alias("cell"), (F.col("root") != F.col("top")).alias("out"))
+    member = store(member, "members")
+    weight = store(member.groupBy("key", "cell", "out").agg(F.sum(size).alias("w")), "weights")
+    all_of = weight.groupBy("key").agg(F.sum("w").alias("all"))
+    parts = store(weight.join(all_of, "key").select("key", "cell", "out", F.ceil(F.col("w") / HASHES).alias("parts"), F.least(F.lit(DEALT), F.ceil(F.col("all") / (8 * HASHES))).alias("deal")), "parts")
+    part = F.pmod(F.xxhash64("row"), F.col("parts")).alias("part")
+    placed = member.join(parts, ["key", "cell", "out"]).select("key", "deal", "cell", "out", part, "root", "set")
+    return store(placed.groupBy("key", "deal", "cell", "out", "part").agg(F.collect_list(F.struct("root", "set")).alias("texts")), "blocks")
+
+
+def _alike_sets(x: pa.StructArray, y: pa.StructArray) -> set[tuple[int, int]]:
+    """The pairs of different roots of `x` and `y` (root, set) of which two texts are alike."""
+    y_root, y_set = y.field("root").to_numpy(), y.field("set")
+    y_size = pc.list_value_length(y_set).to_numpy()
+    order = np.argsort(flat := y_set.flatten().to_numpy(), kind="stable")
+    known, owner = flat[order], np.repeat(np.arange(len(y_root)), y_size)[order]
+    found: set[tuple[int, int]] = set()
+    for root, own in zip(x.field("root").to_pylist(), x.field("set")):
+        left = [r for r in np.unique(y_root).tolist() if r != root and (root, r) not in found]
+        if not left:
+            continue
+        h = own.values.to_numpy()
+        low, high = np.searchsorted(known, h, "left"), np.searchsorted(known, h, "right")
+        many = high - low
+        at = np.arange(many.sum()) + np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many)
+        both = np.bincount(owner[at], minlength=len(y_root))
+        # In whole numbers, so that a similarity of exactly 4 / 5 is in.
+        alike = SIMILARITY[1] * both >= SIMILARITY[0] * (len(h) + y_size - both)
+        found |= {(root, r) for r in np.unique(y_root[alike]).tolist() if r != root}
+    return found
+
+
+def _met_in_blocks(blocks: DataFrame) -> DataFrame:
+    """Edges (a, b) of roots with texts alike: each block of a key's texts outside its largest root meets the key's blocks of like length.
+
+    Sets are sent once for each pair of blocks, and no pair of texts is a row.
+    """
+    x = blocks.where("out").withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deal") - 1))).alias("x")
+    y = blocks.withColumn("to", F.pmod(F.xxhash64("cell", "out", "part"), F.col("deal"))).alias("y")
+    near = F.abs(F.col("x.cell") - F.col("y.cell")) <= 1
+    once = ~F.col("y.out") | (F.struct("x.cell", "x.part") <= F.struct("y.cell", "y.part"))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.to") == F.col("y.to")) & near & once).select(F.col("x.texts").alias("x"), F.col("y.texts").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            edges = sorted(set().union(*(_alike_sets(a.values, b.values) for a, b in zip(*batch.columns))))
+            yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return store(met.mapInArrow(run, "a long, b long").distinct(), "met")
+
+
 def _alike(rows: DataFrame, text: Column, posts: DataFrame) -> DataFrame:
     """Edges (a, b) that connect all roots with texts alike that share a band key; `posts` (stored) holds (key, root, row) of distinct texts.
 
     A key whose texts all have one root is left alone. For each other key, a text of each
     root is first compared with one of a single root, so that a large group in many parts
     comes together; then every text outside the key's largest root is compared with
-    all texts of other roots, so no pair within the largest is made, and none that is not connected is passed over.
+    all texts of other roots and like length, in blocks, so no pair within the largest is made, and none that is not
+    connected is passed over.
     """
     mixed = posts.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
     posts = store(posts.join(store(mixed.select("key"), "mixed"), "key"), "posts")
@@ -301,13 +364,9 @@ def _alike(rows: DataFrame, text: Column, posts: DataFrame) -> DataFrame:
 
     posts = _merged(posts, first, "posts")
     counts = store(posts.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")), "counts")
-    top = store(counts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1"), "top")
-    headed = store(posts.join(top.select("key", "top"), "key"), "headed")
-    x, y = headed.where("root != top").alias("x"), headed.alias("y")
-    apart = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.top")) | (F.col("x.root") < F.col("y.root")))
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & apart)
-    rest = rest.select(F.col("x.row").alias("row_a"), F.col("y.row").alias("row_b"), F.col("x.root").alias("a"), F.col("y.root").alias("b"))
-    return first.unionByName(_verified(rest.distinct(), sets))
+    top = counts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    headed = store(posts.join(store(top.select("key", "top"), "top"), "key"), "headed")
+    return first.unionByName(_met_in_blocks(_blocks(headed, sets)))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: Column | None = None) -> DataFrame:
