@@ -16,14 +16,18 @@ def _own_dir() -> str:
     return "file://" + tempfile.mkdtemp(prefix="textloom-")
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """The rows written once to the folder that all executors share, and read back."""
-    spark: SparkSession = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the folder that all executors share."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    at = at or _own_dir()
-    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{(at or _own_dir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def scratch(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once to the folder that all executors share, and read back."""
+    spark: SparkSession = df.sparkSession
+    path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from textloom.functions import kana, text
 from textloom.operators import changepoint, clusters, mentions, metrics, pairs, search, topics, vectors, ward
-from textloom.operators.ranking import running_total, scratch
+from textloom.operators.ranking import running_total, scratch, shared_path
 from textloom.plans.registry import query, sql_values, table, values
-from textloom.sources import sinks
+from textloom.sources import bundle, sinks
 
 GRAM = 8
 TERMS = "[a-z]{3,}"
@@ -137,6 +137,24 @@ def snk_postings_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.decode_postings(sinks.encode_postings(search.postings(_tf(spark, sf_dir))))
 
 
+@query("snk_index_file", f"SELECT term, doc, least(tf, 65535) AS tf, least(dl, 65535) AS dl FROM {_TF} JOIN (SELECT doc, sum(tf) AS dl FROM {_TF} GROUP BY 1) USING (doc)")
+def snk_index_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All postings and lengths out into the single files of a search index, and back from their bytes."""
+    tf, path = scratch(_tf(spark, sf_dir), "tf"), shared_path(spark, "index")
+    bundle.write_index(tf, search.doc_lengths(tf, _docs(spark, sf_dir), "doc_id"), path)
+    return bundle.read_index(spark, path).join(bundle.read_lengths(spark, path), "doc").select("term", "doc", "tf", "dl")
+
+
+@query("snk_vector_file", "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS no, vec_id, TRUE AS near FROM embeddings")
+def snk_vector_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors out into one half-precision file with parallel arrays, and back: each is near what it was."""
+    e, path = table(spark, sf_dir, "embeddings"), shared_path(spark, "vectors")
+    bundle.write_vectors(e.select(F.col("vec_id").alias("i"), F.col("label").alias("work"), F.col("embedding").alias("v")), path, 64)
+    back = bundle.read_vectors(spark, path).join(bundle.read_vector_index(spark, path), "no")
+    worst = F.array_max(F.zip_with("embedding", "v", lambda a, b: F.abs(a - b)))
+    return back.join(e, F.col("id") == F.col("vec_id")).select("no", "vec_id", (worst < 0.001).alias("near"))
+
+
 _VAR = [0, 1, 127, 128, 300, 16384, 4294967295]
 
 
