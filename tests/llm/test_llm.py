@@ -1,5 +1,6 @@
 """The training-data operators against brute force, and on nulls, empty tables, repeats and clashing names."""
 
+import hashlib
 import itertools
 import random
 import re
@@ -714,6 +715,42 @@ def test_a_name_of_one_character(spark):
     assert all(shape(got[i]) == shape(t) and got[i] != t for i, t in rows) and len(set(got.values())) == len(rows)
 
 
+def feistel(s, key, kind, alphabets):
+    """The same permutation of strings, written with loops."""
+    a, b = s[: len(s) // 2], s[len(s) // 2 :]
+    for r in range(1, pii.ROUNDS + 1):
+        h = hashlib.sha256(f"{key}|{kind}|{r}|{b}".encode()).hexdigest()
+        moved = ""
+        for i, c in enumerate(a):
+            own = next((x for x in alphabets if c in x), None)
+            moved += own[(own.index(c) + int(h[i % 32 * 2 : i % 32 * 2 + 2], 16)) % len(own)] if own else c
+        a, b = b, moved
+    return a + b
+
+
+def test_names_in_any_spaced_script_are_whole(spark):
+    names = ["jürgen.müller", "ÉLODIE_Brontë", "иван.Петров7", "νίκος", "zoë", "ju\u0308rgen", "đặng-văn", "plain.name"]
+    rows = [(i, f"to {n}@bücher.example.de, twice <{n}@bücher.example.de>") for i, n in enumerate(names)] + [(50, "連絡先はuser@example.com です"), (51, "5 × 3@x, ÷@b.de"), (52, "müller at example.de")]
+    got = {r.doc_id: r for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string"), EXAMPLE_KEY).collect()}
+    alphabets = (pii._LOWER, pii._UPPER, pii._DIGITS, *pii.FURTHER)
+    assert len(set("".join(alphabets))) == len("".join(alphabets))
+    for i, n in enumerate(names):
+        new = feistel(n, EXAMPLE_KEY, "email", alphabets)
+        assert got[i].text == f"to {new}@bücher.example.de, twice <{new}@bücher.example.de>" and got[i].n_private == 2, n
+        assert new != n and {c for c in new if not c.isalnum()} == {c for c in n if not c.isalnum()}
+        assert [c.islower() for c in n] == [c.islower() for c in new] and len(n) == len(new)
+    assert got[50].text == f"連絡先は{feistel('user', EXAMPLE_KEY, 'email', alphabets)}@example.com です"
+    assert got[51].text == rows[-2][1] and got[52].text == rows[-1][1]
+
+
+def test_permuted_strings_by_loops(spark):
+    rows = [(s,) for s in ("5551234567", "123456789", "AKIA", "a1", "Zz9_-x")]
+    df = spark.createDataFrame(rows, "s string")
+    alphabets = (pii._LOWER, pii._UPPER, pii._DIGITS)
+    for r in df.select("s", pii.feistel_text(F.col("s"), "k", "t", alphabets).alias("y")).collect():
+        assert r.y == feistel(r.s, "k", "t", alphabets)
+
+
 def test_punctuation_does_not_part_a_number(spark):
     rows = [(1, "743-555-3824"), (2, "+1 (743) 555-3824"), (3, "743 555 3824")]
     got = [re.sub(r"^\+1|\D", "", r.text) for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string"), EXAMPLE_KEY).collect()]

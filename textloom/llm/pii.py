@@ -13,13 +13,18 @@ phone       3-3-4 digits, maybe after +1            the ten digits
 ssn         3-2-4 digits, none of the parts void    the nine digits
 ip          four numbers up to 255                  the 32 bits
 date        a day from 1700 to 2099                 the day within those 400 years
-email       name@host.domain                        the name's letters and digits, by class
+email       name@host.domain, in Latin, Greek or    the name's letters and digits, by class: script
+            Cyrillic letters                        and case stay, marks and signs too
 secret      an access key id; a long value given    the value's letters and digits, by class (hex in hex)
             to a key, secret, token or password
 
 A round adds a keyed digest (SHA-256) of one half to the other half, digit by
 digit, so any number of rounds can be undone by whoever holds the key.
 
+The name of an email is whole: letters with marks belong to it as plain ones do.
+Scripts that are written without spaces end it, as what stands before it there is
+another word.
+
 Phones are known by their form alone. Numbers without any punctuation are cards
 or nothing: ten bare digits, phones of other countries and bank account numbers
 stay. No pattern repeats a group without a bound, so the matcher's stack does not
@@ -37,8 +42,12 @@ ROUNDS = 6
 GROUPS = 256
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+#: Letters of spaced scripts beyond ASCII, and the marks that may follow a letter.
+_LETTERS = r"\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F\u0370-\u0373\u0376-\u037D\u0386-\u03FF\u0400-\u0481\u048A-\u052F\u1E00-\u1EFF"
+_LETTER, _MARK = f"A-Za-z{_LETTERS}", r"\u0300-\u036F"
+_NAME = f"{_LETTER}{_MARK}0-9._%+-"
 KINDS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}",
+    "email": rf"[{_NAME}]+@[{_LETTER}0-9-][{_LETTER}{_MARK}0-9.-]*\.[{_LETTER}]{{2,}}",
     "assigned": r"(?i:api[_-]?key|access[_-]?key|secret|token|passwd|password)[ ]?[=:][ ]?[\"']?[A-Za-z0-9_/+-]{16,}",
     "access": r"AKIA[0-9A-Z]{16}",
     "ip": rf"{_OCTET}(?:\.{_OCTET}){{3}}",
@@ -50,7 +59,7 @@ KINDS = {
 }
 #: Where a value may begin and end: not inside a longer number, word, or dotted number.
 _BEFORE, _AFTER = r"(?<![A-Za-z0-9])(?<![0-9][.-])", r"(?![A-Za-z0-9])(?![.-][0-9])"
-PATTERN = "|".join([rf"(?<![A-Za-z0-9._%+-]){KINDS['email']}", KINDS["assigned"], *(f"{_BEFORE}(?:{KINDS[k]}){_AFTER}" for k in ("access", "ip", "date", "ssn", "phone", "run"))])
+PATTERN = "|".join([rf"(?<![{_NAME}]){KINDS['email']}", KINDS["assigned"], *(f"{_BEFORE}(?:{KINDS[k]}){_AFTER}" for k in ("access", "ip", "date", "ssn", "phone", "run"))])
 #: Every value has one of these; a text without any is not searched.
 HINT = "[0-9@=:]|AKIA"
 #: What marks a value within a run of digits, and what else a run may hold than cards.
@@ -58,6 +67,9 @@ _OPEN, _SHUT = "\u0001", "\u0002"
 IN_RUN = "|".join(f"{_BEFORE}(?:{KINDS[k]}){_AFTER}" for k in ("date", "ssn", "phone"))
 
 _LOWER, _UPPER, _DIGITS, _HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
+#: The letters of each further script and case: Latin, Greek, Cyrillic.
+_SCRIPTS = ((0xC0, 0x250), (0x370, 0x400), (0x400, 0x530), (0x1E00, 0x1F00))
+FURTHER = tuple("".join(c for c in map(chr, range(*span)) if case(c)) for span in _SCRIPTS for case in (str.islower, str.isupper))
 
 
 def let(value: Column, body) -> Column:
@@ -248,7 +260,7 @@ def _date(m: Column, key: str) -> Column:
 
 def _email(m: Column, key: str) -> Column:
     name = F.substring_index(m, "@", 1)
-    return F.concat(feistel_text(name, key, "email", (_LOWER, _UPPER, _DIGITS)), F.substr(m, F.length(name) + 1, F.length(m)))
+    return F.concat(feistel_text(name, key, "email", (_LOWER, _UPPER, _DIGITS, *FURTHER)), F.substr(m, F.length(name) + 1, F.length(m)))
 
 
 def _secret(m: Column, key: str) -> Column:
