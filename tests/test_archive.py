@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.sources import archive, readers
+from textloom.operators import mentions
+from textloom.sources import archive, readers, sinks
 
 
 def test_members_come_back(spark, tmp_path):
@@ -96,3 +97,30 @@ def test_arrays_that_have_no_rows_of_bytes(tmp_path):
     reader = archive.ArrayReader({"path": str(tmp_path / "short.npy")})
     with pytest.raises(ValueError, match="ends within row 9"):
         [list(reader.read(p)) for p in reader.partitions()]
+
+
+def test_records_of_unlike_keys(spark, tmp_path):
+    rows = [(2, '{"b": "1", "a": "2"}'), (1, '{"c": "3"}'), (3, '{"a": "4", "d": null}'), (4, "{}"), (5, None)]
+    # maps are read from text, as those made of Python's lose their order
+    df = spark.createDataFrame(rows, "i int, j string").select("i", F.from_json("j", "map<string,string>").alias("data"))
+    flat = sinks.flat_records(df, [F.col("i")], "data")
+    assert flat.columns == ["i", "c", "b", "a", "d"]
+    assert sorted(map(tuple, flat.collect()), key=lambda r: r[0]) == [(1, "3", None, None, None), (2, None, "1", "2", None), (3, None, None, "4", None), (4, None, None, None, None), (5, None, None, None, None)]
+
+
+def test_reports_say_that_they_are_cut(spark):
+    rows = spark.range(5)
+    assert "Only the first 3 rows" in sinks.markdown(rows, "t", 3) and "Only" not in sinks.markdown(rows, "t", 5)
+
+
+def test_reports_of_communities(spark):
+    members = spark.createDataFrame([(i, i // 4) for i in range(9)], "doc long, community long")
+    tf = spark.createDataFrame([(0, "Ann", 1), (1, "Ann", 2), (4, "Bob", 1), (5, "Bob", 1), (6, "Bob", 1), (0, "Bob", 1), (1, "Bob", 1)], "doc long, term string, tf long")
+    works = spark.createDataFrame([(0, 5, "a", 1900), (1, None, None, 1900), (2, 9, "a", None), (3, 9, "b", 1890), (4, 1, "b", 1)], "doc long, chars long, genre string, year int")
+    got = {r.community: r for r in mentions.reports(members, tf, works, most=3).collect()}
+    assert set(got) == {0, 1} and got[0].size == 4
+    assert got[0].names == ["Ann", "Bob"] and got[0].works == [2, 3, 0] and [tuple(g) for g in got[0].genres] == [("a", 2), ("b", 1), ("不明", 1)] and [tuple(y) for y in got[0].years] == [(1890, 1), (1900, 2)]
+    assert got[1].works == [4, 5, 6] and [tuple(g) for g in got[1].genres] == [("不明", 3), ("b", 1)]
+    edge = spark.createDataFrame([(0, 1, 1.0)], "a long, b long, w double")
+    assert tuple(mentions.summary(members, edge).first()) == (9, 1, 2, 1)
+    assert mentions.reports(members.limit(0), tf, works).count() == 0 and tuple(mentions.summary(members.limit(0), edge.limit(0)).first()) == (0, 0, 0, 0)

@@ -127,3 +127,14 @@ def parse_pairs(text: Column, separator: str = " ") -> Column:
     last = F.filter(F.sequence(F.lit(1), F.size(pairs)), lambda i: (F.size(pairs) > 0) & ~F.array_contains(F.slice(keys, i + 1, F.size(keys)), F.element_at(keys, i)))
     entry = lambda i: F.struct(F.element_at(keys, i), F.substr(F.element_at(pairs, i), F.length(F.element_at(keys, i)) + 2))
     return F.when(F.size(pairs) > 0, F.map_from_entries(F.transform(last, entry))).otherwise(F.create_map().cast("map<string,string>"))
+
+
+def parse_typed_pairs(text: Column, strings: tuple[str, ...] = (), separator: str = " ") -> Column:
+    """key=value pairs as a map of variants: a value that is JSON is of its type, another one a string; a later key wins.
+
+    The keys in `strings` are always strings, as a short hash of digits and an e would be taken for a number.
+    Null for null; pieces without an equals sign are left out.
+    """
+    text_of = lambda v: v.cast("variant")
+    typed = lambda k, v: F.when(k.isin(*strings), text_of(v)).otherwise(F.coalesce(F.try_parse_json(v), text_of(v))) if strings else F.coalesce(F.try_parse_json(v), text_of(v))
+    return F.when(text.isNotNull(), F.transform_values(parse_pairs(text, separator), typed))

@@ -189,3 +189,24 @@ def append(records: DataFrame, new: DataFrame, **rules) -> tuple[DataFrame, Data
     both = records.unionByName(new)
     broken = record_errors(both, **rules).select("file", "line", "rule").union(file_errors(both)).join(new.select("file").distinct(), "file", "left_semi")
     return new.join(broken.select("file").distinct(), "file", "left_anti"), broken
+
+
+def loop_summary(live: DataFrame) -> DataFrame:
+    """One row per file: its first start and end, its last test run, and counts; an outcome of null is a loop in progress."""
+    first = lambda when, what: F.min_by(what, F.when(when, F.col("line")))
+    is_ = lambda e: F.col("event") == e
+    start, end, test = is_("loop_start"), is_("loop_end"), is_("test_run")
+    last = lambda what: F.max_by(what, F.when(test, F.col("line")))
+    return live.groupBy("file").agg(
+        first(start, F.col("project")).alias("project"), first(start, field("goal")).alias("goal"), first(start, field("spec_refs")).alias("spec_refs"),
+        first(start, field("scaffold_version")).alias("scaffold_version"), first(end, field("outcome")).alias("outcome"), first(end, field("summary")).alias("summary"),
+        F.count_if(test).alias("n_test_runs"), last(field("passed", "int")).alias("passed"), last(field("failed", "int")).alias("failed"),
+        F.count_if(is_("commit")).alias("n_commits"), F.count_if(is_("failure")).alias("n_failures"),
+    )
+
+
+def failure_lines(live: DataFrame, codes: DataFrame) -> DataFrame:
+    """(file, line, severity, code, name, summary, resolution, harness_ref): a summary's failures, named by `codes` (code, name), else ?."""
+    cols = [field(c).alias(c) for c in ("severity", "code", "summary", "resolution", "harness_ref")]
+    rows = live.where("event = 'failure'").select("file", "line", *cols)
+    return rows.join(codes.select("code", "name"), "code", "left").select("file", "line", "severity", "code", F.coalesce("name", F.lit("?")).alias("name"), "summary", "resolution", "harness_ref")

@@ -536,6 +536,38 @@ def vec_mention_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.join(sizes, "community").where("size >= 3").select(F.col("node").alias("doc"), "community", "size")
 
 
+_MEMBERS = "m AS (SELECT doc_id AS doc, CAST(substr(source, 4) AS BIGINT) AS community, n_chars AS chars, coalesce(lang, '不明') AS genre, CASE WHEN doc_id % 3 <> 0 THEN 1900 + doc_id % 50 END AS year FROM documents), s AS (SELECT community, count(*) AS size FROM m GROUP BY 1 HAVING count(*) >= 3)"
+_RANKED = "g AS (SELECT term, count(*) AS df FROM n GROUP BY 1), i AS (SELECT community, term, count(*) AS c FROM n JOIN m USING (doc) GROUP BY ALL HAVING count(*) >= 2), r AS (SELECT community, term, row_number() OVER (PARTITION BY community ORDER BY round(c / size * ln((SELECT count(*) FROM m) / df), 9) DESC, term) AS r FROM i JOIN s USING (community) JOIN g USING (term))"
+_PARTS = "a AS (SELECT community, string_agg(term, '|' ORDER BY r) AS names FROM r WHERE r <= 12 GROUP BY 1), b AS (SELECT community, string_agg(doc, '|' ORDER BY r) AS works FROM (SELECT community, doc, row_number() OVER (PARTITION BY community ORDER BY coalesce(chars, 0) DESC, doc) AS r FROM m) WHERE r <= 12 GROUP BY 1), e AS (SELECT community, string_agg(genre || ':' || n, '|' ORDER BY n DESC, genre) AS genres FROM (SELECT community, genre, count(*) AS n FROM m GROUP BY ALL) GROUP BY 1), y AS (SELECT community, string_agg(year || ':' || n, '|' ORDER BY year) AS years FROM (SELECT community, year, count(*) AS n FROM m WHERE year IS NOT NULL GROUP BY ALL) GROUP BY 1)"
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    """The lists of a report as text."""
+    pairs = lambda c, k: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s[k].cast("string"), s["n"].cast("string"))), "|").alias(c)
+    return rows.select("community", "size", F.array_join("names", "|").alias("names"), F.array_join(F.col("works").cast("array<string>"), "|").alias("works"), pairs("genres", "genre"), pairs("years", "year"))
+
+
+def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    return _docs(spark, sf_dir).select(i.alias("doc"), F.col("n_chars").alias("chars"), F.col("lang").alias("genre"), F.when(i % 3 != 0, 1900 + i % 50).alias("year"))
+
+
+@query("agg_community_report", f"WITH n AS {_NAMES}, {_MEMBERS}, {_RANKED}, {_PARTS} SELECT community, size, coalesce(names, '') AS names, works, genres, coalesce(years, '') AS years FROM s LEFT JOIN a USING (community) LEFT JOIN b USING (community) LEFT JOIN e USING (community) LEFT JOIN y USING (community)")
+def agg_community_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names, longest works, genres and years of the documents of each source."""
+    members = _docs(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.substring("source", 4, 9).cast("long").alias("community"))
+    return _told(mentions.reports(members, _names(spark, sf_dir), _catalogue(spark, sf_dir)))
+
+
+@query("vec_mention_report")
+def vec_mention_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole driver: names, edges, communities in rounds, a report of each of three works at least, and the totals in every row."""
+    tf, docs = scratch(_names(spark, sf_dir), "names"), _docs(spark, sf_dir).select(F.col("doc_id").alias("node"))
+    edge = scratch(mentions.edges(mentions.weights(tf)), "edges")
+    members = scratch(mentions.communities_in_rounds(edge, docs).select(F.col("node").alias("doc"), "community"), "members")
+    return _told(mentions.reports(members, tf, _catalogue(spark, sf_dir))).crossJoin(F.broadcast(mentions.summary(members, edge)))
+
+
 # --- time ---------------------------------------------------------------------------------
 
 _DAYS = "(SELECT event_type AS grp, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INT) AS t, avg(value) AS x FROM events GROUP BY ALL)"

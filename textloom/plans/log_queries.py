@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textloom.operators import eventlog
 from textloom.operators.ranking import dense_ordinal
 from textloom.plans.registry import query, sql_values, table, values
+from textloom.sources import sinks
 
 
 def _line(event: str | None, ts: str, loop: str = "loop_001", project: str = "p", v: str = "1.2", **data) -> str:
@@ -110,6 +111,44 @@ def agg_fact_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eventlog.fact_failures(_live(spark)).select("code", "severity", "detected_stage", "resolution", "harness_ref")
 
 
+_EVENTS = ("loop_start", "test_run", "failure", "commit", "loop_end", "stage_end")
+
+
+def _loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as records of loops, a file for each user."""
+    i = F.col("event_id")
+    data = F.to_json(F.struct(
+        F.concat(F.lit("goal "), i.cast("string")).alias("goal"), F.lit("1").alias("scaffold_version"), F.col("event_type").alias("outcome"), F.col("event_type").alias("severity"),
+        (i % 9).alias("passed"), (i % 4).alias("failed"), F.concat(F.lit("E"), (i % 5).cast("string")).alias("code"), F.concat(F.lit("said "), i.cast("string")).alias("summary"),
+    ))
+    event = F.element_at(F.array(*map(F.lit, _EVENTS)), (i % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("loop_"), F.col("user_id").cast("string")).alias("file"), i.alias("line"), F.col("event_type").alias("project"), event.alias("event"), data.alias("data"))
+
+
+def _nth(of: str, what: str, k: int) -> str:
+    return f"{of}({what}, event_id) FILTER (WHERE event_id % 6 = {k})"
+
+
+@query("agg_loop_summary", f"SELECT 'loop_' || user_id AS file, {_nth('arg_min', 'event_type', 0)} AS project, {_nth('arg_min', chr(39) + 'goal ' + chr(39) + ' || event_id', 0)} AS goal, {_nth('arg_min', 'event_type', 4)} AS outcome, {_nth('arg_min', chr(39) + 'said ' + chr(39) + ' || event_id', 4)} AS summary, count(*) FILTER (WHERE event_id % 6 = 1) AS n_test_runs, CAST({_nth('arg_max', 'event_id % 9', 1)} AS INT) AS passed, CAST({_nth('arg_max', 'event_id % 4', 1)} AS INT) AS failed, count(*) FILTER (WHERE event_id % 6 = 3) AS n_commits, count(*) FILTER (WHERE event_id % 6 = 2) AS n_failures FROM events GROUP BY 1")
+def agg_loop_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events summed up as a loop."""
+    return eventlog.loop_summary(_loops(spark, sf_dir)).select("file", "project", "goal", "outcome", "summary", "n_test_runs", "passed", "failed", "n_commits", "n_failures")
+
+
+@query("agg_failure_lines", "SELECT 'loop_' || user_id AS file, event_id AS line, event_type AS severity, 'E' || event_id % 5 AS code, coalesce(r_name, '?') AS name, 'said ' || event_id AS summary FROM events LEFT JOIN region ON r_regionkey = event_id % 5 AND r_regionkey < 4 WHERE event_id % 6 = 2")
+def agg_failure_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The failures of a summary, each with the name of its code; one code has none."""
+    codes = table(spark, sf_dir, "region").where("r_regionkey < 4").select(F.concat(F.lit("E"), F.col("r_regionkey").cast("string")).alias("code"), F.col("r_name").alias("name"))
+    return eventlog.failure_lines(_loops(spark, sf_dir), codes).select("file", "line", "severity", "code", "name", "summary")
+
+
+@query("snk_key_union", "SELECT key, row_number() OVER (ORDER BY least(a, b)) - 1 AS place FROM (SELECT key, min(a) AS a, min(b) AS b FROM (SELECT event_type AS key, event_id * 2 AS a, NULL AS b FROM events UNION ALL SELECT 'user' || user_id % 10, NULL, event_id * 2 + 1 FROM events) GROUP BY 1)")
+def snk_key_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The header of all events as records of unlike keys: keys in order of first use."""
+    maps = table(spark, sf_dir, "events").select("event_id", F.create_map("event_type", F.col("value").cast("string"), F.concat(F.lit("user"), (F.col("user_id") % 10).cast("string")), F.lit("1")).alias("data"))
+    return values(spark, [(k, i) for i, k in enumerate(sinks.union_of_keys(maps, [F.col("event_id")], "data"))], "key string, place long")
+
+
 @query("agg_two_strike", "SELECT event_type AS code, CAST(count(*) AS BIGINT) AS total, count(*) >= 2 AS needs_hc, bool_or(event_id % 500 = 0) AS has_hc_ref FROM events GROUP BY 1")
 def agg_two_strike(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("code"), F.when(F.col("event_id") % 500 == 0, "HC").alias("harness_ref"))

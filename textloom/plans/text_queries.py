@@ -88,6 +88,16 @@ def txt_parse_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", m["a"].cast("long").alias("a"), m["b"].alias("b"))
 
 
+@query("txt_typed_pairs", "SELECT event_id, event_id AS id, 'BIGINT' AS id_type, event_id || 'e6' AS sha, 'STRING' AS sha_type, event_type AS name, 'STRING' AS name_type, event_id % 2 = 0 AS even, 'BOOLEAN' AS even_type FROM events")
+def txt_typed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs whose values have the types that JSON gives them, but for a short hash that looks like a number."""
+    i = F.col("event_id").cast("string")
+    line = F.concat(F.lit("id="), i, F.lit(" sha="), i, F.lit("e6 name="), F.col("event_type"), F.lit(" even="), (F.col("event_id") % 2 == 0).cast("string"))
+    m = table(spark, sf_dir, "events").select("event_id", text.parse_typed_pairs(line, ("sha",)).alias("m"))
+    get = lambda k, kind: [F.try_variant_get(F.col("m")[k], "$", kind).alias(k), F.schema_of_variant(F.col("m")[k]).alias(f"{k}_type")]
+    return m.select("event_id", *get("id", "long"), *get("sha", "string"), *get("name", "string"), *get("even", "boolean"))
+
+
 # --- hygiene and secrets ------------------------------------------------------------------
 
 _LINES = "(SELECT doc_id, i AS n, string_split(text, chr(10))[i] AS line FROM documents, range(1, len(string_split(text, chr(10))) + 1) AS r(i))"

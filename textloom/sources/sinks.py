@@ -105,7 +105,21 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.select(F.col(first).alias("﻿" + first), *rest).write.mode("overwrite").csv(path, header=True)
 
 
+def union_of_keys(records: DataFrame, order: list[Column], fields: str) -> list[str]:
+    """The keys of the map column `fields` in order of first use, by `order`, then by place in the map. As many as a table has columns, so few."""
+    each = records.select(F.struct(*order).alias("_at"), F.posexplode(F.map_keys(fields)).alias("_i", "key"))
+    return [r["key"] for r in each.groupBy("key").agg(F.min(F.struct("_at", "_i")).alias("_at")).orderBy("_at", "key").collect()]
+
+
+def flat_records(records: DataFrame, order: list[Column], fields: str) -> DataFrame:
+    """The other columns, then one for each key of the map column `fields`, null where a record lacks it."""
+    rest = [F.col(f"`{c}`") for c in records.columns if c != fields]
+    return records.select(*rest, *[F.try_element_at(fields, F.lit(k)).alias(k) for k in union_of_keys(records, order, fields)])
+
+
 def markdown(rows: DataFrame, title: str, most: int = 1000) -> str:
-    """A report of at most `most` rows as a table."""
+    """A report of at most `most` rows as a table; a last line says so if there are more."""
     head = f"# {title}\n\n| " + " | ".join(rows.columns) + " |\n|" + "---|" * len(rows.columns)
-    return "\n".join([head, *("| " + " | ".join(map(str, r)) + " |" for r in rows.limit(most).collect())]) + "\n"
+    got = rows.limit(most + 1).collect()
+    more = [f"\nOnly the first {most} rows are shown."] if len(got) > most else []
+    return "\n".join([head, *("| " + " | ".join(map(str, r)) + " |" for r in got[:most]), *more]) + "\n"
