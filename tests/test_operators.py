@@ -381,3 +381,27 @@ def test_edges_are_all_cosines(spark):
         got = {(r.a, r.b): r.w for r in mentions.edges(w, least).collect()}
         want = {k: x for k, x in cosine.items() if x >= least}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_pairs_meet_in_blocks_and_only_those_left_are_compared_by_grams(spark, monkeypatch):
+    from textloom.operators import pairs
+
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.choice([3, 4, 30, 70, 150, 300, 600]))) for _ in range(60)]
+    far = [(i, 1, len(w), sorted({w[k : k + 4] for k in range(len(w) - 3)})) for i, w in enumerate(texts)]
+    near = [w[: rnd.randint(1, len(w))] + w[rnd.randint(0, len(w)) :] for w in texts for _ in range(2)]
+    more = far + [(i, 1, len(w), sorted({w[k : k + 4] for k in range(len(w) - 3)})) for i, w in enumerate(near, 100)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, members long, len int, grams array<string>")
+    monkeypatch.setattr(pairs, "ROWS", 9)
+    monkeypatch.setattr(pairs, "BYTES", 256)  # several blocks of a level, and several parts of a block
+    for t in (0.3, 0.5, 0.8):
+        score = {(x[0], y[0]): len(set(x[3]) & set(y[3])) / max(len(set(x[3]) | set(y[3])), 1) for x in more for y in more if x[0] < y[0] and 0.6 < y[2] / x[2] < 1.7}
+        want = {k: s for k, s in score.items() if s >= t}
+        got = {(r.a, r.b): r.score for r in pairs.find_pairs(frame(more), t).collect()}
+        assert len(want) > 20 and got == want
+
+    stored = {}
+    real = pairs.scratch
+    monkeypatch.setattr(pairs, "scratch", lambda df, name: stored.setdefault(name, real(df, name)))
+    assert pairs.find_pairs(frame(far[:20])).count() == 0
+    assert stored["numbers"].count() == 0  # a row for each gram before
