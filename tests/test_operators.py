@@ -405,3 +405,18 @@ def test_pairs_meet_in_blocks_and_only_those_left_are_compared_by_grams(spark, m
     monkeypatch.setattr(pairs, "scratch", lambda df, name: stored.setdefault(name, real(df, name)))
     assert pairs.find_pairs(frame(far[:20])).count() == 0
     assert stored["numbers"].count() == 0  # a row for each gram before
+
+
+def test_edges_meet_in_blocks(spark, monkeypatch):
+    """Several blocks and parts find every cosine, and pairs under the threshold leave no task."""
+    rnd = random.Random(9)
+    raw = {d: {f"t{rnd.randint(0, 60)}": rnd.random() + 0.01 for _ in range(rnd.randint(1, 9))} for d in range(90)}
+    unit = {d: {t: x / sum(y * y for y in v.values()) ** 0.5 for t, x in v.items()} for d, v in raw.items()}
+    w = spark.createDataFrame([(d, t, x) for d, v in unit.items() for t, x in v.items()], "doc long, term string, w double")
+    for name, value in (("LEAST", 40), ("BLOCKS", 3), ("ENTRIES", 50), ("CELLS", 30)):
+        monkeypatch.setattr(mentions, name, value)
+    want = {(a, b): x for a in unit for b in unit if a < b and (x := sum(x * unit[b].get(t, 0) for t, x in unit[a].items())) >= 0.3}
+    rows = mentions.edges(w, 0.3)
+    got = {(r.a, r.b): r.w for r in rows.collect()}
+    assert rows.count() == len(got) and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert mentions.edges(w.limit(0)).count() == 0
