@@ -420,3 +420,24 @@ def test_edges_meet_in_blocks(spark, monkeypatch):
     got = {(r.a, r.b): r.w for r in rows.collect()}
     assert rows.count() == len(got) and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     assert mentions.edges(w.limit(0)).count() == 0
+
+
+def test_work_features_of_some_names(spark):
+    """They are as among all, and nothing else is worked out."""
+    rows = [(1, "Die Stadt ist alt, sagte er. 12 Leute!\n" * 300), (2, "a, b."), (3, ""), (4, None), (5, "私は「の」に行く。\n")]
+    docs = spark.createDataFrame(rows, "id long, t string")
+    some = ("n_chars", "sent_len_mean", "pos_名詞")
+    make = lambda **more: style.work_features(docs, "id", "t", tagger=style.rule_tokens, **more)
+    whole, part = {r.id: r.features for r in make().collect()}, {r.id: r.features for r in make(only=some).collect()}
+    assert len(whole[1]) == len(style.feature_names(True)) + 1 and whole[1]["pos_名詞"] == 1.0 and whole[1]["n_chunks"] > 1
+    assert part == {i: {k: x for k, x in f.items() if k in (*some, "n_chunks")} for i, f in whole.items()}
+    plan = make(only=some)._jdf.queryExecution().optimizedPlan().toString()
+    assert "func_" not in plan and "_words" not in plan and "_speech" not in plan
+
+
+def test_fold_passes_over_what_no_stage_touches(spark):
+    rows = ["plain, text.\n", "", None, "漢字／字", "人々", "a／＼", "ab／″＼", "x\ufdd0y", "ヾか", "é ü 12", "バナナ／″＼", "思ふ"]
+    df = spark.createDataFrame([(r,) for r in rows], "t string").select("t", kana.fold(F.col("t")).alias("f"), kana.fold_stages(F.col("t"))["fold"].alias("g"))
+    got = df.collect()
+    assert all(r.f == r.g for r in got) and [r.f for r in got][:3] == rows[:3]
+    assert "CASE WHEN" in df.select("f")._jdf.queryExecution().optimizedPlan().toString()

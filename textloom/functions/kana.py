@@ -93,8 +93,8 @@ def fold_stages(s: Column) -> dict[str, Column]:
 
 
 def fold(s: Column) -> Column:
-    """The form that old and new spellings share."""
-    return fold_stages(s)["fold"]
+    """The form that old and new spellings share; a text without a character that any stage touches is its own."""
+    return F.when(~s.rlike(f"[々ぁ-ヿ／＼{_MARK}]"), s).otherwise(fold_stages(s)["fold"])
 
 
 def to_modern(s: Column) -> Column:
