@@ -441,3 +441,33 @@ def test_fold_passes_over_what_no_stage_touches(spark):
     got = df.collect()
     assert all(r.f == r.g for r in got) and [r.f for r in got][:3] == rows[:3]
     assert "CASE WHEN" in df.select("f")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_terms_are_counted_without_a_shuffle(spark):
+    """Documents of one id are one document, even in several rows; where no id repeats, no posting is shuffled to be counted."""
+    from textloom.operators import search
+
+    rows = [(1, "b a a"), (2, "a"), (1, "a c"), (None, "a"), (None, "a b"), (3, None), (4, "")]
+    tf = lambda r: search.term_frequencies(spark.createDataFrame(r, "d long, t string"), "d", F.filter(F.split("t", " "), lambda x: x != ""))
+    found = lambda r: sorted(map(tuple, tf(r).collect()), key=str)
+    assert found(rows) == sorted([(1, "a", 3), (1, "b", 1), (1, "c", 1), (2, "a", 1), (None, "a", 2), (None, "b", 1)], key=str)
+    assert found(rows[:2]) == [(1, "a", 2), (1, "b", 1), (2, "a", 1)] and found([]) == []
+    assert "Exchange" not in tf(rows[:2])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_are_shuffled_once(spark):
+    from textloom.operators import search
+
+    tf = spark.createDataFrame([("a", d, 1) for d in range(9)], "term string, doc long, tf long")
+    plan = search.postings(tf, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_varints_of_whole_arrays():
+    v = np.array([0, 1, 127, 128, 16383, 16384, 2**31, 2**56 - 1, 2**56, 2**63 - 1], dtype=np.int64)
+    raw, many = sinks.packed_varints(v)
+    assert raw.tobytes() == b"".join(map(sinks.encode_varint, v.tolist())) and many.tolist() == [len(sinks.encode_varint(x)) for x in v.tolist()]
+    back, end = sinks.unpacked_varints(raw)
+    assert back.tolist() == v.tolist() and end.tolist() == np.cumsum(many).tolist()
+    with pytest.raises(ValueError):
+        sinks.packed_varints(np.array([-1]))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators.ranking import dense_ordinal, running_total, scratch
@@ -41,27 +44,77 @@ def unpack_varints(raw: Column) -> Column:
     return F.udf(lambda b: None if b is None else decode_varints(bytes(b)), "array<long>", useArrow=True)(raw)
 
 
+def packed_varints(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of numbers one after the other, and how many each has: `encode_varint` of a whole array."""
+    if len(v) and v.min() < 0:
+        raise ValueError("a varint is no negative number")
+    many = np.ones(len(v), dtype=np.int64)
+    for k in range(1, 9):
+        many += v >= 1 << (7 * k)
+    start = np.cumsum(many) - many
+    out = np.empty(int(many.sum()), dtype=np.uint8)
+    for k in range(int(many.max(initial=0))):
+        some = np.flatnonzero(many > k)
+        out[start[some] + k] = (v[some] >> (7 * k)) & 0x7F | np.where(many[some] > k + 1, 0x80, 0)
+    return out, many
+
+
+def unpacked_varints(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of bytes, and where each ends: `decode_varints` of a whole array."""
+    last = np.flatnonzero(raw < 0x80)
+    if not len(last):
+        return np.zeros(0, dtype=np.int64), last
+    begin = np.concatenate([[0], last[:-1] + 1])
+    here = raw[: last[-1] + 1].astype(np.int64)
+    return np.add.reduceat((here & 0x7F) << (7 * (np.arange(len(here)) - np.repeat(begin, last - begin + 1))), begin), last + 1
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
+def _encoded(lists: pa.Array, base: pa.Array, df: pa.Array, block: pa.Array) -> pa.Array:
+    n = pc.list_value_length(lists).to_numpy().astype(np.int64)
+    posting = pc.list_flatten(lists)
+    doc, tf = (pc.cast(posting.field(i), pa.int64()).to_numpy() for i in (0, 1))
+    gap, at = np.diff(doc, prepend=0), _starts(n)
+    gap[at[:-1]] = doc[at[:-1]] - base.to_numpy()  # a block holds a posting at least
+    head = (block.to_numpy() == 0).astype(np.int64)
+    to = _starts(2 * n + head)
+    place = np.repeat((to[:-1] + head) - 2 * at[:-1], n) + 2 * np.arange(len(doc))
+    v = np.empty(to[-1], dtype=np.int64)
+    v[to[:-1][head > 0]] = df.to_numpy()[head > 0]
+    v[place], v[place + 1] = gap, np.minimum(tf, MOST_TF)
+    raw, many = packed_varints(v)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(_starts(many)[to].astype("<i4").tobytes()), pa.py_buffer(raw.tobytes())])
+
+
 def encode_postings(postings: DataFrame) -> DataFrame:
     """(term, block, df, base, bytes): df before the first block, then each document as its gap and its capped frequency.
 
     The bytes of a term's blocks in order are its whole list.
     """
-    p = F.col("postings")
-    gap = lambda i: F.element_at(p, i)["doc"] - F.when(i > 1, F.get(p, i - 2)["doc"]).otherwise(F.col("base"))
-    flat = F.flatten(F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.array(gap(i).cast("long"), F.least(F.element_at(p, i)["tf"], F.lit(MOST_TF)).cast("long"))))
-    head = F.when(F.col("block") == 0, F.array(F.col("df").cast("long"))).otherwise(F.array().cast("array<long>"))
-    return postings.select("term", "block", "df", "base", varints(F.concat(head, flat)).alias("bytes"))
+    return postings.select("term", "block", "df", "base", F.arrow_udf(_encoded, "binary")("postings", F.col("base").cast("long"), F.col("df").cast("long"), F.col("block").cast("long")).alias("bytes"))
+
+
+def _decoded(raws: pa.Array, base: pa.Array, block: pa.Array) -> pa.Array:
+    size = pc.binary_length(raws).to_numpy().astype(np.int64)
+    v, end = unpacked_varints(np.frombuffer(b"".join(raws.to_pylist()), dtype=np.uint8))
+    first = np.searchsorted(end, _starts(size), "right")  # the numbers of each row
+    head = (block.to_numpy() == 0).astype(np.int64)
+    n = (np.diff(first) - head) // 2
+    at = _starts(n)
+    place = np.repeat(first[:-1] + head - 2 * at[:-1], n) + 2 * np.arange(at[-1])
+    doc = np.cumsum(v[place])
+    doc += np.repeat(base.to_numpy() - np.concatenate([[0], doc])[at[:-1]], n)
+    posting = pa.StructArray.from_arrays([pa.array(doc), pa.array(v[place + 1])], ["doc", "tf"])
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), posting)
 
 
 def decode_postings(encoded: DataFrame) -> DataFrame:
     """(term, doc, tf) from the bytes of each block and the document before it."""
-    rows = encoded.select("term", "block", "base", unpack_varints(F.col("bytes")).alias("v"), F.when(F.col("block") == 0, 1).otherwise(0).alias("skip"))
-    at = lambda i: F.col("skip") + 2 * i
-    many = F.floor((F.size("v") - F.col("skip")) / 2).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.struct(F.get("v", at(i)).alias("gap"), F.get("v", at(i) + 1).alias("tf")))
-    each = rows.select("term", "block", "base", F.posexplode(pairs).alias("i", "p"))
-    doc = F.col("base") + F.sum("p.gap").over(Window.partitionBy("term", "block").orderBy("i"))
-    return each.select("term", doc.alias("doc"), F.col("p.tf").alias("tf"))
+    lists = F.arrow_udf(_decoded, "array<struct<doc:long,tf:long>>")("bytes", F.col("base").cast("long"), F.col("block").cast("long"))
+    return encoded.select("term", F.explode(lists).alias("p")).select("term", "p.doc", "p.tf")
 
 
 def with_offsets(encoded: DataFrame) -> DataFrame:
