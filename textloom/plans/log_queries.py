@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.operators import eventlog
+from textloom.operators import eventlog, search
 from textloom.operators.ranking import dense_ordinal
 from textloom.plans.registry import query, sql_values, table, values
 from textloom.sources import sinks
@@ -232,9 +232,9 @@ def flt_community_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("flt_minimum_total", "SELECT doc, term FROM (SELECT doc, term, sum(n) OVER (PARTITION BY term) AS total FROM (SELECT doc_id AS doc, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term FROM documents) GROUP BY ALL)) WHERE total >= 5")
 def flt_minimum_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("term"))
-    tf = words.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
-    frequent = tf.groupBy("term").agg(F.sum("tf").alias("total")).where("total >= 5")
+    docs, terms = table(spark, sf_dir, "documents"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))
+    tf = search.term_frequencies(docs, "doc_id", terms)
+    frequent = docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("total")).where("total >= 5")
     return tf.join(frequent.select("term"), "term", "left_semi").select("doc", "term")
 
 
