@@ -81,16 +81,19 @@ def gaps(tf: DataFrame) -> DataFrame:
 def score(tf: DataFrame, lengths: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(q, doc, score) of all documents with a term of the query; a term that the query repeats counts again.
 
-    `queries` is (q, term). Its distinct terms prune the postings before anything is joined to them.
+    `queries` is (q, term). Its distinct terms prune the postings before anything is joined to them, and
+    what is left is written once. Postings are shuffled by document, where they stay until they are added up.
     """
     asked = queries.groupBy("q", "term").agg(F.count(F.lit(1)).alias("times"))
-    hits = tf.join(asked.select("term").distinct(), "term", "left_semi")
+    lengths = scratch(lengths, "lengths")
+    hits = scratch(tf.join(asked.select("term").distinct(), "term", "left_semi"), "hits")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weights = scratch(asked.join(df, "term"), "weights")
     stats = statistics(lengths)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     length = F.when(F.col("dl") == 0, 1).otherwise(F.col("dl"))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length / F.col("avgdl")))
-    rows = asked.join(df, "term").join(hits, "term").join(lengths, "doc").crossJoin(F.broadcast(stats))
+    rows = hits.join(lengths.hint("shuffle_hash"), "doc").join(weights, "term").crossJoin(F.broadcast(stats))
     return rows.groupBy("q", "doc").agg(F.sum(part * F.col("times")).alias("score"))
 
 

@@ -5,20 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.ranking import scratch
 from textloom.operators.search import dot
 
 # Terms of a topic, and the least total of a term.
 TOP_TERMS, MIN_TOTAL = 10, 5
 
 
-def class_tfidf(tf: DataFrame, labels: DataFrame, k: int, topn: int = TOP_TERMS, min_total: int = MIN_TOTAL) -> DataFrame:
+def class_counts(docs: DataFrame, id_col: str, terms: Column, labels: DataFrame) -> DataFrame:
+    """(label, term, f) of `labels` (doc, label): documents get their label before they are cut into terms, so what is shuffled is texts, not postings."""
+    named = docs.join(labels.select(F.col("doc").alias("_doc"), F.col("label").alias("_label")), F.col(id_col) == F.col("_doc"))
+    return named.select(F.col("_label").alias("label"), F.explode(terms).alias("term")).groupBy("label", "term").agg(F.count(F.lit(1)).alias("f"))
+
+
+def class_tfidf(f: DataFrame, k: int, topn: int = TOP_TERMS, min_total: int = MIN_TOTAL) -> DataFrame:
     """(label, term, score, rank): (f / n_class) * ln(1 + A / total), where A is all tokens over k.
 
-    `tf` is (doc, term, tf), `labels` (doc, label). Terms of fewer than
+    `f` is (label, term, f), as `class_counts` gives it, and is written once. Terms of fewer than
     `min_total` tokens are left out after the totals are taken; ties go to the
     smaller term.
     """
-    f = tf.join(labels, "doc").groupBy("label", "term").agg(F.sum("tf").alias("f"))
+    f = scratch(f, "counts")
     n = f.groupBy("label").agg(F.sum("f").alias("n"))
     total = f.groupBy("term").agg(F.sum("f").alias("total"))
     a = n.agg((F.sum("n") / max(k, 1)).alias("a"))
