@@ -471,3 +471,18 @@ def test_varints_of_whole_arrays():
     assert back.tolist() == v.tolist() and end.tolist() == np.cumsum(many).tolist()
     with pytest.raises(ValueError):
         sinks.packed_varints(np.array([-1]))
+
+
+def test_several_clusterings_share_their_passes(spark, monkeypatch):
+    """Each is that of a run by itself, and ties go to the first centre as differences tell."""
+    rnd = np.random.default_rng(5)
+    v = np.concatenate([rnd.normal(c, 0.7, (60, 3)) for c in (0, 3, 6)])
+    points = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "i long, v array<double>")
+    label = lambda df: [r.label for r in df.orderBy("id").collect()]
+    alone = [label(clusters.kmeans(points, "i", "v", k)) for k in (2, 5)]
+    assert [label(df) for df in clusters.several_kmeans(points, "i", "v", [2, 5])] == alone
+    c = np.array([[1.0, 0.0, 0.0], [-1.0, 0.0, 0.0], [1.0, 0.0, 0.0]])
+    far = 1e6 + rnd.normal(size=(50, 3))
+    for x in (np.array([[0.0, 2.0, 1.0], [5.0, 1.0, 1.0]]), rnd.normal(size=(50, 3)), far):
+        assert clusters._nearest(x, c).tolist() == clusters._distances(x, c).argmin(axis=1).tolist()
+    assert clusters._nearest(far, far[:9]).tolist() == clusters._distances(far, far[:9]).argmin(axis=1).tolist()

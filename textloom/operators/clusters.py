@@ -10,7 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.ranking import scratch
+
 SEED = 20260825
+#: Vectors of one packed row.
+PACKED = 4096
 #: Features that measure size, not style.
 NOT_STYLE = ("n_chars", "n_chunks")
 
@@ -77,51 +81,94 @@ def start(rows: DataFrame, k: int, seed: int = SEED) -> np.ndarray:
     return centres
 
 
+def _nearest(v: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row, the first on a tie: by one product, and by differences where that can't tell."""
+    if len(c) < 2:
+        return np.zeros(len(v), dtype=np.int64)
+    norm, far = (c**2).sum(axis=1), (v**2).sum(axis=1)
+    with np.errstate(invalid="ignore"):
+        d = norm[None] - 2 * v @ c.T
+        two = np.partition(d, 1, axis=1)
+        close = np.flatnonzero(~(two[:, 1] - two[:, 0] > 1e-12 * (far + norm.max())))
+    label = d.argmin(axis=1)
+    label[close] = _distances(v[close], c).argmin(axis=1)
+    return label
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, PACKED):
+            some = batch.slice(at, PACKED)
+            yield pa.RecordBatch.from_arrays([pa.array([some.num_rows]), pa.array([_vectors(some.column(0)).tobytes()], pa.binary())], names=["rows", "v"])
+
+
+def settled(rows: DataFrame, starts: list[np.ndarray], iters: int) -> list[np.ndarray]:
+    """The centres that Lloyd's iterations over rows (id, v) come to from each of `starts`, side by side: a pass serves all that still move."""
+    packed = scratch(rows.select("v").mapInArrow(_packed, "rows long, v binary"), "packed")
+    now, before = [np.array(c) for c in starts], [None] * len(starts)
+    live = [i for i, c in enumerate(now) if len(c)]
+    for _ in range(iters):
+        if not live:
+            break
+        sets = [(i, now[i], before[i]) for i in live]
+
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = {}
+            for batch in batches:
+                for at in range(batch.num_rows):
+                    v = np.frombuffer(batch.column(1)[at].as_buffer()).reshape(batch.column(0)[at].as_py(), -1)
+                    for i, c, last in sets:
+                        label = _nearest(v, c)
+                        moved = len(v) if last is None else int((label != _nearest(v, last)).sum())
+                        sums = np.stack([np.bincount(label, v[:, j], minlength=len(c)) for j in range(v.shape[1])] + [np.bincount(label, minlength=len(c)).astype(float), np.full(len(c), float(moved))], axis=1)
+                        held[i] = held[i] + sums if i in held else sums
+            for i, sums in held.items():
+                p, place = (x.astype(np.int32) for x in np.divmod(np.arange(sums.size), sums.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(sums.size, i, dtype=np.int32)), pa.array(p), pa.array(place), pa.array(sums.ravel())], names=["i", "p", "at", "x"])
+
+        got = packed.mapInArrow(step, "i int, p int, at int, x double").groupBy("i", "p", "at").agg(F.sum("x").alias("x")).collect()  # a row for each centre and place
+        all_ = {i: np.zeros((len(c), c.shape[1] + 2)) for i, c, _ in sets}
+        for r in got:
+            all_[r.i][r.p, r.at] = r.x
+        live = [i for i in live if all_[i][0, -1]]
+        for i in live:
+            before[i], size = now[i], all_[i][:, -2:-1]
+            now[i] = np.where(size > 0, all_[i][:, :-2] / np.maximum(size, 1), now[i])
+    return now
+
+
 def kmeans(points: DataFrame, id_col: str, vec_col: str, k: int, seed: int = SEED, iters: int = 300, centres: np.ndarray | None = None) -> DataFrame:
     """(id, label): Lloyd's iterations over the table from a k-means++ start (or from `centres`); labels are numbered by the least id in each.
 
     A pass sums the rows of each cluster in its tasks and hands on a number for each
     cluster and place. A cluster without rows keeps its centre. It ends when no row's
-    label changes, or after `iters` passes. Rows without a vector take no part.
+    label changes, or after `iters` passes. Rows without a vector take no part, and
+    vectors are worked out once.
     """
-    rows = points.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    c = start(rows, k, seed) if centres is None else np.asarray(centres, dtype=float)
+    return several_kmeans(points, id_col, vec_col, [k], seed, iters, None if centres is None else [centres])[0]
+
+
+def several_kmeans(points: DataFrame, id_col: str, vec_col: str, ks: list[int], seed: int = SEED, iters: int = 300, centres: list[np.ndarray] | None = None) -> list[DataFrame]:
+    """`kmeans` for each of several k, whose iterations share their passes over the table."""
+    rows = scratch(points.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")), "points")
+    starts = [start(rows, k, seed) for k in ks] if centres is None else [np.asarray(c, dtype=float) for c in centres]
+    return [_labelled(rows, c) for c in settled(rows, starts, iters)]
+
+
+def _labelled(rows: DataFrame, final: np.ndarray) -> DataFrame:
     schema = f"id {dict(rows.dtypes)['id']}, p int"
-    if not len(c):
+    if not len(final):
         return rows.sparkSession.createDataFrame([], schema.replace("p int", "label int"))
-    before = None
-    for _ in range(iters):
-        now, last = c, before
-
-        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                v = _vectors(batch.column(0))
-                label = _distances(v, now).argmin(axis=1)
-                moved = len(v) if last is None else int((label != _distances(v, last).argmin(axis=1)).sum())
-                sums = np.stack([np.bincount(label, v[:, j], minlength=len(now)) for j in range(v.shape[1])] + [np.bincount(label, minlength=len(now)).astype(float), np.full(len(now), float(moved))], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(now)), sums.shape[1]).astype(np.int32)), pa.array(np.tile(np.arange(sums.shape[1]), len(now)).astype(np.int32)), pa.array(sums.ravel())], names=["p", "at", "x"])
-
-        got = rows.select("v").mapInArrow(step, "p int, at int, x double").groupBy("p", "at").agg(F.sum("x").alias("x")).collect()  # k rows for each place
-        sums = np.zeros((len(c), c.shape[1] + 2))
-        for r in got:
-            sums[r.p, r.at] = r.x
-        if not sums[0, -1]:
-            break
-        before, size = c, sums[:, -2:-1]
-        c = np.where(size > 0, sums[:, :-2] / np.maximum(size, 1), c)
-    final = c
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_distances(_vectors(batch.column(1)), final).argmin(axis=1).astype(np.int32))], names=["id", "p"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_nearest(_vectors(batch.column(1)), final).astype(np.int32))], names=["id", "p"])
 
-    got = rows.mapInArrow(label, schema)
+    got = scratch(rows.mapInArrow(label, schema), "labels")
     order = got.groupBy("p").agg(F.min("id").alias("first"))
     named = order.withColumn("label", F.row_number().over(Window.orderBy("first")) - 1)  # k rows
-    return got.join(named, "p").select("id", "label")
+    return got.join(F.broadcast(named), "p").select("id", "label")
 
 
 def lloyd(x: np.ndarray, k: int, seed: int = SEED, iters: int = 300, centres: np.ndarray | None = None) -> np.ndarray:

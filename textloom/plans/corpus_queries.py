@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import kana, text
@@ -20,8 +20,17 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def _words() -> Column:
+    return F.regexp_extract_all(F.lower("text"), F.lit(TERMS), F.lit(0))
+
+
 def _tf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.term_frequencies(_docs(spark, sf_dir), "doc_id", F.regexp_extract_all(F.lower("text"), F.lit(TERMS), F.lit(0)))
+    return search.term_frequencies(_docs(spark, sf_dir), "doc_id", _words())
+
+
+def _lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc, dl): what `search.doc_lengths` counts in postings, from the texts themselves."""
+    return _docs(spark, sf_dir).groupBy(F.col("doc_id").alias("doc")).agg(F.sum(F.greatest(F.coalesce(F.size(_words()), F.lit(0)), F.lit(0))).alias("dl"))
 
 
 _TF = "(SELECT doc_id AS doc, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term FROM documents) GROUP BY ALL)"
@@ -140,9 +149,10 @@ def snk_postings_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("snk_index_file", f"SELECT term, doc, least(tf, 65535) AS tf, least(dl, 65535) AS dl FROM {_TF} JOIN (SELECT doc, sum(tf) AS dl FROM {_TF} GROUP BY 1) USING (doc)")
 def snk_index_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All postings and lengths out into the single files of a search index, and back from their bytes."""
-    tf, path = scratch(_tf(spark, sf_dir), "tf"), shared_path(spark, "index")
-    bundle.write_index(tf, search.doc_lengths(tf, _docs(spark, sf_dir), "doc_id"), path)
-    return bundle.read_index(spark, path).join(bundle.read_lengths(spark, path), "doc").select("term", "doc", "tf", "dl")
+    path, docs = shared_path(spark, "index"), bundle.numbered(_lengths(spark, sf_dir))
+    named = _docs(spark, sf_dir).select("doc_id", "text").join(docs.select("doc", "no"), F.col("doc_id") == F.col("doc"))
+    bundle.write_numbered(search.term_frequencies(named, "no", _words()), docs, path)
+    return bundle.read_index(spark, path, lengths=True)
 
 
 @query("snk_vector_file", "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS no, vec_id, TRUE AS near FROM embeddings")
@@ -174,9 +184,8 @@ _SCORE = f"tf AS {_TF}, l AS (SELECT d.doc_id AS doc, coalesce(sum(tf), 0) AS dl
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tf = scratch(_tf(spark, sf_dir), "tf")
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERMS), F.lit(0))).alias("term"))
-    return search.score(tf, search.doc_lengths(tf, _docs(spark, sf_dir), "doc_id"), q).withColumn("score", F.round("score", 6))
+    return search.score(_tf(spark, sf_dir), _lengths(spark, sf_dir), q).withColumn("score", F.round("score", 6))
 
 
 @query("vec_bm25_top", f"WITH {_SCORE} SELECT q, doc, CAST(r AS INT) AS rank, round(score, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc) AS r FROM sc) WHERE r <= 10")
@@ -394,8 +403,8 @@ def agg_cluster_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agreement of k-means clusters with the given labels, and their sizes, for several k."""
     e = table(spark, sf_dir, "embeddings")
     out = None
-    for k in (3, 4, 8):
-        got = clusters.kmeans(e, "vec_id", "embedding", k)
+    ks = [3, 4, 8]
+    for k, got in zip(ks, clusters.several_kmeans(e, "vec_id", "embedding", ks)):
         named = got.select(F.col("id").alias("vec_id"), F.col("label").alias("cluster")).join(e.select("vec_id", "label"), "vec_id")
         sizes = got.groupBy("label").count().agg(F.sort_array(F.collect_list("count"), False).alias("sizes"))
         row = clusters.adjusted_rand(named, "cluster", "label").select(F.lit(k).alias("k"), F.round("ari", 4).alias("ari")).crossJoin(sizes)
@@ -427,7 +436,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("agg_class_tfidf", f"WITH f AS (SELECT label, term, sum(tf) AS f FROM {_TF} JOIN {_LABELS} USING (doc) GROUP BY ALL), n AS (SELECT label, sum(f) AS n FROM f GROUP BY 1), t AS (SELECT term, sum(f) AS t FROM f GROUP BY 1), a AS (SELECT sum(n) / 5 AS a FROM n) SELECT label, term, CAST(r AS INT) AS rank, round(s, 6) AS score FROM (SELECT label, term, s, row_number() OVER (PARTITION BY label ORDER BY s DESC, term) AS r FROM (SELECT label, term, f / n * ln(1 + a / t) AS s FROM f JOIN n USING (label) JOIN t USING (term), a WHERE t >= 5)) WHERE r <= 10")
 def agg_class_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topics.class_tfidf(_tf(spark, sf_dir), _labels(spark, sf_dir).select("doc", "label"), 5).select("label", "term", "rank", F.round("score", 6).alias("score"))
+    return topics.class_tfidf(topics.class_counts(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id", _words(), _labels(spark, sf_dir)), 5).select("label", "term", "rank", F.round("score", 6).alias("score"))
 
 
 _COUNTS = ", ".join(f"CAST(count(*) FILTER (label = {j}) AS BIGINT) AS t{j}" for j in range(5))
@@ -471,7 +480,7 @@ def vec_topic_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The driver: project, cluster, and describe vectors' topics by their sizes and representatives."""
     e = table(spark, sf_dir, "embeddings")
     mean, basis, _ = vectors.components(e, "embedding", 32)
-    z = e.select(F.col("vec_id").alias("doc"), vectors.project(F.col("embedding"), mean, basis).alias("z"))
+    z = scratch(e.select(F.col("vec_id").alias("doc"), vectors.project(F.col("embedding"), mean, basis).alias("z")), "projected")
     labels = clusters.kmeans(z, "doc", "z", 10).withColumnRenamed("id", "doc")
     reps = topics.representatives(z.join(labels, "doc"), "z").groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc"))), lambda s: s["doc"]).alias("reps"))
     return topics.sizes(labels).join(reps, "label")

@@ -41,11 +41,22 @@ def write_index(tf: DataFrame, lengths: DataFrame, path: str) -> dict:
     distance from the one before (the first from 0) and its frequency, as varints.
     Frequencies and lengths stop at 65,535. No documents give files without records.
     """
+    docs = numbered(lengths)
+    named = tf.where("term is not null").join(docs.select(F.col("doc").alias("_doc"), "no"), F.col("doc") == F.col("_doc"))
+    return write_numbered(named.select("term", F.col("no").alias("doc"), "tf"), docs, path)
+
+
+def numbered(lengths: DataFrame) -> DataFrame:
+    """(doc, dl, no), stored: documents with their number in order of their ids."""
+    return scratch(dense_ordinal(lengths.where("doc is not null"), [F.col("doc")], "no"), "docs")
+
+
+def write_numbered(tf: DataFrame, docs: DataFrame, path: str) -> dict:
+    """`write_index` of postings that hold a document's number of `docs` (see `numbered`) for its id, so that none is shuffled to get it."""
     at = mounted(path)
-    docs = scratch(dense_ordinal(lengths.where("doc is not null"), [F.col("doc")], "no"), "docs")
-    numbered = tf.where("term is not null").join(docs.select(F.col("doc").alias("_doc"), "no"), F.col("doc") == F.col("_doc"))
     size = F.octet_length("bytes").cast("long")
-    blocks = scratch(running_total(encode_postings(search.postings(numbered.select("term", F.col("no").alias("doc"), "tf"))), [F.col("term"), F.col("block")], size, "start"), "blocks")
+    encoded = scratch(encode_postings(search.postings(tf)).select("term", "block", "bytes"), "encoded")
+    blocks = scratch(running_total(encoded, [F.col("term"), F.col("block")], size, "start"), "blocks")
     terms = running_total(blocks.where("block = 0").select("term", "start"), [F.col("term")], F.octet_length("term") + 1, "line")
     terms = scratch(dense_ordinal(terms, [F.col("term")], "i"), "terms")
 
@@ -92,16 +103,18 @@ def piece_numbers(raw: bytes, at: int, size: int) -> tuple[np.ndarray, int]:
     return np.add.reduceat((here & 0x7F) << shift, begin - low), n
 
 
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate(rows) if rows else [], pa.int64()))
+
+
 def _numbers(raw: Column, at: Column, size: Column) -> Column:
     """struct(v, n, s0, s1): a piece's numbers, how many are its own, and the sums of its own in even and odd places."""
     kind = pa.struct([("v", pa.list_(pa.int64())), ("n", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64())])
 
     def run(raws: pa.Array, ats: pa.Array, sizes: pa.Array) -> pa.Array:
-        out = []
-        for r, a, s in zip(raws.to_pylist(), ats.to_pylist(), sizes.to_pylist()):
-            v, n = piece_numbers(r, a, s)
-            out.append({"v": v, "n": n, "s0": int(v[:n:2].sum()), "s1": int(v[1:n:2].sum())})
-        return pa.array(out, kind)
+        found = [piece_numbers(r, a, s) for r, a, s in zip(raws.to_pylist(), ats.to_pylist(), sizes.to_pylist())]
+        sums = [pa.array([int(v[at:n:2].sum()) for v, n in found], pa.int64()) for at in (0, 1)]
+        return pa.StructArray.from_arrays([_lists([v for v, _ in found]), pa.array([n for _, n in found], pa.int64()), *sums], fields=list(kind))
 
     return F.arrow_udf(run, "struct<v:array<long>,n:long,s0:long,s1:long>")(raw, at, size)
 
@@ -111,18 +124,19 @@ def _placed(v: Column, n: Column, odd: Column, base: Column) -> Column:
     kind = pa.list_(pa.struct([("no", pa.int64()), ("tf", pa.int64())]))
 
     def run(vs: pa.Array, ns: pa.Array, odds: pa.Array, bases: pa.Array) -> pa.Array:
-        out = []
+        no, tf = [], []
         for x, m, first, b in zip(vs, ns.to_pylist(), odds.to_pylist(), bases.to_pylist()):
             x = x.values.to_numpy()
-            at = np.arange(first, m, 2)
-            out.append([{"no": d, "tf": t} for d, t in zip((b + np.cumsum(x[at])).tolist(), x[at + 1].tolist())])
-        return pa.array(out, kind)
+            no.append(b + np.cumsum(x[first:m:2]))
+            tf.append(x[first + 1 : m + 1 : 2])
+        no, tf = _lists(no), _lists(tf)
+        return pa.ListArray.from_arrays(no.offsets, pa.StructArray.from_arrays([no.values, tf.values], fields=list(kind.value_type)))
 
     return F.arrow_udf(run, "array<struct<no:long,tf:long>>")(v, n, odd, base)
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """(term, doc, tf) from the files of an index.
+def read_index(spark: SparkSession, path: str, lengths: bool = False) -> DataFrame:
+    """(term, doc, tf) from the files of an index, and dl with `lengths`.
 
     A long list is read in pieces by several tasks; sums of the pieces before say where each goes on.
     """
@@ -133,13 +147,16 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     pieces = pieces.withColumn("odd", 1 - F.coalesce(F.sum("n").over(before), F.lit(0)) % 2)
     # The first number of a record is in an even place, as is each frequency; so all sums of odd places are of gaps.
     pieces = pieces.withColumn("base", F.coalesce(F.sum(F.when(F.col("odd") == 1, F.col("s1")).otherwise(F.col("s0"))).over(before), F.lit(0)))
-    each = pieces.select("i", F.explode(_placed(F.col("v"), F.col("n"), F.col("odd"), F.col("base"))).alias("p")).select("i", "p.*")
     lines = read_bytes(spark, f"{at}/{TERMS}", offsets=f"{at}/{TERM_OFFSETS}", width=meta["term_offset_bytes"])
     own = F.when(F.col("at") == 0, F.expr("substring(bytes, 1, int(size))")).otherwise(F.expr("substring(bytes, 2, int(size))"))
     whole = lines.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("at", own.alias("b")))).alias("x"))  # pieces of one term
     terms = whole.select("i", F.rtrim(F.aggregate("x", F.lit(b""), lambda a, s: F.concat(a, s["b"])).cast("string"), F.lit("\n")).alias("term"))
-    ids = read_bytes(spark, f"{at}/{IDS}", record=8).select(F.col("i").alias("no"), bytes_number(F.col("bytes"), "<i8").alias("doc"))
-    return each.join(terms, "i").join(ids, "no").select("term", "doc", "tf")
+    # Pieces get their term before their postings are told apart.
+    each = pieces.join(terms, "i").select("term", F.explode(_placed(F.col("v"), F.col("n"), F.col("odd"), F.col("base"))).alias("p")).select("term", "p.*")
+    docs = read_bytes(spark, f"{at}/{IDS}", record=8).select(F.col("i").alias("no"), bytes_number(F.col("bytes"), "<i8").alias("doc"))
+    if lengths:
+        docs = docs.join(read_bytes(spark, f"{at}/{DOCS}", record=2).select(F.col("i").alias("no"), bytes_number(F.col("bytes"), "<u2").alias("dl")), "no")
+    return each.join(docs, "no").select("term", "doc", "tf", *(["dl"] if lengths else []))
 
 
 def read_lengths(spark: SparkSession, path: str) -> DataFrame:
