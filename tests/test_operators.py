@@ -486,3 +486,21 @@ def test_several_clusterings_share_their_passes(spark, monkeypatch):
     for x in (np.array([[0.0, 2.0, 1.0], [5.0, 1.0, 1.0]]), rnd.normal(size=(50, 3)), far):
         assert clusters._nearest(x, c).tolist() == clusters._distances(x, c).argmin(axis=1).tolist()
     assert clusters._nearest(far, far[:9]).tolist() == clusters._distances(far, far[:9]).argmin(axis=1).tolist()
+
+
+def test_few_neighbours_leave_a_block_once_some_are_known(spark):
+    """A query that knows its least score hands on only rows that reach it, rounded as all are."""
+    import pyarrow as pa
+
+    from textloom.operators import blocks, search
+
+    rnd = np.random.default_rng(3)
+    v = rnd.normal(size=(600, 8))
+    score = np.round(v[:4] @ v.T, 2)
+    score[np.arange(4), np.arange(4)] = -np.inf
+    least = -np.sort(-score, axis=1)[:, 4]
+    part = lambda ids, sizes, x: next(blocks._packed(iter([pa.RecordBatch.from_arrays([pa.array([0] * len(ids)), pa.array(ids), pa.array(sizes), pa.array(x.tolist()), pa.array([None] * len(ids), pa.string())], names=["block", "id", "size", "v", "work"])])))
+    left, right = part(list(range(4)), least.tolist(), v[:4]), part(list(range(600)), [0.0] * 600, v)
+    both = pa.RecordBatch.from_arrays([*left.columns, *right.columns], names=[*left.schema.names, *[f"r_{c}" for c in right.schema.names]])
+    got = sorted((r["q"], r["doc"], r["score"]) for b in search._meeting(search._first(300), False, 2)(iter([both])) for r in b.to_pylist())
+    assert got == sorted((int(q), int(d), float(score[q, d])) for q, d in zip(*np.nonzero(score >= least[:, None])))

@@ -118,7 +118,7 @@ def dot(a: Column, b: Column) -> Column:
 
 #: Vectors up to which all are one block, queries of one block, queries whose pairs are handed on at a time, rows that are
 #: looked at first for a diversified list, and balls of a large table.
-BLOCK, QUERY_BLOCK, HANDED, FIRST, BALLS = 8192, 512, 64, 256, 1024
+BLOCK, QUERY_BLOCK, HANDED, FIRST, BALLS = 8192, 512, 64, 256, 32
 
 Pick = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 Best = Callable[[DataFrame], DataFrame]
@@ -161,7 +161,8 @@ def _placed(rows: DataFrame, balls: Balls) -> DataFrame:
 
 
 def _meeting(pick: Pick, other_works: bool, digits: int | None):
-    """The matrix product of two parts, of which only what is picked leaves the task."""
+    """The matrix product of two parts, of which only what is picked leaves the task; where few reach what a query has already, those do."""
+    slack = 0.0 if digits is None else 10.0**-digits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,6 +173,17 @@ def _meeting(pick: Pick, other_works: bool, digits: int | None):
                 for low in range(0, len(asked.ids), HANDED):
                     some = slice(low, low + HANDED)
                     score = asked.v[some] @ rows.v.T
+                    least = asked.sizes[some]
+                    reach = score >= (least - slack)[:, None]
+                    if np.isfinite(least).all() and np.count_nonzero(reach) * 64 <= reach.size:  # what is out of reach is not looked at again
+                        i, j = np.nonzero(reach)
+                        exact = score[i, j] if digits is None else np.round(score[i, j], digits)
+                        ok = (asked.ids[some][i] != rows.ids[j]) & (exact >= least[i])
+                        if other_works:
+                            ok &= own[some][i] != names[of[j]]
+                        i, j, exact = i[ok], j[ok], exact[ok]
+                        yield pa.RecordBatch.from_arrays([pa.array(asked.ids[some][i]), pa.array(rows.ids[j]), pa.array(names[of[j]].tolist(), pa.string()), pa.array(exact)], names=["q", "doc", "work", "score"])
+                        continue
                     score = score if digits is None else np.round(score, digits)
                     score[asked.ids[some][:, None] == rows.ids[None, :]] = -np.inf
                     score[score < asked.sizes[some][:, None]] = -np.inf
@@ -197,7 +209,8 @@ def in_blocks(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str,
     A table of more than a block is dealt into balls around some of its rows. Queries meet
     the ball that they lie in first, which tells a score that their kth best has at least.
     After that they meet those balls alone that can hold such a score, by the triangle
-    inequality; on vectors without clusters that is all of them.
+    inequality; on vectors without clusters that is all of them. Balls are few, so that queries are
+    copied few times, and large, so that what the first one tells leaves little to hand on.
     """
     named = F.col(work).cast("string") if work else F.lit(None).cast("string")
     rows = lambda df: df.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), named.alias("work"), F.col(vec_col).cast("array<double>").alias("v"))
