@@ -122,14 +122,11 @@ def settled(rows: DataFrame, starts: list[np.ndarray], iters: int) -> list[np.nd
                         moved = len(v) if last is None else int((label != _nearest(v, last)).sum())
                         sums = np.stack([np.bincount(label, v[:, j], minlength=len(c)) for j in range(v.shape[1])] + [np.bincount(label, minlength=len(c)).astype(float), np.full(len(c), float(moved))], axis=1)
                         held[i] = held[i] + sums if i in held else sums
-            for i, sums in held.items():
-                p, place = (x.astype(np.int32) for x in np.divmod(np.arange(sums.size), sums.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(sums.size, i, dtype=np.int32)), pa.array(p), pa.array(place), pa.array(sums.ravel())], names=["i", "p", "at", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["i", "sums"])
 
-        got = packed.mapInArrow(step, "i int, p int, at int, x double").groupBy("i", "p", "at").agg(F.sum("x").alias("x")).collect()  # a row for each centre and place
         all_ = {i: np.zeros((len(c), c.shape[1] + 2)) for i, c, _ in sets}
-        for r in got:
-            all_[r.i][r.p, r.at] = r.x
+        for r in packed.mapInArrow(step, "i int, sums binary").collect():  # sums of each task, in order
+            all_[r.i] += np.frombuffer(r.sums).reshape(all_[r.i].shape)
         live = [i for i in live if all_[i][0, -1]]
         for i in live:
             before[i], size = now[i], all_[i][:, -2:-1]
