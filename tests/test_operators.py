@@ -504,3 +504,36 @@ def test_few_neighbours_leave_a_block_once_some_are_known(spark):
     both = pa.RecordBatch.from_arrays([*left.columns, *right.columns], names=[*left.schema.names, *[f"r_{c}" for c in right.schema.names]])
     got = sorted((r["q"], r["doc"], r["score"]) for b in search._meeting(search._first(300), False, 2)(iter([both])) for r in b.to_pylist())
     assert got == sorted((int(q), int(d), float(score[q, d])) for q, d in zip(*np.nonzero(score >= least[:, None])))
+
+
+@pytest.mark.parametrize("size", [1 << 20, 60])
+def test_passages_are_aligned_in_blocks(spark, monkeypatch, size):
+    """Texts are shuffled, not their grams; blocks, repeated ids, wide characters and one-sided pairs change nothing."""
+    from textloom.operators import pairs
+
+    monkeypatch.setattr(pairs, "PASSAGES", size)
+    monkeypatch.setattr(pairs, "TABLE", 64)
+    rng = np.random.default_rng(5)
+    letters = ["a", "b", "é", "あ", "\U0001f600"]
+    text = lambda: "".join(rng.choice(letters, int(rng.integers(2, 40))))
+    old = [(int(rng.integers(0, 3)), i, text()) for i in range(24)] + [(7, 90, "abcdabcd"), (None, 91, "abcd"), (0, None, "abcd"), (0, 3, None)]
+    new = [(int(rng.integers(0, 3)), 100 + i, text()) for i in range(24)] + [(0, old[0][1] + 100, text()), (8, 190, "abcdabcd")]
+    old += [(p, q, t[:-2] + "zz") for p, q, t in old[:5]]
+    new += [(p, 300 + q, t[1:]) for p, q, t in old[:9]] + [(p, 200 + q, t[1:]) for p, q, t in old[:9]]
+
+    def sets(rows):
+        out = {}
+        for p, i, t in rows:
+            if p is not None and i is not None and t is not None and len(t) >= 4:
+                out.setdefault((p, i), set()).update(t[k : k + 4] for k in range(len(t) - 3))
+        return out
+
+    best = {}
+    for (p, q), a in sets(old).items():
+        for (r, g), b in sets(new).items():
+            if p == r and a & b:
+                best[q] = min(best.get(q, (0, 0)), (-len(a & b) / len(a | b), g))
+    want = {q: (g, -s) for q, (s, g) in best.items() if -s >= 0.35}
+    frame = lambda rows, name: spark.createDataFrame(rows, f"pair long, {name} long, text string")
+    got = pairs.align(frame(old, "q"), frame(new, "gold"))
+    assert {r.q: (r.gold, r.score) for r in got.collect()} == want and len(want) > 5
