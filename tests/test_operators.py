@@ -537,3 +537,26 @@ def test_passages_are_aligned_in_blocks(spark, monkeypatch, size):
     frame = lambda rows, name: spark.createDataFrame(rows, f"pair long, {name} long, text string")
     got = pairs.align(frame(old, "q"), frame(new, "gold"))
     assert {r.q: (r.gold, r.score) for r in got.collect()} == want and len(want) > 5
+
+
+def test_rows_are_objects_a_slice_at_a_time(spark, monkeypatch):
+    """Slices are of bounded rows and bytes, a large row is one by itself, and none is lost; chunks of a batch are those of its rows."""
+    import pyarrow as pa
+
+    from textloom.functions import slices
+
+    monkeypatch.setattr(slices, "BYTES", 4000)
+    monkeypatch.setattr(slices, "ROWS", 10)
+    texts = [["あ" * (i % 7)] * (i % 5) for i in range(300)] + [None, [], ["い" * 9000], [None]]
+    got = list(slices.slices((pa.array(texts, pa.list_(pa.string())), pa.array(range(304)))))
+    assert [x for s in got for x in s[0].to_pylist()] == texts and [i for s in got for i in s[1].to_pylist()] == list(range(304))
+    assert max(len(s[0]) for s in got) <= 10 and all(len(s[0]) == 1 or s[0].nbytes + s[1].nbytes <= 4000 for s in got)
+    assert [len(s[0]) for s in got if (s[0].nbytes > 4000)] == [1] and not list(slices.slices((pa.array([], pa.string()),)))
+
+    paras = [None if i % 50 == 7 else ["う" * (i % 600), None, "え。"] for i in range(700)]
+    df = spark.createDataFrame(list(enumerate(paras)), "i int, paras array<string>").coalesce(1).select("i", chunking.chunks(F.col("paras")).alias("c"))
+    assert df.schema["c"].dataType.simpleString() == chunking.CHUNK
+    want = {i: None if ps is None else chunking.chunk([p or "" for p in ps]) for i, ps in enumerate(paras)}
+    assert {r.i: r.c and [tuple(c) for c in r.c] for r in df.collect()} == want
+    seen = spark.createDataFrame([(i,) for i in range(2000)], "i int").coalesce(1).select(slices.by_rows(lambda i: i + 1, "int", pa.int32(), F.col("i")).alias("x"))
+    assert sorted(r.x for r in seen.collect()) == list(range(1, 2001))
