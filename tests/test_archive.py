@@ -5,6 +5,7 @@ import os
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +125,15 @@ def test_reports_of_communities(spark):
     edge = spark.createDataFrame([(0, 1, 1.0)], "a long, b long, w double")
     assert tuple(mentions.summary(members, edge).first()) == (9, 1, 2, 1)
     assert mentions.reports(members.limit(0), tf, works).count() == 0 and tuple(mentions.summary(members.limit(0), edge.limit(0)).first()) == (0, 0, 0, 0)
+
+
+def test_directories_are_bounded(tmp_path, monkeypatch):
+    """A task begins another archive after so many members, as whoever reads one holds its directory; none is lost."""
+    monkeypatch.setattr(archive, "LISTED", 3)
+    rows = pa.RecordBatch.from_arrays([pa.array([f"{i}.txt" for i in range(10)]), pa.array([str(i).encode() for i in range(10)])], names=["member", "content"])
+    writer = archive.ZipWriter({"path": str(tmp_path)}, True)
+    writer.commit([writer.write(iter([rows.slice(0, 5), rows.slice(5)]))])
+    reader = archive.ZipReader({"path": str(tmp_path)})
+    back = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert sorted((r["member"], r["content"]) for r in back) == sorted(zip(rows["member"].to_pylist(), rows["content"].to_pylist()))
+    assert sorted(len(zipfile.ZipFile(f).infolist()) for f in tmp_path.glob("*.zip")) == [1, 3, 3, 3]

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from textloom.functions.slices import by_rows
 from textloom.operators.ranking import dense_ordinal, scratch
 from textloom.sources.binary import mounted, write_bytes
 
@@ -29,6 +30,8 @@ ZIP, ARRAY = "textloom_zip", "textloom_array"
 MEMBERS = pa.schema([("archive", pa.string()), ("member", pa.string()), ("size", pa.int64()), ("content", pa.binary()), ("error", pa.string())])
 #: Bytes of a reading task, of a batch, of an archive before the next is begun, and of the longest member that a cell can hold.
 SPLIT, BATCH, ARCHIVE, CELL = 16 << 20, 4 << 20, 1 << 30, (1 << 31) - (1 << 20)
+#: Members of an archive before the next is begun: a task that writes or reads one holds its directory.
+LISTED = 1 << 13
 #: Fixed value: the first day that archives know, given to every member, so that equal rows give equal bytes.
 DAY = (1980, 1, 1, 0, 0, 0)
 
@@ -44,20 +47,16 @@ def _put(z: zipfile.ZipFile, name: str, content: bytes, kind: int) -> None:
 def zipped(names: Column, contents: Column) -> Column:
     """A zip archive of one row's members: two arrays of one length; null for null."""
 
-    def run(ns: pa.Array, cs: pa.Array) -> pa.Array:
-        out = []
-        for n, c in zip(ns.to_pylist(), cs.to_pylist()):
-            if n is None or c is None:
-                out.append(None)
-                continue
-            raw = io.BytesIO()
-            with zipfile.ZipFile(raw, "w") as z:
-                for name, content in zip(n, c):
-                    _put(z, name, content, zipfile.ZIP_DEFLATED)
-            out.append(raw.getvalue())
-        return pa.array(out, pa.binary())
+    def run(ns: list | None, cs: list | None) -> bytes | None:
+        if ns is None or cs is None:
+            return None
+        raw = io.BytesIO()
+        with zipfile.ZipFile(raw, "w") as z:
+            for name, content in zip(ns, cs):
+                _put(z, name, content, zipfile.ZIP_DEFLATED)
+        return raw.getvalue()
 
-    return F.arrow_udf(run, "binary")(names, contents)
+    return by_rows(run, "binary", pa.binary(), names, contents)
 
 
 @dataclass
@@ -83,7 +82,7 @@ class ZipWriter(DataSourceArrowWriter):
                     done.append(f".{self.run}-{uuid.uuid4().hex}")
                     z = zipfile.ZipFile(f"{self.path}/{done[-1]}", "w")
                 _put(z, name, content.as_buffer().to_pybytes(), self.kind)
-                if z.fp.tell() >= ARCHIVE:
+                if z.fp.tell() >= ARCHIVE or len(z.infolist()) >= LISTED:
                     z.close()
                     z = None
         if z is not None:

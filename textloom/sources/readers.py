@@ -5,9 +5,11 @@ from __future__ import annotations
 import io
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions.slices import by_rows
 from textloom.functions.text import section, squeeze, strip_tags
 
 # Encodings in the order in which they are tried.
@@ -38,7 +40,8 @@ def _first_decoding(raw: bytes, encodings: tuple[str, ...]) -> tuple[str | None,
 
 def decode(content: Column, encodings: tuple[str, ...] = TEXT_ENCODINGS) -> Column:
     """struct(text, encoding): by the first encoding that holds; nulls if none does."""
-    return F.udf(lambda b: (None, None) if b is None else _first_decoding(bytes(b), encodings), "struct<text:string,encoding:string>", useArrow=True)(content)
+    result = pa.struct([("text", pa.string()), ("encoding", pa.string())])
+    return by_rows(lambda b: (None, None) if b is None else _first_decoding(bytes(b), encodings), "struct<text:string,encoding:string>", result, content)
 
 
 def extract_text(archive: Column) -> Column:
@@ -55,7 +58,8 @@ def extract_text(archive: Column) -> Column:
         except Exception as e:  # the reason is part of the record
             return None, None, None, f"{type(e).__name__}: {e}"
 
-    return F.udf(run, "struct<text:string,member:string,encoding:string,error:string>", useArrow=True)(archive)
+    result = pa.struct([(c, pa.string()) for c in ("text", "member", "encoding", "error")])
+    return by_rows(run, "struct<text:string,member:string,encoding:string,error:string>", result, archive)
 
 
 def list_entries(pages: DataFrame, html_col: str, start: str, end: str | None, own_person: str, base: str) -> DataFrame:
