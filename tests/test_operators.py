@@ -307,6 +307,41 @@ def test_ward_is_exact(spark, n, few):
         assert [got[i] for i in range(n)] == [first[c] for c in clusters.ward_labels(x, 7).tolist()]
 
 
+@pytest.mark.parametrize("numbers", [10_000_000, 3_000])
+def test_ward_in_few_passes(spark, monkeypatch, numbers):
+    """Passes over all pairs are few, with edges that end on the driver or in rounds, and vectors at two scales: the tree is the same."""
+    x = np.random.default_rng(7).normal(size=(1500, 12))
+    x[700:] = x[0] + 1e-3 * x[700:]
+    passes, meet = [], ward.blocks.meet
+    monkeypatch.setattr(ward.blocks, "meet", lambda *a, **b: passes.append(1) or meet(*a, **b))
+    monkeypatch.setattr(ward, "NUMBERS", numbers, raising=False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "c long, v array<double>")
+    tree = ward.merges(df, 400 if numbers < 10_000 else 100).collect()
+    assert len(passes) <= 8
+    assert len(tree) == len({r.b for r in tree}) == 1499
+    assert np.allclose(np.sort([r.height for r in tree]), chain(x), rtol=1e-9)
+
+
+def test_ward_edges_reach_to_the_bounds(spark):
+    """All pairs of a cluster up to its bound are edges, with ties, for clusters of many near ones and of none."""
+    rng = np.random.default_rng(9)
+    x = np.unique(np.concatenate([rng.integers(0, 4, (200, 3)), rng.integers(0, 40, (60, 3))]).astype(float), axis=0)
+    size = rng.integers(1, 5, len(x)).astype(float)
+    cost = 2 * size[:, None] * size / (size[:, None] + size) * ((x[:, None] - x) ** 2).sum(axis=-1)
+    df = spark.createDataFrame([(i, float(s), v.tolist()) for i, (s, v) in enumerate(zip(size, x))], "c long, size double, v array<double>")
+    got = ward.edges(df, len(x), 6.0, 4).collect()
+    edges = {(r.x, r.y): r.d for r in got}
+    assert len(edges) == len(got) and all(x < y and np.isclose(d, cost[x, y], rtol=1e-12) for (x, y), d in edges.items())
+    bound = {c: tuple(b) for r in got for c, b in ((r.x, r.bx), (r.y, r.by))}
+    assert 0 < sum(b[0] < 6 for b in bound.values()) and 0 < sum(b[1] > len(x) for b in bound.values())
+    for i in range(len(x)):
+        for j in range(i + 1, len(x)):
+            near = cost[i, j] <= 6
+            assert not near or (i in bound and j in bound)
+            if near and ((cost[i, j], i, j) <= bound[i] or (cost[i, j], i, j) <= bound[j]):
+                assert (i, j) in edges
+
+
 def test_ward_of_copies_and_odd_rows(spark):
     rows = [(i, [1.0, 1.0]) for i in range(40)] + [(100, [5.0, 5.0]), (101, [5.0, 5.0]), (102, [9.0, 1.0]), (None, [9.0, 1.1]), (200, None), (201, [float("nan"), 1.0]), (202, [None, 1.0])]
     df = spark.createDataFrame(rows, "id long, v array<double>")

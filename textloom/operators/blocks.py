@@ -36,16 +36,16 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([int(block[a])]), pa.array([part]), pa.array([len(ids)]), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([sizes.astype("<f8").tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary()), pa.array([some.column(4).to_pylist()], pa.list_(pa.string()))], names=["block", "part", "rows", "ids", "sizes", "v", "works"])
 
 
-def pack(rows: DataFrame, block: Column, blocks: int, name: str) -> DataFrame:
+def pack(rows: DataFrame, block: Column, blocks: int, name: str, dealt_over: int = DEALT) -> DataFrame:
     """Blocks of rows (id long, size double, v array<double>, and work string where there is one), written to the shared folder.
 
     `block` numbers the block of each row from 0 to `blocks`. Rows of a block are dealt
-    over several tasks, and packed by the task that gets them, in parts of bounded size.
+    over `dealt_over` tasks, and packed by the task that gets them, in parts of bounded size.
     """
-    n = max(1, min(blocks * DEALT, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    n = max(1, min(blocks * dealt_over, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     work = F.col("work") if "work" in rows.columns else F.lit(None).cast("string")
     dealt = rows.select(block.cast("long").alias("block"), "id", "size", "v", work.alias("work"))
-    dealt = dealt.repartition(n, "block", F.pmod(F.xxhash64("id"), F.lit(DEALT))).sortWithinPartitions("block", "id")
+    dealt = dealt.repartition(n, "block", F.pmod(F.xxhash64("id"), F.lit(dealt_over))).sortWithinPartitions("block", "id")
     return scratch(dealt.mapInArrow(_packed, SCHEMA), name)
 
 
