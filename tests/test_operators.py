@@ -595,3 +595,16 @@ def test_rows_are_objects_a_slice_at_a_time(spark, monkeypatch):
     assert {r.i: r.c and [tuple(c) for c in r.c] for r in df.collect()} == want
     seen = spark.createDataFrame([(i,) for i in range(2000)], "i int").coalesce(1).select(slices.by_rows(lambda i: i + 1, "int", pa.int32(), F.col("i")).alias("x"))
     assert sorted(r.x for r in seen.collect()) == list(range(1, 2001))
+
+
+def test_rounded_is_as_the_sql_engine_rounds(spark):
+    import duckdb
+
+    from textloom.functions.numbers import rounded
+
+    values = [(m / n,) for n in (160, 640, 800, 3200, 5120, 12800) for m in range(1, 4 * n, 3)] + [(2589 / 640,), (-2589 / 640,), (None,), (0.0,)]
+    got = spark.createDataFrame(values, "x double").select("x", rounded("x", 6).alias("six"), rounded(F.col("x"), 4).alias("four")).collect()
+    con = duckdb.connect()
+    want = [con.execute("SELECT round(?::DOUBLE, 6), round(?::DOUBLE, 4)", [r.x, r.x]).fetchone() for r in got]
+    assert [(r.six, r.four) for r in got] == want
+    assert next(r.six for r in got if r.x == 2589 / 640) == 4.045312  # F.round gives 4.045313

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import kana, text
+from textloom.functions.numbers import rounded
 from textloom.operators import changepoint, clusters, mentions, metrics, pairs, search, topics, vectors, ward
 from textloom.operators.ranking import running_total, scratch, shared_path
 from textloom.plans.registry import query, sql_values, table, values
@@ -48,7 +49,7 @@ def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("jon_near_pairs", f"WITH {_CLASSES}, {_SCORED} SELECT a, b, round(score, 4) AS score FROM j WHERE score >= 0.5 AND ratio > 0.6 AND ratio < 1.7")
 def jon_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs between classes of equal frames; members of a class are in jon_pair_classes."""
-    return pairs.find_pairs(_classes(spark, sf_dir)).select("a", "b", F.round("score", 4).alias("score"))
+    return pairs.find_pairs(_classes(spark, sf_dir)).select("a", "b", rounded("score", 4).alias("score"))
 
 
 @query("jon_pair_classes", f"WITH {_CLASSES} SELECT a, CAST(members AS BIGINT) AS members FROM classes WHERE members > 1")
@@ -62,7 +63,7 @@ def jon_pair_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def jon_gap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = pairs.gap_report(_classes(spark, sf_dir))
-    return r.select(F.round("matched_min", 6).alias("matched_min"), F.round("unmatched_max", 6).alias("unmatched_max"), "matched", "compared")
+    return r.select(rounded("matched_min", 6).alias("matched_min"), rounded("unmatched_max", 6).alias("unmatched_max"), "matched", "compared")
 
 
 _PAIRS = f"WITH {_CLASSES}, {_SCORED}, p AS (SELECT a, b FROM j WHERE score >= 0.5 AND ratio > 0.6 AND ratio < 1.7), t AS (SELECT p.a, p.b, x.lang AS ka, y.lang AS kb, x.n_chars AS ca, y.n_chars AS cb, x.source = y.source AS same_title FROM p JOIN documents x ON x.doc_id = p.a JOIN documents y ON y.doc_id = p.b)"
@@ -97,7 +98,7 @@ def jon_align_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even documents against odd ones of the same forty."""
     d = _docs(spark, sf_dir).where("length(text) >= 4").select("doc_id", F.floor(F.col("doc_id") / 40).alias("pair"), "text")
     old, new = d.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "q"), d.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "gold")
-    return pairs.align(old, new).withColumn("score", F.round("score", 4))
+    return pairs.align(old, new).withColumn("score", rounded("score", 4))
 
 
 @query("agg_fold_calibration")
@@ -472,7 +473,7 @@ def agg_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("agg_topic_shares", f"SELECT lang, label, round(n / sum(n) OVER (PARTITION BY lang), 6) AS share FROM (SELECT lang, label, count(*) AS n FROM {_LABELS} GROUP BY ALL)")
 def agg_topic_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = _labels(spark, sf_dir).groupBy("lang", "label").agg(F.count(F.lit(1)).alias("n"))
-    return topics.shares(counts, "lang", "label", "n").withColumn("share", F.round("share", 6))
+    return topics.shares(counts, "lang", "label", "n").withColumn("share", rounded("share", 6))
 
 
 @query("vec_topic_model")

@@ -314,11 +314,12 @@ def top_unknown_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("set_overlap", "WITH w AS (SELECT doc_id, source, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM documents) SELECT a.doc_id, round(len(list_intersect(a.w, b.w)) / greatest(len(list_distinct(list_concat(a.w, b.w))), 1), 6) AS j FROM w a JOIN w b ON b.doc_id = a.doc_id + 1")
 def set_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shared over all words of each document and the next."""
+    from textloom.functions.numbers import rounded
     from textloom.functions.text import jaccard
 
     w = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("w"))
     nxt = w.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v"))
-    return w.join(nxt, "doc_id").select("doc_id", F.round(jaccard(F.col("w"), F.col("v")), 6).alias("j"))
+    return w.join(nxt, "doc_id").select("doc_id", rounded(jaccard(F.col("w"), F.col("v")), 6).alias("j"))
 
 
 @query("set_union_ids", "SELECT doc_id FROM documents UNION SELECT doc_id FROM labels")
