@@ -608,3 +608,28 @@ def test_rounded_is_as_the_sql_engine_rounds(spark):
     want = [con.execute("SELECT round(?::DOUBLE, 6), round(?::DOUBLE, 4)", [r.x, r.x]).fetchone() for r in got]
     assert [(r.six, r.four) for r in got] == want
     assert next(r.six for r in got if r.x == 2589 / 640) == 4.045312  # F.round gives 4.045313
+
+
+def test_pairs_of_frames_are_brute_force(spark, monkeypatch):
+    """Frames hand on numbers for their grams, wide characters too; a group of alike texts is compared under one number, and meetings are not shuffled."""
+    from textloom.operators import pairs
+
+    rnd = random.Random(12)
+    first = ["".join(rnd.choice(letters) for _ in range(rnd.choice([5, 40, 90]))) for letters in ("abcdefgh", "aあ𠀀é", "一二三") for _ in range(8)]
+    alike = ["".join(rnd.choice("abcdefgh") for _ in range(200))]
+    alike += [alike[0][:k] + "z" + alike[0][k + 1 :] for k in range(0, 200, 16)]
+    for n in (4, 8):
+        texts = first + [w[:-3] + "x" for w in first] + [w + "b" for w in first] + alike
+        works = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+        grams = {}
+        for i, w in enumerate(texts):
+            grams.setdefault(w, (i, len(w), {w[k : k + n] for k in range(len(w) - n + 1)}))
+        want = {(x[0], y[0]): len(x[2] & y[2]) / len(x[2] | y[2]) for x in grams.values() for y in grams.values() if x[0] < y[0] and x[2] & y[2] and 0.6 < y[1] / x[1] < 1.7}
+        stored, real = {}, pairs.scratch
+        with monkeypatch.context() as m:
+            m.setattr(pairs, "ROWS", 8)
+            m.setattr(pairs, "scratch", lambda df, name: stored.setdefault(name, real(df, name)))  # noqa: B023
+            got = {(r.a, r.b): r.score for r in pairs.find_pairs(pairs.classes(works, "id", F.col("t"), n, "\\x{0}-\\x{10FFFF}")).collect()}
+        assert got == {k: s for k, s in want.items() if s >= 0.5} and len(got) > 50
+        one = stored["numbers"].where(F.col("a") >= 72)
+        assert one.count() == len(alike) and one.select("under", "part").distinct().count() == 1
