@@ -633,3 +633,26 @@ def test_pairs_of_frames_are_brute_force(spark, monkeypatch):
         assert got == {k: s for k, s in want.items() if s >= 0.5} and len(got) > 50
         one = stored["numbers"].where(F.col("a") >= 72)
         assert one.count() == len(alike) and one.select("under", "part").distinct().count() == 1
+
+
+def test_large_tables_meet_in_large_parts_and_single_precision_loses_nothing(spark):
+    """Parts are as large as they may be, as each is sent to all that it meets; scores that differ in the last digits alone keep their order."""
+    from textloom.operators import search
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(9000, 6))
+    x[4500:] = x[:4500] * (1 + rng.integers(-3, 4, (4500, 1)) * 2e-9)  # apart by less than single precision tells
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    met, real = [], search.blocks.meet
+    search.blocks.meet = lambda a, b, n=None, pairs=None: (met.append((a.count(), b.count())), real(a, b, n, pairs))[1]
+    try:
+        got = {}
+        for r in search.nearest(df, df, "id", "v", 6).collect():
+            got.setdefault(r.q, {})[r.rank] = r.doc
+    finally:
+        search.blocks.meet = real
+    assert len(got) == 9000 and max(map(max, met)) <= 32
+    for q in range(0, 9000, 97):
+        score = np.round(x @ x[q], 9)
+        score[q] = -np.inf
+        assert [got[q][i] for i in range(1, 7)] == np.lexsort((np.arange(9000), -score))[:6].tolist()

@@ -118,7 +118,7 @@ def dot(a: Column, b: Column) -> Column:
 
 #: Vectors up to which all are one block, queries of one block, queries whose pairs are handed on at a time, rows that are
 #: looked at first for a diversified list, and balls of a large table.
-BLOCK, QUERY_BLOCK, HANDED, FIRST, BALLS = 8192, 512, 64, 256, 32
+BLOCK, QUERY_BLOCK, HANDED, FIRST, BALLS = 8192, 4096, 64, 256, 32
 
 Pick = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 Best = Callable[[DataFrame], DataFrame]
@@ -161,29 +161,46 @@ def _placed(rows: DataFrame, balls: Balls) -> DataFrame:
 
 
 def _meeting(pick: Pick, other_works: bool, digits: int | None):
-    """The matrix product of two parts, of which only what is picked leaves the task; where few reach what a query has already, those do."""
+    """The matrix product of two parts, of which only what is picked leaves the task; where few reach what a query has already, those do.
+
+    Who reaches it is told by a product in single precision, whose error has a bound; those get their scores in double precision.
+    """
     slack = 0.0 if digits is None else 10.0**-digits
 
+    def reaching(asked: blocks.Rows, rows: blocks.Rows) -> Iterator[tuple[slice, np.ndarray | None, np.ndarray | None]]:
+        """Stretches of queries with the pairs that may reach what each has; without them where many do, or a query has nothing."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            v, w = asked.v.astype(np.float32), rows.v.astype(np.float32)
+            norm = np.sqrt((asked.v**2).sum(axis=1)) * np.sqrt((rows.v**2).sum(axis=1).max(initial=0))
+            floor = (asked.sizes - slack - 2 * (v.shape[1] + 4) * 2.0**-24 * norm - 1e-30).astype(np.float32)
+            floor = np.nextafter(floor, np.float32("-inf"))
+        sure = np.isfinite(floor).all() and norm.max(initial=0) < 1e30 and np.isfinite(w).all()
+        for low in range(0, len(asked.ids), HANDED):
+            some = slice(low, low + HANDED)
+            reach = v[some] @ w.T >= floor[some][:, None] if sure else None
+            if sure and np.count_nonzero(reach) * 64 <= reach.size:
+                at = np.flatnonzero(reach)
+                yield some, at // reach.shape[1], at % reach.shape[1]
+            else:
+                yield some, None, None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
                 asked, rows = blocks.Rows(batch, at), blocks.Rows(batch, at, "r_")
                 names, of = np.unique(rows.works, return_inverse=True)
                 own = np.array(asked.works)
-                for low in range(0, len(asked.ids), HANDED):
-                    some = slice(low, low + HANDED)
-                    score = asked.v[some] @ rows.v.T
-                    least = asked.sizes[some]
-                    reach = score >= (least - slack)[:, None]
-                    if np.isfinite(least).all() and np.count_nonzero(reach) * 64 <= reach.size:  # what is out of reach is not looked at again
-                        i, j = np.nonzero(reach)
-                        exact = score[i, j] if digits is None else np.round(score[i, j], digits)
-                        ok = (asked.ids[some][i] != rows.ids[j]) & (exact >= least[i])
+                for some, i, j in reaching(asked, rows):
+                    if i is not None:  # what is out of reach is not looked at again
+                        exact = np.einsum("ij,ij->i", asked.v[some][i], rows.v[j])
+                        exact = exact if digits is None else np.round(exact, digits)
+                        ok = (asked.ids[some][i] != rows.ids[j]) & (exact >= asked.sizes[some][i])
                         if other_works:
                             ok &= own[some][i] != names[of[j]]
                         i, j, exact = i[ok], j[ok], exact[ok]
                         yield pa.RecordBatch.from_arrays([pa.array(asked.ids[some][i]), pa.array(rows.ids[j]), pa.array(names[of[j]].tolist(), pa.string()), pa.array(exact)], names=["q", "doc", "work", "score"])
                         continue
+                    score = asked.v[some] @ rows.v.T
                     score = score if digits is None else np.round(score, digits)
                     score[asked.ids[some][:, None] == rows.ids[None, :]] = -np.inf
                     score[score < asked.sizes[some][:, None]] = -np.inf
@@ -229,11 +246,12 @@ def in_blocks(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str,
     held = scratch(_placed(rows(vectors), made), "placed")
     for r in held.groupBy("ball").agg(F.max("far").alias("far")).collect():  # a row for each ball
         made.radius[r.ball] = r.far * (1 + 1e-9) + 1e-12
-    right = blocks.pack(held.withColumn("size", F.lit(0.0)), F.col("ball"), balls, "rows")
+    # a part is sent to each that it meets, so parts are as large as they may be
+    right = blocks.pack(held.withColumn("size", F.lit(0.0)), F.col("ball"), balls, "rows", 1 if n <= len(made.centres) * blocks.PART else blocks.DEALT)
     spread = max(1, -(-queries.count() // (QUERY_BLOCK * len(made.centres))))
     asked = _placed(rows(queries), made).withColumn("block", F.col("ball") * spread + F.pmod(F.xxhash64("id"), F.lit(spread)))
     asked = scratch(asked, "asked")
-    left = blocks.pack(asked.select("*", never), F.col("block"), balls * spread, "queries")
+    left = blocks.pack(asked.select("*", never), F.col("block"), balls * spread, "queries", 1)
     own = asked.select("block", F.col("ball").alias("r_block")).distinct()
     first = scratch(blocks.meet(left, right, pairs=own).mapInArrow(meeting, FOUND), "first")
 
@@ -251,7 +269,7 @@ def in_blocks(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str,
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["block", "r_block"])
 
     more = scratch(known.select("v", "ball", "block", "size").mapInArrow(reach, "block long, r_block long").distinct(), "reach")
-    again = blocks.pack(known, F.col("block"), balls * spread, "again")
+    again = blocks.pack(known, F.col("block"), balls * spread, "again", 1)
     return first.unionByName(blocks.meet(again, right, pairs=more).mapInArrow(meeting, FOUND))
 
 
