@@ -656,3 +656,18 @@ def test_large_tables_meet_in_large_parts_and_single_precision_loses_nothing(spa
         score = np.round(x @ x[q], 9)
         score[q] = -np.inf
         assert [got[q][i] for i in range(1, 7)] == np.lexsort((np.arange(9000), -score))[:6].tolist()
+
+
+def test_blocks_of_names_meet_where_they_are_stored(spark, monkeypatch):
+    """No block is shuffled to meet another, and blocks and parts find every cosine."""
+    rnd = random.Random(13)
+    raw = {d: {f"t{rnd.randint(0, 30)}": rnd.random() + 0.01 for _ in range(rnd.randint(1, 9))} for d in range(70)}
+    unit = {d: {t: x / sum(y * y for y in v.values()) ** 0.5 for t, x in v.items()} for d, v in raw.items()}
+    w = spark.createDataFrame([(d, t, x) for d, v in unit.items() for t, x in v.items()], "doc long, term string, w double")
+    for name, value in (("LEAST", 40), ("BLOCKS", 3), ("ENTRIES", 50)):
+        monkeypatch.setattr(mentions, name, value)
+    rows = mentions.edges(w, 0.3)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    want = {(a, b): x for a in unit for b in unit if a < b and (x := sum(x * unit[b].get(t, 0) for t, x in unit[a].items())) >= 0.3}
+    got = {(r.a, r.b): r.w for r in rows.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
