@@ -671,3 +671,15 @@ def test_blocks_of_names_meet_where_they_are_stored(spark, monkeypatch):
     want = {(a, b): x for a in unit for b in unit if a < b and (x := sum(x * unit[b].get(t, 0) for t, x in unit[a].items())) >= 0.3}
     got = {(r.a, r.b): r.w for r in rows.collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_rounds_store_each_edge_once(spark, monkeypatch):
+    edge = spark.createDataFrame([(5 * c + i, 5 * c + j, 1.0) for c in range(3) for i in range(5) for j in range(i)] + [(0, 5, 0.1), (5, 10, 0.1)], "a long, b long, w double")
+    nodes = spark.range(16).withColumnRenamed("id", "node")
+    stored, real = {}, mentions.scratch
+    monkeypatch.setattr(mentions, "scratch", lambda df, name: stored.setdefault((name, len(stored)), real(df, name)))
+    for held in (False, True):
+        stored.clear()
+        got = mentions.communities_in_rounds(edge, nodes, stored=held).collect()
+        assert {r.node: r.community for r in got} == {k: k // 5 * 5 for k in range(15)} | {15: 15}
+        assert [df.count() for (name, _), df in stored.items() if name == "near"] == ([] if held else [edge.count()])
